@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from parley.llm.shared import materialize
 
 WHITE = "[\\x20\\x09-\\x0D]+"
-WHITE_CHARS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+INK = "[^\\x20\\x09-\\x0D]"
+SYMBOLS = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -36,10 +35,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
-def _line_hash(line: Column) -> Column:
-    """60 bits of MD5 of the line with A-Z lower-cased and white space collapsed."""
-    plain = F.translate(F.trim(F.regexp_replace(line, WHITE, " ")), UPPER, LOWER)
-    return F.conv(F.substring(F.md5(plain.cast("binary")), 1, 15), 16, 10).cast("long")
+def _line_hash(words: Column) -> Column:
+    """60 bits of MD5 of a line's lower-cased words, joined by single spaces."""
+    return F.conv(F.substring(F.md5(F.lower(F.array_join(words, " ")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _windows(words: Column) -> Column:
@@ -58,24 +56,24 @@ def quality_signals(docs: DataFrame) -> DataFrame:
     any text.
     """
     out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    out = out.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda s: F.translate(s, WHITE_CHARS, "") != ""))
+    out = out.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda s: s.rlike(INK)))
     out = out.withColumn("_sorted", F.sort_array(_windows(F.col("_words"))))
     repeated = F.size("_sorted") > F.size(F.array_distinct("_sorted"))
     n = F.size("_words")
-    pairs = F.array_sort(
+    pairs = F.sort_array(
         F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("p")))
     )
     out = out.withColumn("_pairs", F.when(repeated, pairs))
     same = lambda i, j: F.coalesce(F.get("_pairs", i)["h"] == F.get("_pairs", j)["h"], F.lit(False))
-    hits = F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), n - 3), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: F.get("_pairs", i)["p"]))
+    hits = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), n - 3), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: F.get("_pairs", i)["p"]))
     out = out.withColumn("_hits", F.when(F.col("_pairs").isNotNull(), hits))
     cover = F.aggregate(
         "_hits", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"]
     )
     out = (
         out.withColumn("n_words", n.cast("long"))
-        .withColumn("word_chars", F.length(F.translate("_text", WHITE_CHARS, "")).cast("long"))
-        .withColumn("n_symbols", (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+        .withColumn("n_symbols", F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(cover, F.lit(0)).cast("long"))
     )
@@ -89,9 +87,9 @@ def line_table(docs: DataFrame, key: str = "doc_id", host: str = "source") -> Da
     face is the least line hash of the document. Copies share it, so that a
     document and its copies count once for a line.
     """
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.translate(s, WHITE_CHARS, "") != "")
-    items = F.transform(lines, lambda s, i: F.struct(_line_hash(s).alias("line"), F.size(words_of(s)).cast("long").alias("words"), i.alias("pos")))
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), items.alias("items"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of)
+    items = F.transform(F.filter("lines", lambda w: F.size(w) > 0), lambda w, i: F.struct(_line_hash(w).alias("line"), F.size(w).cast("long").alias("words"), i.alias("pos")))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), lines.alias("lines")).select("key", "host", items.alias("items"))
     rows = rows.withColumn("face", F.array_min(F.transform("items", lambda x: x["line"])))
     return rows.select("key", "host", "face", F.explode("items").alias("x")).select("key", "host", "face", "x.*")
 
@@ -109,7 +107,7 @@ def frequent_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataF
 
 def removed_words(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """(key, n_removed): words of each document in frequent lines, for documents that have any."""
-    lines = line_table(docs, key, host)
+    lines = materialize(line_table(docs, key, host), "lines")
     hit = lines.select("key", "host", "pos", "line", "words").join(frequent_lines(lines, limits), ["host", "line"])
     once = hit.groupBy("key", "pos", "line").agg(F.max("words").alias("words"))
     return once.groupBy("key").agg(F.sum("words").alias("n_removed"))
@@ -138,7 +136,7 @@ def strip_frequent_lines(docs: DataFrame, key: str = "doc_id", host: str = "sour
     lines = line_table(docs, key, host)
     hit = lines.join(frequent_lines(lines, limits), ["host", "line"]).groupBy("key").agg(F.collect_set("pos").alias("_gone"))
     out = docs.join(hit.withColumnRenamed("key", key), key, "left")
-    kept = F.filter(F.split("text", "\n"), lambda s: F.translate(s, WHITE_CHARS, "") != "")
+    kept = F.filter(F.split("text", "\n"), lambda s: s.rlike(INK))
     kept = F.filter(kept, lambda s, i: ~F.array_contains("_gone", i))
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_gone")
 
@@ -170,7 +168,7 @@ s AS (SELECT w.r, doc_id, host, len(ws) AS n_words,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (r)),
 l0 AS (SELECT r, host, unnest(ls) AS l FROM w),
 l1 AS (SELECT r, host, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
-              ('0x' || substr(md5(translate(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15))::BIGINT AS line FROM l0),
+              ('0x' || substr(md5(lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ', 'g')))), 1, 15))::BIGINT AS line FROM l0),
 l2 AS (SELECT *, min(line) OVER (PARTITION BY r) AS face FROM l1),
 hosts AS (SELECT host, count(DISTINCT face) AS host_docs FROM l2 GROUP BY host),
 freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT face) AS n_docs FROM l2 GROUP BY host, line) JOIN hosts USING (host)
