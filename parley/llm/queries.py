@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parley.llm import op05_suffix_array as op5
 from parley.llm import op09_line_frequency as op9
 
 
@@ -13,13 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_line_frequency": op9_line_frequency}
+    return {
+        "op5_suffix_array": op5_suffix_array,
+        "op9_line_frequency": op9_line_frequency,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_frequency": op9.ORACLE_SQL}
+    return {
+        "op5_suffix_array": op5.ORACLE_SQL,
+        "op9_line_frequency": op9.ORACLE_SQL,
+    }
