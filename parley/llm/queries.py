@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import op05_suffix_array as op5
+from parley.llm import op07_warc as op7
 from parley.llm import op09_line_frequency as op9
 
 
@@ -18,6 +19,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,7 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_suffix_array": op5_suffix_array,
+        "op7_warc": op7_warc,
         "op9_line_frequency": op9_line_frequency,
     }
 
@@ -32,5 +38,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_suffix_array": op5.ORACLE_SQL,
+        "op7_warc": op7.ORACLE_SQL,
         "op9_line_frequency": op9.ORACLE_SQL,
     }
