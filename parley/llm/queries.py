@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parley.llm import op03_packing as op3
 from parley.llm import op05_suffix_array as op5
 from parley.llm import op07_warc as op7
 from parley.llm import op09_line_frequency as op9
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the packing query uses; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +41,7 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_packing": op3_packing,
         "op5_suffix_array": op5_suffix_array,
         "op7_warc": op7_warc,
         "op9_line_frequency": op9_line_frequency,
