@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parley.llm import op01_jaccard_rtree as op1
 from parley.llm import op03_packing as op3
 from parley.llm import op05_suffix_array as op5
 from parley.llm import op07_warc as op7
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -41,6 +46,7 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_rtree": op1_jaccard_rtree,
         "op3_packing": op3_packing,
         "op5_suffix_array": op5_suffix_array,
         "op7_warc": op7_warc,
