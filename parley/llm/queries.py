@@ -11,6 +11,7 @@ from parley.llm import op03_packing as op3
 from parley.llm import op05_suffix_array as op5
 from parley.llm import op07_warc as op7
 from parley.llm import op09_line_frequency as op9
+from parley.llm import op10_gam as op10
 
 
 def tokenizer_path() -> str:
@@ -44,6 +45,10 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_rtree": op1_jaccard_rtree,
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_array": op5_suffix_array,
         "op7_warc": op7_warc,
         "op9_line_frequency": op9_line_frequency,
+        "op10_gam": op10_gam,
     }
 
 
