@@ -10,6 +10,7 @@ from parley.llm import op01_jaccard_rtree as op1
 from parley.llm import op03_packing as op3
 from parley.llm import op05_suffix_array as op5
 from parley.llm import op07_warc as op7
+from parley.llm import op08_brown as op8
 from parley.llm import op09_line_frequency as op9
 from parley.llm import op10_gam as op10
 
@@ -41,6 +42,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.brown_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op5_suffix_array": op5_suffix_array,
         "op7_warc": op7_warc,
+        "op8_brown": op8_brown,
         "op9_line_frequency": op9_line_frequency,
         "op10_gam": op10_gam,
     }
