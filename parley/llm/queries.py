@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import op01_jaccard_rtree as op1
+from parley.llm import op02_html_blocks as op2
 from parley.llm import op03_packing as op3
 from parley.llm import op05_suffix_array as op5
 from parley.llm import op07_warc as op7
@@ -30,6 +31,10 @@ def op1_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -57,6 +62,7 @@ def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_rtree": op1_jaccard_rtree,
+        "op2_html_blocks": op2_html_blocks,
         "op3_packing": op3_packing,
         "op5_suffix_array": op5_suffix_array,
         "op7_warc": op7_warc,
