@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parley.llm import op01_jaccard_rtree as op1
 from parley.llm import op02_html_blocks as op2
 from parley.llm import op03_packing as op3
+from parley.llm import op04_feistel_pii as op4
 from parley.llm import op05_suffix_array as op5
 from parley.llm import op07_warc as op7
 from parley.llm import op08_brown as op8
@@ -39,6 +40,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True).drop("spans")
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jaccard_rtree": op1_jaccard_rtree,
         "op2_html_blocks": op2_html_blocks,
         "op3_packing": op3_packing,
+        "op4_feistel_pii": op4_feistel_pii,
         "op5_suffix_array": op5_suffix_array,
         "op7_warc": op7_warc,
         "op8_brown": op8_brown,
