@@ -11,6 +11,7 @@ from parley.llm import op02_html_blocks as op2
 from parley.llm import op03_packing as op3
 from parley.llm import op04_feistel_pii as op4
 from parley.llm import op05_suffix_array as op5
+from parley.llm import op06_secret_forest as op6
 from parley.llm import op07_warc as op7
 from parley.llm import op08_brown as op8
 from parley.llm import op09_line_frequency as op9
@@ -48,6 +49,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_feistel_pii": op4_feistel_pii,
         "op5_suffix_array": op5_suffix_array,
+        "op6_secret_forest": op6_secret_forest,
         "op7_warc": op7_warc,
         "op8_brown": op8_brown,
         "op9_line_frequency": op9_line_frequency,
