@@ -7,10 +7,11 @@ do minima with the upper corner of a box of points, which is what an R-tree
 prunes by. The second grouping deals points to trees: two sets that differ in
 at most R shingles agree wholly in one of R + 1 groups, so documents meet in the
 cell of (size class, group, content of the group) and no link between cells is
-lost. A cell's members are first compared with one of them, its pivot, which
-joins large groups of near copies by as many comparisons as members. An R-tree
-over the cell then finds the pairs that are still open, and every surviving
-pair is verified on whole texts.
+lost. A cell's members are first compared with one of them, its pivot: the one that
+shares cells with most others, such as the original of a group of near copies.
+That joins large groups by as many comparisons as members. An R-tree over the
+cell then finds the pairs that are still open, and every surviving pair is
+verified on whole texts.
 
 Documents with equal sets form one node from the start. Nodes are 64-bit sums
 of mixed shingle hashes; N distinct sets collide with a chance of N^2 / 2^65.
@@ -214,6 +215,15 @@ def _pivot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cells[keep]), pa.array(nodes[keep]), pa.array(pivots[keep])], ["cell", "node", "pivot"])
 
 
+def central_pivots(cells: DataFrame) -> DataFrame:
+    """(cell, node, pivot) with the pivot of each cell exchanged for its most central member: the one whose cells have most members in all."""
+    members = materialize(cells.select("cell", "node").unionByName(cells.select("cell", F.col("pivot").alias("node")).distinct()), "members")
+    sizes = members.groupBy("cell").agg(F.count("*").alias("size"))
+    weights = members.join(sizes, "cell").groupBy("node").agg(F.sum("size").alias("weight"))
+    best = members.join(weights, "node").groupBy("cell").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    return members.join(best, "cell").where("node <> pivot")
+
+
 def _verify(size: int, limit: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +244,8 @@ def _verify(size: int, limit: Threshold):
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, limit: Threshold) -> DataFrame:
     """The pairs (a, b) of nodes that are linked. texts has one row (node, text) for each node."""
-    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")).hint("merge") for x in "ab")
+    joined = pairs.join(b, "b").join(a, "a")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, limit), "a long, b long")
 
 
@@ -322,10 +333,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
     prints = materialize(fingerprints(docs, key, size, limit), "fingerprints")
     dealt = prints.select("node", F.explode("cells").alias("cell")).select("cell", "node").repartition("cell").sortWithinPartitions("cell", "node")
     cells = materialize(dealt.mapInArrow(_pivot_rows, "cell long, node long, pivot long"), "cells")
+    cells = materialize(central_pivots(cells), "cells")
     in_cells = cells.select("node").unionByName(cells.select(F.col("pivot").alias("node"))).distinct()
     points = materialize(prints.join(in_cells, "node", "left_semi").groupBy("node").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
     stars = materialize(bounded(cells.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), points, limit), "pivot-pairs")
-    texts = materialize(docs.join(points.select("node", F.col("rep").alias(key)), key).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # texts of all sizes go by a sort-merge join: its table of nodes grows with the documents
+    texts = materialize(docs.join(points.select("node", F.col("rep").alias(key)).hint("merge"), key).groupBy("node").agg(F.first("text").alias("text")), "texts")
     links = materialize(verified(stars, texts, size, limit), "links")
     labels = connected_components(links)
     more = open_pairs(cells, labels, points, limit).join(stars, ["a", "b"], "left_anti")
