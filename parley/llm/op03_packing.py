@@ -182,7 +182,9 @@ def _packing(key: str, tokenizer: str, capacity: int, group: int, with_ids: bool
         def ready() -> pa.RecordBatch:
             columns = list(zip(*packer.out))
             packer.out = []
-            if not with_ids:
+            if with_ids:
+                columns[7] = [ids.astype(np.int32) for ids in columns[7]]
+            else:
                 columns = columns[:7]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
@@ -210,6 +212,6 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", capacity: int = C
     kind = docs.schema[key].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    fields = [(key, to_arrow_type(kind))] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + ([("ids", pa.list_(pa.int64()))] if with_ids else [])
-    spark_schema = f"`{key}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
+    fields = [(key, to_arrow_type(kind))] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + ([("ids", pa.list_(pa.int32()))] if with_ids else [])
+    spark_schema = f"`{key}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     return docs.select(key, "text").mapInArrow(_packing(key, tokenizer, capacity, group, with_ids, pa.schema(fields)), spark_schema)
