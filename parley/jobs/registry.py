@@ -1,15 +1,662 @@
-"""The registered queries of the reference's operators and their SQL."""
+"""The registered queries of the reference's operators, over whole tables, and SQL with the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from parley import constants as C
+from parley.functions import text as T
+from parley.jobs.evaluate import evaluate, gate, merged_labels, turn_evaluations
+from parley.operators import errors as E
+from parley.operators import gates as G
+from parley.operators import kb, report, scoring, traces, trajectory, turns
+from parley.sources import documents
+from parley.sources.adapters import SQL, adapt
+from parley.streaming.spans import collect_batch, stream_tool_calls
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _with(*names: str, more: str = "") -> str:
+    """A WITH clause of adapter tables, each named t_<name>."""
+    return "WITH " + ", ".join(f"t_{n} AS ({SQL[n]})" for n in names) + (", " + more if more else "") + "\n"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# turns
+
+_TALK = """talk AS (SELECT * FROM t_messages WHERE role IN ('simulated_user', 'assistant')),
+ lagged AS (SELECT *, lag(role) OVER w AS pr, lag(content) OVER w AS pc FROM talk WINDOW w AS (PARTITION BY conversation_id ORDER BY msg_pos)),
+ pairs AS (SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY msg_pos) - 1 AS turn_id, pc AS user_msg, content AS assistant_msg FROM lagged WHERE role = 'assistant' AND pr = 'simulated_user')"""
+
+
+@query("prj_1_assemble_turns", _with("messages", more=_TALK) + "SELECT * FROM pairs")
+def _(spark, sf):
+    return turns.assemble_turns(adapt(spark, sf, "messages"))
+
+
+@query("prj_2_turn_counts", _with("messages", more=_TALK) + "SELECT c.conversation_id, count(p.turn_id) AS turns FROM (SELECT DISTINCT conversation_id FROM t_messages) c LEFT JOIN pairs p USING (conversation_id) GROUP BY 1")
+def _(spark, sf):
+    m = adapt(spark, sf, "messages")
+    return turns.turn_counts(turns.assemble_turns(m), m.select("conversation_id").distinct())
+
+
+_NUMBERED = "numbered AS (SELECT *, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY msg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS turn_id FROM t_messages)"
+
+
+@query("prj_3_number_messages", _with("messages", more=_NUMBERED) + "SELECT conversation_id, msg_pos, turn_id FROM numbered")
+def _(spark, sf):
+    return turns.number_messages(adapt(spark, sf, "messages")).select("conversation_id", "msg_pos", "turn_id")
+
+
+_STOPPED = "stopped AS (SELECT conversation_id, msg_pos, role, CASE WHEN msg_pos % 7 = 4 THEN concat(content, ' ###STOP###') ELSE content END AS content FROM t_messages)"
+
+
+@query(
+    "prj_4_truncate_at_stop",
+    _with("messages", more=_STOPPED + """, marked AS (SELECT *, coalesce(max(CASE WHEN role = 'simulated_user' AND contains(content, '###STOP###') THEN 1 ELSE 0 END) OVER w, 0) AS stops,
+ coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER w, 0)::INT AS turn_id FROM stopped WINDOW w AS (PARTITION BY conversation_id ORDER BY msg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+    + "SELECT conversation_id, msg_pos, role, content, turn_id FROM marked WHERE stops = 0 AND turn_id < 3",
+)
+def _(spark, sf):
+    m = adapt(spark, sf, "messages").withColumn("content", F.when(F.col("msg_pos") % 7 == 4, F.concat("content", F.lit(" ###STOP###"))).otherwise(F.col("content")))
+    return turns.truncate_at_stop(m, 3)
+
+
+_HISTORY = "SELECT p.conversation_id, p.turn_id, string_agg(concat('user: ', h.user_msg, chr(10), 'assistant: ', h.assistant_msg, chr(10)), '' ORDER BY h.turn_id) AS history FROM pairs p JOIN pairs h ON h.conversation_id = p.conversation_id AND h.turn_id <= p.turn_id GROUP BY 1, 2"
+
+
+@query("prj_5_6_history_prefix", _with("messages", more=_TALK) + _HISTORY)
+def _(spark, sf):
+    t = turns.assemble_turns(adapt(spark, sf, "messages"))
+    rows = t.join(turns.conversation_history(t), "conversation_id")
+    return rows.select("conversation_id", "turn_id", T.format_history(turns.history_prefix(F.col("history"), F.col("turn_id"))).alias("history"))
+
+
+@query(
+    "prj_7_combine_knowledge",
+    _with("messages", more="k AS (SELECT conversation_id, content, row_number() OVER (PARTITION BY conversation_id ORDER BY msg_pos) AS i FROM t_messages WHERE role = 'assistant')")
+    + "SELECT conversation_id, string_agg(concat('Knowledge ', i, ':', chr(10), content), concat(chr(10), chr(10)) ORDER BY i) AS knowledge FROM k GROUP BY 1",
+)
+def _(spark, sf):
+    said = adapt(spark, sf, "messages").where("role = 'assistant'").groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("msg_pos", "content"))).alias("k"))
+    return said.select("conversation_id", T.combine_knowledge(F.transform("k", lambda x: x["content"])).alias("knowledge"))
+
+
+@query("prj_8_9_judge_requests", _with("messages", more=_TALK + ", h AS (" + _HISTORY + ")") + """SELECT conversation_id, turn_id, m.metric, CASE m.metric WHEN 'coherence' THEN concat('Rate the talk.', chr(10), history) ELSE concat('Goal: find out', chr(10), history, '[]') END AS prompt
+ FROM h CROSS JOIN (SELECT 'coherence' AS metric UNION ALL SELECT 'own_check') m""")
+def _(spark, sf):
+    m = adapt(spark, sf, "messages")
+    metrics = spark.createDataFrame(
+        [("coherence", "turn", "Rate the talk.\n{chat_history}"), ("relevance", "turn", "{user_goal}"), ("own_check", "turn", "Goal: {user_goal}\n{chat_history}{tool_calls}"), ("goal_completion", "conversation", "{chat_history}")], "name string, scope string, template string"
+    )
+    conversations = m.select("conversation_id").distinct().withColumns({"goal": F.lit("find out"), "knowledge": F.array().cast("array<string>")})
+    return turns.select_metrics(turns.judge_requests(turns.assemble_turns(m), conversations, metrics), ["coherence"], ["own_check"])
+
+
+@query("prj_10_conversation_requests", _with("messages", more=_TALK) + """SELECT c.conversation_id, 'goal_completion' AS metric, concat('Did it end well?', chr(10), coalesce(string_agg(concat('user: ', user_msg, chr(10), 'assistant: ', assistant_msg, chr(10)), '' ORDER BY turn_id) FILTER (turn_id IS NOT NULL), '')) AS prompt
+ FROM (SELECT DISTINCT conversation_id FROM t_messages) c LEFT JOIN pairs USING (conversation_id) GROUP BY 1""")
+def _(spark, sf):
+    m = adapt(spark, sf, "messages")
+    metrics = spark.createDataFrame([("goal_completion", "conversation", "Did it end well?\n{chat_history}")], "name string, scope string, template string")
+    conversations = m.select("conversation_id").distinct().withColumns({"goal": F.lit(""), "knowledge": F.array().cast("array<string>")})
+    return turns.conversation_requests(turns.assemble_turns(m), conversations, metrics)
+
+
+@query(
+    "prj_11_parse_verdicts",
+    _with("lines") + "SELECT conversation_id, turn_id, CASE n % 2 WHEN 0 THEN 'verbosity' ELSE 'coherence' END AS metric, CAST(CASE n % 2 WHEN 0 THEN 6 - (1 + p % 5) ELSE 1 + p % 5 END AS DOUBLE) AS value, 'r' AS reason FROM t_lines WHERE s % 4 <> 0",
+)
+def _(spark, sf):
+    lines = adapt(spark, sf, "lines")
+    reply = F.when(F.col("s") % 4 == 0, "no json here").otherwise(F.concat(F.lit('{"score": '), (1 + F.col("p") % 5).cast("string"), F.lit(', "reason": "r"}')))
+    quant, _, _ = turns.parse_verdicts(lines.select("conversation_id", "turn_id", F.when(F.col("n") % 2 == 0, "verbosity").otherwise("coherence").alias("metric"), reply.alias("response")))
+    return quant
+
+
+@query("prj_12_recent_context")
+def _(spark, sf):
+    return turns.recent_context(adapt(spark, sf, "messages"))
+
+
+@query("prj_13_score_label", _with("quant") + "SELECT name, CASE WHEN value < 2 THEN 'Poor' WHEN value < 3 THEN 'Needs Improvement' WHEN value < 4 THEN 'Good' ELSE 'Excellent' END AS label, count(*) AS n FROM t_quant GROUP BY 1, 2")
+def _(spark, sf):
+    return adapt(spark, sf, "quant").groupBy("name", T.score_label(F.col("value")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "prj_14_truncate_reason",
+    _with("messages", more="w AS (SELECT conversation_id, msg_pos, list_filter(regexp_split_to_array(coalesce(content, ''), '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '') AS ws FROM t_messages)")
+    + "SELECT conversation_id, msg_pos, CASE WHEN len(ws) = 0 THEN '' WHEN len(ws) > 10 THEN concat(array_to_string(ws[1:10], ' '), '...') ELSE array_to_string(ws, ' ') END AS reason FROM w",
+)
+def _(spark, sf):
+    return adapt(spark, sf, "messages").select("conversation_id", "msg_pos", T.truncate_reason(F.col("content")).alias("reason"))
+
+
+# scores
+
+_SCORED = "scored AS (SELECT conversation_id, turn_id, avg(value) AS turn_score, coalesce(bool_or(value < 0.6 * score_max), false) AS below FROM t_quant WHERE turn_id IS NOT NULL GROUP BY 1, 2)"
+_EVALS = _SCORED + """, evals AS (SELECT t.conversation_id, t.turn_id, coalesce(turn_score, -1) AS turn_score, CASE WHEN below THEN label ELSE 'skipped_good_performance' END AS label,
+ CASE WHEN below THEN reason ELSE 'Skipped: all turn metrics are at or above their thresholds.' END AS reason FROM t_turns t LEFT JOIN scored USING (conversation_id, turn_id) LEFT JOIN t_verdicts v USING (conversation_id, turn_id))"""
+_RANK = "CASE {} WHEN 'unsafe action' THEN 0 WHEN 'unsafe state' THEN 0 WHEN 'false information' THEN 0 WHEN 'disobey user request' THEN 1 WHEN 'lack of specific information' THEN 2 WHEN 'failure to ask for clarification' THEN 2 WHEN 'repetition' THEN 3 ELSE 99 END"
+_SKIP = "('skipped_good_performance', 'no failure')"
+_MERGED = _EVALS + f""", both_ AS (SELECT e.*, v.label AS nl, v.reason AS nr, e.label IN {_SKIP} OR {_RANK.format('v.label')} < {_RANK.format('e.label')} AS take FROM evals e
+ LEFT JOIN (SELECT * FROM t_tool_verdicts WHERE label NOT IN {_SKIP}) v USING (conversation_id, turn_id)),
+ merged AS (SELECT conversation_id, turn_id, turn_score, CASE WHEN nl IS NOT NULL AND take THEN nl ELSE label END AS label, CASE WHEN nl IS NULL THEN reason WHEN take THEN nr ELSE concat(reason, chr(10), nr) END AS reason FROM both_)"""
+_CONVO = _MERGED + f""", counts AS (SELECT conversation_id, count(*) AS turns FROM t_turns GROUP BY 1), fails AS (SELECT conversation_id, count(*) FILTER (label NOT IN {_SKIP}) AS failures FROM merged GROUP BY 1),
+ g AS (SELECT conversation_id, min_by(value, pos) AS goal FROM t_goals GROUP BY 1),
+ r AS (SELECT c.conversation_id, coalesce(counts.turns, 0) AS turns, coalesce(goal, -1) AS goal_completion_score, CASE WHEN coalesce(counts.turns, 0) > 0 THEN (counts.turns - coalesce(failures, 0)) / counts.turns ELSE 1.0::DOUBLE END AS turn_success_ratio
+   FROM (SELECT DISTINCT conversation_id FROM t_conversations) c LEFT JOIN counts USING (conversation_id) LEFT JOIN fails USING (conversation_id) LEFT JOIN g USING (conversation_id)),
+ r2 AS (SELECT *, CASE WHEN goal_completion_score < 0 THEN turn_success_ratio ELSE turn_success_ratio * 0.75::DOUBLE + goal_completion_score * 0.25::DOUBLE END AS overall_agent_score FROM r),
+ convo AS (SELECT *, CASE WHEN overall_agent_score = 1.0 THEN 'Done' WHEN overall_agent_score >= 0.6 THEN 'Partial Failure' ELSE 'Failed' END AS evaluation_status FROM r2)"""
+_ALL = ("turns", "quant", "verdicts", "tool_verdicts", "conversations", "goals")
+
+
+@query("agg_1_2_turn_scores", _with("quant", more=_SCORED) + "SELECT * FROM scored")
+def _(spark, sf):
+    return scoring.turn_scores(adapt(spark, sf, "quant"))
+
+
+@query("agg_3_turn_labels", _with("turns", "quant", "verdicts", more=_EVALS) + "SELECT * FROM evals")
+def _(spark, sf):
+    return turn_evaluations(spark, sf)
+
+
+@query("agg_4_merge_failures", _with(*_ALL[:4], more=_MERGED) + "SELECT * FROM merged")
+def _(spark, sf):
+    return merged_labels(spark, sf)
+
+
+@query("agg_5_success_ratio", _with(*_ALL, more=_CONVO) + "SELECT conversation_id, turns, turn_success_ratio FROM convo")
+def _(spark, sf):
+    return evaluate(spark, sf).select("conversation_id", "turns", "turn_success_ratio")
+
+
+@query("agg_6_7_overall_and_status", _with(*_ALL, more=_CONVO) + "SELECT evaluation_status, count(*) AS n, min(overall_agent_score) AS lowest, max(overall_agent_score) AS highest FROM convo GROUP BY 1")
+def _(spark, sf):
+    return evaluate(spark, sf).groupBy("evaluation_status").agg(F.count("*").alias("n"), F.min("overall_agent_score").alias("lowest"), F.max("overall_agent_score").alias("highest"))
+
+
+@query("agg_8_goal_scores", _with("goals") + "SELECT conversation_id, min_by(value, pos) AS goal_completion_score, min_by(reason, pos) AS goal_completion_reason FROM t_goals GROUP BY 1")
+def _(spark, sf):
+    return scoring.goal_scores(adapt(spark, sf, "goals"))
+
+
+@query("agg_9_evaluate_conversations", _with(*_ALL, more=_CONVO) + "SELECT * FROM convo")
+def _(spark, sf):
+    return evaluate(spark, sf)
+
+
+# gates
+
+_NUMERIC = """th(metric, threshold) AS (VALUES ('overall_score', 0.5::DOUBLE), ('goal_completion', 1.0::DOUBLE), ('helpfulness', 3.0::DOUBLE), ('politeness', 2.0::DOUBLE), ('unknown', 1.0::DOUBLE)),
+ measured AS (SELECT name AS metric, conversation_id, coalesce(min_by(CASE WHEN scope = 'conversation' THEN value END, CASE WHEN scope = 'conversation' THEN pos END), avg(CASE WHEN scope = 'turn' THEN value END)) AS score FROM t_quant WHERE value >= 0 GROUP BY 1, 2
+   UNION ALL SELECT 'overall_score', conversation_id, overall_agent_score FROM convo UNION ALL SELECT 'goal_completion', conversation_id, goal_completion_score FROM convo WHERE goal_completion_score >= 0),
+ numeric_ AS (SELECT metric, conversation_id, score, threshold FROM measured JOIN th USING (metric) WHERE score < threshold)"""
+_LABELLED = """sets(metric, label) AS (VALUES ('tone', 'rude'), ('outcome', 'lost'), ('agent_behavior_failure', 'unsafe action'), ('agent_behavior_failure', 'false information')),
+ labels_ AS (SELECT name AS metric, conversation_id, 'conversation' AS place, value AS label FROM t_qual WHERE scope = 'conversation'
+   UNION ALL SELECT 'agent_behavior_failure', conversation_id, turn_id::VARCHAR, label FROM merged
+   UNION ALL SELECT name, conversation_id, turn_id::VARCHAR, min_by(value, pos) FROM t_qual WHERE scope = 'turn' AND name <> 'agent_behavior_failure' GROUP BY name, conversation_id, turn_id),
+ label_ AS (SELECT metric, conversation_id, place, label FROM labels_ SEMI JOIN sets USING (metric, label) WHERE label NOT IN ('skipped_good_performance', 'evaluation_run_failed', 'agent_api_error'))"""
+
+
+@query("gate_1_numeric", _with(*_ALL, more=_CONVO + ", " + _NUMERIC) + "SELECT * FROM numeric_")
+def _(spark, sf):
+    return gate(spark, sf)[0]
+
+
+@query("gate_2_labels", _with(*_ALL, "qual", more=_CONVO + ", " + _LABELLED) + "SELECT * FROM label_")
+def _(spark, sf):
+    return gate(spark, sf)[1]
+
+
+@query("gate_3_report", _with(*_ALL, "qual", more=_CONVO + ", " + _NUMERIC + ", " + _LABELLED) + "SELECT (SELECT count(*) FROM numeric_) AS numeric_failures, (SELECT count(*) FROM label_) AS label_failures, (SELECT count(*) FROM numeric_) = 0 AND (SELECT count(*) FROM label_) = 0 AS passed")
+def _(spark, sf):
+    return G.gate_report(*gate(spark, sf))
+
+
+# errors
+
+_REAL = "('false information', 'disobey user request', 'lack of specific information', 'failure to ask for clarification', 'repetition', 'unsafe action', 'unsafe state')"
+_ERRORS = _MERGED + f""", items AS (SELECT *, substr(sha256(concat(label, chr(10), regexp_replace(trim(regexp_replace(lower(reason), '\\s+', ' ', 'g')), '[0-9]+', '#', 'g'))), 1, 16) AS unique_error_id FROM merged WHERE label IN {_REAL}),
+ errors AS (SELECT unique_error_id, label AS category, arg_min(reason, (conversation_id, turn_id)) AS description, count(*) AS n_occurrences,
+   CASE WHEN label IN ('unsafe action', 'unsafe state', 'false information') THEN 'critical' WHEN label = 'disobey user request' THEN 'high' WHEN label = 'repetition' THEN 'low' ELSE 'medium' END AS severity FROM items GROUP BY 1, 2),
+ occ AS (SELECT unique_error_id, conversation_id, turn_id FROM items)"""
+_ORDER = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, n_occurrences DESC, unique_error_id"
+_MAPPED = _ERRORS + f""", ids AS (SELECT unique_error_id, list_sort(list(DISTINCT scenario_id)) AS scenario_ids FROM occ JOIN t_conversations USING (conversation_id) JOIN t_scenarios USING (scenario_id) GROUP BY 1),
+ mapped AS (SELECT row_number() OVER (ORDER BY {_ORDER}) AS error_index, unique_error_id, description, severity, n_occurrences, scenario_ids FROM errors JOIN ids USING (unique_error_id))"""
+
+
+def _errors(spark, sf):
+    return E.group_failures(merged_labels(spark, sf))
+
+
+def _mappings(spark, sf):
+    errors, occurrences = _errors(spark, sf)
+    return E.error_scenario_mappings(errors, occurrences, adapt(spark, sf, "conversations"), adapt(spark, sf, "scenarios"))
+
+
+@query("err_1_failure_items", _with(*_ALL[:4], more=_MERGED) + f"SELECT conversation_id, turn_id, label, reason, concat('Item ', conversation_id, '_', turn_id, ': agent_behavior_failure label and reason: ', label, ': ', reason) AS item FROM merged WHERE label IN {_REAL}")
+def _(spark, sf):
+    return E.failure_items(merged_labels(spark, sf))
+
+
+@query("err_2_parse_occurrences", _with("lines") + "SELECT concat('e', p % 50) AS unique_error_id, concat('run_', conversation_id) AS conversation_id, turn_id::INT AS turn_id FROM t_lines WHERE s % 5 <> 0")
+def _(spark, sf):
+    text = F.concat(F.lit("run_"), F.col("conversation_id").cast("string"), F.lit("_"), F.when(F.col("s") % 5 == 0, "last").otherwise(F.col("turn_id").cast("string")))
+    return E.parse_occurrences(adapt(spark, sf, "lines").select(F.concat(F.lit("e"), (F.col("p") % 50).cast("string")).alias("unique_error_id"), F.array(text).alias("occurrences")))
+
+
+@query("err_3_4_group_failures", _with(*_ALL[:4], more=_ERRORS) + "SELECT * FROM errors")
+def _(spark, sf):
+    return _errors(spark, sf)[0]
+
+
+@query("err_5_link_errors", _with(*_ALL[:4], more=_ERRORS) + "SELECT m.conversation_id, m.turn_id, coalesce(string_agg(DISTINCT unique_error_id, ',' ORDER BY unique_error_id), '') AS ids FROM merged m LEFT JOIN occ USING (conversation_id, turn_id) GROUP BY 1, 2")
+def _(spark, sf):
+    return E.link_errors(merged_labels(spark, sf), _errors(spark, sf)[1]).select("conversation_id", "turn_id", F.array_join("unique_error_ids", ",").alias("ids"))
+
+
+@query("err_6_scenario_mappings", _with(*_ALL, "scenarios", more=_MAPPED) + "SELECT error_index, unique_error_id, description, severity, n_occurrences, array_to_string(scenario_ids, ',') AS scenario_ids FROM mapped")
+def _(spark, sf):
+    return _mappings(spark, sf).withColumn("scenario_ids", F.array_join(F.col("scenario_ids").cast("array<string>"), ","))
+
+
+@query(
+    "err_7_focus_sets",
+    _with(*_ALL, "scenarios", more=_MAPPED + ", one AS (SELECT concat('error_', error_index) AS focus_set, unnest(scenario_ids) AS scenario_id FROM mapped), every_ AS (SELECT * FROM one UNION ALL SELECT DISTINCT 'all_failures', scenario_id FROM one)")
+    + "SELECT focus_set, scenario_id, goal, user_profile FROM every_ JOIN t_scenarios USING (scenario_id)",
+)
+def _(spark, sf):
+    return E.focus_sets(_mappings(spark, sf), adapt(spark, sf, "scenarios")).select("focus_set", "scenario_id", "goal", "user_profile")
+
+
+@query(
+    "err_8_top_errors",
+    _with(*_ALL, more=_ERRORS + f", best AS (SELECT * FROM errors ORDER BY {_ORDER} LIMIT 5)")
+    + "SELECT unique_error_id, category, severity, n_occurrences, count(DISTINCT conversation_id) AS conversations, count(DISTINCT scenario_id) AS scenarios FROM best JOIN occ USING (unique_error_id) LEFT JOIN t_conversations USING (conversation_id) GROUP BY 1, 2, 3, 4",
+)
+def _(spark, sf):
+    errors, occurrences = _errors(spark, sf)
+    return E.top_errors(errors, occurrences, adapt(spark, sf, "conversations"))
+
+
+_GOLD = "gold AS (SELECT conversation_id, turn_id AS pos, CASE WHEN (p + s) % 3 = 0 THEN v.label ELSE 'no failure' END AS label FROM t_lines JOIN t_verdicts v USING (conversation_id, turn_id)), want AS (SELECT conversation_id, coalesce(arg_min(label, pos) FILTER (label <> 'no failure'), 'no failure') AS expected FROM gold GROUP BY 1)"
+
+
+@query(
+    "err_9_judge_agreement",
+    _with(*_ALL[:4], "lines", more=_MERGED + ", " + _GOLD + ", have AS (SELECT conversation_id, list(DISTINCT label) AS labels FROM merged GROUP BY 1)")
+    + """SELECT expected, count(*) AS conversations, count(*) FILTER (ok) AS agreed, count(*) FILTER (ok) / count(*) AS rate FROM (SELECT expected, CASE WHEN expected = 'no failure'
+ THEN NOT list_has_any(labels, ['false information', 'disobey user request', 'lack of specific information', 'failure to ask for clarification', 'repetition']) ELSE list_contains(labels, expected) END AS ok FROM want JOIN have USING (conversation_id)) GROUP BY 1""",
+)
+def _(spark, sf):
+    lines = adapt(spark, sf, "lines").join(adapt(spark, sf, "verdicts"), ["conversation_id", "turn_id"])
+    gold = lines.select("conversation_id", F.col("turn_id").alias("pos"), F.when((F.col("p") + F.col("s")) % 3 == 0, F.col("label")).otherwise(C.NO_FAILURE).alias("label"))
+    return E.judge_agreement(merged_labels(spark, sf), gold)
+
+
+# report
+
+_SYSTEM = "('skipped_good_performance', 'evaluation_run_failed', 'agent_api_error')"
+
+
+@query("rpt_1_run_totals", _with(*_ALL, more=_CONVO) + "SELECT count(*) AS conversations, sum(turns)::BIGINT AS turns, sum(turns) / count(*) AS avg_turns FROM convo")
+def _(spark, sf):
+    return report.run_totals(evaluate(spark, sf))
+
+
+@query("rpt_2_metric_averages", _with("quant") + "SELECT name, scope, avg(value) AS average FROM t_quant GROUP BY 1, 2")
+def _(spark, sf):
+    return report.metric_averages(adapt(spark, sf, "quant"))
+
+
+@query(
+    "rpt_3_performance_metrics",
+    _with("quant", more="m AS (SELECT name, avg(value) AS average FROM t_quant WHERE value <> -1 GROUP BY 1)")
+    + "SELECT name, concat(upper(name[1]), name[2:]) AS title, average, CASE name WHEN 'politeness' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS low, CASE name WHEN 'politeness' THEN 10.0::DOUBLE ELSE 5.0::DOUBLE END AS high FROM m WHERE EXISTS (SELECT 1 FROM m WHERE name = 'helpfulness')",
+)
+def _(spark, sf):
+    return report.performance_metrics(adapt(spark, sf, "quant"), spark.createDataFrame([("politeness", 0.0, 10.0)], "name string, low double, high double"))
+
+
+@query(
+    "rpt_4_overall_average",
+    _with("quant", more="m AS (SELECT name, avg(value) AS m FROM t_quant WHERE name <> 'politeness' GROUP BY 1), a AS (SELECT avg(m) AS overall_average FROM m)")
+    + "SELECT overall_average, CASE WHEN overall_average < 2 THEN 'Poor' WHEN overall_average < 3 THEN 'Needs Improvement' WHEN overall_average < 4 THEN 'Good' ELSE 'Excellent' END AS label FROM a",
+)
+def _(spark, sf):
+    return report.overall_average(adapt(spark, sf, "quant"))
+
+
+@query("rpt_5_failure_breakdown", _with(*_ALL[:4], more=_MERGED) + f"SELECT label, count(*) AS n, count(*) / sum(count(*)) OVER () * 100 AS share FROM merged WHERE label NOT IN {_SYSTEM} GROUP BY 1")
+def _(spark, sf):
+    return report.failure_breakdown(merged_labels(spark, sf))
+
+
+@query("rpt_6_failure_distribution", _with(*_ALL[:4], more=_MERGED) + f"SELECT label, count(*) AS n, count(*) / sum(count(*)) OVER () * 100 AS share FROM merged WHERE label NOT IN {_SYSTEM} AND label <> 'no failure' GROUP BY 1")
+def _(spark, sf):
+    return report.failure_distribution(merged_labels(spark, sf))
+
+
+@query(
+    "rpt_7_label_distributions",
+    _with(*_ALL[:4], "qual", more=_MERGED + f", every_ AS (SELECT name, value AS label FROM t_qual UNION ALL SELECT 'agent_behavior_failure', label FROM merged WHERE label NOT IN {_SYSTEM} AND label <> 'no failure' AND NOT EXISTS (SELECT 1 FROM t_qual WHERE name = 'agent_behavior_failure'))")
+    + "SELECT name, label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY name) * 100 AS share FROM every_ GROUP BY 1, 2",
+)
+def _(spark, sf):
+    return report.label_distributions(adapt(spark, sf, "qual"), merged_labels(spark, sf))
+
+
+@query("rpt_8_conversation_labels", _with("conversations") + "SELECT conversation_id, concat('Conversation ', row_number() OVER (ORDER BY conversation_id)) AS label FROM (SELECT DISTINCT conversation_id FROM t_conversations)")
+def _(spark, sf):
+    return report.conversation_labels(adapt(spark, sf, "conversations"))
+
+
+@query("rpt_9_turn_issues")
+def _(spark, sf):
+    return report.turn_issues(merged_labels(spark, sf), adapt(spark, sf, "quant"))
+
+
+@query(
+    "rpt_10_convo_rows",
+    _with(*_ALL, "scenarios", more=_CONVO)
+    + "SELECT convo.conversation_id, turns, goal_completion_score, turn_success_ratio, overall_agent_score, evaluation_status, coalesce(k.scenario_id::VARCHAR, '') AS scenario_id, coalesce(goal, '') AS goal, coalesce(user_profile, '') AS user_profile FROM convo LEFT JOIN t_conversations k USING (conversation_id) LEFT JOIN t_scenarios s ON s.scenario_id = k.scenario_id",
+)
+def _(spark, sf):
+    return report.convo_rows(evaluate(spark, sf), adapt(spark, sf, "conversations"), adapt(spark, sf, "scenarios"))
+
+
+@query(
+    "rpt_11_turn_rows",
+    _with(*_ALL[:4], more=_MERGED) + "SELECT m.conversation_id, m.turn_id, label, (SELECT 1) * coalesce(q.n, 0) AS n_scores, coalesce(q.names, '') AS names FROM merged m LEFT JOIN (SELECT conversation_id, turn_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM t_quant WHERE scope = 'turn' GROUP BY 1, 2) q USING (conversation_id, turn_id)",
+)
+def _(spark, sf):
+    rows = report.turn_rows(merged_labels(spark, sf), adapt(spark, sf, "quant"))
+    return rows.select("conversation_id", "turn_id", "label", F.size("scores").cast("long").alias("n_scores"), F.array_join(F.transform("scores", lambda s: s["name"]), ",").alias("names"))
+
+
+@query(
+    "rpt_12_error_snippets",
+    _with("messages", more=_NUMBERED + ", o AS (SELECT conversation_id, turn_id FROM numbered WHERE role = 'assistant'), w AS (SELECT conversation_id, turn_id, arg_max(content, msg_pos) FILTER (role = 'simulated_user') AS u, arg_max(content, msg_pos) FILTER (role = 'assistant') AS a FROM numbered GROUP BY 1, 2)")
+    + "SELECT 'e' AS unique_error_id, conversation_id, turn_id, coalesce(u, '') AS user_msg, coalesce(a, '') AS assistant_msg, 'repetition' AS label FROM o JOIN w USING (conversation_id, turn_id)",
+)
+def _(spark, sf):
+    m = adapt(spark, sf, "messages")
+    at = turns.number_messages(m).where("role = 'assistant'").select(F.lit("e").alias("unique_error_id"), "conversation_id", "turn_id")
+    return report.error_snippets(at, m, at.select("conversation_id", "turn_id", F.lit("repetition").alias("label")))
+
+
+@query("rpt_12_error_rows")
+def _(spark, sf):
+    errors, occurrences = _errors(spark, sf)
+    return report.error_rows(errors, occurrences, _mappings(spark, sf)).select("unique_error_id", "category", F.size("turns").alias("conversations"), F.size("scenario_ids").alias("scenarios"))
+
+
+@query("rpt_13_kpi", _with(*_ALL, more=_CONVO) + "SELECT avg(overall_agent_score) AS mean_score, avg(CASE WHEN evaluation_status = 'Done' THEN 1.0::DOUBLE ELSE 0 END) AS pass_rate, avg(turns) AS avg_turns, count(*) AS conversations FROM convo")
+def _(spark, sf):
+    return report.kpi(evaluate(spark, sf))
+
+
+# tool calls
+
+_SPLIT = """explicit_ AS (SELECT * FROM t_calls WHERE event_id % 3 <> 0), traced_ AS (SELECT conversation_id, turn_id, call_pos, CASE WHEN event_id % 2 = 0 THEN id ELSE concat('t', id) END AS id, name, arguments FROM t_calls WHERE event_id % 3 <> 1)"""
+
+
+def _split_calls(spark, sf):
+    calls = adapt(spark, sf, "calls")
+    explicit, traced = calls.where("event_id % 3 <> 0"), calls.where("event_id % 3 <> 1")
+    return documents.canonical_arguments(explicit.drop("event_id")), documents.canonical_arguments(traced.withColumn("id", F.when(F.col("event_id") % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("t"), "id"))).drop("event_id"))
+
+
+def _payloads(spark, sf, seconds: bool = False):
+    """Calls as span payloads, one for each turn, in both spellings."""
+    calls = adapt(spark, sf, "calls")
+    camel = F.col("turn_id") % 2 == 0
+    attr = lambda k, kind, v: F.concat(F.lit(f'{{"key":"{k}","value":{{"{kind}":'), v, F.lit("}}"))
+    args = F.regexp_replace(F.to_json(F.struct(F.coalesce("arguments", F.lit("{}")).alias("x"))), r'^\{"x":(.*)\}$', "$1")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    attributes = F.concat_ws(",", attr("gen_ai.tool.call.arguments", "stringValue", args), attr("tool_call.id", "string_value", quoted(F.col("id"))), attr("eval.turn_id", "intValue", quoted(F.col("turn_id").cast("string"))))
+    span = F.concat(F.lit('{"name":"execute_tool '), "name", F.lit('","spanId":"s'), "id", F.lit('","attributes":['), attributes, F.lit("]}"))
+    spans = calls.groupBy("conversation_id", "turn_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("call_pos", span.alias("s")))), lambda x: x["s"]), ",").alias("s"))
+    head = F.concat(F.lit('[{"resource":{"attributes":['), attr("eval.conversation_id", "stringValue", quoted(F.col("conversation_id").cast("string"))), F.lit("]},"))
+    one = F.when(camel, F.concat(F.lit('{"resourceSpans":'), head, F.lit('"scopeSpans":[{"spans":['))).otherwise(F.concat(F.lit('{"resource_spans":'), head, F.lit('"scope_spans":[{"spans":[')))
+    return spans.select(F.concat(one, "s", F.lit("]}]}]}")).alias("payload"))
+
+
+@query("src_4_trc_1_2_3_span_calls", _with("calls") + "SELECT conversation_id::VARCHAR AS conversation_id, turn_id::INT AS turn_id, id, name, coalesce(arguments, '{}')::JSON::VARCHAR AS arguments, 'otel_trace' AS source FROM (SELECT * REPLACE (replace(arguments, ' ', '') AS arguments) FROM t_calls)")
+def _(spark, sf):
+    return traces.spans_to_tool_calls(traces.route_spans(documents.parse_otlp(_payloads(spark, sf)))).select("conversation_id", "turn_id", "id", "name", "arguments", "source")
+
+
+@query("str_1_stream_tool_calls", _with("calls") + "SELECT conversation_id::VARCHAR AS conversation_id, count(*) AS calls FROM t_calls GROUP BY 1")
+def _(spark, sf):
+    return stream_tool_calls(_payloads(spark, sf)).groupBy("conversation_id").agg(F.count("*").alias("calls"))
+
+
+@query("trc_4_parse_arguments", _with("calls") + "SELECT id, CASE WHEN event_id % 3 = 0 THEN '{}' ELSE replace(arguments, ' ', '') END AS arguments FROM t_calls")
+def _(spark, sf):
+    raw = F.when(F.col("event_id") % 6 == 0, "[1]").when(F.col("event_id") % 6 == 3, "not json").otherwise(F.col("arguments"))
+    return adapt(spark, sf, "calls").select("id", T.parse_arguments(raw).alias("arguments"))
+
+
+@query("trc_5_pair_outputs", _with("calls", more="o AS (SELECT conversation_id, id, max(event_id) AS e FROM (SELECT conversation_id, id, event_id FROM t_calls WHERE event_id % 4 <> 0) GROUP BY 1, 2)") + "SELECT c.conversation_id, c.id AS call_id, c.name, concat('out ', o.e + 1) AS result FROM (SELECT * FROM t_calls) c JOIN o USING (conversation_id, id) UNION ALL SELECT conversation_id, id, name, NULL FROM t_calls WHERE event_id % 4 = 0")
+def _(spark, sf):
+    calls = adapt(spark, sf, "calls")
+    none = F.lit(None).cast("string")
+    items = calls.select("conversation_id", F.lit("call").alias("kind"), F.col("id").alias("call_id"), (F.col("event_id") * 10).alias("pos"), "name", "arguments", none.alias("output"))
+    for k in (0, 1):
+        items = items.unionByName(calls.where("event_id % 4 <> 0").select("conversation_id", F.lit("output").alias("kind"), F.col("id").alias("call_id"), (F.col("event_id") * 10 + 1 + k).alias("pos"), none.alias("name"), none.alias("arguments"), F.concat(F.lit("out "), (F.col("event_id") + k).cast("string")).alias("output")))
+    return traces.pair_outputs(items).select("conversation_id", "call_id", "name", "result")
+
+
+@query("trc_6_artifact_calls", _with("calls") + "SELECT id, name, CASE WHEN event_id % 5 = 1 THEN '{}' ELSE replace(arguments, ' ', '') END AS arguments, concat('{\"n\":', event_id, '}') AS result FROM t_calls WHERE event_id % 4 <> 0 AND event_id % 5 <> 2")
+def _(spark, sf):
+    uri = "urn:tool-calls/v1"
+    name = F.when(F.col("event_id") % 5 == 2, '""').otherwise(F.concat(F.lit('"'), "name", F.lit('"')))
+    args = F.when(F.col("event_id") % 5 == 1, "").otherwise(F.concat(F.lit(',"arguments":'), "arguments"))
+    entry = F.concat(F.lit('{"id":"'), "id", F.lit('","name":'), name, args, F.lit(',"result":{"n":'), F.col("event_id").cast("string"), F.lit("}}"))
+    rows = adapt(spark, sf, "calls").select("conversation_id", F.array(F.when(F.col("event_id") % 4 == 0, "urn:other").otherwise(uri)).alias("extensions"), F.concat(F.lit(f'{{"{uri}/tool_calls":['), entry, F.lit("]}")).alias("metadata"))
+    return traces.artifact_calls(rows, uri).select("id", "name", "arguments", "result")
+
+
+@query(
+    "trc_7_fold_events",
+    _with("calls", more="""e AS (SELECT conversation_id, turn_id, call_pos AS seq, name AS t, event_id, CASE event_id % 4 WHEN 0 THEN 'task' WHEN 1 THEN 'message' WHEN 2 THEN 'artifact_update' ELSE 'status_update' END AS kind FROM t_calls),
+ f AS (SELECT *, sum(CASE WHEN kind = 'task' THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id, turn_id ORDER BY seq) AS ep FROM e), l AS (SELECT *, max(ep) OVER (PARTITION BY conversation_id, turn_id) AS last FROM f)""")
+    + """SELECT conversation_id, turn_id, coalesce(string_agg(t, chr(10) ORDER BY seq) FILTER (ep = last AND kind = 'artifact_update'), max(concat('status ', event_id)) FILTER (ep = last AND kind = 'task'), arg_max(concat('said ', t), seq) FILTER (kind = 'message'), '') AS text FROM l GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    kind = F.get(F.array(*[F.lit(k) for k in ("task", "message", "artifact_update", "status_update")]), (F.col("event_id") % 4).cast("int"))
+    calls = adapt(spark, sf, "calls").withColumn("kind", kind)
+    artifacts = F.when(F.col("kind") == "artifact_update", F.array(F.struct(F.array(F.lit("x")).alias("extensions"), F.col("name").alias("text"), F.lit("{}").alias("metadata"))))
+    return traces.fold_events(calls.select("conversation_id", "turn_id", F.col("call_pos").alias("seq"), "kind", F.concat(F.lit("said "), "name").alias("text"), F.concat(F.lit("status "), F.col("event_id").cast("string")).alias("status_text"), artifacts.alias("artifacts")))
+
+
+@query(
+    "trc_8_merge_tool_calls",
+    _with("calls", more=_SPLIT + """, new_ AS (SELECT * FROM traced_ t WHERE NOT EXISTS (SELECT 1 FROM explicit_ e WHERE e.conversation_id = t.conversation_id AND e.turn_id = t.turn_id AND (e.id = t.id OR (e.name = t.name AND replace(e.arguments, ' ', '') = replace(t.arguments, ' ', ''))))),
+ all_ AS (SELECT conversation_id, turn_id, call_pos, id, name, arguments, 0 AS part FROM explicit_ UNION ALL SELECT conversation_id, turn_id, call_pos, id, name, arguments, 1 FROM new_)""")
+    + "SELECT conversation_id, turn_id, row_number() OVER (PARTITION BY conversation_id, turn_id ORDER BY part, call_pos, id) - 1 AS call_pos, id, name, replace(arguments, ' ', '') AS arguments, CASE part WHEN 0 THEN 'explicit' ELSE 'traced' END AS origin FROM all_",
+)
+def _(spark, sf):
+    return traces.merge_tool_calls(*_split_calls(spark, sf))
+
+
+@query("src_3_clean_tool_calls", _with("calls") + "SELECT id, name, CASE event_id % 3 WHEN 0 THEN 'otel_trace' WHEN 1 THEN 'a2a_protocol' END AS source FROM t_calls WHERE event_id % 7 <> 0")
+def _(spark, sf):
+    source = F.get(F.array(F.lit("otel_trace"), F.lit("a2a_protocol"), F.lit("carrier pigeon")), (F.col("event_id") % 3).cast("int"))
+    calls = adapt(spark, sf, "calls").withColumn("source", source).withColumn("id", F.when(F.col("event_id") % 7 != 0, F.col("id")))
+    return traces.clean_tool_calls(calls).select("id", "name", "source")
+
+
+@query("src_5_normalize_responses", _with("calls") + "SELECT id, CASE event_id % 4 WHEN 3 THEN NULL ELSE name END AS text, CASE event_id % 4 WHEN 3 THEN 'unknown response format' END AS error FROM t_calls")
+def _(spark, sf):
+    j = lambda a, b: F.concat(F.lit(a), "name", F.lit(b))
+    raw = (
+        F.when(F.col("event_id") % 4 == 0, j('{"choices":[{"message":{"content":"', '"}}]}'))
+        .when(F.col("event_id") % 4 == 1, j('{"content":[{"type":"thinking"},{"type":"text","text":"', '"}]}'))
+        .when(F.col("event_id") % 4 == 2, j('{"candidates":[{"content":{"parts":[{"text":"', '"}]}}]}'))
+        .otherwise(j('{"reply":"', '"}'))
+    )
+    return documents.normalize_responses(adapt(spark, sf, "calls").select("id", raw.alias("raw"))).select("id", "text", "error")
+
+
+# trajectories
+
+
+def _trajectories(spark, sf):
+    """Calls of each user against a list that its number picks; each fourth user has another mode."""
+    calls = adapt(spark, sf, "calls").where("turn_id < 2")
+    wanted = F.transform(F.array(F.lit("click"), F.lit("view"), F.lit("purchase")), lambda n: F.struct(n.alias("name"), F.lit("{}").alias("arguments"), F.lit("ignore").alias("arg_match_mode")))
+    mode = F.get(F.array(*[F.lit(m) for m in ("unordered", "contains", "within", "strict")]), F.pmod("conversation_id", F.lit(4)).cast("int"))
+    return trajectory.actual_calls(calls).withColumns({"expected": wanted, "match_mode": mode})
+
+
+_TRJ = """act AS (SELECT conversation_id, list(name ORDER BY turn_id, call_pos) AS a, ['click', 'view', 'purchase'] AS e, ['unordered', 'contains', 'within', 'strict'][(conversation_id % 4 + 1)::INT] AS mode FROM t_calls WHERE turn_id < 2 GROUP BY 1),
+ d AS (SELECT *, list_filter(e, lambda x: NOT list_contains(a, x)) AS missing,
+   list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN NOT list_contains(e, a[i]) OR list_contains(a[1:i - 1], a[i]) THEN a[i] END), lambda x: x IS NOT NULL) AS extra, list_filter(a, lambda x: NOT list_contains(e, x)) AS beyond FROM act),
+ g AS (SELECT *, CASE WHEN mode = 'within' THEN CASE WHEN len(beyond) > 0 THEN 'disobey user request' END
+   WHEN mode = 'strict' AND len(a) = 3 THEN CASE WHEN a <> e THEN 'disobey user request' END
+   WHEN mode = 'contains' THEN CASE WHEN len(missing) > 0 THEN 'disobey user request' END
+   WHEN len(missing) > 0 THEN 'disobey user request' WHEN len(extra) > 0 THEN CASE WHEN len(beyond) > 0 THEN 'disobey user request' ELSE 'repetition' END END AS failure_label FROM d)"""
+
+
+@query(
+    "trj_1_8_match_trajectories",
+    _with("calls", more=_TRJ) + """SELECT conversation_id, mode AS match_mode, failure_label IS NULL AS matched, failure_label, CASE WHEN mode = 'within' OR (mode = 'strict' AND len(a) = 3) THEN '' ELSE array_to_string(missing, ',') END AS missing,
+ CASE WHEN mode = 'within' THEN array_to_string(beyond, ',') WHEN mode = 'contains' OR (mode = 'strict' AND len(a) = 3) THEN '' ELSE array_to_string(extra, ',') END AS extra FROM g""",
+)
+def _(spark, sf):
+    rows = trajectory.match_trajectories(_trajectories(spark, sf))
+    return rows.select("conversation_id", "match_mode", "matched", "failure_label", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
+
+
+@query(
+    "trj_9_attribute_failures",
+    _with("calls", more=_TRJ + ", last_ AS (SELECT conversation_id, max(turn_id) AS turn_id FROM t_calls WHERE turn_id < 2 GROUP BY 1), ev AS (SELECT DISTINCT conversation_id, turn_id FROM t_calls)")
+    + "SELECT ev.conversation_id, ev.turn_id, CASE WHEN g.failure_label IS NOT NULL AND ev.turn_id = last_.turn_id THEN g.failure_label ELSE 'no failure' END AS label FROM ev LEFT JOIN g USING (conversation_id) LEFT JOIN last_ USING (conversation_id)",
+)
+def _(spark, sf):
+    calls = adapt(spark, sf, "calls")
+    evals = calls.select("conversation_id", "turn_id").distinct().withColumns({"turn_score": F.lit(3.0), "label": F.lit(C.NO_FAILURE), "reason": F.lit("")})
+    results = trajectory.match_trajectories(_trajectories(spark, sf))
+    return trajectory.attribute_failures(results, calls.where("turn_id < 2"), evals)[0].select("conversation_id", "turn_id", "label")
+
+
+# knowledge base
+
+
+@query("kb_1_html_to_text")
+def _(spark, sf):
+    return kb.html_to_text(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query("kb_2_extract_links", """SELECT DISTINCT url, concat(url, h) AS link FROM (SELECT regexp_extract(url, '^https?://[^/]+') AS url, unnest(regexp_extract_all(html, '<a href="(/[^"#]+)"', 1)) AS h FROM pages)""")
+def _(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return kb.extract_links(pages.withColumn("url", F.regexp_extract("url", "^https?://[^/]+", 0)))
+
+
+def _docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content"), F.lit(False).alias("is_chunk"), (F.col("doc_id") % 50 == 0).alias("is_error"))
+
+
+@query("kb_3_chunk_documents")
+def _(spark, sf):
+    return kb.chunk_documents(_docs(spark, sf), 1000, 100)
+
+
+@query("kb_4_valid_docs", "SELECT doc_id AS id, source FROM documents WHERE text IS NOT NULL AND text <> '' AND doc_id % 50 <> 0")
+def _(spark, sf):
+    return kb.valid_docs(_docs(spark, sf)).select("id", "source")
+
+
+def _vectors(spark, sf):
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 3))
+    return kb.l2_normalize(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", scaled.alias("embedding")))
+
+
+@query("kb_5_l2_normalize", "SELECT vec_id, len(embedding)::INT AS dim, true AS unit FROM embeddings")
+def _(spark, sf):
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    return _vectors(spark, sf).select("vec_id", F.size("embedding").alias("dim"), (F.abs(norm - 1) < 1e-9).alias("unit"))
+
+
+@query(
+    "kb_6_top_k",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_dot_product(q.e, c.e) AS score FROM v q, v c WHERE q.vec_id % 20 = 0)
+ SELECT query_id, chunk_id, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id) AS place FROM s) WHERE place <= 4""",
+)
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    found = kb.top_k(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    return found.select("query_id", "chunk_id", "place")
+
+
+# streams' batch twin, metrics
+
+
+@query("str_2_3_collect_turns", _with("calls", more="c AS (SELECT conversation_id, turn_id, id, call_pos * 0.04::DOUBLE + (event_id % 3) * 0.05::DOUBLE AS arrival FROM t_calls), m AS (SELECT *, min(arrival) OVER (PARTITION BY conversation_id, turn_id) AS first FROM c)") + """SELECT conversation_id, turn_id, count(*) FILTER (took) AS calls, count(*) FILTER (NOT took) AS late FROM (SELECT *, arrival <= CASE WHEN turn_id % 2 = 0 AND first > 0.03 THEN 0.03::DOUBLE WHEN turn_id % 2 = 0 THEN 0.03::DOUBLE + 0.1::DOUBLE ELSE greatest(first, 0.03::DOUBLE) + 0.1::DOUBLE END AS took FROM m) GROUP BY 1, 2""")
+def _(spark, sf):
+    calls = adapt(spark, sf, "calls").select("conversation_id", "turn_id", "id", (F.col("call_pos") * 0.04 + (F.col("event_id") % 3) * 0.05).alias("arrival"))
+    ends = calls.select("conversation_id", "turn_id").distinct().withColumns({"waited_from": F.lit(0.03), "signalled": F.col("turn_id") % 2 == 0})
+    took, late = collect_batch(calls, ends)
+    keys = ["conversation_id", "turn_id"]
+    a, b = took.groupBy(*keys).agg(F.count("*").alias("calls")), late.groupBy(*keys).agg(F.count("*").alias("late"))
+    return ends.select(*keys).join(a, keys, "left").join(b, keys, "left").select(*keys, F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("late", F.lit(0)).alias("late"))
+
+
+@query("udf_1_3_user_metrics", _with("messages", more=_TALK) + "SELECT conversation_id, turn_id, 'length' AS name, 'turn' AS scope, least(5.0, greatest(1.0, length(assistant_msg) / 100)) AS value FROM pairs WHERE length(assistant_msg) % 7 <> 0")
+def _(spark, sf):
+    from parley.functions.metrics import QuantMetric, score_with
+
+    def length(assistant_msg: str, scale: int) -> float:
+        if len(assistant_msg) % 7 == 0:
+            raise ValueError("unlucky")
+        return min(5.0, max(1.0, len(assistant_msg) / scale))
+
+    scores, _ = score_with(turns.assemble_turns(adapt(spark, sf, "messages")), QuantMetric("length", length, ["assistant_msg"], additional_input={"scale": 100}))
+    return scores.select("conversation_id", "turn_id", "name", "scope", "value")
+
+
+@query("udf_2_qual_metric", _with("messages", more=_TALK) + "SELECT conversation_id, turn_id, CASE WHEN length(user_msg) > length(assistant_msg) THEN 'short' ELSE 'long' END AS value FROM pairs")
+def _(spark, sf):
+    from parley.functions.metrics import QualMetric, score_with
+
+    size = lambda user_msg, assistant_msg: "short" if len(user_msg) > len(assistant_msg) else "long"
+    scores, _ = score_with(turns.assemble_turns(adapt(spark, sf, "messages")), QualMetric("size", size, ["user_msg", "assistant_msg"]))
+    return scores.select("conversation_id", "turn_id", "value")
+
+
+@query("udf_4_composite_metric", _with("lines") + "SELECT conversation_id, turn_id, ((p % 10) / 10 + (s % 10) / 10) / 2 * 5 AS value FROM t_lines")
+def _(spark, sf):
+    return adapt(spark, sf, "lines").select("conversation_id", "turn_id", T.composite(F.col("p") % 10 / 10, F.col("s") % 10 / 10).alias("value"))
+
+
+@query("udf_5_response_length", _with("messages", more=_TALK) + "SELECT conversation_id, turn_id, least(5.0, greatest(1.0, length(assistant_msg) / 100)) AS value FROM pairs")
+def _(spark, sf):
+    return turns.assemble_turns(adapt(spark, sf, "messages")).select("conversation_id", "turn_id", T.response_length(F.col("assistant_msg")).alias("value"))
