@@ -67,7 +67,10 @@ class TurnCollector(StatefulProcessor):
     def _give(self, key, turn: int) -> pd.DataFrame:
         held = self._held()
         mine = [p for t, p in held if t == turn]
-        self.calls.put([(t, p) for t, p in held if t > turn])
+        if rest := [(t, p) for t, p in held if t > turn]:
+            self.calls.put(rest)
+        else:
+            self.calls.clear()
         self.pending.removeKey((turn,))
         self.drained.update((max(turn, int(self.drained.get()[0]) if self.drained.exists() else -1),))
         return pd.DataFrame({"conversation_id": [key[0]], "turn_id": [turn], "calls": [mine]})
