@@ -274,7 +274,7 @@ def _merge(parts: list[DataFrame], key: str) -> DataFrame:
     """Joins the results of several blocks: covered spans are united, items collected. Only documents with hits are shuffled by key."""
     base = parts[0].select(key, "n_words")
     hit = reduce(DataFrame.unionByName, [p.where(F.size("items") > 0) for p in parts]).groupBy(key).agg(F.flatten(F.collect_set("spans")).alias("_s"), F.flatten(F.collect_set("items")).alias("_i"))
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("_s") / 2 - 1).cast("array<int>"), lambda i: F.struct(F.get("_s", 2 * i).alias("a"), F.get("_s", 2 * i + 1).alias("b"))))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("_s") / 2).cast("int") - 1), lambda i: F.struct(F.get("_s", 2 * i).alias("a"), F.get("_s", 2 * i + 1).alias("b"))))
     n_hit = F.aggregate(
         pairs, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda s, p: F.struct((s["n"] + F.greatest(F.lit(0), p["b"] - F.greatest(p["a"], s["end"]))).cast("long").alias("n"), F.greatest(s["end"], p["b"]).alias("end")), lambda s: s["n"],
