@@ -7,7 +7,9 @@ do minima with the upper corner of a box of points, which is what an R-tree
 prunes by. The second grouping deals points to trees: two sets that differ in
 at most R shingles agree wholly in one of R + 1 groups, so documents meet in the
 cell of (size class, group, content of the group) and no link between cells is
-lost. A cell's members are first compared with one of them, its pivot: the one that
+lost. There are more groups than that, so that a set may leave its empty groups
+out: if it has no more of them than there are groups to spare, it still agrees
+with each partner in a group that is not empty. A cell's members are first compared with one of them, its pivot: the one that
 shares cells with most others, such as the original of a group of near copies.
 That joins large groups by as many comparisons as members. An R-tree over the
 cell then finds the pairs that are still open, and every surviving pair is
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import connected_components, materialize
+from parley.llm.shared import connected_components, materialize, remove
 from parley.llm.text import mix, shingle_sets, text_slices, word_hashes
 
 #: Coordinates of a point.
@@ -55,11 +57,19 @@ class Threshold:
             starts.append(max(starts[-1] + 1, int(starts[-1] * CLASS_WIDTH)))
         return np.array(starts, np.int64)
 
-    def groups(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """R + 1 for pairs whose smaller set has start <= size < stop: their symmetric difference is at most R."""
+    def difference(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The most shingles in which two linked sets differ, if the smaller has start <= size < stop."""
         a = stop - 1
-        b = a * self.den // self.num
-        return (a + b) * (self.den - self.num) // (self.den + self.num) + 1
+        return (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+
+    def groups(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """One group more than the difference, and room for as many groups as are likely to be empty in a set of start shingles."""
+        least = self.difference(start, stop) + 1
+        n = least.astype(float)
+        for _ in range(4):
+            empty = n * np.exp(-start / n)
+            n = least + np.where(least > 1, np.ceil(empty + 2 * np.sqrt(empty)), 0)
+        return n.astype(np.int64)
 
 
 def _u(x: int) -> np.uint64:
@@ -110,8 +120,13 @@ def cell_keys(sets: np.ndarray, bounds: np.ndarray, limit: Threshold) -> tuple[n
         np.add.at(sums, slot, mix(one ^ _u(0xA0761D6478BD642F)))
         number = (np.arange(base[-1]) - np.repeat(base[:-1], groups)).astype(np.uint64)
         keys = mix(sums + mix(number + np.repeat(cls, groups).astype(np.uint64) * _u(0x100000001)))
-    ends = base[np.searchsorted(doc, np.arange(len(sizes) + 1))]
-    return keys.view(np.int64), ends
+    filled = np.zeros(base[-1], bool)
+    filled[slot] = True
+    spare = groups - limit.difference(starts[cls], starts[cls + 1]) - 1
+    few = groups - np.add.reduceat(filled, base[:-1]) <= spare
+    keep = filled | np.repeat(~few, groups)
+    ends = np.concatenate([[0], np.cumsum(keep)])[base[np.searchsorted(doc, np.arange(len(sizes) + 1))]]
+    return keys[keep].view(np.int64), ends
 
 
 class RTree:
@@ -176,26 +191,36 @@ def _list(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values, kind)).cast(pa.list_(kind))
 
 
-def fingerprints(docs: DataFrame, key: str, size: int, limit: Threshold) -> DataFrame:
-    """(key, n, node, point, cells) for each row. A task gives the cells of a node once."""
+def fingerprints(docs: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, n, node, point) for each row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for a, b, data, rows in text_slices(batch.column("text")):
+                sets, bounds = shingle_sets(*word_hashes(data, rows), size)
+                points = count_vectors(sets, bounds)
+                lists = _list(points.ravel(), np.arange(b - a + 1) * COUNT_GROUPS, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(key)[a:b], pa.array(np.diff(bounds)), pa.array(set_sums(sets, bounds).view(np.int64)), lists], [key, "n", "node", "point"])
+
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n long, node long, point array<int>")
+
+
+def cell_rows(docs: DataFrame, size: int, limit: Threshold) -> DataFrame:
+    """(cell, node) for the cells of each document. A task gives those of equal documents once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, data, rows in text_slices(batch.column("text")):
                 sets, bounds = shingle_sets(*word_hashes(data, rows), size)
                 nodes = set_sums(sets, bounds).view(np.int64)
                 new = np.array([not (x in seen or seen.add(x)) for x in nodes.tolist()], bool)
                 n = np.diff(bounds)
-                keep = np.repeat(new, n)
-                cells, ends = cell_keys(sets[keep], np.concatenate([[0], np.cumsum(np.where(new, n, 0))]), limit)
-                points = count_vectors(sets, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(key)[a:b], pa.array(n), pa.array(nodes), _list(points.ravel(), np.arange(len(n) + 1) * COUNT_GROUPS, pa.int32()), _list(cells, ends, pa.int64())], [key, "n", "node", "point", "cells"]
-                )
+                cells, ends = cell_keys(sets[np.repeat(new, n)], np.concatenate([[0], np.cumsum(np.where(new, n, 0))]), limit)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.repeat(nodes, np.diff(ends)))], ["cell", "node"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n long, node long, point array<int>, cells array<long>")
+    return docs.select("text").mapInArrow(run, "cell long, node long")
 
 
 def _pivot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +269,8 @@ def _verify(size: int, limit: Threshold):
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, limit: Threshold) -> DataFrame:
     """The pairs (a, b) of nodes that are linked. texts has one row (node, text) for each node."""
-    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")).hint("merge") for x in "ab")
-    joined = pairs.join(b, "b").join(a, "a")
+    a, b = (texts.join(pairs.select(F.col(x).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, limit), "a long, b long")
 
 
@@ -330,10 +355,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
     """
     limit = Threshold(num, den)
     docs = docs.select(key, "text")
-    prints = materialize(fingerprints(docs, key, size, limit), "fingerprints")
-    dealt = prints.select("node", F.explode("cells").alias("cell")).select("cell", "node").repartition("cell").sortWithinPartitions("cell", "node")
-    cells = materialize(dealt.mapInArrow(_pivot_rows, "cell long, node long, pivot long"), "cells")
-    cells = materialize(central_pivots(cells), "cells")
+    prints = materialize(fingerprints(docs, key, size), "fingerprints")
+    dealt = cell_rows(docs, size, limit).repartition("cell").sortWithinPartitions("cell", "node")
+    first = materialize(dealt.mapInArrow(_pivot_rows, "cell long, node long, pivot long"), "cells")
+    cells = materialize(central_pivots(first), "cells")
     in_cells = cells.select("node").unionByName(cells.select(F.col("pivot").alias("node"))).distinct()
     points = materialize(prints.join(in_cells, "node", "left_semi").groupBy("node").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
     stars = materialize(bounded(cells.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), points, limit), "pivot-pairs")
@@ -342,8 +367,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
     links = materialize(verified(stars, texts, size, limit), "links")
     labels = connected_components(links)
     more = open_pairs(cells, labels, points, limit).join(stars, ["a", "b"], "left_anti")
-    more = materialize(verified(materialize(more, "open-pairs"), texts, size, limit), "links")
+    still = materialize(more, "open-pairs")
+    more = materialize(verified(still, texts, size, limit), "links")
     labels = connected_components(links.unionByName(more))
+    remove(docs.sparkSession, first, cells, points, stars, texts, still)
     named = prints.select(key, "n", "node").join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
     least = named.where("n > 0").groupBy("node").agg(F.min(key).alias("least"))
     out = named.join(least.withColumn("filled", F.lit(True)), (named["node"] == least["node"]) & (named["n"] > 0), "left")
