@@ -151,7 +151,10 @@ def drop_low_quality(docs: DataFrame, key: str = "doc_id", host: str = "source",
     removed = removed_words(docs, key, host, limits)
     sizes = docs.select(F.col(key).alias("key"), F.size(words_of(F.coalesce("text", F.lit("")))).alias("n_words"))
     gone = materialize(removed.join(sizes, "key").where(depleted(F.col("n_words"), F.col("n_removed"), limits)).select(F.col("key").alias(key)).distinct(), "depleted")
-    fine = quality_signals(docs).where(~F.col("base_failed")).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), "text")
+    # a filter on an id as well isn't pushed below the projections; pushed down, it would repeat their array expressions for every element
+    judged = quality_signals(whole).select("_row", "base_failed", F.monotonically_increasing_id().alias("_id"))
+    fine = judged.where(~F.col("base_failed") & (F.col("_id") >= 0)).select("_row.*")
     return fine.join(gone, key, "left_anti")
 
 
