@@ -84,13 +84,14 @@ def quality_signals(docs: DataFrame) -> DataFrame:
 def line_table(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
     """(key, host, face, pos, line, words): each line with words, hashed.
 
-    face is the least line hash of the document. Copies share it, so that a
-    document and its copies count once for a line.
+    face is a 64-bit hash of all line hashes of the document in their order.
+    Only texts with the same normalised lines share it, so that a document and
+    its copies count once for a line, and any two other documents count twice.
     """
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of)
     items = F.transform(F.filter("lines", lambda w: F.size(w) > 0), lambda w, i: F.struct(_line_hash(w).alias("line"), F.size(w).cast("long").alias("words"), i.alias("pos")))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), lines.alias("lines")).select("key", "host", items.alias("items"))
-    rows = rows.withColumn("face", F.array_min(F.transform("items", lambda x: x["line"])))
+    rows = rows.withColumn("face", F.xxhash64(F.transform("items", lambda x: x["line"])))
     return rows.select("key", "host", "face", F.explode("items").alias("x")).select("key", "host", "face", "x.*")
 
 

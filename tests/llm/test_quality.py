@@ -66,6 +66,17 @@ def test_depletion(spark):
     assert op9.drop_low_quality(docs, limits=limits).count() == 0
 
 
+def test_documents_of_shared_lines_count_each(spark):
+    rng, vocab = seeded(13)
+    shared = [prose(rng, 10, vocab) for _ in range(12)]
+    texts = ["\n".join([*shared, f"own words {i} here"]) for i in range(60)]
+    texts += ["  " + texts[0].upper().replace(" ", "  ")] * 3  # copies after normalisation
+    docs = documents(spark, texts).selectExpr("doc_id", "text", "'one' as source")
+    counts = {r["n_docs"] for r in op9.frequent_lines(op9.line_table(docs)).collect()}
+    assert counts == {60}
+    assert all(r["n_removed"] == 120 and not r["kept"] for r in op9.quality_verdicts(docs).collect())
+
+
 def test_quality_rules_on_nothing(spark):
     none = spark.createDataFrame([], DOCS)
     assert op9.quality_verdicts(none).count() == 0 and op9.drop_low_quality(none).count() == 0
