@@ -36,11 +36,18 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("double")
 
 
+def beside(rows: DataFrame) -> DataFrame:
+    """before (the two words ahead of a word) and after (the next) exchanged for what they tell, once for all runs of the word."""
+    near = F.lower(F.concat_ws(" ", "before", "after"))
+    told = {"secret_beside": near.rlike(SECRET_WORDS), "digest_beside": near.rlike(DIGEST_WORDS), "sample_beside": near.rlike(SAMPLE_WORDS), "assigned_beside": F.col("before").rlike("[=:]\\s*$")}
+    return rows.withColumns(told).drop("before", "after")
+
+
 def describe(found: DataFrame) -> DataFrame:
-    """FEATURES added to rows with candidate, word (the whole word it stands in), before (the two words ahead of it) and after (the next)."""
+    """FEATURES added to rows with candidate, word (the word it stands in, between the runs next to it) and the columns of beside()."""
     c = F.col("candidate")
     n = F.length(c).cast("double")
-    near = F.lower(F.concat_ws(" ", "before", "word", "after"))
+    near = F.lower("word")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "0"), "[^aB0]+", "-")
     return found.withColumns(
         {
@@ -54,10 +61,10 @@ def describe(found: DataFrame) -> DataFrame:
             "slashes": _count(F.col("word"), r"[/\\]") / n,
             "marks": _count(c, "[_-]") / n,
             "hex_only": c.rlike("^[0-9a-f]+$").cast("double"),
-            "secret_near": near.rlike(SECRET_WORDS).cast("double"),
-            "digest_near": near.rlike(DIGEST_WORDS).cast("double"),
-            "sample_near": near.rlike(SAMPLE_WORDS).cast("double"),
-            "assigned": (F.col("word").rlike("[=:]") | F.col("before").rlike("[=:]\\s*$")).cast("double"),
+            "secret_near": (F.col("secret_beside") | near.rlike(SECRET_WORDS)).cast("double"),
+            "digest_near": (F.col("digest_beside") | near.rlike(DIGEST_WORDS)).cast("double"),
+            "sample_near": (F.col("sample_beside") | near.rlike(SAMPLE_WORDS)).cast("double"),
+            "assigned": (F.col("word").rlike("[=:]") | F.col("assigned_beside")).cast("double"),
             "known_prefix": c.rlike("^(AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abpr]-|AIza|glpat-|eyJ)").cast("double"),
             "digits_only": c.rlike("^[0-9+/_-]+$").cast("double"),
         }
@@ -102,7 +109,7 @@ PATTERNS = [
 
 
 def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFrame:
-    """(candidate, word, before, after, label), the same in every run."""
+    """(candidate, word, label) and the columns of beside(), the same in every run."""
     parts = None
     for i, (label, kind, least, most, prefix, before, head, tail, after) in enumerate(PATTERNS):
         rows = spark.range(0, examples, 1, 1).select((F.col("id") + i * 1_000_003).alias("seed"))
@@ -110,7 +117,7 @@ def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFram
         rows = rows.withColumn("candidate", F.concat(F.lit(prefix), F.substring(_text(kind), F.lit(1), length)))
         rows = rows.select("candidate", F.concat(F.lit(head), "candidate", F.lit(tail)).alias("word"), F.lit(before).alias("before"), F.lit(after).alias("after"), F.lit(float(label)).alias("label"))
         parts = rows if parts is None else parts.unionByName(rows)
-    return parts.coalesce(1)
+    return beside(parts).coalesce(1)
 
 
 def train(spark: SparkSession) -> RandomForestClassificationModel:
@@ -119,18 +126,30 @@ def train(spark: SparkSession) -> RandomForestClassificationModel:
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=0.9).fit(vectors)
 
 
+def _runs(word: Column) -> tuple[Column, Column]:
+    """(gaps, runs) of a word: gap i stands before run i, and the last gap after all runs."""
+    return F.split(word, RUN, -1), F.regexp_extract_all(word, F.lit(f"({RUN})"), 1)
+
+
 def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, word_pos, candidate, word, before, after): one row for each word of each text that holds a candidate, the first run in it."""
+    """(key, word_pos, run_pos, candidate, word) and the columns of beside(): one row for each run of key signs in each word of each text.
+
+    word is the run with the gaps on both sides, so that a word of many runs
+    gives rows of its own length in all.
+    """
     words = docs.select(F.col(key), F.split(F.coalesce("text", F.lit("")), r"\s+").alias("w"))
     at = F.filter(F.transform("w", lambda x, i: F.when((F.length(x) >= MIN_LENGTH) & x.rlike(RUN), i)), lambda i: i.isNotNull())
     rows = words.withColumn("at", at).where(F.size("at") > 0)
     near = F.transform("at", lambda i: F.struct(i.alias("word_pos"), F.get("w", i).alias("word"), F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)).alias("before"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after")))
-    rows = rows.select(key, F.explode(near).alias("x")).select(key, "x.*")
-    return rows.withColumn("candidate", F.regexp_extract("word", f"({RUN})", 1))
+    rows = beside(rows.select(key, F.explode(near).alias("x")).select(key, "x.*"))
+    gaps, runs = _runs(F.col("word"))
+    pieces = F.transform(F.arrays_zip(runs.alias("run"), F.slice(gaps, 1, F.size(gaps) - 1).alias("head"), F.slice(gaps, 2, F.size(gaps) - 1).alias("tail")), lambda p: F.struct(p["run"].alias("candidate"), F.concat(p["head"], p["run"], p["tail"]).alias("word")))
+    told = ["secret_beside", "digest_beside", "sample_beside", "assigned_beside"]
+    return rows.select(key, "word_pos", *told, F.posexplode(pieces).alias("run_pos", "x")).select(key, "word_pos", "run_pos", "x.*", *told)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", cut: float = CUT, model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """One row for each candidate: key, word_pos, secret_sha256, length, probability, is_secret.
+    """One row for each candidate: key, word_pos, run_pos (its place among the runs of the word), secret_sha256, length, probability, is_secret.
 
     Null and empty texts have no candidates; repeated rows give repeated
     findings. The candidate itself is not returned. Nothing is shuffled.
@@ -139,12 +158,18 @@ def scan(docs: DataFrame, key: str = "doc_id", cut: float = CUT, model: RandomFo
     found = describe(candidates(docs, key))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(found)
     scored = model.transform(vectors).withColumn("probability", F.get(vector_to_array("probability"), 1))
-    return scored.select(key, F.col("word_pos").cast("long").alias("word_pos"), F.sha2("candidate", 256).alias("secret_sha256"), F.col("length").cast("long").alias("length"), "probability", (F.col("probability") >= cut).alias("is_secret"))
+    return scored.select(key, F.col("word_pos").cast("long").alias("word_pos"), F.col("run_pos").cast("long").alias("run_pos"), F.sha2("candidate", 256).alias("secret_sha256"), F.col("length").cast("long").alias("length"), "probability", (F.col("probability") >= cut).alias("is_secret"))
 
 
 def redact(docs: DataFrame, key: str = "doc_id", cut: float = CUT) -> DataFrame:
-    """docs with the words of secrets exchanged for [secret]; texts without any stay as they are."""
-    bad = scan(docs, key, cut).where("is_secret").groupBy(key).agg(F.collect_set("word_pos").alias("_at"))
+    """docs with secrets exchanged for [secret], the rest of their words kept; texts without any stay as they are."""
+    bad = scan(docs, key, cut).where("is_secret").groupBy(key).agg(F.collect_set(F.struct("word_pos", "run_pos")).alias("_at"))
+
+    def without(w: Column, i: Column) -> Column:
+        gaps, runs = _runs(w)
+        secret = lambda j: F.array_contains("_at", F.struct(i.cast("long").alias("word_pos"), j.cast("long").alias("run_pos")))
+        return F.array_join(F.transform(gaps, lambda g, j: F.concat(g, F.when(secret(j), "[secret]").otherwise(F.coalesce(F.get(runs, j), F.lit(""))))), "")
+
     parts = F.split("text", r"\s+")
-    clean = F.array_join(F.transform(parts, lambda w, i: F.when(F.array_contains("_at", i.cast("long")), "[secret]").otherwise(w)), " ")
+    clean = F.array_join(F.transform(parts, lambda w, i: F.when(F.exists("_at", lambda a: a["word_pos"] == i), without(w, i)).otherwise(w)), " ")
     return docs.join(bad, key, "left").withColumn("text", F.when(F.col("_at").isNull(), F.col("text")).otherwise(clean)).drop("_at")
