@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
@@ -184,15 +185,16 @@ def email(text: str, key: bytes, back: bool = False) -> str | None:
 
 
 FINDERS: list[tuple[str, str, Callable]] = [
-    ("date", r"(?<![\w.+-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?![\w-]|[./]\d)", a_date),
+    ("date", r"(?<![\w.+-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?!(?!T\d)[\w-]|[./]\d)", a_date),
     ("ipv4", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)", ipv4),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
-    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
+    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,}(?![\w-])", card),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])", phone),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", email),
 ]
-_NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in FINDERS if k not in ("iban", "email")))
+_NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in FINDERS if k not in ("card", "iban", "email")))
+_CARD_RUN = re.compile(FINDERS[3][1])
 _IBAN = re.compile(FINDERS[5][1])
 _EMAIL = re.compile(FINDERS[6][1])
 _MAKE = {k: f for k, _, f in FINDERS}
@@ -200,6 +202,14 @@ _MAKE = {k: f for k, _, f in FINDERS}
 _DIGIT_ZONE = re.compile(r"[+(]?[0-9][0-9 ().+/-]{5,}[0-9]")
 _IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}")
 _SPACE = re.compile(r"\s")
+_GROUP = re.compile(r"\d+")
+#: Lengths of the digit groups that cards are printed in; these go before other parts of a run of digits.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
+IBAN_LENGTHS = {
+    k: int(n)
+    for n, of in (x.split(":") for x in "15:NO 16:BE 18:DK FI FO GL NL 19:MK SI 20:AT BA EE KZ LT LU XK 21:CH HR LI LV 22:BG BH CR DE GB GE IE ME RS VA 23:AE GI IL IQ TL 24:AD CZ ES MD PK RO SA SE SK TN VG 25:LY PT ST 26:IS TR 27:FR GR IT MC MR SM 28:AL AZ BY CY DO GT HU LB PL SV 29:BR EG PS QA UA 30:JO KW MU 31:MT SC 32:LC".replace(" 1", "|1").replace(" 2", "|2").replace(" 3", "|3").split("|"))
+    for k in of.split()
+}
 
 
 @lru_cache(50_000)
@@ -207,6 +217,35 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _MAKE[kind](value, key)
 
 
+def _iban_places(text: str, start: int, end: int, key: bytes) -> list[tuple[int, int, str, str]]:
+    """The account number at start, in text up to end: of its country's length, or else the longest one, that has right check digits."""
+    ends, size = [], 0
+    for i in range(start, end):
+        size += text[i] != " "
+        if text[i] != " " and size >= 15 and (i + 1 == end or text[i + 1] == " "):
+            ends.append((size != IBAN_LENGTHS.get(text[start : start + 2]), -i, i + 1))
+    return next(([(start, e, "iban", text[start:e])] for _, _, e in sorted(ends) if pseudonym("iban", text[start:e], key) is not None), [])
+
+
+def _card_places(text: str, start: int, end: int, key: bytes, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Cards in a run of digit groups, outside of what is taken: whole groups in the usual lengths first, then the most digits."""
+    groups, valid = [m.span() for m in _GROUP.finditer(text, start, end)], []
+    for i, (a, _) in enumerate(groups):
+        sizes: tuple[int, ...] = ()
+        for c, b in groups[i : i + 19]:
+            sizes += (b - c,)
+            if sum(sizes) > 19:
+                break
+            if sum(sizes) >= 13 and pseudonym("card", text[a:b], key) is not None:
+                valid.append((len(sizes) > 1 and sizes not in CARD_GROUPS, -sum(sizes), a, b))
+    out: list[tuple[int, int]] = []
+    for _, _, a, b in sorted(valid):
+        # both lists are in order and without overlaps
+        if all((i := bisect_left(x, (b,))) == 0 or x[i - 1][1] <= a for x in (taken, out)):
+            insort(out, (a, b))
+    return out
+
+
 def mask(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple[str, int, int]]]:
     """(text with pseudonyms, number of each kind, (kind, start, end) of what was replaced)."""
     found: list[tuple[int, int, str, str]] = []
@@ -218,14 +257,20 @@ def mask(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple[str, in
         at = text.find("@", last)
     for z in _IBAN_START.finditer(text):
         if m := _IBAN.match(text, z.start()):
-            places.append((m.start(), m.end(), "iban", m[0]))
+            places += _iban_places(text, m.start(), m.end(), key)
+    runs = []
     for z in _DIGIT_ZONE.finditer(text):
-        places += [(m.start(), m.end(), m.lastgroup, m[0]) for m in _NUMBERS.finditer(text, z.start(), min(len(text), z.end() + 2)) if m.end() <= z.end()]
+        zone = z.start(), min(len(text), z.end() + 2)
+        places += [(m.start(), m.end(), m.lastgroup, m[0]) for m in _NUMBERS.finditer(text, *zone) if m.end() <= z.end()]
+        runs += [m.span() for m in _CARD_RUN.finditer(text, *zone) if m.end() <= z.end()]
     end = 0
     for a, b, kind, value in sorted(places, key=lambda p: (p[0], -p[1])):
         if a >= end and (new := pseudonym(kind, value, key)) is not None:
             found.append((a, b, kind, new))
             end = b
+    taken = [(a, b) for a, b, _, _ in found]
+    found += [(a, b, "card", pseudonym("card", text[a:b], key)) for run in runs for a, b in _card_places(text, *run, key, taken)]
+    found.sort()
     out, at, counts = [], 0, dict.fromkeys(KINDS, 0)
     for a, b, kind, new in found:
         out += [text[at:a], new]

@@ -45,6 +45,26 @@ def test_values(kind, value):
     assert op4.mask(value, b"other key")[0] != new
 
 
+CARD, IBAN = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+BESIDE = [
+    ("card", CARD, "{} 12/27"), ("card", CARD, "{} 1111 123"), ("card", CARD, "{} 123"), ("card", CARD, "12 {}"), ("card", CARD, "12 345678 {}"), ("card", CARD, "+1 {}"), ("card", CARD, "7 7 7 {} 3 3 3"), ("card", "4041894974608795", "{} 123"),
+    ("iban", IBAN, "{} BIC"), ("iban", IBAN, "{} NOTE"), ("iban", "AT611904300234573201", "{} PAID"), ("date", "1980-02-03", "{}T10:00"), ("date", "1980-02-03", "{}T10:00:00Z"),
+]
+
+
+@pytest.mark.parametrize(("kind", "value", "around"), BESIDE)
+def test_values_beside_others(kind, value, around):
+    text, counts, _ = op4.mask(f"ab {around.format(value)} end", KEY)
+    new = {k: f for k, _, f in op4.FINDERS}[kind](value, KEY)
+    assert text == f"ab {around.format(new)} end" and counts[kind] == 1 == sum(counts.values())
+
+
+def test_several_values_in_a_run_of_digits():
+    text, counts, spans = op4.mask(f"516-555-2642 {CARD} 1980-02-03 123-45-6789 4041894974608795", KEY)
+    assert (counts["phone"], counts["card"], counts["date"], counts["ssn"]) == (1, 2, 1, 1) and spans == sorted(spans, key=lambda s: s[1])
+    assert op4.mask("12 " * 100_000, KEY)[0] and CARD not in op4.mask(f"{CARD} " * 2000, KEY)[0]
+
+
 @pytest.mark.parametrize("text", ["4041894974608796", "1111111111111111", "300.1.2.3", "1.2.3", "v1.2.3.4.5", "000-12-3456", "666-12-3456", "2024-02-30", "99.99.2020", "DE88370400440532013000", "12345", "a@b", "token=4041894974608795abc", "1,234,567.89", "3.14159265358979"])
 def test_what_is_not_valid_stays(text):
     assert op4.mask(text, KEY)[0] == text
