@@ -528,8 +528,8 @@ def _(spark, sf):
 
 
 def _trajectories(spark, sf):
-    """Calls of each user against a list that its number picks; each fourth user has another mode."""
-    calls = adapt(spark, sf, "calls").where("turn_id < 2")
+    """All calls of each user against a list that its number picks; each fourth user has another mode."""
+    calls = adapt(spark, sf, "calls")
     wanted = F.transform(F.array(F.lit("click"), F.lit("view"), F.lit("purchase")), lambda n: F.struct(n.alias("name"), F.lit("{}").alias("arguments"), F.lit("ignore").alias("arg_match_mode")))
     mode = F.get(F.array(*[F.lit(m) for m in ("unordered", "contains", "within", "strict")]), F.pmod("conversation_id", F.lit(4)).cast("int"))
     return trajectory.actual_calls(calls).withColumns({"expected": wanted, "match_mode": mode})
@@ -563,7 +563,7 @@ def _(spark, sf):
     calls = adapt(spark, sf, "calls")
     evals = calls.select("conversation_id", "turn_id").distinct().withColumns({"turn_score": F.lit(3.0), "label": F.lit(C.NO_FAILURE), "reason": F.lit("")})
     results = trajectory.match_trajectories(_trajectories(spark, sf))
-    return trajectory.attribute_failures(results, calls.where("turn_id < 2"), evals)[0].select("conversation_id", "turn_id", "label")
+    return trajectory.attribute_failures(results, calls, evals)[0].select("conversation_id", "turn_id", "label")
 
 
 # knowledge base

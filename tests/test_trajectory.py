@@ -80,3 +80,21 @@ def test_first_tool_call_assertion_counts(spark, order):
     scenarios = spark.createDataFrame(rows, "scenario_id long, assertions array<struct<type:string,match_mode:string,expected:array<struct<name:string,arguments:string,arg_match_mode:string>>>>")
     got = trajectory.expected_calls(scenarios).collect()
     assert [(r["scenario_id"], r["match_mode"], [e["name"] for e in r["expected"]]) for r in got] == [(1, "unordered", ["a"])]
+
+
+def test_queries_match_the_calls_of_all_turns(spark):
+    from parley.jobs import registry
+    from parley.sources.adapters import adapt
+
+    sf = "/root/testdata/sf0.001"
+    names, last = {}, {}
+    for r in adapt(spark, sf, "calls").orderBy("turn_id", "call_pos").collect():
+        names.setdefault(r["conversation_id"], []).append(r["name"])
+        last[r["conversation_id"]] = r["turn_id"]
+    assert max(last.values()) > 1
+    found = registry.queries()["trj_1_8_match_trajectories"](spark, sf).collect()
+    within = {r["conversation_id"]: r["extra"] for r in found if r["match_mode"] == "within"}
+    assert within and within == {c: ",".join(n for n in names[c] if n not in ("click", "view", "purchase")) for c in within}
+    failed = {r["conversation_id"] for r in found if not r["matched"]}
+    turns = {(r["conversation_id"], r["turn_id"]) for r in registry.queries()["trj_9_attribute_failures"](spark, sf).collect() if r["label"] != "no failure"}
+    assert turns == {(c, last[c]) for c in failed}
