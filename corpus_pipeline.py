@@ -18,7 +18,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op09_line_frequency.drop_low_quality(docs)
+    return op09_line_frequency.drop_low_quality(docs, strip=True)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

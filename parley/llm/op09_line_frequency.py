@@ -106,12 +106,19 @@ def frequent_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataF
     return counts.join(hosts, "host").where(F.col("n_docs") > limits.min_share * F.col("host_docs")).select("host", "line", "n_docs")
 
 
+def flagged_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """(key, host, pos, line, words) of the lines of documents that are above the limit."""
+    lines = materialize(line_table(docs, key, host), "lines")
+    return lines.select("key", "host", "pos", "line", "words").join(frequent_lines(lines, limits), ["host", "line"]).select("key", "host", "pos", "line", "words")
+
+
+def _words_of_lines(hit: DataFrame) -> DataFrame:
+    return hit.groupBy("key", "pos", "line").agg(F.max("words").alias("words")).groupBy("key").agg(F.sum("words").alias("n_removed"))
+
+
 def removed_words(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """(key, n_removed): words of each document in frequent lines, for documents that have any."""
-    lines = materialize(line_table(docs, key, host), "lines")
-    hit = lines.select("key", "host", "pos", "line", "words").join(frequent_lines(lines, limits), ["host", "line"])
-    once = hit.groupBy("key", "pos", "line").agg(F.max("words").alias("words"))
-    return once.groupBy("key").agg(F.sum("words").alias("n_removed"))
+    return _words_of_lines(flagged_lines(docs, key, host, limits))
 
 
 def depleted(n_words: Column, n_removed: Column, limits: LineLimits = LineLimits()) -> Column:
@@ -132,31 +139,40 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id", host: str = "source",
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("n_removed"), limits))
 
 
+def _without(docs: DataFrame, hit: DataFrame, key: str, host: str) -> DataFrame:
+    """docs without the lines of hit, found by their hash and host, so that rows of one key keep their own lines; n_chars follows."""
+    gone = materialize(hit.groupBy("key", "host").agg(F.collect_set("line").alias("_gone")), "flagged").toDF("_key", "_host", "_gone")
+    out = docs.join(gone, (F.col(key) == F.col("_key")) & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda s: ~F.array_contains("_gone", _line_hash(words_of(s)))), "\n")
+    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(docs.columns)
+
+
 def strip_frequent_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """docs with frequent lines taken out of the texts; texts without any stay as they are."""
-    lines = line_table(docs, key, host)
-    hit = lines.join(frequent_lines(lines, limits), ["host", "line"]).groupBy("key").agg(F.collect_set("pos").alias("_gone"))
-    out = docs.join(hit.withColumnRenamed("key", key), key, "left")
-    kept = F.filter(F.split("text", "\n"), lambda s: s.rlike(INK))
-    kept = F.filter(kept, lambda s, i: ~F.array_contains("_gone", i))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_gone")
+    return _without(docs, flagged_lines(docs, key, host, limits), key, host)
 
 
-def drop_low_quality(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """The rows of docs that quality_verdicts() keeps, unchanged.
+def drop_low_quality(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits(), strip: bool = False) -> DataFrame:
+    """The rows of docs that quality_verdicts() keeps, unchanged, or without their frequent lines (strip).
 
     Base rules filter in place. Only the keys of depleted documents are joined
     against, from a written table, so that Spark knows its size when it picks
     the join.
     """
-    removed = removed_words(docs, key, host, limits)
+    hit = flagged_lines(docs, key, host, limits)
+    hit = materialize(hit, "hits") if strip else hit
+    removed = _words_of_lines(hit)
     sizes = docs.select(F.col(key).alias("key"), F.size(words_of(F.coalesce("text", F.lit("")))).alias("n_words"))
     gone = materialize(removed.join(sizes, "key").where(depleted(F.col("n_words"), F.col("n_removed"), limits)).select(F.col("key").alias(key)).distinct(), "depleted")
     whole = docs.select(F.struct("*").alias("_row"), "text")
     # a filter on an id as well isn't pushed below the projections; pushed down, it would repeat their array expressions for every element
     judged = quality_signals(whole).select("_row", "base_failed", F.monotonically_increasing_id().alias("_id"))
     fine = judged.where(~F.col("base_failed") & (F.col("_id") >= 0)).select("_row.*")
-    return fine.join(gone, key, "left_anti")
+    kept = fine.join(gone, key, "left_anti")
+    return _without(kept, hit.join(gone.toDF("key"), "key", "left_anti"), key, host) if strip else kept
 
 
 ORACLE_SQL = """

@@ -77,6 +77,19 @@ def test_documents_of_shared_lines_count_each(spark):
     assert all(r["n_removed"] == 120 and not r["kept"] for r in op9.quality_verdicts(docs).collect())
 
 
+def test_the_pipeline_takes_flagged_lines_out(spark):
+    from corpus_pipeline import quality_rules
+
+    rng, vocab = seeded(14)
+    own = [prose(rng, 80, vocab) for _ in range(30)]
+    texts = [f"{t}\n\nAll rights RESERVED by us" for t in own]
+    docs = documents(spark, texts).selectExpr("doc_id", "text", "'one' as source", "n_chars").unionByName(documents(spark, own[1:2]).selectExpr("doc_id", "text", "'two' as source", "n_chars"))
+    got = quality_rules(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    rows = sorted((r["source"], r["doc_id"], r["text"], r["n_chars"]) for r in got.collect())
+    assert rows == sorted([("one", i, t + "\n", len(t) + 1) for i, t in enumerate(own)] + [("two", 0, own[1], len(own[1]))])
+
+
 def test_quality_rules_on_nothing(spark):
     none = spark.createDataFrame([], DOCS)
     assert op9.quality_verdicts(none).count() == 0 and op9.drop_low_quality(none).count() == 0
