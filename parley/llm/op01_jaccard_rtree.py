@@ -1,27 +1,37 @@
 """N-gram Jaccard join over count vectors held in R-trees.
 
-A document is the set of its hashed word shingles. Shingles are hashed into
-groups twice. The counts of COUNT_GROUPS groups make the document a point:
-coordinate minima summed over two points bound their overlap from above, and so
-do minima with the upper corner of a box of points, which is what an R-tree
-prunes by. The second grouping deals points to trees: two sets that differ in
-at most R shingles agree wholly in one of R + 1 groups, so documents meet in the
-cell of (size class, group, content of the group) and no link between cells is
-lost. There are more groups than that, so that a set may leave its empty groups
-out: if it has no more of them than there are groups to spare, it still agrees
-with each partner in a group that is not empty. A cell's members are first compared with one of them, its pivot: the one that
-shares cells with most others, such as the original of a group of near copies.
-That joins large groups by as many comparisons as members. An R-tree over the
-cell then finds the pairs that are still open, and every surviving pair is
-verified on whole texts.
-
-Documents with equal sets form one node from the start. Nodes are 64-bit sums
-of mixed shingle hashes; N distinct sets collide with a chance of N^2 / 2^65.
+A document is the set of its hashed word shingles. Hashing shingles into groups
+and counting each group makes it a point: coordinate minima summed over two
+points bound their overlap from above, and so do minima with the upper corner
+of a box of points, which is what an R-tree prunes by.
+
+A second grouping deals points to trees: two sets that differ in at most R
+shingles agree wholly in one of R + 1 groups, so documents meet in the cell of
+(size class, group, content of the group) and no link between cells is lost.
+There are more groups than that, so that a set may leave its empty groups out:
+if it has no more of them than there are groups to spare, it still agrees with
+each partner in a group that is not empty.
+
+1. A cell's members are compared with one of them, its pivot: the one that
+   shares cells with most others, such as the original of a group of near
+   copies. That joins large groups by as many comparisons as members.
+2. Only members of cells that still hold several components go on. A shingle
+   that no other of them has is lonely; a set with too many lonely ones links
+   with nothing and leaves. The rest of its shingles is its reach.
+3. Further pivots, each from those that the last one has not joined.
+4. R-trees over what is left of each cell find the pairs that neither summed
+   minima nor reach rule out; finer points, of about as many coordinates as a
+   set has shingles, bound them once more.
+
+Every surviving pair is verified on whole texts. Documents with equal sets form
+one node from the start. Nodes are 64-bit sums of mixed shingle hashes; N
+distinct sets collide with a chance of N^2 / 2^65.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +41,19 @@ from pyspark.sql import functions as F
 from parley.llm.shared import connected_components, materialize, remove
 from parley.llm.text import mix, shingle_sets, text_slices, word_hashes
 
-#: Coordinates of a point.
+#: Coordinates of the points that pivots are compared by; those in the trees have more for larger sets.
 COUNT_GROUPS = 64
 #: Each size class ends at this multiple of its start.
 CLASS_WIDTH = 1.4
-#: Cells of more members are compared block by block.
-CELL_BLOCK = 512
+#: Cells of more members, or of more coordinates in all, are compared block by block.
+CELL_BLOCK, BLOCK_COORDINATES = 512, 1 << 21
 LEAF = 16
+#: Rounds of further pivots; later ones are left out when a round finds no link.
+MORE_PIVOTS = 3
+#: Lonely shingles are looked for among this part of all, then among all shingles of the sets that are left.
+FIRST_PART = (3, 8)
+#: Nodes that a task remembers to pass equal documents over.
+SEEN_NODES = 200_000
 
 
 class Threshold:
@@ -89,6 +105,24 @@ def count_vectors(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return flat.reshape(-1, COUNT_GROUPS).astype(np.int32)
 
 
+def fine_points(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A point for each set, a byte a coordinate. There are as many coordinates as shingles, up to the next power of two, and more if a count passes 255."""
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        spread = mix(sets[a:b] ^ _u(0x2545F4914F6CDD1D))
+        n = max(COUNT_GROUPS, 1 << int(b - a - 1).bit_length()) if b > a else COUNT_GROUPS
+        while (counts := np.bincount((spread & _u(n - 1)).astype(np.int64), minlength=n)).max() > 255:
+            n *= 2
+        out.append(counts.astype(np.uint8).tobytes())
+    return out
+
+
+def folded(points: list[bytes], least: int | None = None) -> np.ndarray:
+    """The points at the least number of coordinates among them, or a smaller power of two; a coordinate of the shorter sums those of the longer that are equal modulo its length."""
+    least = least or min(map(len, points))
+    return np.stack([np.frombuffer(p, np.uint8).reshape(-1, least).sum(0, dtype=np.uint32) for p in points])
+
+
 def cell_keys(sets: np.ndarray, bounds: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """(keys of the cells of each set, offsets). A set stands in the cells of its own size class and, if a smaller partner may be in the class below, of that too."""
     sizes = np.diff(bounds)
@@ -130,20 +164,20 @@ def cell_keys(sets: np.ndarray, bounds: np.ndarray, limit: Threshold) -> tuple[n
 
 
 class RTree:
-    """Points in nested boxes, packed by halving along the widest coordinate; a box is its upper corner and least size."""
+    """Points in nested boxes, packed by halving along the widest coordinate; a box is its upper corner, least size and furthest reach."""
 
-    def __init__(self, points: np.ndarray):
-        self.points, self.sizes = points, points.sum(1)
+    def __init__(self, points: np.ndarray, reach: np.ndarray | None = None):
+        self.points, self.sizes = points, points.sum(1, dtype=np.int64)
+        self.reach = self.sizes if reach is None else reach
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.order = self._pack(np.arange(len(points)))
-        edges = np.arange(0, len(points), LEAF)
-        high, small = points[self.order], self.sizes[self.order]
+        level = self.leaves = points[self.order], self.sizes[self.order], self.reach[self.order]
         while True:
-            high, small = np.maximum.reduceat(high, edges), np.minimum.reduceat(small, edges)
-            self.levels.append((high, small, edges))
+            edges = np.arange(0, len(level[0]), LEAF)
+            level = np.maximum.reduceat(level[0], edges), np.minimum.reduceat(level[1], edges), np.maximum.reduceat(level[2], edges)
+            self.levels.append(level)
             if len(edges) == 1:
                 break
-            edges = np.arange(0, len(high), LEAF)
         self.levels.reverse()
 
     def _pack(self, ids: np.ndarray) -> np.ndarray:
@@ -160,21 +194,23 @@ class RTree:
             todo += [split[half:], split[:half]]
         return np.concatenate(done)
 
-    def search(self, queries: np.ndarray, limit: Threshold, chunk: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, limit: Threshold, reach: np.ndarray | None = None, chunk: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, point) indices of the pairs whose bound reaches the overlap that their sizes need."""
-        sizes = queries.sum(1)
+        sizes = queries.sum(1, dtype=np.int64)
+        reach = sizes if reach is None else reach
         stack = [(0, np.repeat(np.arange(len(queries)), len(self.levels[0][0])), np.tile(np.arange(len(self.levels[0][0])), len(queries)))]
         while stack:
             level, q, box = stack.pop()
-            if len(q) > chunk // COUNT_GROUPS:
+            if len(q) * queries.shape[1] > chunk and len(q) > 1:
                 half = len(q) // 2
                 stack += [(level, q[half:], box[half:]), (level, q[:half], box[:half])]
                 continue
             leaf = level == len(self.levels)
-            high, small = (self.points[self.order], self.sizes[self.order]) if leaf else self.levels[level][:2]
-            bound = np.minimum(queries[q], high[box]).sum(1)
-            smaller = np.maximum(small[box], -(-sizes[q] * limit.num // limit.den)) if not leaf else small[box]
-            ok = bound >= limit.overlap(sizes[q], smaller)
+            high, small, far = self.leaves if leaf else self.levels[level]
+            need = limit.overlap(sizes[q], small[box] if leaf else np.maximum(small[box], -(-sizes[q] * limit.num // limit.den)))
+            ok = np.minimum(reach[q], far[box]) >= need
+            q, box, need = q[ok], box[ok], need[ok]
+            ok = np.minimum(queries[q], high[box]).sum(1, dtype=np.int64) >= need
             q, box = q[ok], box[ok]
             if leaf:
                 yield q, self.order[box]
@@ -207,46 +243,81 @@ def fingerprints(docs: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def cell_rows(docs: DataFrame, size: int, limit: Threshold) -> DataFrame:
-    """(cell, node) for the cells of each document. A task gives those of equal documents once."""
+    """(cell, node, kind) for the cells of each document. A task gives those of equal documents once, as far as it remembers them.
+
+    kind is 0 for the only node of a slice of texts in its cell, 1 for the first
+    of several, 2 for the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, rows in text_slices(batch.column("text")):
+                if len(seen) > SEEN_NODES:
+                    seen.clear()
                 sets, bounds = shingle_sets(*word_hashes(data, rows), size)
                 nodes = set_sums(sets, bounds).view(np.int64)
                 new = np.array([not (x in seen or seen.add(x)) for x in nodes.tolist()], bool)
                 n = np.diff(bounds)
                 cells, ends = cell_keys(sets[np.repeat(new, n)], np.concatenate([[0], np.cumsum(np.where(new, n, 0))]), limit)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.repeat(nodes, np.diff(ends)))], ["cell", "node"])
+                order = np.argsort(cells, kind="stable")
+                cells, nodes = cells[order], np.repeat(nodes, np.diff(ends))[order]
+                again = np.concatenate([[False], cells[1:] == cells[:-1]])[: len(cells)]
+                followed = np.concatenate([again[1:], [False]])[: len(cells)]
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(nodes), pa.array(np.where(again, 2, followed.astype(np.int8)).astype(np.int8))], ["cell", "node", "kind"])
 
-    return docs.select("text").mapInArrow(run, "cell long, node long")
+    return docs.select("text").mapInArrow(run, "cell long, node long, kind byte")
 
 
-def _pivot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (cell, node) in order: (cell, node, pivot) for every member of a cell but its first, the pivot. Holds no more than a batch."""
-    cell = pivot = last = None
+def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (cell, node, kind) in order: (cell, node) for the cells of two nodes or more. Holds no more than a batch."""
+    cell = last = waiting = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cells, nodes = batch.column("cell").to_numpy(), batch.column("node").to_numpy()
-        first = np.concatenate([[cells[0] != cell], cells[1:] != cells[:-1]])
-        run = np.maximum.accumulate(np.where(first, np.arange(len(cells)), -1))
-        pivots = np.where(run < 0, 0 if pivot is None else pivot, nodes[np.maximum(run, 0)])
-        same = np.concatenate([[not first[0] and nodes[0] == last], ~first[1:] & (nodes[1:] == nodes[:-1])])
-        keep = ~first & ~same & (nodes != pivots)
-        cell, pivot, last = cells[-1], pivots[-1], nodes[-1]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(cells[keep]), pa.array(nodes[keep]), pa.array(pivots[keep])], ["cell", "node", "pivot"])
-
-
-def central_pivots(cells: DataFrame) -> DataFrame:
-    """(cell, node, pivot) with the pivot of each cell exchanged for its most central member: the one whose cells have most members in all."""
-    members = materialize(cells.select("cell", "node").unionByName(cells.select("cell", F.col("pivot").alias("node")).distinct()), "members")
+        cells, nodes, kinds = (batch.column(c).to_numpy() for c in ("cell", "node", "kind"))
+        sure = kinds == 2
+        out = [(cells[sure], nodes[sure])]
+        cells, nodes, kinds = cells[~sure], nodes[~sure], kinds[~sure]
+        if len(cells):
+            new = np.concatenate([[cell is None or cells[0] != cell], cells[1:] != cells[:-1]])
+            same = np.concatenate([[not new[0] and nodes[0] == last], ~new[1:] & (nodes[1:] == nodes[:-1])])
+            more = ~new & ~same
+            run = np.cumsum(new)
+            several = np.bincount(run, more | (kinds == 1), run[-1] + 1) > 0
+            if several[0] and waiting is not None:
+                out.append((np.array([cell]), np.array([waiting])))
+                waiting = None
+            go = more | (new & several[run])
+            out.append((cells[go], nodes[go]))
+            if run[-1]:
+                waiting = None if several[-1] else nodes[np.flatnonzero(new)[-1]]
+            cell, last = cells[-1], nodes[-1]
+        found = [np.concatenate(x) for x in zip(*out)]
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["cell", "node"])
+
+
+def cell_members(docs: DataFrame, size: int, limit: Threshold) -> DataFrame:
+    """Distinct (cell, node) of the cells of two nodes or more.
+
+    Only the first node of each slice of texts goes to the task of its cell; the
+    others are dealt out, as their first one brings the news that they are
+    several. So a cell that is everywhere costs its task a row a slice.
+    """
+    task = F.when(F.col("kind") < 2, F.col("cell")).otherwise(F.xxhash64("cell", "node"))
+    return cell_rows(docs, size, limit).repartition(task).sortWithinPartitions("cell", "node").mapInArrow(_member_rows, "cell long, node long").distinct()
+
+
+def central_pivots(members: DataFrame, tried: DataFrame | None = None, joined: DataFrame | None = None) -> DataFrame:
+    """(cell, pivot): the most central member of each cell, the one whose cells have most members in all.
+
+    Pivots tried (cell, node) before are left out. Members outside the component
+    of the last pivot, joined (cell, last), come first.
+    """
     sizes = members.groupBy("cell").agg(F.count("*").alias("size"))
     weights = members.join(sizes, "cell").groupBy("node").agg(F.sum("size").alias("weight"))
-    best = members.join(weights, "node").groupBy("cell").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
-    return members.join(best, "cell").where("node <> pivot")
+    free = members.withColumn("outside", F.lit(True)) if joined is None else members.join(joined, "cell", "left").withColumn("outside", F.coalesce(F.col("component") != F.col("last"), F.lit(True)))
+    free = free if tried is None else free.join(tried, ["cell", "node"], "left_anti")
+    return free.join(weights, "node").groupBy("cell").agg(F.max(F.struct("outside", "weight", "node"))["node"].alias("pivot"))
 
 
 def _verify(size: int, limit: Threshold):
@@ -282,17 +353,90 @@ def bounded(pairs: DataFrame, points: DataFrame, limit: Threshold) -> DataFrame:
     return joined.where((limit.num + limit.den) * minima >= limit.num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def texts_of(docs: DataFrame, key: str, points: DataFrame, size: int) -> DataFrame:
+    """(node, text): one text for each node of points. A key whose rows have different texts gives each node a text of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, rows in text_slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(set_sums(*shingle_sets(*word_hashes(data, rows), size)).view(np.int64) == part.column("node").to_numpy()))
+
+    # texts of all sizes go by a sort-merge join: its table of nodes grows with the documents
+    found = docs.join(points.select("node", F.col("rep").alias(key)).hint("merge"), key).select("node", "text").mapInArrow(run, "node long, text string")
+    return found.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _shingle_rows(size: int, part: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, rows in text_slices(batch.column("text")):
+                sets, bounds = shingle_sets(*word_hashes(data, rows), size)
+                nodes = np.repeat(batch.column("node").to_numpy()[a:b], np.diff(bounds))
+                keep = mix(sets ^ _u(0x8CB92BA72F3D8DD7)) % _u(parts) < _u(part)
+                yield pa.RecordBatch.from_arrays([pa.array(sets[keep].view(np.int64)), pa.array(nodes[keep])], ["shingle", "node"])
+
+    return run
+
+
+def reaches(nodes: DataFrame, texts: DataFrame, size: int, limit: Threshold) -> DataFrame:
+    """(node, n, reach) of those nodes (node, n) that have few enough lonely shingles for a link with another one.
+
+    reach bounds the overlap with any of the others. A shingle of many nodes is
+    counted where it is before it is sent.
+    """
+    for part, parts in (FIRST_PART, (1, 1)):
+        rows = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_shingle_rows(size, part, parts), "shingle long, node long")
+        lonely = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("lonely"))
+        found = nodes.select("node", "n").join(lonely, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("reach"))
+        nodes = materialize(found.where(limit.den * F.col("reach") >= limit.num * F.col("n")), "reaches")
+    return nodes
+
+
+def open_members(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell, node, component) of those cells in which the nodes have several components so far."""
+    named = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    inside = members.select("cell", "node").join(named, "node")
+    cells = inside.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("cell")
+    return inside.join(cells, "cell")
+
+
+def tree_points(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, reach, point) for the trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, rows in text_slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in ("node", "reach")), pa.array(fine_points(*shingle_sets(*word_hashes(data, rows), size)), pa.binary())], ["node", "reach", "point"])
+
+    return texts.join(nodes.select("node", "reach"), "node").select("node", "reach", "text").mapInArrow(run, "node long, reach long, point binary")
+
+
 def _tree_pairs(limit: Threshold):
     """From members of (cell, one, two) in order: the open pairs of the cell's blocks one and two."""
 
-    def cell_pairs(node, label, block, pivot, points, one, two):
+    def cell_pairs(node, component, block, reach, points, one, two):
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        tree = RTree(points[right])
-        for q, p in tree.search(points[left], limit):
+        if not len(left) or not len(right):
+            return
+        coarse = folded(points, COUNT_GROUPS)
+        tree = RTree(coarse[right], reach[right])
+        fine, sizes = None, coarse.sum(1, dtype=np.int64)
+        for q, p in tree.search(coarse[left], limit, reach[left]):
             x, y = left[q], right[p]
-            ok = (label[x] != label[y]) & (node[x] != pivot) & (node[y] != pivot)
+            ok = component[x] != component[y]
             if one == two:
                 ok &= node[x] < node[y]
+            x, y = x[ok], y[ok]
+            if not len(x):
+                continue
+            fine = folded(points) if fine is None else fine
+            step = max(1, (1 << 21) // fine.shape[1])
+            ok = np.concatenate([np.minimum(fine[x[i : i + step]], fine[y[i : i + step]]).sum(1, dtype=np.int64) for i in range(0, len(x), step)]) >= limit.overlap(sizes[x], sizes[y])
             if ok.any():
                 x, y = node[x[ok]], node[y[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -301,12 +445,12 @@ def _tree_pairs(limit: Threshold):
         held: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table):
-            part = [rows.column(c).to_numpy() for c in ("cell", "one", "two", "node", "label", "block", "pivot")]
-            points = rows.column("point").combine_chunks().flatten().to_numpy().reshape(-1, COUNT_GROUPS)
+            part = [rows.column(c).to_numpy() for c in ("cell", "one", "two", "node", "component", "block", "reach")]
+            points = rows.column("point").to_pylist()
             key = np.stack(part[:3], 1)
             cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
             for a, b in zip(cuts, cuts[1:]):
-                yield from cell_pairs(*(x[a:b] for x in part[3:6]), part[6][a], points[a:b], part[1][a], part[2][a])
+                yield from cell_pairs(*(x[a:b] for x in part[3:]), points[a:b], part[1][a], part[2][a])
 
         for batch in batches:
             if not batch.num_rows:
@@ -324,24 +468,22 @@ def _tree_pairs(limit: Threshold):
     return run
 
 
-def open_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame, limit: Threshold) -> DataFrame:
-    """(a, b): pairs of nodes of one cell, in different components so far, that neither met as member and pivot nor are ruled out by the R-tree.
+def open_pairs(inside: DataFrame, points: DataFrame, limit: Threshold) -> DataFrame:
+    """(a, b): pairs of nodes of one cell of open_members(), in different components so far, that the R-tree does not rule out.
 
     Cells of the same members are searched once. Large cells are dealt out in
-    blocks of about CELL_BLOCK members, each pair of blocks to its own tree.
+    blocks of at most about CELL_BLOCK members, each pair of blocks to its own
+    tree.
     """
-    l_node, l_pivot = labels.select("node", F.col("component").alias("c_node")), labels.select(F.col("node").alias("pivot"), F.col("component").alias("c_pivot"))
-    marked = cells.join(l_node, "node", "left").join(l_pivot, "pivot", "left")
-    apart = F.coalesce("c_node", "node") != F.coalesce("c_pivot", "pivot")
-    sums = marked.groupBy("cell").agg(F.max(apart).alias("apart"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("face"), F.max("node").alias("top"), F.min("pivot").alias("pivot"))
-    kept = sums.where("apart and members > 1").groupBy("face", "members", "top", "pivot").agg(F.min("cell").alias("cell")).select("cell", "members", "pivot")
-    kept = materialize(kept, "open-cells")
-    inside = cells.select("cell", "node").join(kept, "cell").unionByName(kept.select("cell", F.col("pivot").alias("node"), "members", "pivot")).where("node <> pivot")
-    blocks = F.ceil((F.col("members") + 1) / CELL_BLOCK).cast("int")
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
-    inside = inside.join(points.select("node", "point"), "node").join(labels.select("node", F.col("component")), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    width = F.length("point")
+    inside = inside.join(points.select("node", "reach", "point"), "node")
+    sums = inside.groupBy("cell").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("face"), F.max("node").alias("top"), F.min("node").alias("bottom"), F.sum(width).alias("width"))
+    kept = sums.groupBy("face", "members", "top", "bottom").agg(F.min("cell").alias("cell"), F.first("width").alias("width"))
+    blocks = F.ceil(F.greatest(F.col("members") / CELL_BLOCK, F.col("width") / BLOCK_COORDINATES)).cast("int")
+    kept = materialize(kept.select("cell", blocks.alias("blocks")), "open-cells")
+    inside = inside.join(kept, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = inside.withColumn("other", other).select("cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "label", "block", "pivot", "point")
+    dealt = inside.withColumn("other", other).select("cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "component", "block", "reach", "point")
     return dealt.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(_tree_pairs(limit), "a long, b long").distinct()
 
 
@@ -350,27 +492,51 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
 
     Texts of fewer words than size are one shingle; null texts and texts
     without words are empty and linked with nothing. Rows of equal sets are
-    linked; a repeated key is one document's row twice. Null keys never become
-    a component_id unless all keys of the component are null.
+    linked, whatever their keys; rows without a key link with no other set and
+    never give a component_id unless all keys of the component are null. Other
+    columns are ignored; no rows give no rows.
     """
     limit = Threshold(num, den)
     docs = docs.select(key, "text")
+    spark = docs.sparkSession
     prints = materialize(fingerprints(docs, key, size), "fingerprints")
-    dealt = cell_rows(docs, size, limit).repartition("cell").sortWithinPartitions("cell", "node")
-    first = materialize(dealt.mapInArrow(_pivot_rows, "cell long, node long, pivot long"), "cells")
-    cells = materialize(central_pivots(first), "cells")
-    in_cells = cells.select("node").unionByName(cells.select(F.col("pivot").alias("node"))).distinct()
+    members = materialize(cell_members(docs, size, limit), "members")
+    in_cells = members.select("node").distinct()
     points = materialize(prints.join(in_cells, "node", "left_semi").groupBy("node").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
-    stars = materialize(bounded(cells.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), points, limit), "pivot-pairs")
-    # texts of all sizes go by a sort-merge join: its table of nodes grows with the documents
-    texts = materialize(docs.join(points.select("node", F.col("rep").alias(key)).hint("merge"), key).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links = materialize(verified(stars, texts, size, limit), "links")
+    texts = materialize(texts_of(docs, key, points, size), "texts")
+
+    def compare(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The bounded pairs that were not compared before, and those of them that are links."""
+        new = bounded(ordered(pairs), points, limit)
+        new = materialize(new if before is None else new.join(before, ["a", "b"], "left_anti"), "pairs")
+        return new, materialize(verified(new, texts, size, limit), "links")
+
+    pivots = materialize(central_pivots(members), "pivots")
+    stars = members.join(pivots, "cell").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    compared, links = compare(stars, None)
     labels = connected_components(links)
-    more = open_pairs(cells, labels, points, limit).join(stars, ["a", "b"], "left_anti")
-    still = materialize(more, "open-pairs")
-    more = materialize(verified(still, texts, size, limit), "links")
-    labels = connected_components(links.unionByName(more))
-    remove(docs.sparkSession, first, cells, points, stars, texts, still)
+    used = [pivots]
+    inside = materialize(open_members(members, points, labels), "open-members")
+    nodes = reaches(points.join(inside.select("node").distinct(), "node", "left_semi"), texts, size, limit)
+    for _ in range(MORE_PIVOTS):
+        inside = materialize(open_members(inside, nodes, labels), "open-members")
+        tried = reduce(DataFrame.unionByName, used).select("cell", F.col("pivot").alias("node"))
+        joined = pivots.join(labels.withColumnRenamed("node", "pivot"), "pivot", "left").select("cell", F.coalesce("component", "pivot").alias("last"))
+        pivots = materialize(central_pivots(inside, tried, joined), "pivots")
+        used.append(pivots)
+        named = pivots.join(inside.select("cell", F.col("node").alias("pivot"), F.col("component").alias("other")), ["cell", "pivot"])
+        stars = inside.join(named, "cell").where("component <> other").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        more, found = compare(stars, compared)
+        compared = compared.unionByName(more)
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        labels = connected_components(links)
+    inside = materialize(open_members(inside, nodes, labels), "open-members")
+    fine = materialize(tree_points(nodes.join(inside.select("node").distinct(), "node", "left_semi"), texts, size), "tree-points")
+    rest = materialize(open_pairs(inside, fine, limit).join(compared, ["a", "b"], "left_anti"), "open-pairs")
+    labels = connected_components(links.unionByName(materialize(verified(rest, texts, size, limit), "links")))
+    remove(spark, members, points, texts, compared, inside, fine, rest, *used)
     named = prints.select(key, "n", "node").join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
     least = named.where("n > 0").groupBy("node").agg(F.min(key).alias("least"))
     out = named.join(least.withColumn("filled", F.lit(True)), (named["node"] == least["node"]) & (named["n"] > 0), "left")

@@ -33,10 +33,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def remove(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that materialize() made."""
     jvm = spark.sparkContext._jvm
-    for t in tables:
-        for file in t.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    for at in {file.rpartition("/")[0] for t in tables for file in t.inputFiles()}:
+        folder = jvm.org.apache.hadoop.fs.Path(at)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
