@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A tag ends at the next < at the latest, so that unclosed ones are not read to the end of the page again and again.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|object)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I
 )
 _LOOSE = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _HINT = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -33,7 +35,9 @@ MAIN_WORDS = frozenset("article articlebody main post entry story content".split
 SIDE_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer footer login menu nav navbar navigation newsletter notice pagination pager popup promo promoted recommended related reply replies share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "side_within", "side_around", "heading", "page_header", "mark", "has_main"]
+#: A class of which this is the first part tells something about the page or its subject, not what the element is.
+ASIDE_PARTS = frozenset("no not has have with without is hide category tag type status format lang js".split())
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "side_within", "side_around", "heading", "page_header", "mark", "has_main", "mixed"]
 
 
 @dataclass
@@ -46,44 +50,60 @@ class Block:
     side_around: int
     heading: int
     page_header: int
+    mixed: int
 
 
 def _role(tag: str, attributes: str) -> str:
-    """m for a main part, s for a side part, h for a header, else nothing."""
-    if tag in MAIN_TAGS:
-        kind = "m"
-    elif tag in SIDE_TAGS:
+    """m for a main part, s for a side part, x for marks of both, h for a header, else nothing.
+
+    Each class is judged as a whole: a side word in it makes it a side class
+    (main-nav), whatever else it says.
+    """
+    if tag in SIDE_TAGS:
         return "s"
-    else:
-        kind = "h" if tag == "header" else ""
+    main, side = tag in MAIN_TAGS, False
     if "=" in attributes:
         for hit in _HINT.finditer(attributes):
-            for word in _NAME.findall((hit[1] or hit[2] or hit[3] or "").lower()):
-                if word in SIDE_WORDS and tag not in ("body", "html"):
-                    return "s"
-                if word in MAIN_WORDS:
-                    kind = kind or "m"
-    return kind
+            for name in (hit[1] or hit[2] or hit[3] or "").lower().split():
+                parts = _NAME.findall(name)
+                if not parts or len(parts) > 1 and parts[0] in ASIDE_PARTS:
+                    continue
+                if not SIDE_WORDS.isdisjoint(parts):
+                    side = side or tag not in ("body", "html")
+                elif not MAIN_WORDS.isdisjoint(parts):
+                    main = main or tag != "header"
+    return "x" if main and side else "m" if main else "s" if side else "h" if tag == "header" else ""
+
+
+#: What the open elements say together: in a main part, a side part within it, one around it, in a header, in a part marked both ways.
+_NOWHERE = (0, 0, 0, 0, 0)
+
+
+def _inside(at: tuple[int, int, int, int, int], role: str) -> tuple[int, int, int, int, int]:
+    main, within, around, header, mixed = at
+    if role in ("m", "x"):
+        return 1, 0, around | within, header, mixed | (role == "x")
+    if role == "s":
+        return (1, 1, around, header, mixed) if main else (0, 0, 1, header, mixed)
+    return (main, within, around, 1, mixed) if role == "h" else at
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in order, with character references decoded and white space collapsed."""
+    """The text blocks of a page, in order, with character references decoded and white space collapsed. Takes time in proportion to the page, however broken it is."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, tuple[int, int, int, int, int]]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     link = heading = linked = 0
     head = False
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(entities.unescape("".join(parts)).split())
+        text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         if text and not head:
-            roles = [r for _, r in stack if r]
-            mains = [i for i, r in enumerate(roles) if r == "m"]
-            inner = roles[mains[-1] + 1 :] if mains else []
-            outer = roles[: mains[-1]] if mains else roles
+            main, within, around, header, mixed = stack[-1][1] if stack else _NOWHERE
             words = len(text.split())
-            out.append(Block(text, words, min(linked, words), int(bool(mains)), int("s" in inner), int("s" in outer), int(heading > 0), int(not mains and "h" in roles)))
+            out.append(Block(text, words, min(linked, words), main, within, around, int(heading > 0), int(not main and header), mixed))
         parts.clear()
         linked = 0
 
@@ -119,14 +139,16 @@ def blocks(page: str) -> list[Block]:
             heading = 0 if m[2] else 1
         if stack and stack[-1][0] in ("p", "li", "td", "dd", "dt") and not m[2] and tag in ("p", stack[-1][0], "div", "ul", "article", "section", "footer", "nav", "aside", "header", "main"):
             if stack[-1][0] == "p" or tag == stack[-1][0]:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while opened[tag] > 0:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
         elif not m[4].rstrip().endswith("/"):
-            stack.append((tag, _role(tag, m[4])))
+            stack.append((tag, _inside(stack[-1][1] if stack else _NOWHERE, _role(tag, m[4]))))
+            opened[tag] += 1
     if at < len(page):
         add(_LOOSE.sub(" ", page[at:]))
     flush()
@@ -140,7 +162,8 @@ def describe(found: list[Block]) -> np.ndarray:
     before, after = np.concatenate([gap, own[:-1]]) if len(found) else own, np.concatenate([own[1:], gap]) if len(found) else own
     rest = np.array([(b.in_main, b.side_within, b.side_around, b.heading, b.page_header, int(b.text[:1] in "©®" or b.text[:9].lower() == "copyright")) for b in found], float).reshape(-1, 6)
     has = np.full((len(found), 1), float(any(b.in_main for b in found)))
-    return np.concatenate([own, before, after, rest, has], 1)
+    mixed = np.array([b.mixed for b in found], float).reshape(-1, 1)
+    return np.concatenate([own, before, after, rest, has, mixed], 1)
 
 
 #: The labelled table: pages by lines, + before a line whose text is main text, - before one whose text is not. w40 stands for 40 words.
@@ -164,6 +187,11 @@ LABELLED_PAGES = [
     "-<nav>w62</nav> -<div class=banner>w58</div> +<p>w57</p> +<p>w140</p> -<footer>w80</footer> -<div class=cookie>w66</div>",
     "-<div class=sidebar>w90</div> +<p>w75</p> -<aside>w85</aside> +<p>w50</p> -<form>w47</form> +<p>w61</p> -<div class=comment>w64</div>",
     "+<article>w1</article> -<footer>&copy; w3</footer> -<p>w25</p>",
+    "-<nav><a href=x>w1</a></nav> +<div class='content no-sidebar'><h1>w6</h1> +<p>w50</p> +<p>w7</p></div> -<div class=site-footer>w30</div>",
+    "+<article class='post has-comments category-ads'><h2>w4</h2> +<p>w44</p> +<p>w3</p> -<div class=comment-list><p>w40</p></div></article> -<div class='widget widget-tags'><a href=x>w3</a></div>",
+    "-<header><a href=x>w2</a></header> +<article class='story sponsored'><h1>w5</h1> +<p>w60</p> +<p>w9</p></article> -<footer>w20</footer>",
+    "+<article class=post><p>w70</p></article> -<div id=comments><article class='comment post'><p>w52</p> -<p>w12</p></article> -<article class='comment post'><p>w31</p></article></div>",
+    "+<div class='entry share'><p>w40</p> +<p>w66</p></div> -<div id=comments><article class=comment-body><p>w70</p></article></div> -<footer>w11</footer>",
 ]
 
 
@@ -260,6 +288,11 @@ def extract_blocks(pages: DataFrame, key: str = "page_id", tree: Tree | None = N
 
 
 def main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row for each row of pages: key, url, text (main blocks joined by a space; empty if there are none), n_chars."""
+    """One row for each row of pages: key, url, text (main blocks joined by a space; empty if there are none), n_chars.
+
+    Null and empty html give an empty text. Every page is handled alone, so
+    repeated rows give repeated rows and an empty table none. Other columns of
+    pages, whatever their names, are ignored.
+    """
     out = extract_blocks(pages, key).withColumn("text", F.array_join(F.transform(F.filter("blocks", lambda b: b["main"]), lambda b: b["text"]), " "))
     return out.select(key, "url", "text", F.length("text").cast("long").alias("n_chars"))
