@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -30,8 +32,24 @@ SHARD_BYTES = 64 << 20
 WARC_DATE = "2000-01-01T00:00:00Z"
 
 
-def _uri(url: str | None) -> str:
-    return url or "urn:none"
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\x9f\u2028\u2029]")
+
+
+def _field(name: str, value: str | None) -> list[tuple[str, str]]:
+    """A header for a value. One that could break a line, or is empty, is percent-encoded there, and a second header holds its exact bytes; null has only a mark."""
+    if value is None:
+        return [(name, "urn:none"), (f"{name}-Null", "1")]
+    if value and not _UNSAFE.search(value):
+        return [(name, value)]
+    return [(name, _UNSAFE.sub(lambda m: quote(m[0]), value) or "urn:none"), (f"{name}-Base64", base64.b64encode(value.encode()).decode())]
+
+
+def _value(headers: dict[str, str], name: str) -> str | None:
+    """What _field() wrote."""
+    if headers.get(f"{name}-Null") == "1":
+        return None
+    exact = headers.get(f"{name}-Base64")
+    return headers.get(name) if exact is None else base64.b64decode(exact).decode()
 
 
 def record_id(key: str, digest: str, nth: int) -> str:
@@ -94,13 +112,13 @@ def _writer(root: str, roll_bytes: int):
                     continue
                 revisit = chosen is not None and (chosen != key or nth > 0)
                 body, sha = (html or "").encode(), _base32(digest)
-                name = "null" if key is None else key
+                name = "null" if key is None else f"key {key}"
                 headers = [
-                    ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(name, digest, nth)), ("WARC-Date", WARC_DATE), ("WARC-Target-URI", _uri(url)),
-                    ("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Page-ID", name), ("WARC-Has-Target", str(int(url is not None))), ("WARC-Payload-Length", str(len(body))),
+                    ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(name, digest, nth)), ("WARC-Date", WARC_DATE), *_field("WARC-Target-URI", url),
+                    ("WARC-Payload-Digest", f"sha1:{sha}"), *_field("WARC-Page-ID", key), ("WARC-Payload-Length", str(len(body))),
                 ]
                 if revisit:
-                    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(chosen, digest, 0)), ("WARC-Refers-To-Page-ID", chosen)]
+                    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(f"key {chosen}", digest, 0)), *_field("WARC-Refers-To-Page-ID", chosen)]
                     body = b""
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
                 headers += [("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(http + body).digest()).decode()), ("Content-Type", "application/http;msgtype=response")]
@@ -136,7 +154,10 @@ def write_warc(pages: DataFrame, root: str, key: str = "page_id", shard_bytes: i
 
     Of rows with equal payloads the one with the largest key is the response;
     the others, repeats of its own row too, revisit it. A null html is an empty
-    payload, a null key sorts first and is never chosen over another. Pages
+    payload, a null key sorts first and is never chosen over another; the text
+    "null" is a key like any other. Line breaks and other control signs in keys
+    and urls are kept exactly. No pages give an empty manifest; other columns
+    are ignored. Pages
     cross the network once: the small table of chosen records travels in the
     same range-partitioned exchange. Copies are counted by a partial
     aggregation, and each page learns its own record's choice, so groups of
@@ -192,7 +213,7 @@ def _reader(root: str, payloads: bool):
                         digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                         if h["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                             raise ValueError(f"payload of {h['WARC-Record-ID']} in {file} does not have its digest")
-                        out.append((None if h["WARC-Page-ID"] == "null" else h["WARC-Page-ID"], h["WARC-Target-URI"] if h["WARC-Has-Target"] == "1" else None, int(h["WARC-Payload-Length"]), digest, h["WARC-Type"], h.get("WARC-Refers-To-Page-ID"), body.decode() if payloads and h["WARC-Type"] == "response" else None, file))
+                        out.append((_value(h, "WARC-Page-ID"), _value(h, "WARC-Target-URI"), int(h["WARC-Payload-Length"]), digest, h["WARC-Type"], _value(h, "WARC-Refers-To-Page-ID"), body.decode() if payloads and h["WARC-Type"] == "response" else None, file))
                         size, n = size + len(body) * payloads, n + 1
                         if len(out) >= 5000 or size > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
