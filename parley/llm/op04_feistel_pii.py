@@ -22,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROUNDS = 10
-#: The key of the registered queries. A production job passes its own.
-DEMO_KEY = b"replace this key"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 KINDS = ["email", "card", "phone", "ssn", "iban", "ipv4", "date"]
 
@@ -104,14 +102,18 @@ def card(text: str, key: bytes, back: bool = False) -> str | None:
     return _refill(text, body + str(-luhn_sum(body + "0") % 10))
 
 
+#: Country codes of one and two digits (fixed values); all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def phone(text: str, key: bytes, back: bool = False) -> str | None:
-    """8 to 15 digits; a country code, the digits up to the first mark, stays."""
+    """8 to 15 digits. A country code after + stays, with or without a mark behind it; ten digits without one are those of country 1."""
     d = _digits(text)
     if not 8 <= len(d) <= 15:
         return None
-    code = re.match(r"\+\d{1,3}(?=\D)", text)
-    n = len(code[0]) - 1 if code else 0
-    return _refill(text, d[:n] + permute_text(d[n:], key, f"phone{d[:n]}", back))
+    n = next((i for i in (1, 2) if d[:i] in SHORT_CODES), 3) if text.startswith("+") else 0
+    code = d[:n] or ("1" if len(d) == 10 else "")
+    return _refill(text, d[:n] + permute_text(d[n:], key, f"phone{code}", back))
 
 
 def ssn(text: str, key: bytes, back: bool = False) -> str | None:
@@ -152,26 +154,25 @@ def ipv4(text: str, key: bytes, back: bool = False) -> str | None:
 
 
 def a_date(text: str, key: bytes, back: bool = False) -> str | None:
-    """yyyy-mm-dd, or day and month in two digits before the year, with the day first if that exists. Days of two centuries are permuted."""
+    """yyyy-mm-dd, or day and month in two digits before the year, with the day first if that exists.
+
+    Days of two centuries are permuted, the same way in all formats. Days of
+    the month up to 12 and above stay among themselves, so that a pseudonym is
+    read in the order in which it was written.
+    """
     f = [int(x) for x in re.split(r"[-./]", text)]
-    orders = [(0, 1, 2)] if text[4:5] in "-./" else [(2, 1, 0), (2, 0, 1)]
-    for order in orders:
+    for order in [(0, 1, 2)] if text[4:5] in "-./" else [(2, 1, 0), (2, 0, 1)]:
         try:
             day = date(*(f[i] for i in order))
         except ValueError:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        span = (LAST_DAY - FIRST_DAY).days + 1
-        # ambiguous day-first dates keep to days up to 12 or above, so that the inverse reads the same order
-        n = (day - FIRST_DAY).days
-        small = lambda x: (FIRST_DAY + timedelta(x)).day <= 12
-        like = small(n)
-        while True:
-            n = _join(permute(_cut(n, [271, 270]), [271, 270], key, f"date{len(orders)}", back), [271, 270])
-            if n < span and (len(orders) == 1 or small(n) == like):
-                break
-        new = FIRST_DAY + timedelta(n)
+        span, n = (LAST_DAY - FIRST_DAY).days + 1, (day - FIRST_DAY).days
+        new = None
+        while new is None or (new.day <= 12) != (day.day <= 12):
+            n = _join(permute(_cut(n, [271, 270]), [271, 270], key, "date", back), [271, 270])
+            new = FIRST_DAY + timedelta(n) if n < span else None
         values = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
         marks = re.findall(r"[-./]", text)
         return values[0] + marks[0] + values[1] + marks[1] + values[2]
@@ -249,9 +250,9 @@ def _card_places(text: str, start: int, end: int, key: bytes, taken: list[tuple[
 def mask(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple[str, int, int]]]:
     """(text with pseudonyms, number of each kind, (kind, start, end) of what was replaced)."""
     found: list[tuple[int, int, str, str]] = []
-    places, at = [], text.find("@")
+    places, at, last = [], text.find("@"), 0
     while at >= 0:
-        first = max(text.rfind(c, 0, at) for c in " \n\t") + 1
+        first = max(last, max(text.rfind(c, last, at) for c in " \n\t") + 1)
         last = m.start() if (m := _SPACE.search(text, at)) else len(text)
         places += [(m.start(), m.end(), "email", m[0]) for m in _EMAIL.finditer(text, first, last)]
         at = text.find("@", last)
@@ -279,14 +280,16 @@ def mask(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple[str, in
     return "".join([*out, text[at:]]), counts, [(kind, a, b) for a, b, kind, _ in found]
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, report: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
     """docs with personal data in text replaced, all else unchanged; report adds n_<kind> and spans (kind, start, end).
 
     A null text stays null and an empty one empty. Every row is handled alone,
-    repeated rows alike. Values that fail their check stay as they are.
+    repeated rows alike; no rows give no rows. Values that fail their check stay
+    as they are. A column of docs with the name of a report column gives way to
+    it.
     """
-    taken = set(docs.columns)
-    extra = [n for n in [f"n_{k}" for k in KINDS] + ["spans"] if report and n not in taken]
+    extra = [f"n_{k}" for k in KINDS] + ["spans"] if report else []
+    docs = docs.drop(*extra)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{n} " + ("array<struct<kind: string, start: int, end: int>>" if n == "spans" else "long") for n in extra])
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

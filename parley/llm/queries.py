@@ -25,6 +25,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Key of the pseudonyms of synthetic tables. A session sets its own in PSEUDONYM_SETTING.
+TEST_KEY = b"key of the synthetic tables"
+PSEUDONYM_SETTING = "spark.parley.pseudonymKey"
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    found = spark.conf.get(PSEUDONYM_SETTING, None)
+    return found.encode() if found else TEST_KEY
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,7 +52,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op4.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True).drop("spans")
+    return op4.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark), report=True).drop("spans")
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
