@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm.shared import materialize, remove
+
 MIN_LENGTH = 12
 RUN = r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % MIN_LENGTH
 #: Labelled findings of each pattern, trees, depth, seed, and the probability from which a candidate counts as a secret.
@@ -108,22 +110,25 @@ PATTERNS = [
 ]
 
 
-def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFrame:
-    """(candidate, word, label) and the columns of beside(), the same in every run."""
-    parts = None
-    for i, (label, kind, least, most, prefix, before, head, tail, after) in enumerate(PATTERNS):
-        rows = spark.range(0, examples, 1, 1).select((F.col("id") + i * 1_000_003).alias("seed"))
-        length = F.lit(least) + F.pmod(F.xxhash64("seed"), F.lit(most - least + 1)).cast("int")
-        rows = rows.withColumn("candidate", F.concat(F.lit(prefix), F.substring(_text(kind), F.lit(1), length)))
-        rows = rows.select("candidate", F.concat(F.lit(head), "candidate", F.lit(tail)).alias("word"), F.lit(before).alias("before"), F.lit(after).alias("after"), F.lit(float(label)).alias("label"))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return beside(parts).coalesce(1)
+def labelled_findings(spark: SparkSession, examples: int = EXAMPLES, first: int = 0) -> DataFrame:
+    """(candidate, word, label) and the columns of beside(): so many examples of each pattern, from seed first on, the same in every run."""
+    names = ["label", "kind", "least", "most", "prefix", "before", "head", "tail", "after"]
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, p)]) for p in PATTERNS])
+    at = F.floor(F.col("id") / examples).cast("int")
+    rows = spark.range(0, examples * len(PATTERNS), 1, 1).select(F.element_at(table, at + 1).alias("p"), (F.col("id") % examples + first + at * 1_000_003).alias("seed")).select("p.*", "seed")
+    text = F.coalesce(*[F.when(F.col("kind") == k, _text(k)) for k in sorted({p[1] for p in PATTERNS})])
+    length = F.col("least") + F.pmod(F.xxhash64("seed"), F.col("most") - F.col("least") + 1).cast("int")
+    rows = rows.withColumn("candidate", F.concat("prefix", F.substring(text, F.lit(1), length)))
+    return beside(rows.select("candidate", F.concat("head", "candidate", "tail").alias("word"), "before", "after", F.col("label").cast("double").alias("label")))
 
 
 def train(spark: SparkSession) -> RandomForestClassificationModel:
-    rows = describe(labelled_findings(spark))
+    """The forest over labelled_findings(), which are described once and written before the trees read them."""
+    rows = materialize(describe(labelled_findings(spark)).select(*FEATURES, "label"), "labelled-findings").coalesce(1)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=0.9).fit(vectors)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=0.9).fit(vectors)
+    remove(spark, rows)
+    return model
 
 
 def _runs(word: Column) -> tuple[Column, Column]:
@@ -152,7 +157,9 @@ def scan(docs: DataFrame, key: str = "doc_id", cut: float = CUT, model: RandomFo
     """One row for each candidate: key, word_pos, run_pos (its place among the runs of the word), secret_sha256, length, probability, is_secret.
 
     Null and empty texts have no candidates; repeated rows give repeated
-    findings. The candidate itself is not returned. Nothing is shuffled.
+    findings, no rows none. Long texts are split as wholes, without a cap on
+    words or runs. Other columns of docs, whatever their names, are ignored. The
+    candidate itself is not returned. Nothing is shuffled.
     """
     model = model or train(docs.sparkSession)
     found = describe(candidates(docs, key))

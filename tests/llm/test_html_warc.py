@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import time
 from pathlib import Path
 
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from parley.llm import op02_html_blocks as op2
 from parley.llm import op07_warc as op7
 from parley.llm.shared import fresh_path
+from tests.llm.helpers import seeded
 
 PAGES = "page_id long, url string, html string"
 LONG = " ".join(f"word{i}" for i in range(60))
@@ -95,3 +97,56 @@ def test_damage_is_found(spark):
 def test_no_pages(spark):
     none = spark.createDataFrame([], PAGES)
     assert op7.warc_round_trip(none).count() == 0
+
+
+def test_marks_of_both_kinds():
+    tree = op2.train_tree(*op2.labelled_table())
+    for page in (f'<div class="content no-sidebar"><p>{LONG}</p></div>', f'<article class="post has-comments category-ads"><p>{LONG}</p></article>', f'<main class="story sponsored"><p>{LONG}</p></main>'):
+        found = op2.blocks(page)
+        assert tree.predict(op2.describe(found)).all(), page
+    for page in (f'<article><p>x</p></article><div class="main-nav"><p>{LONG}</p></div>', f'<div id="comments"><article class="comment"><p>{LONG}</p></article></div><article><p>y</p></article>'):
+        found = op2.blocks(page)
+        flags = tree.predict(op2.describe(found)).astype(bool)
+        assert LONG not in [b.text for b, f in zip(found, flags) if f], page
+
+
+def brute_text(parts):
+    """Main text of a generated page, from how it was made."""
+    return " ".join(t for kind, t in parts if kind == "main")
+
+
+def test_generated_pages(spark):
+    rng, vocab = seeded(31)
+    say = lambda a, b: " ".join(rng.choice(vocab) for _ in range(rng.randint(a, b)))
+    rows, want = [], []
+    for i in range(60):
+        top, head, side, foot = say(1, 3), say(3, 9), say(20, 60), say(5, 30)
+        body = [say(15, 80) for _ in range(rng.randint(1, 6))]
+        box = rng.choice(["<article class='post has-tags'>{}</article>", "<main>{}</main>", "<div class='entry-content no-sidebar'>{}</div>"])
+        page = f"<html><body><nav><a href=/>{top}</a></nav>" + box.format(f"<h1>{head}</h1>" + f"<aside>{side}</aside>".join(f"<p>{b}</p>" for b in body)) + f"<div class='comment-list'><p>{side}</p></div><footer>{foot}</footer></body></html>"
+        parts = [("side", top), ("main", head)]
+        for k, b in enumerate(body):
+            parts += [("side", side)] * (k > 0) + [("main", b)]
+        rows.append((i, f"http://h/{i}", page))
+        want.append(brute_text(parts))
+    got = {r["page_id"]: r["text"] for r in op2.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(60)] == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>" * 100_000 + "</p>" * 100_000, "<script " * 100_000, "<" + "a" * 900_000, "<a '<b \"" * 100_000, "<!--" * 200_000, "<div>x" * 100_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    op2.describe(op2.blocks(page))
+    assert time.process_time() - began < 10
+
+
+def test_keys_and_urls_are_kept_exactly(spark):
+    keys = ["null", None, "a\r\nWARC-Type: x", "", " b ", "é\u2028", "a: b"]
+    urls = ["http://h/\r\n\r\nx", "", None, "http://h/a b%20c", "\t", "urn:none", "http://h/é"]
+    pages = spark.createDataFrame([(k, u, f"p{i}" if i % 2 else "same") for i, (k, u) in enumerate(zip(keys, urls))], "page_id string, url string, html string")
+    root = fresh_path(spark, "test-warc")
+    op7.write_warc(pages, root)
+    got = op7.read_warc(spark, root).collect()
+    assert sorted(((r["page_id"], r["url"]) for r in got), key=str) == sorted(zip(keys, urls), key=str)
+    top = max(k for k in keys[::2] if k is not None)
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {top}

@@ -1,4 +1,5 @@
 import re
+import time
 from itertools import product
 
 import pytest
@@ -77,6 +78,22 @@ def test_rows(spark):
     assert got.dtypes == docs.dtypes
     found = {r["doc_id"]: r["text"] for r in got.collect()}
     assert [found[i] for i in range(len(ODD))] == ODD and "bosbt" not in found[len(ODD)] and found[len(ODD) + 1].startswith("x" * 100_000 + " ")
-    report = op4.pseudonymize(docs.drop("spans"), KEY, report=True).where("n_email + n_ipv4 > 0").collect()
+    report = op4.pseudonymize(docs.selectExpr("*", "'old' as n_email"), KEY, report=True).where("n_email + n_ipv4 > 0").collect()
     assert [(r["doc_id"], r["n_email"], r["n_ipv4"], r["spans"][0]["kind"]) for r in report] == [(len(ODD), 1, 0, "email"), (len(ODD) + 1, 0, 1, "ipv4")]
-    assert op4.pseudonymize(docs.limit(0)).count() == 0
+    assert op4.pseudonymize(docs.limit(0), KEY).count() == 0
+
+
+def test_equal_values_stay_linked_across_formats():
+    days = [op4.a_date(t, KEY) for t in ("2020-01-02", "02.01.2020", "02/01/2020", "2020/01/02")]
+    assert len({tuple(sorted(re.split("[-./]", d))) for d in days}) == 1 and op4.a_date("25.03.2020", KEY)[:2] == op4.a_date("2020-03-25", KEY)[8:]
+    assert op4.a_date("03/25/2020", KEY)[3:5] == op4.a_date("2020-03-25", KEY)[8:]
+    digits = lambda t: re.sub(r"\D", "", t)
+    one = {digits(op4.phone(t, KEY))[-10:] for t in ("+1 (988) 555-2485", "(988) 555-2485", "988-555-2485", "+19885552485")}
+    other = {digits(op4.phone(t, KEY)) for t in ("+49 30 1234567", "+49301234567", "+49-30-1234567")}
+    assert len(one) == 1 and len(other) == 1 and other.pop().startswith("49")
+
+
+def test_long_texts_of_addresses_take_linear_time():
+    began = time.process_time()
+    text, counts, _ = op4.mask("a" * 1_000_000 + " " + "x.y@mail.example.com " * 40_000 + "@" * 200_000, KEY)
+    assert counts["email"] == 40_000 and time.process_time() - began < 20
