@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import op01_jaccard_rtree, op03_packing, op04_feistel_pii, op05_suffix_array, op09_line_frequency
-from parley.llm.queries import table, tokenizer_path
+from parley.llm.queries import pseudonym_key, table, tokenizer_path
 from parley.llm.shared import materialize
 
 #: Near-duplicates: word shingles of this many words, and a Jaccard similarity of at least so many hundredths.
@@ -30,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op04_feistel_pii.pseudonymize(docs)
+    return op04_feistel_pii.pseudonymize(docs, pseudonym_key(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
