@@ -5,23 +5,27 @@ suffixes are sorted, and every suffix of every benchmark item is looked up by
 binary search. That gives each suffix's longest verbatim match and where it
 stands. Documents whose words are covered too far are removed.
 
-The benchmark is sent to the tasks in blocks of at most BLOCK_CHARS characters.
-A benchmark of more text takes more passes over the documents, never more
-memory.
+The benchmark is written to the shared folder in blocks of about BLOCK_CHARS
+characters. A task reads them one after the other for each batch of documents,
+so a benchmark of any size goes the same way: more text takes more time, never
+more memory, and nothing of it passes the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.shared import fresh_path
 from parley.llm.text import text_slices, word_hashes
 
 WINDOW = 13
@@ -36,6 +40,13 @@ class Benchmark:
     words: np.ndarray
     starts: np.ndarray
     vocab: np.ndarray
+    order: np.ndarray
+    firsts: np.ndarray
+
+    def standing(self, words: np.ndarray) -> np.ndarray:
+        """Where these words (places in vocab, ascending) stand in the items."""
+        n = self.firsts[words + 1] - self.firsts[words]
+        return self.order[np.arange(n.sum()) + np.repeat(self.firsts[words] - np.cumsum(n) + n, n)]
 
 
 def encode_benchmark(ids: list, texts: list) -> Benchmark:
@@ -43,7 +54,8 @@ def encode_benchmark(ids: list, texts: list) -> Benchmark:
     hashes = np.concatenate([w for w, _ in found]) if found else np.zeros(0, np.uint64)
     sizes = np.concatenate([np.diff(r) for _, r in found]) if found else np.zeros(0, np.int64)
     vocab, numbers = np.unique(hashes, return_inverse=True)
-    return Benchmark(ids, numbers.astype(np.int64) + 1, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), vocab)
+    order = np.argsort(numbers, kind="stable")
+    return Benchmark(ids, numbers.astype(np.int64) + 1, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), vocab, order, np.searchsorted(numbers[order], np.arange(len(vocab) + 1)))
 
 
 def suffix_array(numbers: np.ndarray, depth: int) -> np.ndarray:
@@ -142,12 +154,17 @@ def match_shard(words: np.ndarray, rows: np.ndarray, bench: Benchmark, window: i
     shard[inside] = at[source] + 1
     origin[inside] = source
     order = suffix_array(shard, int(sizes.max()))
-    starts = np.arange(len(bench.words))
-    item = np.repeat(np.arange(len(sizes)), sizes)
+    starts = bench.standing(np.unique(at[source]))
+    item = np.searchsorted(bench.starts, starts, "right") - 1
     left = bench.starts[1:][item] - starts
     need = np.minimum(window, sizes[item])
     fits = left >= need
     starts, item, left, need = starts[fits], item[fits], left[fits], need[fits]
+    present = np.zeros(len(bench.vocab) + 1, bool)
+    present[at[source] + 1] = True
+    for k in range(1, window):  # suffixes with a word that the shard lacks drop out before the search
+        fits = (k >= need) | present[bench.words[np.minimum(starts + k, len(bench.words) - 1)]]
+        starts, item, left, need = starts[fits], item[fits], left[fits], need[fits]
     firsts = search(shard, order, bench.words, starts, need, False)
     lasts = search(shard, order, bench.words, starts, need, True)
     hit = lasts > firsts
@@ -163,16 +180,6 @@ def match_shard(words: np.ndarray, rows: np.ndarray, bench: Benchmark, window: i
     return ShardMatches(item, starts - bench.starts[item], need, longest, firsts, lasts, origin[order])
 
 
-def _scan(bench: Benchmark, key: str, window: int, each):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, rows in text_slices(batch.column("text")):
-                words, at = word_hashes(data, rows, "alnum")
-                yield from each(batch.column(key)[a:b], at, match_shard(words, at, bench, window))
-
-    return run
-
-
 def _expand(m: ShardMatches) -> tuple[np.ndarray, np.ndarray]:
     """(window, place) of every occurrence."""
     n = m.lasts - m.firsts
@@ -180,131 +187,156 @@ def _expand(m: ShardMatches) -> tuple[np.ndarray, np.ndarray]:
     return w, m.places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + m.firsts[w]]
 
 
-def _coverage(m: ShardMatches | None, rows: np.ndarray) -> np.ndarray:
-    """1 for each word of the shard that stands inside an occurrence of a window."""
-    ahead = np.zeros(int(rows[-1]) + 1, np.int64)
-    if m is not None:
+class Hits:
+    """What the blocks find in one shard: the words inside occurrences, and the items of each document."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.ahead = rows, np.zeros(int(rows[-1]) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in rows[1:]]
+
+    def add(self, bench: Benchmark, m: ShardMatches | None) -> None:
+        if m is None:
+            return
         w, place = _expand(m)
-        np.add.at(ahead, place, 1)
-        np.add.at(ahead, place + m.length[w], -1)
-    return (np.cumsum(ahead[:-1]) > 0).astype(np.int64)
+        np.add.at(self.ahead, place, 1)
+        np.add.at(self.ahead, place + m.length[w], -1)
+        doc = np.searchsorted(self.rows, place, "right") - 1
+        for d, i in np.unique(np.stack([doc, m.item[w]], 1), axis=0):
+            self.items[d].add(bench.ids[i])
 
+    def words(self) -> np.ndarray:
+        """Words of each document inside occurrences."""
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(self.ahead[:-1]) > 0)])
+        return covered[self.rows[1:]] - covered[self.rows[:-1]]
 
-def _hits(flags: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    covered = np.concatenate([[0], np.cumsum(flags)])
-    return covered[rows[1:]] - covered[rows[:-1]]
+    def contaminated(self) -> np.ndarray:
+        hits = self.words()
+        return (hits > 0) & (20 * hits >= np.diff(self.rows))
 
 
-def _contaminated(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return (hits > 0) & (20 * hits >= words)
+@dataclass(frozen=True)
+class Blocks:
+    """Names of the written blocks of a benchmark."""
 
+    root: str
+    files: list[str]
 
-def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", block_chars: int = BLOCK_CHARS) -> Iterator[Benchmark]:
-    """Blocks of at most block_chars characters, read one at a time; an item longer than that is a block."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.where(F.col("text").isNotNull()).select(F.col(item).cast("string").alias("i"), "text").toLocalIterator():
-        if texts and size + len(r["text"]) > block_chars:
-            yield encode_benchmark(ids, texts)
-            ids, texts, size = [], [], 0
-        ids, texts, size = [*ids, r["i"]], [*texts, r["text"]], size + len(r["text"])
-    yield encode_benchmark(ids, texts)
+    def reader(self):
+        """Gives an iterator over the blocks again and again; holds no more than the last one."""
+        fs, path = pafs.FileSystem.from_uri(self.root)
+        last: dict[str, Benchmark] = {}
 
+        def read() -> Iterator[Benchmark]:
+            for file in self.files:
+                if file not in last:
+                    last.clear()
+                    with fs.open_input_stream(f"{path}/{file}", compression=None) as stream:
+                        last[file] = pickle.loads(stream.read())
+                yield last[file]
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """(key, item_id, item_word, doc_word, length): each item window that stands in a document, where, and how far the longest match from its first word goes in the shard."""
-    kind = docs.schema[key].dataType
+        return read
+
+
+def write_blocks(benchmark: DataFrame, item: str = "item_id", block_chars: int = BLOCK_CHARS) -> Blocks:
+    """Writes the items with a text below the shared folder, dealt by hash into blocks of about block_chars characters; a longer item makes its block so much larger.
+
+    Files of lost attempts are never named in the result.
+    """
+    root = fresh_path(benchmark.sparkSession, "benchmark")
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), "text")
+    blocks = max(1, -(-int(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pafs.FileSystem.from_uri(root)
+        block, ids, texts = None, [], []
+
+        def write() -> pa.RecordBatch:
+            name = uuid.uuid4().hex
+            fs.create_dir(path, recursive=True)
+            with fs.open_output_stream(f"{path}/{name}", compression=None) as stream:
+                stream.write(pickle.dumps(encode_benchmark(ids, texts), protocol=5))
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
 
-    def one(bench: Benchmark) -> DataFrame:
-        def each(keys: pa.Array, rows: np.ndarray, m: ShardMatches | None):
-            if m is not None:
-                w, place = _expand(m)
-                doc = np.searchsorted(rows, place, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(doc)), pa.array([bench.ids[i] for i in m.item[w]], pa.string()), pa.array(m.start[w]), pa.array(place - rows[doc]), pa.array(m.longest[w])],
-                    [key, "item_id", "item_word", "doc_word", "length"],
-                )
+        for batch in batches:
+            for b, i, t in zip(*(batch.column(c).to_pylist() for c in ("block", "i", "text"))):
+                if texts and b != block:
+                    yield write()
+                    ids, texts = [], []
+                block = b
+                ids.append(i)
+                texts.append(t)
+        if texts:
+            yield write()
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "text"), F.lit(blocks))).repartition(blocks, "block").sortWithinPartitions("block", "i", "text")
+    return Blocks(root, [r["file"] for r in dealt.mapInArrow(run, "file string").collect()])
+
+
+def _scan(blocks: Blocks, window: int, done):
+    """Runs a batch of documents against all blocks, and then done(rows of a shard, its word bounds, its Hits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = blocks.reader()
+        for batch in batches:
+            shards = [(batch.slice(a, b - a), *word_hashes(data, rows, "alnum")) for a, b, data, rows in text_slices(batch.column("text"))]
+            hits = [Hits(at) for _, _, at in shards]
+            for bench in read():
+                for (_, words, at), h in zip(shards, hits):
+                    h.add(bench, match_shard(words, at, bench, window))
+            for (part, _, at), h in zip(shards, hits):
+                yield done(part, at, h)
 
-        return docs.select(key, "text").mapInArrow(_scan(bench, key, window, each), f"{key} {kind.simpleString()}, item_id string, item_word long, doc_word long, length long")
+    return run
 
-    return reduce(DataFrame.unionByName, [one(b) for b in benchmark_blocks(benchmark)])
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key, item_id, item_word, doc_word, length): each item window that stands in a document, where, and how far the longest match from its first word goes in the shard."""
+    kind = docs.schema[key].dataType.simpleString()
+    blocks = write_blocks(benchmark, item, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = blocks.reader()
+        for batch in batches:
+            for bench in read():
+                for a, b, data, rows in text_slices(batch.column("text")):
+                    words, at = word_hashes(data, rows, "alnum")
+                    if (m := match_shard(words, at, bench, window)) is not None:
+                        w, place = _expand(m)
+                        doc = np.searchsorted(at, place, "right") - 1
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(key)[a:b].take(pa.array(doc)), pa.array([bench.ids[i] for i in m.item[w]], pa.string()), pa.array(m.start[w]), pa.array(place - at[doc]), pa.array(m.longest[w])],
+                            [key, "item_id", "item_word", "doc_word", "length"],
+                        )
+
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, item_id string, item_word long, doc_word long, length long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each row of docs: key, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits. Items without words, null
-    or not, are never found; a repeated item_id counts once. Equal rows of docs
-    give equal rows. One block, the usual case, needs no shuffle.
+    or not, are never found; a repeated item_id counts once, and a null one
+    counts as the empty id. Each row is judged by its own text alone, so equal
+    and null keys make no difference; no rows give no rows. Other columns are
+    ignored. Documents are not shuffled.
     """
     kind = docs.schema[key].dataType.simpleString()
-    blocks = list(benchmark_blocks(benchmark, item, block_chars))
-
-    def one(bench: Benchmark, row: bool) -> DataFrame:
-        def each(keys: pa.Array, rows: np.ndarray, m: ShardMatches | None):
-            n, words = len(keys), np.diff(rows)
-            flags = _coverage(m, rows)
-            spans, found = [[] for _ in range(n)], [[] for _ in range(n)]
-            if m is not None:
-                w, place = _expand(m)
-                doc = np.searchsorted(rows, place, "right") - 1
-                for d, i in np.unique(np.stack([doc, m.item[w]], 1), axis=0):
-                    found[d].append(bench.ids[i])
-                for d in np.unique(doc) if row else ():
-                    spans[d] = np.flatnonzero(np.diff(np.concatenate([[0], flags[rows[d] : rows[d + 1]], [0]]))).tolist()
-            found = [sorted(set(x)) for x in found]
-            if row:
-                yield pa.RecordBatch.from_arrays([keys, pa.array(words), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], [key, "n_words", "spans", "items"])
-                return
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
-            hits = _hits(flags, rows)
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(words), pa.array(hits), pa.array([len(x) for x in found], pa.int64()), pa.array(digests), pa.array(_contaminated(hits, words))],
-                [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-        schema = f"{key} {kind}, n_words long, " + ("spans array<long>, items array<string>" if row else "n_hit long, n_items long, items_sha256 string, contaminated boolean")
-        return docs.select(key, "text").mapInArrow(_scan(bench, key, window, each), schema)
-
-    if len(blocks) == 1:
-        return one(blocks[0], False)
-    return _merge([one(b, True) for b in blocks], key)
-
-
-def _merge(parts: list[DataFrame], key: str) -> DataFrame:
-    """Joins the results of several blocks: covered spans are united, items collected. Only documents with hits are shuffled by key."""
-    base = parts[0].select(key, "n_words")
-    hit = reduce(DataFrame.unionByName, [p.where(F.size("items") > 0) for p in parts]).groupBy(key).agg(F.flatten(F.collect_set("spans")).alias("_s"), F.flatten(F.collect_set("items")).alias("_i"))
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("_s") / 2).cast("int") - 1), lambda i: F.struct(F.get("_s", 2 * i).alias("a"), F.get("_s", 2 * i + 1).alias("b"))))
-    n_hit = F.aggregate(
-        pairs, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda s, p: F.struct((s["n"] + F.greatest(F.lit(0), p["b"] - F.greatest(p["a"], s["end"]))).cast("long").alias("n"), F.greatest(s["end"], p["b"]).alias("end")), lambda s: s["n"],
-    )
-    hit = hit.select(key, n_hit.alias("n_hit"), F.array_sort(F.array_distinct("_i")).alias("_i"))
-    out = base.join(hit, key, "left").select(
-        key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("_i"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("_i", ","), F.lit("")), 256).alias("items_sha256"),
-    )
-    out = out.withColumn("n_items", F.greatest(F.lit(0).cast("long"), "n_items"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """The rows of docs, unchanged, whose text is not contaminated. With one block the rows never leave their task."""
-    blocks = list(benchmark_blocks(benchmark))
-    if len(blocks) > 1:
-        bad = contamination(docs, benchmark, key, window=window).where("contaminated").select(key).distinct()
-        return docs.join(bad, key, "left_anti")
-    bench = blocks[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, rows in text_slices(batch.column("text")):
-                words, at = word_hashes(data, rows, "alnum")
-                m = match_shard(words, at, bench, window)
-                keep = ~_contaminated(_hits(_coverage(m, at), at), np.diff(at))
-                yield batch.slice(a, b - a).filter(pa.array(keep))
+    def done(part: pa.RecordBatch, rows: np.ndarray, h: Hits) -> pa.RecordBatch:
+        digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in h.items]
+        return pa.RecordBatch.from_arrays(
+            [part.column(key), pa.array(np.diff(rows)), pa.array(h.words()), pa.array([len(x) for x in h.items], pa.int64()), pa.array(digests), pa.array(h.contaminated())],
+            [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
+
+    schema = f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return docs.select(key, "text").mapInArrow(_scan(write_blocks(benchmark, item, block_chars), window, done), schema)
+
 
-    return docs.mapInArrow(run, docs.schema)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, unchanged, whose own text is not contaminated. They never leave their task."""
+    done = lambda part, rows, h: part.filter(pa.array(~h.contaminated()))
+    return docs.mapInArrow(_scan(write_blocks(benchmark, item, block_chars), window, done), docs.schema)
 
 
 ORACLE_SQL = r"""

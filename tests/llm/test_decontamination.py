@@ -57,15 +57,28 @@ def test_windows(spark):
     docs = documents(spark, texts, extra=True).repartition(3)
     want = brute(enumerate(texts), enumerate(items))
     assert sorted(map(tuple, op5.contamination(docs, bench).collect())) == want
-    assert sorted(map(tuple, op5.contamination(docs, bench, block_chars=300).collect())) == want
-    kept = op5.remove_contaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [w[0] for w in want if not w[5]]
+    for size in (20, 300):
+        assert sorted(map(tuple, op5.contamination(docs, bench, block_chars=size).collect())) == want
+        kept = op5.remove_contaminated(docs, bench, block_chars=size)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [w[0] for w in want if not w[5]]
+    assert len(op5.write_blocks(bench, block_chars=20).files) > 10 and len(op5.write_blocks(bench).files) == 1
+
+
+def test_rows_with_equal_and_null_keys_are_judged_alone(spark):
+    item = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, "clean"), (1, f"x {item}"), (None, item), (None, "fine"), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", item), ("b", "other " * 20), (None, "third " * 20), ("a", item)], "item_id string, text string")
+    for size in (20, 10**6):
+        got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in op5.contamination(docs, bench, block_chars=size).collect())
+        assert got == [("1", 1, 0, 0, False), ("1", 14, 13, 1, True), ("None", 1, 0, 0, False), ("None", 13, 13, 1, True), ("None", 13, 13, 1, True)]
+        assert sorted((r["text"] for r in op5.remove_contaminated(docs, bench, block_chars=size).collect())) == ["clean", "fine"]
 
 
 def test_longest_matches(spark):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
     docs = documents(spark, ["x " + " ".join(f"w{i}" for i in range(4, 24)) + " y", "nothing"])
-    got = sorted((r["item_word"], r["doc_word"], r["length"]) for r in op5.longest_matches(docs, bench).collect())
+    for size in (1, 10**6):
+        got = sorted((r["item_word"], r["doc_word"], r["length"]) for r in op5.longest_matches(docs, bench, block_chars=size).collect())
     assert got == [(4 + i, 1 + i, 20 - i) for i in range(8)]
 
 
