@@ -317,7 +317,9 @@ def central_pivots(members: DataFrame, tried: DataFrame | None = None, joined: D
     weights = members.join(sizes, "cell").groupBy("node").agg(F.sum("size").alias("weight"))
     free = members.withColumn("outside", F.lit(True)) if joined is None else members.join(joined, "cell", "left").withColumn("outside", F.coalesce(F.col("component") != F.col("last"), F.lit(True)))
     free = free if tried is None else free.join(tried, ["cell", "node"], "left_anti")
-    return free.join(weights, "node").groupBy("cell").agg(F.max(F.struct("outside", "weight", "node"))["node"].alias("pivot"))
+    # written first: else Spark gathers by cell on the join's partitions, without sums in each task before
+    free = materialize(free.join(weights, "node").select("cell", F.struct("outside", "weight", "node").alias("x")), "candidates")
+    return free.groupBy("cell").agg(F.max("x")["node"].alias("pivot"))
 
 
 def _verify(size: int, limit: Threshold):
