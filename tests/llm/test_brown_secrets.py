@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm import op06_secret_forest as op6
 from parley.llm import op08_brown as op8
+from parley.llm.text import text_slices, word_hashes
 from tests.llm.helpers import DOCS, ODD, documents, prose, seeded, white_words
 
 
@@ -34,18 +36,66 @@ def test_base_counts(spark, monkeypatch, head):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and -math.inf < r["score"] < 0
 
 
-def test_probabilities_add_up(spark):
-    texts = texts_of(7, 60)
-    docs = documents(spark, texts)
+def hash_of(word):
+    return next(int(word_hashes(d, r)[0].view(np.int64)[0]) for _, _, d, r in text_slices(pa.array([word])))
+
+
+@pytest.mark.parametrize(("head", "exchange"), [(100_000, 25), (40, 10), (1, 1), (100_000, 100_000)])
+def test_scores_are_those_of_brute_force(spark, monkeypatch, head, exchange):
+    """Counts, transitions, emissions and scores from the texts; only the exchange words' classes are taken from the model."""
+    monkeypatch.setattr(op8.head_of, "__defaults__", (head, exchange))
+    monkeypatch.setattr(op8, "SEED_WORDS", 5)
+    texts = texts_of(9, 80)
+    docs = documents(spark, texts, extra=True)
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
     training = docs.where(~op8.held_out(docs["doc_id"]))
-    counts = op8.word_counts(training)
-    m = op8.fit(counts, training, training.count())
-    for c in range(len(m.transitions)):
-        known = (10 ** (m.transitions[c, m.classes[m.head.numbers]] + m.emissions)).sum()
-        total = known + 10 ** m.unknown[c] + 10 ** m.transitions[c, m.classes[m.head.end]]
-        # classes without words (bands, and the rest's class without rare words) keep what smoothing gives them
-        empty = set(range(len(m.transitions))) - set(m.classes[m.head.numbers]) - {int(m.classes[m.head.end])}
-        assert total + sum(10 ** m.transitions[c, e] for e in empty) == pytest.approx(1, abs=1e-9)
+    model, others = op8.fit(op8.word_counts(training), training, len(train))
+    k, E = op8.CLASSES, model.head.exchange
+    tokens = {i: white_words(texts[i]) for i in range(len(texts))}
+    counts = Counter(w for i in train for w in tokens[i])
+    number = {int(h): n for n, h in enumerate(model.head.words[:E])}
+    code = {w: hash_of(w) for w in {w for ws in tokens.values() for w in ws}}
+    frequent = {w: int(model.classes[number[code[w]]]) for w in counts if code[w] in number}
+    history = lambda w: k + 1 if w is None else frequent.get(w, k)
+    steps = Counter((history(p), w) for i in train for p, w in zip([None, *tokens[i]], [*tokens[i], None]))
+    m = np.zeros((k + 2, k + 2))
+    for (h, w), n in steps.items():
+        m[h, k + 1 if w is None else frequent.get(w, k)] += n
+    size = m[:, :k].sum(0)
+    ok = np.concatenate([size > 0, [False, False]]) if size.any() else np.arange(k + 2) == 0
+
+    def shares(m, ok):
+        m = m * ok
+        every = (m.sum(0) + 1) * ok
+        return (m + op8.TRANSITION_ADD * every / every.sum()) / (m.sum(1, keepdims=True) + op8.TRANSITION_ADD)
+
+    first = shares(m, ok)
+    given = {r["word"]: r["class"] for r in others.collect()}
+    classes = dict(frequent)
+    for w in counts.keys() - frequent.keys():
+        worth = [sum(n * math.log10(max(first[h, c], 1e-300)) for (h, x), n in steps.items() if x == w) - counts[w] * math.log10(max(size[c], 1)) if ok[c] else -math.inf for c in range(k)]
+        classes[w] = given[code[w]]
+        assert worth[classes[w]] >= max(worth) - 1e-5
+    assert set(given) == {code[w] for w in counts.keys() - frequent.keys()}
+    m = np.zeros((k + 2, k + 2))
+    for (h, w), n in steps.items():
+        m[h, k + 1 if w is None else classes[w]] += n
+    size, types = np.zeros(k + 2), np.zeros(k + 2)
+    for w, n in counts.items():
+        size[classes[w]] += n
+        types[classes[w]] += 1
+    once, twice = (sum(n == x for n in counts.values()) for x in (1, 2))
+    d = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+    T = shares(m, (size > 0) | (np.arange(k + 2) == k + 1))
+    got = {r["doc_id"]: r["score"] for r in op8.score(docs, model, others, len(train)).collect()}
+    unknown = T @ (d * types / np.maximum(size, 1))
+    for h in range(k + 2):  # all that may follow a history
+        assert sum(T[h, classes[w]] * (n - d) / size[classes[w]] for w, n in counts.items()) + unknown[h] + T[h, k + 1] == pytest.approx(1, abs=1e-9)
+    for i, ws in tokens.items():
+        want = math.log10(T[history(ws[-1] if ws else None), k + 1])
+        for p, w in zip([None, *ws], ws):
+            want += math.log10(T[history(p), classes[w]] * (counts[w] - d) / size[classes[w]] if w in counts else unknown[history(p)])
+        assert got[i] == pytest.approx(want, rel=1e-9), i
 
 
 def test_exchange_finds_classes(spark):
@@ -57,14 +107,29 @@ def test_exchange_finds_classes(spark):
     head, _ = op8.head_of(counts, 1000, 24)
     shared = spark.sparkContext.broadcast(head)
     pairs = docs.select("text").mapInArrow(op8._count_pairs(shared), "a long, b long, n long").groupBy("a", "b").sum("n").toDF("a", "b", "n")
-    classes = op8.exchange(pairs, head, classes=2, sweeps=6)
-    import pyarrow as pa
+    for seeds in (24, 12):  # all words one after the other; half of them in sweeps
+        classes = op8.exchange(pairs, head, classes=2, sweeps=6, seeds=seeds)
+        number = {int(h): i for i, h in enumerate(head.words)}
+        of = {w: classes[number[hash_of(w)]] for w in nouns + verbs}
+        assert len({of[w] for w in nouns}) == 1 and len({of[w] for w in verbs}) == 1 and of["n0"] != of["v0"]
+
+
+def test_gains_are_those_of_whole_likelihoods():
+    rng = np.random.default_rng(2)
+    words, k = 30, 5
+    classes = rng.integers(0, k, words)
+    n = rng.integers(0, 4, (words, words)).astype(float)
 
-    from parley.llm.text import text_slices, word_hashes
+    def table(c):
+        m = np.zeros((k, k))
+        np.add.at(m, (np.repeat(c, words), np.tile(c, words)), n.ravel())
+        return m
 
-    number = {int(h): i for i, h in enumerate(head.words)}
-    of = {w: classes[number[int(word_hashes(d, r)[0].view(np.int64)[0])]] for w in nouns + verbs for _, _, d, r in text_slices(pa.array([w]))}
-    assert len({of[w] for w in nouns}) == 1 and len({of[w] for w in verbs}) == 1 and of["n0"] != of["v0"]
+    for w in range(words):
+        ahead, behind = (np.bincount(np.delete(classes, w), np.delete(x, w), k) for x in (n[w], n[:, w]))
+        gain = op8._gains(table(classes), ahead, behind, n[w, w], classes[w], k)
+        want = np.array([op8._likelihood(table(np.where(np.arange(words) == w, c, classes))) for c in range(k)])
+        assert gain - gain[0] == pytest.approx(want - want[0], abs=1e-6)
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
@@ -144,7 +209,7 @@ def brute_candidates(text):
             kinds = re.sub("[^aB0]+", "-", re.sub("[0-9]+", "0", re.sub("[A-Z]+", "B", re.sub("[a-z]+", "a", c))))
             out.append((i, j, c, dict(
                 length=n, flips=len(kinds) / n, digits=sum(x in "0123456789" for x in c) / n, uppers=len(re.findall("[A-Z]", c)) / n, distinct=len(set(c)) / n,
-                covered=(n - len(re.sub(f"({op6.DICTIONARY})", "", c.lower()))) / n, pairs=len(re.findall(f"({op6.COMMON_PAIRS})", c.lower())) / n, slashes=len(re.findall(r"[/\\]", around)), marks=len(re.findall("[_-]", c)) / n,
+                covered=(n - len(re.sub(f"({op6.DICTIONARY})", "", c.lower()))) / n, pairs=len(re.findall(f"({op6.COMMON_PAIRS})", c.lower())) / n, slashes=len(re.findall(r"[/\\]", around)) / n, marks=len(re.findall("[_-]", c)) / n,
                 hex_only=bool(re.fullmatch("[0-9a-f]+", c)), secret_near=told(op6.SECRET_WORDS), digest_near=told(op6.DIGEST_WORDS), sample_near=told(op6.SAMPLE_WORDS), assigned=bool(re.search("[=:]", around) or re.search(r"[=:]\s*$", before)),
                 known_prefix=bool(re.match("(AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abpr]-|AIza|glpat-|eyJ)", c)), digits_only=bool(re.fullmatch("[0-9+/_-]+", c)),
             )))
