@@ -186,10 +186,11 @@ s AS (SELECT w.r, doc_id, host, len(ws) AS n_words,
              length(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
              length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (r)),
-l0 AS (SELECT r, host, unnest(ls) AS l FROM w),
-l1 AS (SELECT r, host, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
-              ('0x' || substr(md5(lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ', 'g')))), 1, 15))::BIGINT AS line FROM l0),
-l2 AS (SELECT *, min(line) OVER (PARTITION BY r) AS face FROM l1),
+l0 AS (SELECT r, host, unnest(ls) AS l, unnest(range(len(ls))) AS pos FROM w),
+l1 AS (SELECT r, host, pos, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+              lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS line FROM l0),
+same AS (SELECT r, md5(string_agg(line, chr(10) ORDER BY pos)) AS face FROM l1 GROUP BY r),
+l2 AS (SELECT * FROM l1 JOIN same USING (r)),
 hosts AS (SELECT host, count(DISTINCT face) AS host_docs FROM l2 GROUP BY host),
 freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT face) AS n_docs FROM l2 GROUP BY host, line) JOIN hosts USING (host)
          WHERE n_docs > 20 AND n_docs > 0.002 * host_docs),
