@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.tables import materialize
 from parley.operators.turns import conversation_keys
 
 
@@ -33,7 +34,7 @@ class QualMetric(QuantMetric):
 
 
 def score_with(rows: DataFrame, metric: QuantMetric) -> tuple[DataFrame, DataFrame]:
-    """(scores, errors) of one metric. A row whose call raises is no score but an error; the others stay."""
+    """(scores, errors) of one metric. A row whose call raises is no score but an error; the others stay. The user's function is called once a row: its results are written before they are parted."""
     fn, inputs, extra, number = metric.fn, metric.inputs, metric.additional_input, metric.kind == "double"
 
     @F.pandas_udf(f"value {metric.kind}, reason string, error string")
@@ -50,4 +51,5 @@ def score_with(rows: DataFrame, metric: QuantMetric) -> tuple[DataFrame, DataFra
 
     keys = [*conversation_keys(rows), *(["turn_id"] if metric.scope == "turn" else [])]
     done = rows.select(*keys, run(F.struct(*inputs)).alias("s")).select(*keys, F.lit(metric.name).alias("name"), F.lit(metric.scope).alias("scope"), "s.*")
+    done = materialize(done, "metric")
     return done.where("error is null").drop("error"), done.where("error is not null").drop("value", "reason")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from parley import constants as C
 from parley.functions import text as T
+from parley.functions.tables import fresh_path, materialize, write_files
+from parley.jobs import run_files
 from parley.jobs.evaluate import evaluate, gate, merged_labels, turn_evaluations
 from parley.operators import errors as E
 from parley.operators import gates as G
@@ -136,7 +138,30 @@ def _(spark, sf):
     return quant
 
 
-@query("prj_12_recent_context")
+_REPLIES = "replies AS (SELECT conversation_id, turn_id, CASE n % 2 WHEN 0 THEN 'verbosity' ELSE 'coherence' END AS metric, s % 4 AS k, p FROM t_lines)"
+
+
+def _replies(spark, sf):
+    """Four kinds of reply: a score, a label with a reason, no JSON, and JSON without a verdict."""
+    reply = F.when(F.col("s") % 4 == 0, F.concat(F.lit('{"score": '), (1 + F.col("p") % 5).cast("string"), F.lit("}"))).when(F.col("s") % 4 == 1, F.concat(F.lit('{"label": "l'), (F.col("p") % 3).cast("string"), F.lit('", "reason": "r"}')))
+    reply = reply.when(F.col("s") % 4 == 2, "no json here").otherwise('{"reason": "none"}')
+    return turns.parse_verdicts(adapt(spark, sf, "lines").select("conversation_id", "turn_id", F.when(F.col("n") % 2 == 0, "verbosity").otherwise("coherence").alias("metric"), reply.alias("response")))
+
+
+@query(
+    "prj_11_all_outcomes",
+    _with("lines", more=_REPLIES) + """SELECT conversation_id, turn_id, metric, CASE k WHEN 0 THEN 'score' WHEN 1 THEN 'label' ELSE 'reject' END AS outcome,
+ CASE k WHEN 0 THEN concat(CASE metric WHEN 'verbosity' THEN 6 - (1 + p % 5) ELSE 1 + p % 5 END, '.0') WHEN 1 THEN concat('l', p % 3) WHEN 2 THEN 'no json here' ELSE '{"reason": "none"}' END AS value, CASE k WHEN 0 THEN '' WHEN 1 THEN 'r' END AS reason FROM replies""",
+)
+def _(spark, sf):
+    quant, qual, rejects = _replies(spark, sf)
+    part = lambda df, kind, value, reason: df.select("conversation_id", "turn_id", "metric", F.lit(kind).alias("outcome"), F.col(value).cast("string").alias("value"), reason.alias("reason"))
+    return part(quant, "score", "value", F.col("reason")).unionByName(part(qual, "label", "value", F.col("reason"))).unionByName(part(rejects, "reject", "response", F.lit(None).cast("string")))
+
+
+@query("prj_12_recent_context", _with("messages") + """SELECT c.conversation_id, coalesce(string_agg(line, chr(10) ORDER BY msg_pos), '(just started)') AS context FROM (SELECT DISTINCT conversation_id FROM t_messages) c LEFT JOIN (
+ SELECT conversation_id, msg_pos, concat(CASE role WHEN 'assistant' THEN 'AGENT' ELSE 'CUSTOMER' END, ': ', substr(content, 1, 200)) AS line, row_number() OVER (PARTITION BY conversation_id ORDER BY msg_pos DESC) AS back
+   FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY msg_pos) AS nth FROM t_messages) WHERE nth > 1 AND role IN ('simulated_user', 'assistant')) l ON l.conversation_id = c.conversation_id AND back <= 6 GROUP BY 1""")
 def _(spark, sf):
     return turns.recent_context(adapt(spark, sf, "messages"))
 
@@ -250,7 +275,8 @@ _MAPPED = _ERRORS + f""", ids AS (SELECT unique_error_id, list_sort(list(DISTINC
 
 
 def _errors(spark, sf):
-    return E.group_failures(merged_labels(spark, sf))
+    errors, occurrences = E.group_failures(merged_labels(spark, sf))
+    return materialize(errors, "errors"), materialize(occurrences, "occurrences")
 
 
 def _mappings(spark, sf):
@@ -279,9 +305,9 @@ def _(spark, sf):
     return E.link_errors(merged_labels(spark, sf), _errors(spark, sf)[1]).select("conversation_id", "turn_id", F.array_join("unique_error_ids", ",").alias("ids"))
 
 
-@query("err_6_scenario_mappings", _with(*_ALL, "scenarios", more=_MAPPED) + "SELECT error_index, unique_error_id, description, severity, n_occurrences, array_to_string(scenario_ids, ',') AS scenario_ids FROM mapped")
+@query("err_6_scenario_mappings", _with(*_ALL, "scenarios", more=_MAPPED) + "SELECT error_index::INT AS error_index, unique_error_id, description, severity, n_occurrences, unnest(scenario_ids) AS scenario_id FROM mapped")
 def _(spark, sf):
-    return _mappings(spark, sf).withColumn("scenario_ids", F.array_join(F.col("scenario_ids").cast("array<string>"), ","))
+    return _mappings(spark, sf).select("error_index", "unique_error_id", "description", "severity", "n_occurrences", "scenario_id")
 
 
 @query(
@@ -375,7 +401,8 @@ def _(spark, sf):
     return report.conversation_labels(adapt(spark, sf, "conversations"))
 
 
-@query("rpt_9_turn_issues")
+@query("rpt_9_turn_issues", _with(*_ALL[:4], more=_MERGED + """, low AS (SELECT conversation_id, turn_id, string_agg(concat(name, ' (', printf('%.1f', value), ')'), '; ' ORDER BY name) AS low FROM t_quant WHERE scope = 'turn' AND value <= 1 GROUP BY 1, 2),
+ w AS (SELECT *, list_filter(regexp_split_to_array(reason, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '') AS ws FROM merged)""") + f"""SELECT conversation_id, turn_id, coalesce(nullif(concat_ws('; ', CASE WHEN label IN {_REAL} THEN concat(label, ': ', array_to_string(ws[1:10], ' '), CASE WHEN len(ws) > 10 THEN '...' ELSE '' END) END, low), ''), 'No issues detected') AS issues FROM w LEFT JOIN low USING (conversation_id, turn_id)""")
 def _(spark, sf):
     return report.turn_issues(merged_labels(spark, sf), adapt(spark, sf, "quant"))
 
@@ -409,10 +436,16 @@ def _(spark, sf):
     return report.error_snippets(at, m, at.select("conversation_id", "turn_id", F.lit("repetition").alias("label")))
 
 
-@query("rpt_12_error_rows")
+@query("rpt_12_error_rows", _with(*_ALL[:4], more=_ERRORS + ", t AS (SELECT unique_error_id, conversation_id, string_agg(concat('turn_', turn_id), ',' ORDER BY turn_id) AS turns FROM (SELECT DISTINCT * FROM occ) GROUP BY 1, 2)") + "SELECT unique_error_id, category, n_occurrences, conversation_id, turns FROM errors JOIN t USING (unique_error_id)")
 def _(spark, sf):
-    errors, occurrences = _errors(spark, sf)
-    return report.error_rows(errors, occurrences, _mappings(spark, sf)).select("unique_error_id", "category", F.size("turns").alias("conversations"), F.size("scenario_ids").alias("scenarios"))
+    rows = report.error_rows(*_errors(spark, sf))
+    return rows.select("unique_error_id", "category", "n_occurrences", "conversation_id", F.array_join("turns", ",").alias("turns"))
+
+
+@query("rpt_12_error_scenarios", _with(*_ALL, "scenarios", more=_MAPPED) + "SELECT unique_error_id, count(*) AS scenarios, min(scenario_id) AS first_scenario FROM (SELECT unique_error_id, unnest(scenario_ids) AS scenario_id FROM mapped) GROUP BY 1")
+def _(spark, sf):
+    pairs = E.error_scenarios(_errors(spark, sf)[1], adapt(spark, sf, "conversations"), adapt(spark, sf, "scenarios"))
+    return pairs.groupBy("unique_error_id").agg(F.count("*").alias("scenarios"), F.min("scenario_id").alias("first_scenario"))
 
 
 @query("rpt_13_kpi", _with(*_ALL, more=_CONVO) + "SELECT avg(overall_agent_score) AS mean_score, avg(CASE WHEN evaluation_status = 'Done' THEN 1.0::DOUBLE ELSE 0 END) AS pass_rate, avg(turns) AS avg_turns, count(*) AS conversations FROM convo")
@@ -535,7 +568,7 @@ def _trajectories(spark, sf):
     return trajectory.actual_calls(calls).withColumns({"expected": wanted, "match_mode": mode})
 
 
-_TRJ = """act AS (SELECT conversation_id, list(name ORDER BY turn_id, call_pos) AS a, ['click', 'view', 'purchase'] AS e, ['unordered', 'contains', 'within', 'strict'][(conversation_id % 4 + 1)::INT] AS mode FROM t_calls WHERE turn_id < 2 GROUP BY 1),
+_TRJ = """act AS (SELECT conversation_id, list(name ORDER BY turn_id, call_pos) AS a, ['click', 'view', 'purchase'] AS e, ['unordered', 'contains', 'within', 'strict'][(conversation_id % 4 + 1)::INT] AS mode FROM t_calls GROUP BY 1),
  d AS (SELECT *, list_filter(e, lambda x: NOT list_contains(a, x)) AS missing,
    list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN NOT list_contains(e, a[i]) OR list_contains(a[1:i - 1], a[i]) THEN a[i] END), lambda x: x IS NOT NULL) AS extra, list_filter(a, lambda x: NOT list_contains(e, x)) AS beyond FROM act),
  g AS (SELECT *, CASE WHEN mode = 'within' THEN CASE WHEN len(beyond) > 0 THEN 'disobey user request' END
@@ -554,9 +587,21 @@ def _(spark, sf):
     return rows.select("conversation_id", "match_mode", "matched", "failure_label", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
+@query("trj_1_argument_modes", _with("calls", more="""x AS (SELECT id, event_id, CAST(arguments->>'k' AS INT) AS k, CASE event_id % 3 WHEN 0 THEN 'ignore' WHEN 1 THEN 'exact' ELSE 'partial' END AS mode, event_id % 5 AS kind FROM t_calls),
+ y AS (SELECT *, CASE WHEN mode = 'ignore' THEN true WHEN mode = 'exact' THEN kind IN (0, 1) ELSE kind IN (0, 1, 2) END AS ok FROM x)""") + "SELECT id, mode, ok AS matched, CASE WHEN ok THEN NULL WHEN mode = 'partial' THEN 'lack of specific information' ELSE 'false information' END AS failure_label FROM y")
+def _(spark, sf):
+    """Each call against its own arguments: equal, with other spaces, fewer, with another value, more."""
+    calls = adapt(spark, sf, "calls").withColumn("k", F.get_json_object("arguments", "$.k"))
+    made = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    mode = F.get(F.array(F.lit("ignore"), F.lit("exact"), F.lit("partial")), (F.col("event_id") % 3).cast("int"))
+    other = F.get(F.array(made('{"k":', F.col("k"), "}"), made('{  "k" :  ', F.col("k"), " }"), F.lit("{}"), made('{"k":', F.col("k"), "1}"), made('{"m":[1],"k":', F.col("k"), "}")), (F.col("event_id") % 5).cast("int"))
+    rows = calls.select("id", mode.alias("mode"), F.array(F.struct("name", "arguments")).alias("actual"), F.array(F.struct("name", other.alias("arguments"), mode.alias("arg_match_mode"))).alias("expected"), F.lit("strict").alias("match_mode"))
+    return trajectory.match_trajectories(rows).select("id", "mode", "matched", "failure_label")
+
+
 @query(
     "trj_9_attribute_failures",
-    _with("calls", more=_TRJ + ", last_ AS (SELECT conversation_id, max(turn_id) AS turn_id FROM t_calls WHERE turn_id < 2 GROUP BY 1), ev AS (SELECT DISTINCT conversation_id, turn_id FROM t_calls)")
+    _with("calls", more=_TRJ + ", last_ AS (SELECT conversation_id, max(turn_id) AS turn_id FROM t_calls GROUP BY 1), ev AS (SELECT DISTINCT conversation_id, turn_id FROM t_calls)")
     + "SELECT ev.conversation_id, ev.turn_id, CASE WHEN g.failure_label IS NOT NULL AND ev.turn_id = last_.turn_id THEN g.failure_label ELSE 'no failure' END AS label FROM ev LEFT JOIN g USING (conversation_id) LEFT JOIN last_ USING (conversation_id)",
 )
 def _(spark, sf):
@@ -569,7 +614,10 @@ def _(spark, sf):
 # knowledge base
 
 
-@query("kb_1_html_to_text")
+@query("kb_1_html_to_text", r"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, regexp_replace(regexp_replace(coalesce(html, ''), '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<![^>]*>', '<x>', 'gs'), '<a [^>]*>[^<]*</a>', '<x>', 'g') AS h FROM pages),
+ n AS (SELECT *, list_filter(list_transform(list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda x: replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '&amp', '&')), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS nodes,
+   replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)', 1)), '&quot;', '"'), '&amp;', '&'), '&amp', '&') AS t FROM p)
+ SELECT page_id, url, coalesce(nullif(t, ''), url) AS title, array_to_string(nodes, chr(10)) AS content FROM n""")
 def _(spark, sf):
     return kb.html_to_text(spark.read.parquet(f"{sf}/pages.parquet"))
 
@@ -599,10 +647,12 @@ def _vectors(spark, sf):
     return kb.l2_normalize(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", scaled.alias("embedding")))
 
 
-@query("kb_5_l2_normalize", "SELECT vec_id, len(embedding)::INT AS dim, true AS unit FROM embeddings")
+@query("kb_5_l2_normalize", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 3)) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v)
+ SELECT vec_id, len(e)::INT AS dim, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] / n * (i % 7))), 6) AS dot, round(e[1] / n, 6) AS first, round(e[len(e)] / n, 6) AS last FROM n""")
 def _(spark, sf):
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    return _vectors(spark, sf).select("vec_id", F.size("embedding").alias("dim"), (F.abs(norm - 1) < 1e-9).alias("unit"))
+    v = _vectors(spark, sf)
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x * ((i + 1) % 7)), F.lit(0.0), lambda a, x: a + x)
+    return v.select("vec_id", F.size("embedding").alias("dim"), F.round(weighted, 6).alias("dot"), F.round(F.get("embedding", 0), 6).alias("first"), F.round(F.element_at("embedding", -1), 6).alias("last"))
 
 
 @query(
@@ -617,6 +667,152 @@ def _(spark, sf):
     return found.select("query_id", "chunk_id", "place")
 
 
+@query("kb_3_token_chunks")
+def _(spark, sf):
+    import public_tokenizers
+
+    return kb.token_chunks(_docs(spark, sf), public_tokenizers.path("word_bpe_49k.json")).select("id", "source", "content")
+
+
+@query("src_6_knowledge_files", "SELECT concat('page-', page_id, '.html') AS title, coalesce(html, '') AS content, false AS is_error FROM pages UNION ALL SELECT concat('note-', doc_id, '.', ['md', 'txt', 'pdf', 'json'][doc_id % 4 + 1]), CASE WHEN doc_id % 4 <> 2 THEN coalesce(text, '') END, doc_id % 4 = 2 FROM documents")
+def _(spark, sf):
+    return _knowledge(spark, sf).select("title", "content", "is_error")
+
+
+def _knowledge(spark, sf):
+    """All pages and documents as files, read back."""
+    root = fresh_path(spark, "knowledge")
+    kinds = F.get(F.array(*[F.lit(k) for k in ("md", "txt", "pdf", "json")]), (F.col("doc_id") % 4).cast("int"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").alias("content"))
+    notes = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("note-"), F.col("doc_id").cast("string"), F.lit("."), kinds).alias("name"), F.col("text").alias("content"))
+    write_files(pages.unionByName(notes), root)
+    return documents.read_knowledge_files(spark, root)
+
+
+@query("kb_chain_files_to_search", """WITH f AS (SELECT concat('page-', page_id, '.html') AS title FROM pages WHERE coalesce(html, '') <> '' UNION ALL SELECT concat('note-', doc_id, '.', ['md', 'txt', 'pdf', 'json'][doc_id % 4 + 1]) FROM documents WHERE coalesce(text, '') <> '' AND doc_id % 4 <> 2),
+ k AS (SELECT title, regexp_extract(title, '[0-9]+')::INT AS n, title LIKE 'page-%' AS page FROM f)
+ SELECT title AS query, 'self' AS best FROM k WHERE n % 20 = 0""")
+def _(spark, sf):
+    """Files to text, to chunks with text ids, to vectors of hashed words; each twentieth file's first chunk finds itself, or a chunk of equal text."""
+    files = kb.readable(_knowledge(spark, sf).withColumn("id", F.col("title")))
+    chunks = kb.chunk_documents(files, 2000, 200)
+    buckets = F.transform(F.split(F.lower("content"), r"\s+"), lambda w: F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter("b", lambda x: x == i)).cast("double"))
+    vectors = kb.l2_normalize(chunks.withColumn("b", buckets).select("id", counts.alias("embedding")))
+    vectors = materialize(vectors, "vectors")
+    number = F.regexp_extract("id", "[0-9]+", 0).cast("int")
+    asked = vectors.where(F.endswith("id", F.lit("_0")) & (number % 20 == 0))
+    found = kb.top_k(asked.withColumnRenamed("id", "query_id"), vectors.withColumnRenamed("id", "chunk_id"), 1)
+    return found.select(F.regexp_replace("query_id", "_0$", "").alias("query"), F.when((F.col("chunk_id") == F.col("query_id")) | (F.abs(F.col("score") - 1) < 1e-9), "self").otherwise("other").alias("best"))
+
+
+# run files, sinks
+
+#: Fifty conversations a run; conversations of different runs have equal ids.
+_RUN = "concat('run', CAST(floor(conversation_id / 50) AS BIGINT)) AS run_id, concat('c', conversation_id % 50) AS conversation_id"
+
+
+def _run_ids(c: str = "conversation_id") -> list:
+    return [F.concat(F.lit("run"), F.floor(F.col(c) / 50).cast("string")).alias("run_id"), F.concat(F.lit("c"), (F.col(c) % 50).cast("string")).alias("conversation_id")]
+
+
+def _run_files(spark, sf) -> str:
+    """Run files made of all conversations, each conversation with a call in its first turn."""
+    root = fresh_path(spark, "runs")
+    called = F.when(F.col("msg_pos") == 1, F.array(F.struct(F.lit("k1").alias("id"), F.when(F.col("conversation_id") % 3 == 0, "search").otherwise("lookup").alias("name"), F.lit('{"q": 1}').alias("arguments"))))
+    m = adapt(spark, sf, "messages").withColumn("calls", called)
+    said = F.transform(F.sort_array(F.collect_list(F.struct("msg_pos", F.floor(F.col("msg_pos") / 2).cast("int").alias("turn_id"), "role", "content", F.col("calls").alias("tool_calls")))), lambda x: x.dropFields("msg_pos"))
+    talks = m.groupBy("conversation_id").agg(said.alias("conversation_history"))
+    talk = F.struct(_run_ids()[1], F.concat(F.lit("s"), (F.col("conversation_id") % 7).cast("string")).alias("scenario_id"), "conversation_history")
+    runs = talks.groupBy(_run_ids()[0]).agg(F.collect_list(talk).alias("conversations"))
+    write_files(runs.select(F.concat("run_id", F.lit(".json")).alias("name"), F.to_json(F.struct(F.lit("1").alias("schema_version"), F.col("run_id").alias("simulation_id"), "conversations")).alias("content")), root)
+    return root
+
+
+def _scenario_files(spark, sf) -> str:
+    """A scenario file for each hundred customers, and one with the scenarios s0 to s6 of the runs; every third expects a call."""
+    root = fresh_path(spark, "scenarios")
+    expected = lambda c: F.when(c % 3 == 0, F.array(F.struct(F.lit("tool_calls").alias("type"), F.lit("contains").alias("match_mode"), F.array(F.struct(F.lit("search").alias("name"), F.lit("{}").alias("arguments"), F.lit("ignore").alias("arg_match_mode"))).alias("expected"))))
+    own = adapt(spark, sf, "scenarios").select(F.floor(F.col("scenario_id") / 100).cast("string").alias("file"), F.struct(F.concat(F.lit("c"), F.col("scenario_id").cast("string")).alias("scenario_id"), "goal", "user_profile", expected(F.col("scenario_id")).alias("assertions")).alias("s"))
+    seven = spark.range(7).select(F.lit("runs").alias("file"), F.struct(F.concat(F.lit("s"), F.col("id").cast("string")).alias("scenario_id"), F.lit("goal").alias("goal"), F.lit("profile").alias("user_profile"), expected(F.col("id")).alias("assertions")).alias("s"))
+    files = own.unionByName(seven).groupBy("file").agg(F.collect_list("s").alias("scenarios"))
+    write_files(files.select(F.concat("file", F.lit(".json")).alias("name"), F.to_json(F.struct(F.lit("1").alias("schema_version"), "scenarios")).alias("content")), root)
+    return root
+
+
+@query("src_1_scenario_files", _with("scenarios") + "SELECT concat('c', scenario_id) AS scenario_id, goal, user_profile, CASE WHEN scenario_id % 3 = 0 THEN 1 ELSE 0 END AS assertions FROM t_scenarios UNION ALL SELECT concat('s', i), 'goal', 'profile', CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END FROM range(7) r(i)")
+def _(spark, sf):
+    return documents.read_scenarios(spark, _scenario_files(spark, sf))[0].select("scenario_id", "goal", "user_profile", F.size("assertions").alias("assertions"))
+
+
+@query("src_2_run_files", _with("messages") + f"SELECT {_RUN}, msg_pos, role, content FROM t_messages")
+def _(spark, sf):
+    return documents.read_simulations(spark, _run_files(spark, sf))[1].select("run_id", "conversation_id", "msg_pos", "role", "content")
+
+
+def _evaluated(spark, sf) -> run_files.Evaluation:
+    """All runs judged by replies that follow from the ids: a low score at each third turn, a behaviour label for every turn, a goal for every conversation, and one reply in eleven without a verdict."""
+    t = turns.assemble_turns(adapt(spark, sf, "messages"))
+    c, n = F.col("conversation_id"), F.col("turn_id")
+    number = lambda x: F.concat(F.lit('{"score": '), x.cast("string"), F.lit("}"))
+    labels = F.get(F.array(*[F.lit(x) for x in (C.FALSE_INFORMATION, C.REPETITION, C.NO_FAILURE)]), F.pmod(c + n, F.lit(3)).cast("int"))
+    scores = t.select(*_run_ids(), "turn_id", F.lit("helpfulness").alias("metric"), F.when((c + n) % 11 == 0, "no verdict").otherwise(number(F.when((c + n * 2) % 3 == 0, 1).otherwise(4))).alias("response"))
+    judged = t.select(*_run_ids(), "turn_id", F.lit(C.BEHAVIOUR).alias("metric"), F.concat(F.lit('{"label": "'), labels, F.lit('", "reason": "Part '), (c % 5).cast("string"), F.lit('"}')).alias("response"))
+    goals = adapt(spark, sf, "conversations_of_messages").select(*_run_ids(), F.lit(None).cast("int").alias("turn_id"), F.lit(C.GOAL).alias("metric"), number(c % 2).alias("response"))
+    return run_files.evaluate_run_files(spark, _run_files(spark, sf), _scenario_files(spark, sf), scores.unionByName(judged).unionByName(goals))
+
+
+_RUN_EVALS = _TALK + """, base AS (SELECT conversation_id AS c, turn_id AS n FROM pairs),
+ ev0 AS (SELECT c, n, CASE WHEN (c + n) % 11 <> 0 AND (c + n * 2) % 3 = 0 THEN ['false information', 'repetition', 'no failure'][(c + n) % 3 + 1] ELSE 'skipped_good_performance' END AS label,
+   CASE WHEN (c + n) % 11 <> 0 AND (c + n * 2) % 3 = 0 THEN concat('Part ', c % 5) ELSE 'Skipped: all turn metrics are at or above their thresholds.' END AS reason, CASE WHEN (c + n) % 11 = 0 THEN -1.0 WHEN (c + n * 2) % 3 = 0 THEN 1.0 ELSE 4.0 END::DOUBLE AS turn_score FROM base),
+ hit AS (SELECT conversation_id AS c FROM t_messages WHERE msg_pos = 1 AND (conversation_id % 7) % 3 = 0 AND conversation_id % 3 <> 0),
+ ev AS (SELECT ev0.c, n, turn_score, CASE WHEN hit.c IS NULL OR n <> 0 THEN label WHEN label IN ('skipped_good_performance', 'no failure', 'repetition') THEN 'disobey user request' ELSE label END AS label,
+   CASE WHEN hit.c IS NULL OR n <> 0 THEN reason WHEN label IN ('skipped_good_performance', 'no failure', 'repetition') THEN '[Trajectory] missing: search' ELSE concat(reason, chr(10), '[Trajectory] missing: search') END AS reason FROM ev0 LEFT JOIN hit ON hit.c = ev0.c),
+ cv AS (SELECT a.c, coalesce(t, 0) AS turns, (a.c % 2)::DOUBLE AS goal, CASE WHEN coalesce(t, 0) > 0 THEN (t - f) / t ELSE 1.0::DOUBLE END AS ratio FROM (SELECT DISTINCT conversation_id AS c FROM t_messages) a
+   LEFT JOIN (SELECT c, count(*) AS t, count(*) FILTER (label NOT IN ('skipped_good_performance', 'no failure')) AS f FROM ev GROUP BY 1) b ON a.c = b.c)"""
+
+
+@query("job_run_files", _with("messages", more=_RUN_EVALS) + f"SELECT {_RUN.replace('conversation_id /', 'c /').replace('conversation_id %', 'c %')}, turns, goal AS goal_completion_score, ratio AS turn_success_ratio, ratio * 0.75::DOUBLE + goal * 0.25::DOUBLE AS overall_agent_score, CASE WHEN ratio * 0.75::DOUBLE + goal * 0.25::DOUBLE = 1 THEN 'Done' WHEN ratio * 0.75::DOUBLE + goal * 0.25::DOUBLE >= 0.6 THEN 'Partial Failure' ELSE 'Failed' END AS evaluation_status FROM cv")
+def _(spark, sf):
+    return _evaluated(spark, sf).convo_evals
+
+
+@query("job_run_errors", _with("messages", more=_RUN_EVALS) + f"""SELECT run_id, category, n_occurrences, severity, row_number() OVER (PARTITION BY run_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 3 END, n_occurrences DESC, id)::INT AS error_index FROM (
+ SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, label AS category, count(*) AS n_occurrences, CASE label WHEN 'false information' THEN 'critical' WHEN 'repetition' THEN 'low' ELSE 'high' END AS severity,
+   substr(sha256(concat('run', CAST(floor(c / 50) AS BIGINT), chr(10), label, chr(10), regexp_replace(trim(regexp_replace(lower(reason), '\\s+', ' ', 'g')), '[0-9]+', '#', 'g'))), 1, 16) AS id FROM ev WHERE label IN {_REAL} GROUP BY 1, 2, 4, 5)""")
+def _(spark, sf):
+    found = _evaluated(spark, sf)
+    rows = found.mappings.select("run_id", "error_index", "unique_error_id", "n_occurrences", "severity").distinct()
+    return rows.join(found.errors.select("run_id", "unique_error_id", "category"), ["run_id", "unique_error_id"]).select("run_id", "category", "n_occurrences", "severity", "error_index")
+
+
+def _written(spark, sf) -> str:
+    root = fresh_path(spark, "evaluation")
+    run_files.write_runs(_evaluated(spark, sf), root)
+    return root
+
+
+@query("snk_1_evaluation", _with("messages", more=_RUN_EVALS) + "SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, concat('c', c % 50) AS conversation_id, n AS turn_id, turn_score, label, reason FROM ev")
+def _(spark, sf):
+    schema = "run_id string, conversation_id string, turn_scores array<struct<turn_id long, turn_score double, label string, reason string>>"
+    rows = spark.read.schema(schema).json(f"{_written(spark, sf)}/evaluation").select("run_id", "conversation_id", F.explode("turn_scores").alias("t"))
+    return rows.select("run_id", "conversation_id", "t.*")
+
+
+_RUN_FAILS = ", fl AS (SELECT DISTINCT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, concat('s', c % 7) AS scenario_id FROM ev WHERE label IN " + _REAL + ")"
+
+
+@query("snk_2_focus", _with("messages", more=_RUN_EVALS + _RUN_FAILS) + "SELECT run_id, 'all_failures' AS focus_set, scenario_id, 'goal' AS goal FROM fl")
+def _(spark, sf):
+    schema = "scenario_id string, goal string, user_profile string, run_id string, focus_set string"
+    return spark.read.schema(schema).json(f"{_written(spark, sf)}/focus").where("focus_set = 'all_failures'").select("run_id", "focus_set", "scenario_id", "goal")
+
+
+@query("snk_3_report_tables", _with("messages", more=_TALK) + "SELECT 'rejects' AS name, concat('run', CAST(floor(conversation_id / 50) AS BIGINT)) AS run_id, count(*) AS n FROM pairs WHERE (conversation_id + turn_id) % 11 = 0 GROUP BY 2")
+def _(spark, sf):
+    return spark.read.parquet(f"{_written(spark, sf)}/report/rejects").groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit("rejects").alias("name"), "run_id", "n")
+
+
 # streams' batch twin, metrics
 
 

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from parley import constants as C
+from parley.functions.tables import numbered
 from parley.functions.text import normalise_reason
 from parley.operators.scoring import literal_map
+from parley.operators.turns import conversation_keys
+
+
+def _run(df: DataFrame) -> list[str]:
+    """run_id, where a table holds many runs: errors are found and numbered for each run."""
+    return [k for k in conversation_keys(df) if k == "run_id"]
 
 
 def failure_items(evals: DataFrame) -> DataFrame:
-    """(conversation_id, turn_id, label, reason, item) of the turns with a real failure."""
+    """(keys, turn_id, label, reason, item) of the turns with a real failure."""
     item = F.concat(F.lit("Item "), F.col("conversation_id").cast("string"), F.lit("_"), F.col("turn_id").cast("string"), F.lit(f": {C.BEHAVIOUR} label and reason: "), "label", F.lit(": "), F.coalesce("reason", F.lit("")))
-    return evals.where(F.col("label").isin(C.FAILURE_LABELS)).select("conversation_id", "turn_id", "label", "reason", item.alias("item"))
+    return evals.where(F.col("label").isin(C.FAILURE_LABELS)).select(*conversation_keys(evals), "turn_id", "label", "reason", item.alias("item"))
 
 
 def parse_occurrences(errors: DataFrame) -> DataFrame:
-    """(unique_error_id, conversation_id, turn_id) from texts <conversation>_<turn>, split at the last underscore; other texts are dropped."""
-    rows = errors.select("unique_error_id", F.explode("occurrences").alias("o"))
+    """(run_id if there, unique_error_id, conversation_id, turn_id) from texts <conversation>_<turn>, split at the last underscore; other texts are dropped."""
+    run = [c for c in errors.columns if c == "run_id"]
+    rows = errors.select(*run, "unique_error_id", F.explode("occurrences").alias("o"))
     turn = F.regexp_extract("o", r"^([\s\S]*)_([\s\S]*)$", 2)
-    return rows.select("unique_error_id", F.regexp_extract("o", r"^([\s\S]*)_([\s\S]*)$", 1).alias("conversation_id"), F.trim(turn).try_cast("int").alias("turn_id")).where("turn_id is not null")
+    return rows.select(*run, "unique_error_id", F.regexp_extract("o", r"^([\s\S]*)_([\s\S]*)$", 1).alias("conversation_id"), F.trim(turn).try_cast("int").alias("turn_id")).where("turn_id is not null")
 
 
 def error_severity(category: Column) -> Column:
@@ -29,22 +36,23 @@ def error_severity(category: Column) -> Column:
 
 
 def group_failures(evals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unique_errors, occurrences) by category and normalised reason.
+    """(unique_errors, occurrences) by category and normalised reason, for each run.
 
     unique_errors: unique_error_id, category, description (the first reason),
     severity, n_occurrences. Occurrences stay one row each, so that one frequent
     error is no large array.
     """
+    keys, run = conversation_keys(evals), _run(evals)
     items = failure_items(evals).withColumn("norm", normalise_reason(F.col("reason")))
-    items = items.withColumn("unique_error_id", F.substring(F.sha2(F.concat_ws("\n", "label", "norm"), 256), 1, 16))
+    items = items.withColumn("unique_error_id", F.substring(F.sha2(F.concat_ws("\n", *run, "label", "norm"), 256), 1, 16))
     first = F.min(F.struct("conversation_id", "turn_id", "reason"))["reason"]
-    errors = items.groupBy("unique_error_id", F.col("label").alias("category")).agg(first.alias("description"), F.count("*").alias("n_occurrences"))
-    return errors.withColumn("severity", error_severity(F.col("category"))), items.select("unique_error_id", "conversation_id", "turn_id")
+    errors = items.groupBy(*run, "unique_error_id", F.col("label").alias("category")).agg(first.alias("description"), F.count("*").alias("n_occurrences"))
+    return errors.withColumn("severity", error_severity(F.col("category"))), items.select("unique_error_id", *keys, "turn_id")
 
 
 def link_errors(evals: DataFrame, occurrences: DataFrame) -> DataFrame:
     """evals with the sorted ids of each turn's errors; an empty list for none."""
-    keys = ["conversation_id", "turn_id"]
+    keys = [*conversation_keys(evals), "turn_id"]
     ids = occurrences.groupBy(*keys).agg(F.array_sort(F.collect_set("unique_error_id")).alias("unique_error_ids"))
     return evals.join(ids, keys, "left").withColumn("unique_error_ids", F.coalesce("unique_error_ids", F.array().cast("array<string>")))
 
@@ -54,46 +62,62 @@ def error_order(errors: DataFrame) -> list[Column]:
     return [rank.asc(), F.desc("n_occurrences"), (F.col("pos") if "pos" in errors.columns else F.col("unique_error_id")).asc()]
 
 
-def error_scenario_mappings(errors: DataFrame, occurrences: DataFrame, conversations: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """(error_index, unique_error_id, description, severity, n_occurrences, scenario_ids) of the errors with known scenarios.
+def error_scenarios(occurrences: DataFrame, conversations: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(run_id if there, unique_error_id, scenario_id): the known scenarios in which an error occurs, one row each."""
+    keys, run = conversation_keys(occurrences), _run(occurrences)
+    at = occurrences.select("unique_error_id", *keys).distinct().join(conversations.select(*keys, "scenario_id"), keys)
+    return at.select(*run, "unique_error_id", "scenario_id").distinct().join(scenarios.select("scenario_id").distinct(), "scenario_id").select(*run, "unique_error_id", "scenario_id")
+
 
-    Order: severity, number of all occurrences, input order. Only the table of
-    errors is numbered, after aggregation; it is small against the turns.
+def numbered_errors(errors: DataFrame, occurrences: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(run_id if there, error_index, unique_error_id, description, severity, n_occurrences, n_scenarios) of the errors of error_scenarios().
+
+    Order: severity, number of all occurrences, input order; each run counts
+    from 1. Reasons are free texts, so errors may be many: they are numbered by
+    a range sort.
     """
-    sizes = occurrences.groupBy("unique_error_id").agg(F.count("*").alias("n_occurrences"))
-    at = occurrences.select("unique_error_id", "conversation_id").distinct().join(conversations.select("conversation_id", "scenario_id"), "conversation_id")
-    known = at.select("unique_error_id", "scenario_id").distinct().join(scenarios.select("scenario_id").distinct(), "scenario_id")
-    ids = known.groupBy("unique_error_id").agg(F.array_sort(F.collect_set("scenario_id")).alias("scenario_ids"))
-    rows = errors.drop("n_occurrences").join(sizes, "unique_error_id").join(ids, "unique_error_id")
-    index = F.row_number().over(Window.orderBy(*error_order(errors)))
-    return rows.select(index.alias("error_index"), "unique_error_id", "description", "severity", "n_occurrences", "scenario_ids")
+    run = _run(occurrences)
+    ids = [*run, "unique_error_id"]
+    sizes = occurrences.groupBy(*ids).agg(F.count("*").alias("n_occurrences"))
+    rows = errors.drop("n_occurrences").join(sizes, ids).join(pairs.groupBy(*ids).agg(F.count("*").alias("n_scenarios")), ids)
+    rows = numbered(rows, error_order(rows), "error_index", run)
+    return rows.select(*run, F.col("error_index").cast("int").alias("error_index"), "unique_error_id", "description", "severity", "n_occurrences", "n_scenarios")
+
+
+def error_scenario_mappings(errors: DataFrame, occurrences: DataFrame, conversations: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """numbered_errors() with one row for each scenario_id of an error."""
+    pairs = error_scenarios(occurrences, conversations, scenarios)
+    return numbered_errors(errors, occurrences, pairs).drop("n_scenarios").join(pairs, [*_run(occurrences), "unique_error_id"])
 
 
 def focus_sets(mappings: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Scenario rows for each error_<index>, and for all_failures together."""
-    one = mappings.select(F.concat(F.lit("error_"), F.col("error_index").cast("string")).alias("focus_set"), F.explode("scenario_ids").alias("scenario_id"))
-    every = one.select(F.lit("all_failures").alias("focus_set"), "scenario_id").distinct()
+    """Scenario rows for each error_<index>, and for all_failures together; for each run, if there are many."""
+    run = [c for c in mappings.columns if c == "run_id"]
+    one = mappings.select(*run, F.concat(F.lit("error_"), F.col("error_index").cast("string")).alias("focus_set"), "scenario_id")
+    every = one.select(*run, F.lit("all_failures").alias("focus_set"), "scenario_id").distinct()
     return one.unionByName(every).join(scenarios.dropDuplicates(["scenario_id"]), "scenario_id")
 
 
 def top_errors(errors: DataFrame, occurrences: DataFrame, conversations: DataFrame, k: int = 5) -> DataFrame:
     """The k worst errors with how many conversations and scenarios they touch."""
     best = errors.orderBy(*error_order(errors)).limit(k)
-    at = occurrences.join(F.broadcast(best.select("unique_error_id")), "unique_error_id").join(conversations.select("conversation_id", "scenario_id"), "conversation_id", "left")
-    touched = at.groupBy("unique_error_id").agg(F.countDistinct("conversation_id").alias("conversations"), F.countDistinct("scenario_id").alias("scenarios"))
+    keys = conversation_keys(occurrences)
+    at = occurrences.join(F.broadcast(best.select("unique_error_id")), "unique_error_id").join(conversations.select(*keys, "scenario_id"), keys, "left")
+    touched = at.groupBy("unique_error_id").agg(F.countDistinct(*keys).alias("conversations"), F.countDistinct("scenario_id").alias("scenarios"))
     return best.join(touched, "unique_error_id", "left").select("unique_error_id", "category", "severity", "n_occurrences", F.coalesce("conversations", F.lit(0)).alias("conversations"), F.coalesce("scenarios", F.lit(0)).alias("scenarios"))
 
 
 def judge_agreement(evals: DataFrame, golden: DataFrame) -> DataFrame:
-    """(expected, conversations, agreed, rate). golden has (conversation_id, pos, label) for messages.
+    """(expected, conversations, agreed, rate). golden has (keys, pos, label) for messages.
 
     A conversation's expected label is its first real one. It agrees if a turn
     has that label, or, if none is expected, if no turn has a failure.
     """
     real = F.when(F.col("label") != C.NO_FAILURE, F.col("label"))
-    expected = golden.groupBy("conversation_id").agg(F.coalesce(F.min_by(real, F.when(real.isNotNull(), F.col("pos"))), F.lit(C.NO_FAILURE)).alias("expected"))
-    found = evals.groupBy("conversation_id").agg(F.collect_set("label").alias("labels"))
-    rows = expected.join(found, "conversation_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+    keys = conversation_keys(golden)
+    expected = golden.groupBy(*keys).agg(F.coalesce(F.min_by(real, F.when(real.isNotNull(), F.col("pos"))), F.lit(C.NO_FAILURE)).alias("expected"))
+    found = evals.groupBy(*keys).agg(F.collect_set("label").alias("labels"))
+    rows = expected.join(found, keys, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
     none = ~F.arrays_overlap("labels", F.array(*[F.lit(x) for x in C.CONVERSATION_LABELS]))
     agreed = F.when(F.col("expected") == C.NO_FAILURE, none).otherwise(F.array_contains("labels", F.col("expected")))
     return rows.groupBy("expected").agg(F.count("*").alias("conversations"), F.count_if(agreed).alias("agreed")).withColumn("rate", F.col("agreed") / F.col("conversations"))

@@ -9,16 +9,20 @@ from urllib.parse import urldefrag, urljoin
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.constants import CHUNK_OVERLAP, CHUNK_SIZE
+from parley.functions.tables import fresh_path
 
 BINARY_EXTENSIONS = [".pdf", ".jpg", ".png", ".docx", ".xlsx", ".pptx", ".zip", ".jpeg"]
 SEPARATORS = ["\n\n", "\n", " ", ""]
-#: Query vectors that are held in a task at once.
-QUERY_BLOCK = 4096
+#: Query vectors, and chunks, that a task holds at once.
+QUERY_BLOCK, CHUNK_BLOCK = 1024, 32_768
 
 
 class _Page(HTMLParser):
@@ -144,12 +148,42 @@ def chunk_text(text: str, size: int, overlap: int) -> list[str]:
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """docs (id, source, content, metadata, is_chunk, is_error) in chunks <id>_<i>; errors and empty ones go, chunks pass."""
-    usable = valid_docs(docs)
 
     @F.pandas_udf("array<string>")
     def cut(content: pd.Series) -> pd.Series:
         return content.map(lambda t: chunk_text(t, size, overlap))
 
+    return _chunked(docs, cut)
+
+
+def token_chunks(docs: DataFrame, tokenizer: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """chunk_documents() by tokens: windows of size tokens, each overlap tokens into the one before, as the stretch of text that they cover.
+
+    tokenizer is a tokenizer file that all executors have. Only the last window
+    may be shorter.
+    """
+    if overlap >= size:
+        raise ValueError("chunks must be longer than their overlap")
+
+    @F.pandas_udf("array<string>")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(tokenizer)
+
+        def chunks(text: str) -> list[str]:
+            at = encoder.encode(text, add_special_tokens=False).offsets
+            starts = range(0, max(1, len(at) - overlap), size - overlap)
+            return [text[at[i][0] : at[min(i + size, len(at)) - 1][1]] for i in starts] if at else [text]
+
+        for content in parts:
+            yield content.map(chunks)
+
+    return _chunked(docs, cut)
+
+
+def _chunked(docs: DataFrame, cut) -> DataFrame:
+    usable = valid_docs(docs)
     whole = usable.where(~F.col("is_chunk"))
     rest = [c for c in docs.columns if c not in ("id", "content", "is_chunk")]
     cut_up = whole.select("id", *rest, F.posexplode(cut("content")).alias("i", "content"))
@@ -157,6 +191,12 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     return cut_up.unionByName(usable.where("is_chunk").withColumn("id", F.col("id").cast("string")))
 
 
+def readable(files: DataFrame) -> DataFrame:
+    """read_knowledge_files() with the text of pages in place of their markup; other files and errors as they are."""
+    pages = html_to_text(files.where("is_page and not is_error").withColumnRenamed("content", "html").withColumn("url", F.col("source")).drop("title"), web=False).drop("url")
+    return files.where("not is_page or is_error").drop("is_page").unionByName(pages.select([c for c in files.columns if c != "is_page"]))
+
+
 def valid_docs(docs: DataFrame) -> DataFrame:
     return docs.where("content is not null and content <> '' and not coalesce(is_error, false)")
 
@@ -170,36 +210,49 @@ def l2_normalize(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
     """(query_id, chunk_id, score, place): the k chunks of largest inner product for each query.
 
-    Queries (query_id, embedding) are taken in blocks of QUERY_BLOCK. A block
-    goes to the tasks, each keeps its best k per query, and only these meet.
-    Ties go to the lesser chunk_id. chunks: chunk_id, embedding.
+    queries (query_id, embedding) are written once. A task takes CHUNK_BLOCK
+    chunks (chunk_id, embedding) at a time, reads the queries in blocks of
+    QUERY_BLOCK, and keeps its best k for each; only these meet. Ids are of any
+    type that Spark can order; ties go to the lesser chunk_id. No queries, or no
+    chunks, give no rows.
     """
-    found = None
-    ids, vectors = [], []
-
-    def block(ids: list, matrix: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                chunk = batch.column("chunk_id").to_numpy()
-                keep = np.argsort(chunk, kind="stable")
-                m = np.stack(batch.column("embedding").to_pylist()).astype(np.float64)[keep] if len(chunk) else np.zeros((0, matrix.shape[1]))
-                scores = matrix @ m.T
-                n = min(k, scores.shape[1])
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(chunk[keep][best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["query_id", "chunk_id", "score"])
-
-        return chunks.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, chunk_id long, score double")
-
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        ids.append(r["query_id"])
-        vectors.append(r["embedding"])
-        if len(ids) == QUERY_BLOCK:
-            part = block(ids, np.array(vectors, float))
-            found, ids, vectors = part if found is None else found.unionByName(part), [], []
-    if ids:
-        part = block(ids, np.array(vectors, float))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, place int")
+    spark = chunks.sparkSession
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id"))}
+    root = fresh_path(spark, "queries")
+    queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).write.parquet(root)
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def best(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        table = table.take(pc.sort_indices(table, sort_keys=[("chunk_id", "ascending")]))
+        ids, vectors = table.column("chunk_id").combine_chunks(), matrix(table.column("embedding"))
+        fs, path = pafs.FileSystem.from_uri(root)
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet")]
+        for file in sorted(files):
+            with fs.open_input_file(file) as source:
+                for block in pq.ParquetFile(source).iter_batches(QUERY_BLOCK):
+                    if not block.num_rows:
+                        continue
+                    scores = matrix(block.column("embedding")) @ vectors.T
+                    n = min(k, len(ids))
+                    top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                    row = np.repeat(np.arange(block.num_rows), n)
+                    yield pa.RecordBatch.from_arrays([block.column("query_id").take(pa.array(row)), ids.take(pa.array(top.ravel())), pa.array(np.take_along_axis(scores, top, 1).ravel())], ["query_id", "chunk_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK_BLOCK:
+                yield from best(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield from best(held)
+
+    each = chunks.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    found = each.mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

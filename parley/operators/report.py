@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley import constants as C
+from parley.functions.tables import numbered
 from parley.functions.text import score_label, truncate_reason
-from parley.operators.turns import number_messages
+from parley.operators.turns import conversation_keys, number_messages
 
 
 def run_totals(convo_evals: DataFrame) -> DataFrame:
@@ -65,23 +66,15 @@ def label_distributions(qual: DataFrame, evals: DataFrame) -> DataFrame:
 
 
 def conversation_labels(conversations: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(conversation_id, label): Conversation 1, 2, ... in the order of the ids.
-
-    A range sort, a count for each range, and the offsets of the ranges: no
-    task sees all conversations.
-    """
-    n = partitions or int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = conversations.select("conversation_id").distinct().repartitionByRange(n, "conversation_id").withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("conversation_id").alias("low"))
-    starts = sizes.select("_part", (F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))).alias("ahead"))
-    local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("conversation_id")))
-    place = F.col("_rank") + F.coalesce("ahead", F.lit(0))
-    return local.join(F.broadcast(starts), "_part").select("conversation_id", F.concat(F.lit("Conversation "), place.cast("string")).alias("label"))
+    """(keys, label): Conversation 1, 2, ... in the order of the ids, for each run."""
+    keys = conversation_keys(conversations)
+    rows = numbered(conversations.select(*keys).distinct(), [F.col("conversation_id").asc()], "_place", keys[:-1], partitions)
+    return rows.select(*keys, F.concat(F.lit("Conversation "), F.col("_place").cast("string")).alias("label"))
 
 
 def turn_issues(evals: DataFrame, quant: DataFrame) -> DataFrame:
-    """(conversation_id, turn_id, issues): the real failure with the start of its reason, and metrics of at most 1."""
-    keys = ["conversation_id", "turn_id"]
+    """(keys, turn_id, issues): the real failure with the start of its reason, and metrics of at most 1."""
+    keys = [*conversation_keys(evals), "turn_id"]
     low = quant.where("scope = 'turn' and value <= 1").groupBy(*keys).agg(F.array_sort(F.collect_list(F.concat("name", F.lit(" ("), F.format_number("value", 1), F.lit(")")))).alias("low"))
     real = F.when(F.col("label").isin(C.FAILURE_LABELS), F.array(F.concat("label", F.lit(": "), truncate_reason(F.col("reason")))))
     every = F.concat(F.coalesce(real, F.array().cast("array<string>")), F.coalesce("low", F.array().cast("array<string>")))
@@ -89,39 +82,41 @@ def turn_issues(evals: DataFrame, quant: DataFrame) -> DataFrame:
 
 
 def convo_rows(convo_evals: DataFrame, conversations: DataFrame, scenarios: DataFrame) -> DataFrame:
-    known = conversations.select("conversation_id", "scenario_id").join(scenarios.select("scenario_id", "goal", "user_profile"), "scenario_id", "left")
+    keys = conversation_keys(convo_evals)
+    known = conversations.select(*keys, "scenario_id").join(scenarios.select("scenario_id", "goal", "user_profile"), "scenario_id", "left")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    rows = convo_evals.join(known.withColumn("scenario_id", F.col("scenario_id").cast("string")), "conversation_id", "left")
-    return rows.select("conversation_id", "turns", "goal_completion_score", "turn_success_ratio", "overall_agent_score", "evaluation_status", text("scenario_id"), text("goal"), text("user_profile"))
+    rows = convo_evals.join(known.withColumn("scenario_id", F.col("scenario_id").cast("string")), keys, "left")
+    return rows.select(*keys, "turns", "goal_completion_score", "turn_success_ratio", "overall_agent_score", "evaluation_status", text("scenario_id"), text("goal"), text("user_profile"))
 
 
 def turn_rows(evals: DataFrame, quant: DataFrame) -> DataFrame:
     """evals with each turn's scores as a sorted array of (name, value)."""
-    keys = ["conversation_id", "turn_id"]
+    keys = [*conversation_keys(evals), "turn_id"]
     scores = quant.where("scope = 'turn'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("scores"))
     return evals.join(scores, keys, "left").withColumn("scores", F.coalesce("scores", F.array().cast("array<struct<name:string,value:double>>")))
 
 
 def error_snippets(occurrences: DataFrame, messages: DataFrame, evals: DataFrame) -> DataFrame:
-    """(unique_error_id, conversation_id, turn_id, user_msg, assistant_msg, label): the transcript of each occurrence in a known conversation.
+    """(unique_error_id, keys, turn_id, user_msg, assistant_msg, label): the transcript of each occurrence in a known conversation.
 
     A message's turn is the number of assistant messages before it; of a turn's
     user messages the last counts, and its only assistant message.
     """
-    keys = ["conversation_id", "turn_id"]
+    whole = conversation_keys(messages)
+    keys = [*whole, "turn_id"]
     said = lambda role: F.max_by(F.when(F.col("role") == role, F.col("content")), F.when(F.col("role") == role, F.col("msg_pos")))
     words = number_messages(messages).groupBy(*keys).agg(said("simulated_user").alias("user_msg"), said("assistant").alias("assistant_msg"))
-    known = messages.select("conversation_id").distinct()
-    rows = occurrences.join(known, "conversation_id", "left_semi").join(words, keys, "left").join(evals.select(*keys, "label"), keys, "left")
+    known = messages.select(*whole).distinct()
+    rows = occurrences.join(known, whole, "left_semi").join(words, keys, "left").join(evals.select(*keys, "label"), keys, "left")
     return rows.select("unique_error_id", *keys, F.coalesce("user_msg", F.lit("")).alias("user_msg"), F.coalesce("assistant_msg", F.lit("")).alias("assistant_msg"), F.coalesce("label", F.lit("")).alias("label"))
 
 
-def error_rows(errors: DataFrame, occurrences: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Per error: its conversations with their turns, and its scenarios."""
-    each = occurrences.groupBy("unique_error_id", "conversation_id").agg(F.array_sort(F.collect_set("turn_id")).alias("t"))
-    turns = F.transform("t", lambda t: F.concat(F.lit("turn_"), t.cast("string")))
-    grouped = each.groupBy("unique_error_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("conversation_id").cast("string"), turns)))).alias("turns"))
-    return errors.join(grouped, "unique_error_id", "left").join(mappings.select("unique_error_id", "scenario_ids"), "unique_error_id", "left")
+def error_rows(errors: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """errors with one row for each conversation that has them, and its turns; a frequent error is many rows, not one map. error_scenarios() has their scenarios."""
+    keys = conversation_keys(occurrences)
+    ids = [*keys[:-1], "unique_error_id"]
+    each = occurrences.groupBy("unique_error_id", *keys).agg(F.array_sort(F.collect_set("turn_id")).alias("t"))
+    return errors.join(each.select("unique_error_id", *keys, F.transform("t", lambda t: F.concat(F.lit("turn_"), t.cast("string"))).alias("turns")), ids, "left")
 
 
 def kpi(convo_evals: DataFrame) -> DataFrame:

@@ -18,15 +18,23 @@ def _case(number: str, labels: list[str]) -> str:
 
 
 MESSAGES = "SELECT conv_id AS conversation_id, turn AS msg_pos, CASE WHEN role = 'user' THEN 'simulated_user' ELSE role END AS role, text AS content FROM conversations"
+TALKS = "SELECT DISTINCT conv_id AS conversation_id FROM conversations"
 LINES = f"""SELECT l_orderkey AS conversation_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) - 1 AS turn_id,
   CAST(l_partkey AS BIGINT) AS p, CAST(l_suppkey AS BIGINT) AS s, CAST(l_linenumber AS BIGINT) AS n FROM lineitem"""
 TURNS = f"SELECT conversation_id, turn_id FROM ({LINES})"
+_TURN_METRICS = [
+    ("helpfulness", "1 + p % 5"), ("coherence", "CASE WHEN s % 11 = 0 THEN -1 ELSE 1 + s % 5 END"), ("verbosity", "1 + n % 5"), ("relevance", "3 + (p + s) % 3"), ("faithfulness", "2 + (p + n) % 4"),
+]
+
+
+def _by_metric(values: list[str]) -> str:
+    return "CASE m.pos " + " ".join(f"WHEN {i + 1} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+#: The lines are numbered once and met with a list of metrics, which is of fixed length.
 QUANT = f"""SELECT * FROM (
-  SELECT conversation_id, turn_id, 'helpfulness' AS name, 'turn' AS scope, CAST(1 + p % 5 AS DOUBLE) AS value, 5.0E0 AS score_max, 1 AS pos FROM ({LINES})
-  UNION ALL SELECT conversation_id, turn_id, 'coherence', 'turn', CAST(CASE WHEN s % 11 = 0 THEN -1 ELSE 1 + s % 5 END AS DOUBLE), 5.0E0, 2 FROM ({LINES})
-  UNION ALL SELECT conversation_id, turn_id, 'verbosity', 'turn', CAST(1 + n % 5 AS DOUBLE), 5.0E0, 3 FROM ({LINES})
-  UNION ALL SELECT conversation_id, turn_id, 'relevance', 'turn', CAST(3 + (p + s) % 3 AS DOUBLE), 5.0E0, 4 FROM ({LINES})
-  UNION ALL SELECT conversation_id, turn_id, 'faithfulness', 'turn', CAST(2 + (p + n) % 4 AS DOUBLE), 5.0E0, 5 FROM ({LINES}) WHERE p % 7 <> 0
+  SELECT conversation_id, turn_id, {_by_metric([repr(n) for n, _ in _TURN_METRICS])} AS name, 'turn' AS scope, CAST({_by_metric([f"({v})" for _, v in _TURN_METRICS])} AS DOUBLE) AS value, 5.0E0 AS score_max, m.pos AS pos
+    FROM ({LINES}) AS l CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS m(pos) WHERE m.pos <> 5 OR p % 7 <> 0
   UNION ALL SELECT CAST(o_orderkey AS BIGINT), NULL, 'politeness', 'conversation', CAST(1 + o_custkey % 5 AS DOUBLE), NULL, 6 FROM orders) AS q"""
 VERDICTS = f"SELECT conversation_id, turn_id, {_case('(p + n) % 8', _LABELS)} AS label, concat('Part ', CAST(p % 20 AS STRING), ' was   told   wrong') AS reason FROM ({LINES})"
 TOOL_VERDICTS = f"SELECT conversation_id, turn_id, {_case('(s + n) % 8', _LABELS)} AS label, concat('Call ', CAST(s % 9 AS STRING)) AS reason FROM ({LINES}) WHERE p % 3 = 0"
@@ -40,11 +48,11 @@ SCENARIOS = "SELECT c_custkey AS scenario_id, c_name AS goal, c_mktsegment AS us
 CALLS = """SELECT user_id AS conversation_id, CAST(floor((rn - 1) / 5) AS BIGINT) AS turn_id, (rn - 1) % 5 AS call_pos, CAST(event_id AS STRING) AS id, event_type AS name, props AS arguments, event_id
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"""
 SQL = {
-    "messages": MESSAGES, "lines": LINES, "turns": TURNS, "quant": QUANT, "verdicts": VERDICTS, "tool_verdicts": TOOL_VERDICTS, "qual": QUAL, "conversations": CONVERSATIONS, "goals": GOALS, "scenarios": SCENARIOS, "calls": CALLS,
+    "messages": MESSAGES, "lines": LINES, "turns": TURNS, "quant": QUANT, "verdicts": VERDICTS, "tool_verdicts": TOOL_VERDICTS, "qual": QUAL, "conversations": CONVERSATIONS, "goals": GOALS, "scenarios": SCENARIOS, "calls": CALLS, "conversations_of_messages": TALKS,
 }
 _TABLES = {
     "messages": ["conversations"], "lines": ["lineitem"], "turns": ["lineitem"], "quant": ["lineitem", "orders"], "verdicts": ["lineitem"], "tool_verdicts": ["lineitem"], "qual": ["lineitem", "orders"], "conversations": ["orders"],
-    "goals": ["orders"], "scenarios": ["customer"], "calls": ["events"],
+    "goals": ["orders"], "scenarios": ["customer"], "calls": ["events"], "conversations_of_messages": ["conversations"],
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parley.constants import SETTLE_SECONDS, WAIT_SECONDS
 from parley.operators.traces import route_spans, spans_to_tool_calls
+from parley.operators.turns import conversation_keys
 from parley.sources.documents import parse_otlp
 
 
@@ -25,14 +26,14 @@ def stream_tool_calls(payloads: DataFrame) -> DataFrame:
 
 
 def collect_batch(calls: DataFrame, turn_ends: DataFrame, wait: float = WAIT_SECONDS, settle: float = SETTLE_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(collected, late) for calls (conversation_id, turn_id, arrival, ...) and turn_ends (conversation_id, turn_id, waited_from, signalled).
+    """(collected, late) for calls (keys, turn_id, arrival, ...) and turn_ends (keys, turn_id, waited_from, signalled).
 
     A turn's window ends: at the start of the wait if it was signalled without
     spans; settle later if it was with; else settle after the first arrival
     within wait. Calls after their turn's window, or of turns that have no end,
     are late. Times are seconds.
     """
-    keys = ["conversation_id", "turn_id"]
+    keys = [*conversation_keys(calls), "turn_id"]
     rows = calls.join(turn_ends, keys, "left")
     early = rows.where("arrival <= waited_from").groupBy(*keys).agg(F.count("*").alias("early"))
     within = rows.where(F.col("arrival") <= F.col("waited_from") + wait).groupBy(*keys).agg(F.min("arrival").alias("first"))
