@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.tables import fresh_path, materialize, remove, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where the setting is absent (single-machine tests) a folder of the
-    warehouse is taken instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lost executors cost no more than a read."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables that materialize() made."""
-    jvm = spark.sparkContext._jvm
-    for at in {file.rpartition("/")[0] for t in tables for file in t.inputFiles()}:
-        folder = jvm.org.apache.hadoop.fs.Path(at)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["connected_components", "fresh_path", "materialize", "remove", "shared_dir"]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
