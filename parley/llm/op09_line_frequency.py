@@ -12,8 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import materialize
+from parley.llm.shared import materialize, remove
 
+#: So many frequent lines at most are sent to all tasks.
+BROADCAST_LINES = 100_000
 WHITE = "[\\x20\\x09-\\x0D]+"
 INK = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -106,10 +108,18 @@ def frequent_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataF
     return counts.join(hosts, "host").where(F.col("n_docs") > limits.min_share * F.col("host_docs")).select("host", "line", "n_docs")
 
 
+def _lines_and_frequent(docs: DataFrame, key: str, host: str, limits: LineLimits) -> tuple[DataFrame, DataFrame]:
+    lines = materialize(line_table(docs, key, host), "lines")
+    return lines, materialize(frequent_lines(lines, limits), "frequent")
+
+
+def _hits(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    return lines.select("key", "host", "pos", "line", "words").join(frequent, ["host", "line"]).select("key", "host", "pos", "line", "words")
+
+
 def flagged_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """(key, host, pos, line, words) of the lines of documents that are above the limit."""
-    lines = materialize(line_table(docs, key, host), "lines")
-    return lines.select("key", "host", "pos", "line", "words").join(frequent_lines(lines, limits), ["host", "line"]).select("key", "host", "pos", "line", "words")
+    return _hits(*_lines_and_frequent(docs, key, host, limits))
 
 
 def _words_of_lines(hit: DataFrame) -> DataFrame:
@@ -139,20 +149,33 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id", host: str = "source",
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("n_removed"), limits))
 
 
-def _without(docs: DataFrame, hit: DataFrame, key: str, host: str) -> DataFrame:
-    """docs without the lines of hit, found by their hash and host, so that rows of one key keep their own lines; n_chars follows."""
-    gone = materialize(hit.groupBy("key", "host").agg(F.collect_set("line").alias("_gone")), "flagged").toDF("_key", "_host", "_gone")
-    out = docs.join(gone, (F.col(key) == F.col("_key")) & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda s: ~F.array_contains("_gone", _line_hash(words_of(s)))), "\n")
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+def _without(docs: DataFrame, hit: DataFrame, frequent: DataFrame, key: str, host: str) -> DataFrame:
+    """docs without their frequent lines, all other lines as they are; n_chars follows. Rows without a key stay as they are.
+
+    Up to BROADCAST_LINES frequent lines go to all tasks, by host, so that no
+    text is shuffled; of more, those of each document reach it by a join.
+    """
+    own = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    if frequent.count() <= BROADCAST_LINES:
+        gone = frequent.groupBy("host").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("host", "_host")
+        out = docs.join(F.broadcast(gone), (own == F.col("_host")) & F.col(key).isNotNull(), "left")
+    else:
+        gone = materialize(hit.groupBy("key", "host").agg(F.collect_set("line").alias("_gone")), "flagged").toDF("_key", "_host", "_gone")
+        out = docs.join(gone, (F.col(key) == F.col("_key")) & (own == F.col("_host")), "left")
+    lines = F.split("text", "\n")
+    kept = F.filter(lines, lambda s: ~F.array_contains("_gone", _line_hash(words_of(s))))
+    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept))
+    out = out.withColumn("_new", F.when(F.size("_kept") < F.size(lines), F.array_join("_kept", "\n")))
+    new = {"text": F.coalesce("_new", "text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select([new[c].alias(c) if c in new else c for c in docs.columns])
 
 
 def strip_frequent_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """docs with frequent lines taken out of the texts; texts without any stay as they are."""
-    return _without(docs, flagged_lines(docs, key, host, limits), key, host)
+    lines, frequent = _lines_and_frequent(docs, key, host, limits)
+    return _without(docs, _hits(lines, frequent), frequent, key, host)
 
 
 def drop_low_quality(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits(), strip: bool = False) -> DataFrame:
@@ -162,17 +185,17 @@ def drop_low_quality(docs: DataFrame, key: str = "doc_id", host: str = "source",
     against, from a written table, so that Spark knows its size when it picks
     the join.
     """
-    hit = flagged_lines(docs, key, host, limits)
-    hit = materialize(hit, "hits") if strip else hit
-    removed = _words_of_lines(hit)
+    lines, frequent = _lines_and_frequent(docs, key, host, limits)
+    hit = materialize(_hits(lines, frequent), "hits")
     sizes = docs.select(F.col(key).alias("key"), F.size(words_of(F.coalesce("text", F.lit("")))).alias("n_words"))
-    gone = materialize(removed.join(sizes, "key").where(depleted(F.col("n_words"), F.col("n_removed"), limits)).select(F.col("key").alias(key)).distinct(), "depleted")
+    gone = materialize(_words_of_lines(hit).join(sizes, "key").where(depleted(F.col("n_words"), F.col("n_removed"), limits)).select(F.col("key").alias(key)).distinct(), "depleted")
+    remove(docs.sparkSession, lines)
     whole = docs.select(F.struct("*").alias("_row"), "text")
     # a filter on an id as well isn't pushed below the projections; pushed down, it would repeat their array expressions for every element
     judged = quality_signals(whole).select("_row", "base_failed", F.monotonically_increasing_id().alias("_id"))
     fine = judged.where(~F.col("base_failed") & (F.col("_id") >= 0)).select("_row.*")
     kept = fine.join(gone, key, "left_anti")
-    return _without(kept, hit.join(gone.toDF("key"), "key", "left_anti"), key, host) if strip else kept
+    return _without(kept, hit, frequent, key, host) if strip else kept
 
 
 ORACLE_SQL = """
