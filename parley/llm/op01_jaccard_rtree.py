@@ -49,7 +49,7 @@ CLASS_WIDTH = 1.4
 CELL_BLOCK, BLOCK_COORDINATES = 512, 1 << 21
 LEAF = 16
 #: Rounds of further pivots; later ones are left out when a round finds no link.
-MORE_PIVOTS = 3
+MORE_PIVOTS = 2
 #: Lonely shingles are looked for among this part of all, then among all shingles of the sets that are left.
 FIRST_PART = (3, 8)
 #: Nodes that a task remembers to pass equal documents over.
@@ -243,10 +243,10 @@ def fingerprints(docs: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def cell_rows(docs: DataFrame, size: int, limit: Threshold) -> DataFrame:
-    """(cell, node, kind) for the cells of each document. A task gives those of equal documents once, as far as it remembers them.
+    """(cell, node) for the cells of each document. A task gives those of equal documents once, as far as it remembers them.
 
-    kind is 0 for the only node of a slice of texts in its cell, 1 for the first
-    of several, 2 for the others.
+    The two lowest bits of a cell are not its own: they are 0 for the only node
+    of a slice of texts in its cell, 1 for the first of several, 2 for the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,51 +260,78 @@ def cell_rows(docs: DataFrame, size: int, limit: Threshold) -> DataFrame:
                 new = np.array([not (x in seen or seen.add(x)) for x in nodes.tolist()], bool)
                 n = np.diff(bounds)
                 cells, ends = cell_keys(sets[np.repeat(new, n)], np.concatenate([[0], np.cumsum(np.where(new, n, 0))]), limit)
+                cells = cells & ~3
                 order = np.argsort(cells, kind="stable")
                 cells, nodes = cells[order], np.repeat(nodes, np.diff(ends))[order]
                 again = np.concatenate([[False], cells[1:] == cells[:-1]])[: len(cells)]
                 followed = np.concatenate([again[1:], [False]])[: len(cells)]
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(nodes), pa.array(np.where(again, 2, followed.astype(np.int8)).astype(np.int8))], ["cell", "node", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells + np.where(again, 2, followed)), pa.array(nodes)], ["cell", "node"])
 
-    return docs.select("text").mapInArrow(run, "cell long, node long, kind byte")
+    return docs.select("text").mapInArrow(run, "cell long, node long")
 
 
 def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (cell, node, kind) in order: (cell, node) for the cells of two nodes or more. Holds no more than a batch."""
-    cell = last = waiting = None
+    """From (cell, node) in order: for a cell of just two nodes that stand in different slices, one row (null, node, other); for larger ones (cell, node, null) of each node. Holds no more than a batch."""
+    cell = last = None
+    waiting: list[int] = []  # the first nodes of the last cell, as long as they may be all of it
+
+    def rows(cells, nodes, others=None):
+        whole = others is None
+        return pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.int64()) if whole else pa.array(others, pa.int64())], ["cell", "node", "other"])
+
+    def pair(two):
+        return rows([None], [min(two)], [max(two)])
+
     for batch in batches:
-        cells, nodes, kinds = (batch.column(c).to_numpy() for c in ("cell", "node", "kind"))
-        sure = kinds == 2
-        out = [(cells[sure], nodes[sure])]
-        cells, nodes, kinds = cells[~sure], nodes[~sure], kinds[~sure]
-        if len(cells):
-            new = np.concatenate([[cell is None or cells[0] != cell], cells[1:] != cells[:-1]])
-            same = np.concatenate([[not new[0] and nodes[0] == last], ~new[1:] & (nodes[1:] == nodes[:-1])])
-            more = ~new & ~same
-            run = np.cumsum(new)
-            several = np.bincount(run, more | (kinds == 1), run[-1] + 1) > 0
-            if several[0] and waiting is not None:
-                out.append((np.array([cell]), np.array([waiting])))
-                waiting = None
-            go = more | (new & several[run])
-            out.append((cells[go], nodes[go]))
-            if run[-1]:
-                waiting = None if several[-1] else nodes[np.flatnonzero(new)[-1]]
-            cell, last = cells[-1], nodes[-1]
-        found = [np.concatenate(x) for x in zip(*out)]
-        if len(found[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["cell", "node"])
+        cells, nodes = batch.column("cell").to_numpy(), batch.column("node").to_numpy()
+        kinds, cells = cells & 3, cells & ~3
+        if (kinds == 2).any():
+            yield rows(cells[kinds == 2], nodes[kinds == 2])
+        cells, nodes, kinds = (x[kinds != 2] for x in (cells, nodes, kinds))
+        if not len(cells):
+            continue
+        new = np.concatenate([[cell is None or cells[0] != cell], cells[1:] != cells[:-1]])
+        same = np.concatenate([[not new[0] and nodes[0] == last], ~new[1:] & (nodes[1:] == nodes[:-1])])
+        run = np.cumsum(new)
+        held = len(waiting)  # of run 0, which is the last cell of the batch before
+        distinct = np.bincount(run, ~same, run[-1] + 1).astype(np.int64)
+        distinct[0] += held if cell is not None else 0
+        large = (distinct > 2) | (np.bincount(run, kinds == 1, run[-1] + 1) > 0)
+        if cell is not None and not held and not new[0]:
+            large[0] = True  # its nodes are on their way already
+        if held and large[0]:
+            yield rows([cell] * held, waiting)
+            waiting = []
+        go = large[run] & ~same
+        if go.any():
+            yield rows(cells[go], nodes[go])
+        if held and not large[0] and run[-1] > 0:
+            two = [*waiting, *nodes[(run == 0) & ~same].tolist()]
+            if len(two) == 2:
+                yield pair(two)
+            waiting = []
+        closed = np.flatnonzero(~large & (distinct == 2) & (np.arange(len(large)) > 0) & (np.arange(len(large)) < run[-1]))
+        if len(closed):
+            at = np.flatnonzero(np.isin(run, closed) & ~same)
+            first, second = nodes[at[::2]], nodes[at[1::2]]
+            yield rows([None] * len(first), np.minimum(first, second), np.maximum(first, second))
+        if run[-1] > 0 or not large[0]:
+            waiting = (waiting if run[-1] == 0 else []) + ([] if large[-1] else nodes[(run == run[-1]) & ~same].tolist())
+        cell, last = cells[-1], nodes[-1]
+    if len(waiting) == 2:
+        yield pair(waiting)
 
 
 def cell_members(docs: DataFrame, size: int, limit: Threshold) -> DataFrame:
-    """Distinct (cell, node) of the cells of two nodes or more.
+    """Distinct (cell, node, other): cells of three nodes or more with each node, and the pairs of all cells of two, which need no cell any more.
 
     Only the first node of each slice of texts goes to the task of its cell; the
     others are dealt out, as their first one brings the news that they are
     several. So a cell that is everywhere costs its task a row a slice.
     """
-    task = F.when(F.col("kind") < 2, F.col("cell")).otherwise(F.xxhash64("cell", "node"))
-    return cell_rows(docs, size, limit).repartition(task).sortWithinPartitions("cell", "node").mapInArrow(_member_rows, "cell long, node long").distinct()
+    own = F.shiftright("cell", 2)
+    task = F.when(F.col("cell").bitwiseAND(F.lit(3)) < 2, own).otherwise(F.xxhash64("cell", "node"))
+    return cell_rows(docs, size, limit).repartition(task).sortWithinPartitions(own, "node").mapInArrow(_member_rows, "cell long, node long, other long").distinct()
 
 
 def central_pivots(members: DataFrame, tried: DataFrame | None = None, joined: DataFrame | None = None) -> DataFrame:
@@ -502,8 +529,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
     docs = docs.select(key, "text")
     spark = docs.sparkSession
     prints = materialize(fingerprints(docs, key, size), "fingerprints")
-    members = materialize(cell_members(docs, size, limit), "members")
-    in_cells = members.select("node").distinct()
+    found = materialize(cell_members(docs, size, limit), "members")
+    members, twos = found.where("cell is not null").select("cell", "node"), found.where("cell is null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    in_cells = found.select("node").unionByName(twos.select(F.col("b").alias("node"))).distinct()
     points = materialize(prints.join(in_cells, "node", "left_semi").groupBy("node").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
     texts = materialize(texts_of(docs, key, points, size), "texts")
 
@@ -515,7 +543,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
 
     pivots = materialize(central_pivots(members), "pivots")
     stars = members.join(pivots, "cell").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    compared, links = compare(stars, None)
+    compared, links = compare(stars.unionByName(twos), None)
     labels = connected_components(links)
     used = [pivots]
     inside = materialize(open_members(members, points, labels), "open-members")
@@ -528,17 +556,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
         used.append(pivots)
         named = pivots.join(inside.select("cell", F.col("node").alias("pivot"), F.col("component").alias("other")), ["cell", "pivot"])
         stars = inside.join(named, "cell").where("component <> other").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        more, found = compare(stars, compared)
+        more, new = compare(stars, compared)
         compared = compared.unionByName(more)
-        if not found.limit(1).count():
+        if not new.limit(1).count():
             break
-        links = links.unionByName(found)
+        links = links.unionByName(new)
         labels = connected_components(links)
     inside = materialize(open_members(inside, nodes, labels), "open-members")
     fine = materialize(tree_points(nodes.join(inside.select("node").distinct(), "node", "left_semi"), texts, size), "tree-points")
     rest = materialize(open_pairs(inside, fine, limit).join(compared, ["a", "b"], "left_anti"), "open-pairs")
     labels = connected_components(links.unionByName(materialize(verified(rest, texts, size, limit), "links")))
-    remove(spark, members, points, texts, compared, inside, fine, rest, *used)
+    remove(spark, found, points, texts, compared, inside, fine, rest, *used)
     named = prints.select(key, "n", "node").join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
     least = named.where("n > 0").groupBy("node").agg(F.min(key).alias("least"))
     out = named.join(least.withColumn("filled", F.lit(True)), (named["node"] == least["node"]) & (named["n"] > 0), "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once, so that a task's memory does not follow the batch size; one longer text is still taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.ones(256, bool)
