@@ -674,7 +674,7 @@ def _(spark, sf):
     return kb.token_chunks(_docs(spark, sf), public_tokenizers.path("word_bpe_49k.json")).select("id", "source", "content")
 
 
-@query("src_6_knowledge_files", "SELECT concat('page-', page_id, '.html') AS title, coalesce(html, '') AS content, false AS is_error FROM pages UNION ALL SELECT concat('note-', doc_id, '.', ['md', 'txt', 'pdf', 'json'][doc_id % 4 + 1]), CASE WHEN doc_id % 4 <> 2 THEN coalesce(text, '') END, doc_id % 4 = 2 FROM documents")
+@query("src_6_knowledge_files", "SELECT concat('page-', page_id, '.html') AS title, html AS content, false AS is_error FROM pages WHERE coalesce(html, '') <> '' UNION ALL SELECT concat('note-', doc_id, '.', ['md', 'txt', 'pdf', 'json'][doc_id % 4 + 1]), CASE WHEN doc_id % 4 <> 2 THEN text END, doc_id % 4 = 2 FROM documents WHERE coalesce(text, '') <> ''")
 def _(spark, sf):
     return _knowledge(spark, sf).select("title", "content", "is_error")
 

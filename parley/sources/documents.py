@@ -88,7 +88,7 @@ def normalize_responses(df: DataFrame, column: str = "raw") -> DataFrame:
 
 
 def read_knowledge_files(spark: SparkSession, path: str) -> DataFrame:
-    """(id, source, content, title, is_chunk, is_error, error_message) of the files below path but hidden ones; an unsupported type is an error row."""
+    """(id, source, content, title, is_chunk, is_error, error_message) of the files below path but hidden and empty ones; an unsupported type is an error row."""
     name = F.col("_metadata.file_name")
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", name.alias("title"), F.col("_metadata.file_path").alias("source"))
     kind = F.lower(F.regexp_extract("title", r"\.([^.]+)$", 1))

@@ -25,7 +25,10 @@ def test_mappings_and_focus(spark):
     errors = [("low", "x", "d", "low", 0), ("med1", "x", "d", "medium", 1), ("med2", "x", "d", "medium", 2), ("crit", "x", "d", "Critical", 3), ("odd", "x", "d", "strange", 4), ("lost", "x", "d", "critical", 5), ("tie", "x", "d", "medium", 6)]
     occurrences = [("low", "a", 0), ("med1", "a", 0), ("med2", "a", 0), ("med2", "a", 1), ("med2", "gone", 1), ("crit", "b", 0), ("crit", "a", 0), ("odd", "a", 1), ("lost", "gone", 0), ("lost", "c", 0), ("tie", "b", 1)]
     m, s = mapped(spark, errors, occurrences, [("a", "s1"), ("b", "s2"), ("c", "unknown")], [("s1", "one"), ("s2", "two")])
-    got = [(r["error_index"], r["unique_error_id"], r["n_occurrences"], list(r["scenario_ids"])) for r in m.orderBy("error_index").collect()]
+    by = {}
+    for r in m.collect():
+        by.setdefault((r["error_index"], r["unique_error_id"], r["n_occurrences"]), []).append(r["scenario_id"])
+    got = [(*k, sorted(v)) for k, v in sorted(by.items())]
     assert got == [(1, "crit", 2, ["s1", "s2"]), (2, "med2", 3, ["s1"]), (3, "med1", 1, ["s1"]), (4, "tie", 1, ["s2"]), (5, "low", 1, ["s1"]), (6, "odd", 1, ["s1"])]
     focus = sorted((r["focus_set"], r["scenario_id"]) for r in E.focus_sets(m, s).collect())
     assert ("all_failures", "s1") in focus and ("all_failures", "s2") in focus and len([f for f in focus if f[0] == "all_failures"]) == 2 and len(focus) == 9
@@ -119,3 +122,100 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "f" / "focus_set=error_1")).count() == 1
     write_report_tables({"kpi": convo}, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r" / "kpi")).count() == 2
+
+
+def test_numbering_in_ranges(spark):
+    from parley.functions.tables import numbered
+
+    rows = spark.createDataFrame([(f"r{i % 3}", (i * 7919) % 100, i) for i in range(100)], "run_id string, v long, i long")
+    got = numbered(rows, [F.col("v").desc()], "at", partitions=7).collect()
+    assert [r["v"] for r in sorted(got, key=lambda r: r["at"])] == sorted(range(100), reverse=True) and sorted(r["at"] for r in got) == list(range(1, 101))
+    each = numbered(rows, [F.col("v").asc()], "at", ["run_id"], 5).collect()
+    for run in ("r0", "r1", "r2"):
+        mine = sorted((r["at"], r["v"]) for r in each if r["run_id"] == run)
+        assert [a for a, _ in mine] == list(range(1, len(mine) + 1)) and [v for _, v in mine] == sorted(v for _, v in mine)
+    assert numbered(rows.limit(0), [F.col("v").asc()], "at").count() == 0
+
+
+def test_runs_with_equal_conversation_ids_stay_apart(spark):
+    rows = [("a", "c1", 0, 1.0, "repetition", "Said 1"), ("a", "c1", 1, 1.0, "repetition", "said 2"), ("b", "c1", 0, 1.0, "repetition", "said 3"), ("b", "c1", 1, 1.0, "unsafe action", "x"), ("b", "c2", 0, 4.0, C.NO_FAILURE, "")]
+    evals = spark.createDataFrame(rows, "run_id string, conversation_id string, turn_id long, turn_score double, label string, reason string")
+    errors, occurrences = E.group_failures(evals)
+    assert sorted((r["run_id"], r["category"], r["n_occurrences"]) for r in errors.collect()) == [("a", "repetition", 2), ("b", "repetition", 1), ("b", "unsafe action", 1)]
+    assert {(r["run_id"], r["turn_id"]): len(r["unique_error_ids"]) for r in E.link_errors(evals, occurrences).where("conversation_id = 'c1'").collect()} == {("a", 0): 1, ("a", 1): 1, ("b", 0): 1, ("b", 1): 1}
+    conversations = spark.createDataFrame([("a", "c1", "s1"), ("b", "c1", "s2"), ("b", "c2", "s1")], "run_id string, conversation_id string, scenario_id string")
+    scenarios = spark.createDataFrame([("s1", "one", ""), ("s2", "two", "")], "scenario_id string, goal string, user_profile string")
+    m = E.error_scenario_mappings(errors, occurrences, conversations, scenarios)
+    assert sorted((r["run_id"], r["error_index"], r["severity"], r["scenario_id"]) for r in m.collect()) == [("a", 1, "low", "s1"), ("b", 1, "critical", "s2"), ("b", 2, "low", "s2")]
+    focus = E.focus_sets(m, scenarios).where("focus_set = 'all_failures'").collect()
+    assert sorted((r["run_id"], r["scenario_id"]) for r in focus) == [("a", "s1"), ("b", "s2")]
+    golden = spark.createDataFrame([("a", "c1", 0, "repetition"), ("b", "c1", 0, "false information")], "run_id string, conversation_id string, pos int, label string")
+    assert {r["expected"]: r["agreed"] for r in E.judge_agreement(evals, golden).collect()} == {"repetition": 1, "false information": 0}
+    best = {r["category"]: (r["conversations"], r["scenarios"]) for r in E.top_errors(errors.where("run_id = 'b'"), occurrences, conversations).collect()}
+    assert best == {"unsafe action": (1, 1), "repetition": (1, 1)}
+    labels = report.conversation_labels(conversations, 3).collect()
+    assert sorted((r["run_id"], r["conversation_id"], r["label"]) for r in labels) == [("a", "c1", "Conversation 1"), ("b", "c1", "Conversation 1"), ("b", "c2", "Conversation 2")]
+    quant = spark.createDataFrame([("a", "c1", 0, "helpfulness", "turn", 1.0), ("b", "c1", 0, "helpfulness", "turn", 4.0)], "run_id string, conversation_id string, turn_id long, name string, scope string, value double")
+    issues = {(r["run_id"], r["turn_id"]): r["issues"] for r in report.turn_issues(evals.where("conversation_id = 'c1' and turn_id = 0"), quant).collect()}
+    assert issues == {("a", 0): "repetition: Said 1; helpfulness (1.0)", ("b", 0): "repetition: said 3"}
+    assert {(r["run_id"], r["scores"][0]["value"]) for r in report.turn_rows(evals, quant).where("size(scores) > 0").collect()} == {("a", 1.0), ("b", 4.0)}
+    said = spark.createDataFrame([("a", "c1", 0, "simulated_user", "ua"), ("a", "c1", 1, "assistant", "aa"), ("b", "c1", 0, "simulated_user", "ub"), ("b", "c1", 1, "assistant", "ab")], "run_id string, conversation_id string, msg_pos int, role string, content string")
+    first = report.error_snippets(occurrences.where("turn_id = 0"), said, evals).collect()
+    assert sorted((r["run_id"], r["user_msg"], r["assistant_msg"]) for r in first) == [("a", "ua", "aa"), ("b", "ub", "ab")]
+    rows = report.error_rows(errors, occurrences).collect()
+    assert sorted((r["run_id"], r["category"], list(r["turns"])) for r in rows) == [("a", "repetition", ["turn_0", "turn_1"]), ("b", "repetition", ["turn_0"]), ("b", "unsafe action", ["turn_1"])]
+
+
+def test_search_with_text_ids_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kb, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(kb, "CHUNK_BLOCK", 5)
+    rng = np.random.default_rng(3)
+    m = {f"doc{i}_{i % 4}": rng.normal(size=6) for i in range(31)}
+    m["doc_same"] = m["doc3_3"]
+    v = kb.l2_normalize(spark.createDataFrame([(k, [float(y) for y in x]) for k, x in m.items()], "id string, embedding array<double>"))
+    unit = {k: x / np.linalg.norm(x) for k, x in m.items()}
+    found = {(r["query_id"], r["place"]): r["chunk_id"] for r in kb.top_k(v.withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "chunk_id").repartition(3), 4).collect()}
+    assert len(found) == 4 * len(m)
+    for q in unit:
+        order = sorted(unit, key=lambda i: (-round(float(unit[q] @ unit[i]), 12), i))[:4]
+        assert [found[q, k + 1] for k in range(4)] == order
+    assert kb.top_k(v.withColumnRenamed("id", "query_id"), v.limit(0).withColumnRenamed("id", "chunk_id")).count() == 0
+
+
+def test_token_chunks(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["one two three " * 40, "x", "", None, "é 中文 \U0001f600 " * 9, "a b c d e f g h i j"]
+    docs = spark.createDataFrame([(i, "s", t, False, False) for i, t in enumerate(texts)], "id long, source string, content string, is_chunk boolean, is_error boolean")
+    got = {}
+    for r in kb.token_chunks(docs, path, 10, 3).collect():
+        got.setdefault(int(r["id"].split("_")[0]), {})[int(r["id"].split("_")[1])] = r["content"]
+    encoder = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        if not t:
+            assert i not in got
+            continue
+        at = encoder.encode(t, add_special_tokens=False).offsets
+        want, start = [], 0
+        while True:
+            part = at[start : start + 10]
+            want.append(t[part[0][0] : part[-1][1]])
+            if start + 10 >= len(at):
+                break
+            start += 7
+        assert [got[i][k] for k in range(len(got[i]))] == want, i
+
+
+def test_knowledge_files_to_chunks(spark, tmp_path):
+    from parley.functions.tables import write_files
+    from parley.sources.documents import read_knowledge_files
+
+    root = f"file://{tmp_path}/kb"
+    rows = [("a.html", "<title>T</title><p>one <a href='/x'>two</a></p>"), ("b.md", "three"), ("c.pdf", "x"), (".hidden.md", "no"), ("d.txt", None)]
+    assert write_files(spark.createDataFrame(rows, "name string, content string"), root) == 5
+    files = kb.readable(read_knowledge_files(spark, root))
+    got = {r["source"].rpartition("/")[2]: (r["title"], r["content"], r["is_error"]) for r in files.collect()}
+    assert got == {"a.html": ("T", "T\none\ntwo /x", False), "b.md": ("b.md", "three", False), "c.pdf": ("c.pdf", None, True)}
+    assert sorted(r["content"] for r in kb.chunk_documents(files, 100, 10).collect()) == ["T\none\ntwo /x", "three"]
