@@ -32,7 +32,7 @@ PAIRS = 6
 CUT = 0.3
 
 FEATURES = [
-    "log_words", "word_length", "symbols", "upper", "digits", "distinct_words", "same_as_before", "exclamations", "bars", "words_per_line", "stops", "other_bytes", "inner_marks", "first_half_distinct",
+    "log_words", "word_length", "symbols", "upper", "digits", "distinct_words", "same_as_before", "exclamations", "bars", "words_per_line", "stops", "other_bytes", "inner_marks", "distinct_nearby",
 ]
 
 
@@ -46,6 +46,22 @@ _SYMBOLS, _UPPER, _DIGITS = _class(b"#*$%&<>@^~{}[]\\/+="), _class(bytes(range(6
 _BANG, _BAR, _LINE, _STOP, _HIGH = _class(b"!"), _class(b"|"), _class(b"\n"), _class(b".,"), _class(bytes(range(128, 256)))
 
 
+def _distinct_nearby(words: np.ndarray, at: np.ndarray, window: int = 100) -> np.ndarray:
+    """Mean share of distinct words in the windows that each text is cut into; 0 without words."""
+    n = np.diff(at)
+    windows = -(-n // window)
+    first = np.concatenate([[0], np.cumsum(windows)])
+    owner = np.repeat(np.arange(len(n)), n)
+    place = first[owner] + (np.arange(len(words)) - at[owner]) // window
+    order = np.lexsort([words, place])
+    w, p = words[order], place[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (p[1:] != p[:-1])
+    total = first[-1]
+    share = np.bincount(p, new, total) / np.maximum(np.bincount(p, minlength=total), 1)
+    return np.bincount(np.repeat(np.arange(len(n)), windows), share, len(n)) / np.maximum(windows, 1)
+
+
 def features(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """One row of FEATURES for each text of a slice."""
     words, at = word_hashes(data, rows)
@@ -58,16 +74,14 @@ def features(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     same = np.concatenate([[0, 0], np.cumsum(words[1:] == words[:-1])])[: len(words) + 1] if len(words) else np.zeros(1)
     inside = np.maximum(at[:-1] + 1, 0)
     repeats = np.where(n > 1, same[at[1:]] - same[np.minimum(inside, at[1:])], 0)
-    distinct, half = np.zeros(len(n)), np.zeros(len(n))
-    for i, (a, b) in enumerate(zip(at, at[1:])):
-        distinct[i] = len(np.unique(words[a:b]))
-        half[i] = len(np.unique(words[a : a + min(100, b - a)]))
+    distinct = np.array([len(np.unique(words[a:b])) for a, b in zip(at, at[1:])], float)
+    nearby = _distinct_nearby(words, at)
     lines = share(_LINE) * size + 1
     symbols = share(_SYMBOLS)
     return np.stack(
         [
             np.log1p(n), size / np.maximum(n, 1), symbols, share(_UPPER), share(_DIGITS), distinct / np.maximum(n, 1) * np.log1p(n),
-            repeats / np.maximum(n, 1), share(_BANG), share(_BAR), np.log1p(n / lines), share(_STOP), share(_HIGH), symbols * size / np.maximum(n, 1), half / np.maximum(np.minimum(n, 100), 1),
+            repeats / np.maximum(n, 1), share(_BANG), share(_BAR), np.log1p(n / lines), share(_STOP), share(_HIGH), symbols * size / np.maximum(n, 1), nearby,
         ],
         1,
     )
@@ -209,7 +223,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
 
 
 def score(docs: DataFrame, model: Gam, key: str = "doc_id", cut: float = CUT) -> DataFrame:
-    """One row for each row of docs: key, held_out, score, predicted. Null and empty texts are scored as texts without words."""
+    """One row for each row of docs: key, held_out, score, predicted.
+
+    Null and empty texts are scored as texts without words. A row's score
+    follows from its text alone, so repeated rows and equal texts get equal
+    scores; no rows give no rows. Other columns of docs are ignored.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

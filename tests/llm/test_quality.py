@@ -134,3 +134,14 @@ def test_pairs_learn_what_single_features_cannot():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
     model = op10.fit(x[:3000], y[:3000], rounds=20, pair_rounds=60, n_pairs=1)
     assert model.pairs == [(0, 1)] and ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
+
+
+def test_distinct_words_nearby_reads_whole_texts():
+    rng = np.random.default_rng(4)
+    n = np.array([0, 1, 99, 100, 101, 450, 0])
+    at = np.concatenate([[0], np.cumsum(n)])
+    words = rng.integers(0, 60, at[-1]).astype(np.uint64)
+    got = op10._distinct_nearby(words, at)
+    for i in range(len(n)):
+        parts = [words[at[i] : at[i + 1]][j : j + 100] for j in range(0, n[i], 100)]
+        assert got[i] == pytest.approx(np.mean([len(set(p.tolist())) / len(p) for p in parts]) if parts else 0)
