@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from parley.llm import op09_line_frequency as op9
 from parley.llm import op10_gam as op10
