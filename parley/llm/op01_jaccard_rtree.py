@@ -504,13 +504,14 @@ def open_pairs(inside: DataFrame, points: DataFrame, limit: Threshold) -> DataFr
     blocks of at most about CELL_BLOCK members, each pair of blocks to its own
     tree.
     """
-    width = F.length("point")
-    inside = inside.join(points.select("node", "reach", "point"), "node")
-    sums = inside.groupBy("cell").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("face"), F.max("node").alias("top"), F.min("node").alias("bottom"), F.sum(width).alias("width"))
+    # cells are weighed without their points, which only those that are kept get
+    sizes = points.select("node", F.length("point").alias("width"))
+    sums = inside.join(sizes, "node").groupBy("cell").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("face"), F.max("node").alias("top"), F.min("node").alias("bottom"), F.sum("width").alias("width"))
     kept = sums.groupBy("face", "members", "top", "bottom").agg(F.min("cell").alias("cell"), F.first("width").alias("width"))
     blocks = F.ceil(F.greatest(F.col("members") / CELL_BLOCK, F.col("width") / BLOCK_COORDINATES)).cast("int")
     kept = materialize(kept.select("cell", blocks.alias("blocks")), "open-cells")
     inside = inside.join(kept, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    inside = inside.join(points.select("node", "reach", "point"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = inside.withColumn("other", other).select("cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "component", "block", "reach", "point")
     return dealt.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(_tree_pairs(limit), "a long, b long").distinct()
@@ -565,7 +566,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
     inside = materialize(open_members(inside, nodes, labels), "open-members")
     fine = materialize(tree_points(nodes.join(inside.select("node").distinct(), "node", "left_semi"), texts, size), "tree-points")
     rest = materialize(open_pairs(inside, fine, limit).join(compared, ["a", "b"], "left_anti"), "open-pairs")
-    labels = connected_components(links.unionByName(materialize(verified(rest, texts, size, limit), "links")))
+    last = materialize(verified(rest, texts, size, limit), "links")
+    if last.limit(1).count():
+        labels = connected_components(links.unionByName(last))
     remove(spark, found, points, texts, compared, inside, fine, rest, *used)
     named = prints.select(key, "n", "node").join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
     least = named.where("n > 0").groupBy("node").agg(F.min(key).alias("least"))
