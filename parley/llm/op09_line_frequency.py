@@ -55,7 +55,8 @@ def quality_signals(docs: DataFrame) -> DataFrame:
     space. n_repeat_words: sorted window hashes show whether any window
     repeats. Only then (hash, position) pairs are sorted, and the union of
     [p, p + 2] over the repeated positions p is measured: n log n steps for
-    any text.
+    any text. Columns of docs with the names of the added ones give way to them;
+    all others pass.
     """
     out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     out = out.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda s: s.rlike(INK)))
