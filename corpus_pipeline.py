@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All but the last keep the
-columns of documents.
+columns of documents and any further ones; only names that begin with an
+underscore are the stages' own. Rows of null or empty texts fail the quality
+rules, repeated rows of a key become one in the Jaccard join, and an empty table
+stays empty.
 """
 
 from __future__ import annotations
