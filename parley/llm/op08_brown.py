@@ -43,7 +43,7 @@ SWEEPS = 4
 BASE_ADD = 0.1
 TRANSITION_ADD = 5.0
 #: Distinct rows that a counting task holds before it passes them on.
-HELD_ROWS = 1_000_000
+HELD_ROWS = 300_000
 
 
 def held_out(key: Column, parts: int = 10) -> Column:
@@ -264,11 +264,10 @@ def _likelihood(m: np.ndarray) -> float:
 
 
 def neighbours(pairs: DataFrame, head: Head) -> DataFrame:
-    """(w, others, sides, ns): for each exchange word its bigrams, those it begins (side 0) and those it ends (side 1); at most twice EXCHANGE_WORDS of them."""
-    ahead = pairs.where(F.col("a") < head.exchange).select(F.col("a").alias("w"), F.col("b").alias("other"), F.lit(0).alias("side"), "n")
-    behind = pairs.where(F.col("b") < head.exchange).select(F.col("b").alias("w"), F.col("a").alias("other"), F.lit(1).alias("side"), "n")
-    x = ahead.unionByName(behind).groupBy("w").agg(F.collect_list(F.struct("other", "side", "n")).alias("x"))
-    return x.select("w", F.col("x.other").alias("others"), F.col("x.side").alias("sides"), F.col("x.n").alias("ns"))
+    """(w, other, side, n), the rows of a word together: the bigrams that each exchange word begins (side 0) and ends (side 1)."""
+    row = lambda w, other, side: pairs.where(F.col(w) < head.exchange).select(F.col(w).cast("int").alias("w"), F.col(other).cast("int").alias("other"), F.lit(side).alias("side"), "n")
+    # few rows that cost much: without the number Spark would put them into few tasks
+    return row("a", "b", 0).unionByName(row("b", "a", 1)).repartition(1 + head.exchange // 250, "w").sortWithinPartitions("w")
 
 
 def _turn(w: np.ndarray, classes: np.ndarray, sweep: int) -> np.ndarray:
@@ -282,22 +281,40 @@ def _proposals(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, m, allowed, sweep = shared.value
         k = len(m)
+        held: tuple[int, np.ndarray] | None = None  # the word whose rows may go on in the next batch, and its counts so far
+
+        def best(w: int, counts: np.ndarray) -> int:
+            gain = _gains(m, counts[:k], counts[k : 2 * k], counts[2 * k], classes[w], allowed)
+            if classes[w] >= 0:
+                gain[classes[w]] += 1e-9
+            return int(np.argmax(gain))
+
         for batch in batches:
-            batch = batch.filter(pa.array(_turn(batch.column("w").to_numpy(), classes, sweep)))
-            w, lists = batch.column("w").to_numpy(), batch.column("others")
-            other, side, n = (batch.column(c).flatten().to_numpy() for c in ("others", "sides", "ns"))
-            row = np.repeat(np.arange(len(w)), lists.value_lengths().to_numpy())
-            itself = np.bincount(row, np.where((other == w[row]) & (side == 0), n, 0), len(w))
-            use = (other != w[row]) & (classes[other] >= 0)
-            at = row[use] * k + classes[other[use]]
-            ahead, behind = (np.bincount(at, np.where(side[use] == x, n[use], 0), len(w) * k).reshape(-1, k) for x in (0, 1))
-            best = np.zeros(len(w), np.int64)
-            for i, own in enumerate(classes[w]):
-                gain = _gains(m, ahead[i], behind[i], itself[i], own, allowed)
-                if own >= 0:
-                    gain[own] += 1e-9
-                best[i] = np.argmax(gain)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(best)], ["w", "class"])
+            batch = batch.filter(pa.array(_turn(batch.column("w").to_numpy().astype(np.int64), classes, sweep)))
+            if not batch.num_rows:
+                continue
+            w, other, side, n = (batch.column(c).to_numpy() for c in ("w", "other", "side", "n"))
+            words, row = np.unique(w, return_inverse=True)
+            own = other == w
+            use = ~own & (classes[other] >= 0)
+            # the class bigrams that a word begins, those that it ends, and those with itself
+            at = row * (2 * k + 1) + np.where(own, 2 * k, side * k + classes[other])
+            use |= own & (side == 0)
+            counts = np.bincount(at[use], n[use], len(words) * (2 * k + 1)).reshape(-1, 2 * k + 1)
+            done: list[tuple[int, int]] = []
+            if held is not None:
+                i = int(np.searchsorted(words, held[0]))
+                if i < len(words) and words[i] == held[0]:
+                    counts[i] += held[1]
+                else:
+                    done.append((held[0], best(*held)))
+            last = int(np.searchsorted(words, w[-1]))
+            held = int(w[-1]), counts[last]
+            done += [(int(x), best(int(x), c)) for i, (x, c) in enumerate(zip(words, counts)) if i != last]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], ["w", "class"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([best(*held)])], ["w", "class"])
 
     return run
 
@@ -344,8 +361,7 @@ def exchange(pairs: DataFrame, head: Head, classes: int = CLASSES, sweeps: int =
     inside = lambda c: (F.col(c) < seeds) | (F.col(c) >= n)
     first = pairs.where(inside("a") & inside("b")).repartition(1).mapInArrow(seed, "class long").toArrow().column("class").to_numpy()
     found[:seeds] = first[:seeds] if len(first) else 0
-    # rows are few but cost much: without the number Spark would put them into few tasks
-    near = materialize(neighbours(pairs, head).repartition(1 + n // 1000, "w"), "neighbours")
+    near = materialize(neighbours(pairs, head), "neighbours")
     m = class_pairs(pairs, found, k)
     for sweep in range(2 * sweeps + 1 if n else 0):
         shared = spark.sparkContext.broadcast((found, m, min(classes, max(1, seeds)), sweep))
