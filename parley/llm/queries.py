@@ -16,6 +16,7 @@ from parley.llm import op07_warc as op7
 from parley.llm import op08_brown as op8
 from parley.llm import op09_line_frequency as op9
 from parley.llm import op10_gam as op10
+from parley.llm import op11_relative_lz as op11
 
 
 def tokenizer_path() -> str:
@@ -79,6 +80,10 @@ def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_rtree": op1_jaccard_rtree,
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_brown": op8_brown,
         "op9_line_frequency": op9_line_frequency,
         "op10_gam": op10_gam,
+        "op11_relative_lz": op11_relative_lz,
     }
 
 
@@ -99,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_array": op5.ORACLE_SQL,
         "op7_warc": op7.ORACLE_SQL,
         "op9_line_frequency": op9.ORACLE_SQL,
+        "op11_relative_lz": op11.ORACLE_SQL,
     }

@@ -59,8 +59,8 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str = "white") -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each lower-cased word, index of the first word of each row, and one past the last)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, kind: str = "white", lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, index of the first word of each row, and one past the last; first byte of each word, one past its last)."""
     low = _LOWER[data]
     inside = WORD_BYTES[kind][low]
     before = np.empty_like(inside)
@@ -77,9 +77,28 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str = "white") -> t
     up, down = _power_tables(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+        np.cumsum(((low if lower else data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
         words = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    return words, np.searchsorted(starts, offsets)
+    return words, np.searchsorted(starts, offsets), starts, ends
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str = "white") -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each lower-cased word, index of the first word of each row, and one past the last)."""
+    return word_spans(data, offsets, kind)[:2]
+
+
+class RunHashes:
+    """Hashes of runs words[a:b], any a and b, each in constant time."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = _power_tables(len(words) + 1)
+        self.total = np.zeros(len(words) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(words * up[: len(words)], out=self.total[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def shingle_sets(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
