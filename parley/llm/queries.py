@@ -17,6 +17,8 @@ from parley.llm import op08_brown as op8
 from parley.llm import op09_line_frequency as op9
 from parley.llm import op10_gam as op10
 from parley.llm import op11_relative_lz as op11
+from parley.llm import op12_q_chunks as op12
+from parley.llm import op13_term_pipeline as op13
 
 
 def tokenizer_path() -> str:
@@ -84,6 +86,14 @@ def op11_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op12_q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_rtree": op1_jaccard_rtree,
@@ -97,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_frequency": op9_line_frequency,
         "op10_gam": op10_gam,
         "op11_relative_lz": op11_relative_lz,
+        "op12_q_chunks": op12_q_chunks,
+        "op13_term_pipeline": op13_term_pipeline,
     }
 
 
@@ -106,4 +118,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": op7.ORACLE_SQL,
         "op9_line_frequency": op9.ORACLE_SQL,
         "op11_relative_lz": op11.ORACLE_SQL,
+        "op12_q_chunks": op12.ORACLE_SQL,
+        "op13_term_pipeline": op13.ORACLE_SQL,
     }
