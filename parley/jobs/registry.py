@@ -17,7 +17,8 @@ from parley.operators import gates as G
 from parley.operators import kb, report, scoring, traces, trajectory, turns
 from parley.sources import documents
 from parley.sources.adapters import SQL, adapt
-from parley.streaming.spans import collect_batch, stream_tool_calls
+from parley.streaming.spans import TurnCalls, read_payload_stream
+from parley.streaming.turns import EVENTS, FATES, collect_batch, collect_stream, run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -464,9 +465,9 @@ def _split_calls(spark, sf):
     return documents.canonical_arguments(explicit.drop("event_id")), documents.canonical_arguments(traced.withColumn("id", F.when(F.col("event_id") % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("t"), "id"))).drop("event_id"))
 
 
-def _payloads(spark, sf, seconds: bool = False):
-    """Calls as span payloads, one for each turn, in both spellings."""
-    calls = adapt(spark, sf, "calls")
+def _payloads(spark, sf, half: int | None = None):
+    """Calls as span payloads, one for each turn, in both spellings; half: only the calls at even or odd places."""
+    calls = adapt(spark, sf, "calls") if half is None else adapt(spark, sf, "calls").where(F.col("call_pos") % 2 == half)
     camel = F.col("turn_id") % 2 == 0
     attr = lambda k, kind, v: F.concat(F.lit(f'{{"key":"{k}","value":{{"{kind}":'), v, F.lit("}}"))
     args = F.regexp_replace(F.to_json(F.struct(F.coalesce("arguments", F.lit("{}")).alias("x"))), r'^\{"x":(.*)\}$', "$1")
@@ -484,9 +485,16 @@ def _(spark, sf):
     return traces.spans_to_tool_calls(traces.route_spans(documents.parse_otlp(_payloads(spark, sf)))).select("conversation_id", "turn_id", "id", "name", "arguments", "source")
 
 
-@query("str_1_stream_tool_calls", _with("calls") + "SELECT conversation_id::VARCHAR AS conversation_id, count(*) AS calls FROM t_calls GROUP BY 1")
+@query("str_1_stream_tool_calls", _with("calls") + "SELECT conversation_id::VARCHAR AS conversation_id, turn_id::INT AS turn_id, count(*) AS calls, string_agg(id, ',' ORDER BY id) AS ids FROM t_calls GROUP BY 1, 2")
 def _(spark, sf):
-    return stream_tool_calls(_payloads(spark, sf)).groupBy("conversation_id").agg(F.count("*").alias("calls"))
+    """Payloads in files, those of a turn in two of them, accumulated by a stream into one row for each turn; the first batches come twice."""
+    source, table = fresh_path(spark, "payloads"), TurnCalls(spark, fresh_path(spark, "turn-calls"), buckets=8)
+    for half in (0, 1):
+        _payloads(spark, sf, half).coalesce(2).write.mode("append").text(source)
+    stream = read_payload_stream(spark, source, wholetext=False, maxFilesPerTrigger=2)
+    for _ in range(2):  # the second query has no checkpoint, so it replays all batches
+        table.run(stream, fresh_path(spark, "stream")).awaitTermination()
+    return table.read().select("conversation_id", "turn_id", F.size("calls").cast("long").alias("calls"), F.array_join(F.sort_array(F.transform("calls", lambda c: c["id"])), ",").alias("ids"))
 
 
 @query("trc_4_parse_arguments", _with("calls") + "SELECT id, CASE WHEN event_id % 3 = 0 THEN '{}' ELSE replace(arguments, ' ', '') END AS arguments FROM t_calls")
@@ -816,14 +824,63 @@ def _(spark, sf):
 # streams' batch twin, metrics
 
 
-@query("str_2_3_collect_turns", _with("calls", more="c AS (SELECT conversation_id, turn_id, id, call_pos * 0.04::DOUBLE + (event_id % 3) * 0.05::DOUBLE AS arrival FROM t_calls), m AS (SELECT *, min(arrival) OVER (PARTITION BY conversation_id, turn_id) AS first FROM c)") + """SELECT conversation_id, turn_id, count(*) FILTER (took) AS calls, count(*) FILTER (NOT took) AS late FROM (SELECT *, arrival <= CASE WHEN turn_id % 2 = 0 AND first > 0.03 THEN 0.03::DOUBLE WHEN turn_id % 2 = 0 THEN 0.03::DOUBLE + 0.1::DOUBLE ELSE greatest(first, 0.03::DOUBLE) + 0.1::DOUBLE END AS took FROM m) GROUP BY 1, 2""")
-def _(spark, sf):
-    calls = adapt(spark, sf, "calls").select("conversation_id", "turn_id", "id", (F.col("call_pos") * 0.04 + (F.col("event_id") % 3) * 0.05).alias("arrival"))
-    ends = calls.select("conversation_id", "turn_id").distinct().withColumns({"waited_from": F.lit(0.03), "signalled": F.col("turn_id") % 2 == 0})
-    took, late = collect_batch(calls, ends)
-    keys = ["conversation_id", "turn_id"]
-    a, b = took.groupBy(*keys).agg(F.count("*").alias("calls")), late.groupBy(*keys).agg(F.count("*").alias("late"))
-    return ends.select(*keys).join(a, keys, "left").join(b, keys, "left").select(*keys, F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("late", F.lit(0)).alias("late"))
+#: Calls and awaited turns in milliseconds. Each fourth turn is waited for late, when later turns have closed; turn 0 of each seventh conversation never.
+_SPANS = """c AS (SELECT conversation_id, turn_id, id, turn_id * 1000 + call_pos * 40 + (event_id % 3) * 50 AS arrival FROM t_calls),
+ e AS (SELECT DISTINCT conversation_id, turn_id, turn_id * 1000 + 30 + CASE WHEN turn_id % 4 = 1 THEN 2500 ELSE 0 END AS w, turn_id % 2 = 0 AS s FROM t_calls WHERE turn_id <> 0 OR conversation_id % 7 <> 0)"""
+#: Ends from each conversation's last turn down: ds has those of the later turns, which purge what came before the wait, or before the end.
+_FATES = _SPANS + """,
+ g AS (SELECT e.conversation_id, e.turn_id, w, s, coalesce(list(arrival) FILTER (arrival IS NOT NULL), []) AS arr FROM e LEFT JOIN c USING (conversation_id, turn_id) GROUP BY e.conversation_id, e.turn_id, w, s),
+ a AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_id DESC) AS k FROM g),
+ r(conversation_id, turn_id, k, ds, d) AS (SELECT conversation_id, turn_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM a WHERE k = 1
+  UNION ALL SELECT conversation_id, turn_id, k, ds, CASE WHEN s THEN w + CASE WHEN len(list_filter(live, lambda x: x <= w)) > 0 THEN 100 ELSE 0 END WHEN len(list_filter(live, lambda x: x <= w + 5000)) = 0 THEN w + 5000
+    ELSE greatest(list_min(list_filter(live, lambda x: x <= w + 5000)), w) + 100 END
+   FROM (SELECT *, list_filter(arr, lambda x: x > coalesce(list_max(list_filter(ds, lambda y: y < w)), -1)) AS live
+    FROM (SELECT a.conversation_id, a.turn_id, a.k, a.w, a.s, a.arr, CASE WHEN r.d IS NULL THEN r.ds ELSE list_append(r.ds, r.d) END AS ds FROM r JOIN a ON a.conversation_id = r.conversation_id AND a.k = r.k + 1))),
+ d AS (SELECT conversation_id, turn_id, ds, d FROM r WHERE k > 0),
+ f AS (SELECT c.conversation_id, c.turn_id, c.id, CASE WHEN arrival > d.d THEN 'late' WHEN d.d IS NOT NULL AND arrival <= coalesce(list_max(list_filter(ds, lambda y: y < d.d)), -1) THEN 'purged' WHEN d.d IS NOT NULL THEN 'turn'
+   WHEN arrival <= (SELECT max(h.d) FROM d h WHERE h.conversation_id = c.conversation_id AND h.turn_id > c.turn_id) THEN 'purged' ELSE 'stale' END AS fate FROM c LEFT JOIN d USING (conversation_id, turn_id))"""
+_FATE_COUNTS = "SELECT conversation_id, turn_id, fate, count(*) AS calls, string_agg(id, ',' ORDER BY id) AS ids FROM f GROUP BY ALL"
+
+
+def _span_events(spark, sf):
+    calls = adapt(spark, sf, "calls")
+    arrival = F.col("turn_id") * 1000 + F.col("call_pos") * 40 + (F.col("event_id") % 3) * 50
+    ends = calls.select("conversation_id", "turn_id").distinct().where("turn_id <> 0 or conversation_id % 7 <> 0")
+    waited = F.col("turn_id") * 1000 + 30 + F.when(F.col("turn_id") % 4 == 1, 2500).otherwise(0)
+    return calls.select("conversation_id", "turn_id", "id", arrival.alias("arrival")), ends.withColumns({"waited_from": waited, "signalled": F.col("turn_id") % 2 == 0})
+
+
+def _fate_counts(rows):
+    return rows.groupBy("conversation_id", "turn_id", "fate").agg(F.count("*").alias("calls"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+
+
+@query("str_2_3_collect_turns", _with("calls", more=_FATES).replace("WITH ", "WITH RECURSIVE ", 1) + _FATE_COUNTS)
+def _(spark, sf):
+    took, rest = collect_batch(*_span_events(spark, sf), wait=5000, settle=100)
+    return _fate_counts(took.withColumn("fate", F.lit("turn")).unionByName(rest))
+
+
+@query("str_2_3_stream_turns", _with("calls", more=_FATES).replace("WITH ", "WITH RECURSIVE ", 1) + _FATE_COUNTS)
+def _(spark, sf):
+    """The same from a stream of files in which events are up to 0.9 seconds out of order, read by an event-time query with state."""
+    calls, ends = _span_events(spark, sf)
+    both = calls.select("conversation_id", "turn_id", F.lit("call").alias("kind"), F.col("id").alias("payload"), F.lit(None).cast("boolean").alias("signalled"), F.col("arrival").alias("at"))
+    both = both.unionByName(ends.select("conversation_id", "turn_id", F.lit("end").alias("kind"), F.lit(None).cast("string").alias("payload"), "signalled", F.col("waited_from").alias("at")))
+    both = materialize(both.select(F.col("conversation_id").cast("string").alias("conversation_id"), F.col("turn_id").cast("int").alias("turn_id"), "kind", "payload", "signalled", (F.col("at") + 1_000_000).alias("at")), "events")
+    source, out = fresh_path(spark, "event-files"), fresh_path(spark, "fates")
+    place = F.col("at") + F.pmod(F.xxhash64("conversation_id", "payload", "at"), F.lit(900))
+    low, high = both.agg(F.min("at"), F.max("at")).first()
+    steps = 4
+    width = ((high or 0) - (low or 0) + 900) // steps + 1
+    for i in range(steps):  # files of one step are older than those of the next
+        both.where(F.floor((place - (low or 0)) / width) == i).coalesce(4).write.mode("append").json(source)
+    clock = [("clock", 0, "tick", None, None, (high or 0) + 10**9)]
+    for _ in range(2):
+        spark.createDataFrame(clock, EVENTS).coalesce(1).write.mode("append").json(source)
+    spark.range(0).selectExpr("'' as conversation_id", "0 as turn_id", "'' as fate", "0L as at", "array('') as calls").write.parquet(out)
+    run_stream(collect_stream(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 4).json(source), wait=5000, settle=100, delay=f"{width + 900} milliseconds"), out)
+    found = spark.read.schema(FATES).parquet(out).where("conversation_id <> 'clock'")
+    return _fate_counts(found.select(F.col("conversation_id").cast("long").alias("conversation_id"), F.col("turn_id").cast("long").alias("turn_id"), "fate", F.explode("calls").alias("id")))
 
 
 @query("udf_1_3_user_metrics", _with("messages", more=_TALK) + "SELECT conversation_id, turn_id, 'length' AS name, 'turn' AS scope, least(5.0, greatest(1.0, length(assistant_msg) / 100)) AS value FROM pairs WHERE length(assistant_msg) % 7 <> 0")

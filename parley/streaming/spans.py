@@ -1,23 +1,19 @@
-"""Structured Streaming over span payloads, and its batch twin."""
+"""Structured Streaming over span payloads."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from parley.constants import SETTLE_SECONDS, WAIT_SECONDS
+from parley.functions.snapshots import Snapshots
+from parley.functions.tables import materialize, remove
 from parley.operators.traces import route_spans, spans_to_tool_calls
-from parley.operators.turns import conversation_keys
 from parley.sources.documents import parse_otlp
 
 
 def read_payload_stream(spark: SparkSession, path: str, **options) -> DataFrame:
-    """New files below path, one payload each."""
-    return spark.readStream.options(wholetext=True, **options).schema("value string").text(path).select(F.col("value").alias("payload"))
+    """(payload, payload_id) of new files below path, one payload each."""
+    return spark.readStream.options(**({"wholetext": True} | options)).schema("value string").text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("payload_id"))
 
 
 def stream_tool_calls(payloads: DataFrame) -> DataFrame:
@@ -25,90 +21,42 @@ def stream_tool_calls(payloads: DataFrame) -> DataFrame:
     return spans_to_tool_calls(route_spans(parse_otlp(payloads)))
 
 
-def collect_batch(calls: DataFrame, turn_ends: DataFrame, wait: float = WAIT_SECONDS, settle: float = SETTLE_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(collected, late) for calls (keys, turn_id, arrival, ...) and turn_ends (keys, turn_id, waited_from, signalled).
+class TurnCalls:
+    """A table of all calls of each turn, filled batch by batch of a stream, each batch once.
 
-    A turn's window ends: at the start of the wait if it was signalled without
-    spans; settle later if it was with; else settle after the first arrival
-    within wait. Calls after their turn's window, or of turns that have no end,
-    are late. Times are seconds.
+    Turns are dealt into buckets by the hash of their conversation. A batch
+    reads the buckets it touches, adds its calls to their turns, and commits
+    the new buckets with its number as one snapshot; a batch that was committed
+    before changes nothing, so a replay after a failure is harmless. Calls of a
+    turn stand in the order of batches and, within one, of columns (payload,
+    place in it); equal calls of several payloads all count.
     """
-    keys = [*conversation_keys(calls), "turn_id"]
-    rows = calls.join(turn_ends, keys, "left")
-    early = rows.where("arrival <= waited_from").groupBy(*keys).agg(F.count("*").alias("early"))
-    within = rows.where(F.col("arrival") <= F.col("waited_from") + wait).groupBy(*keys).agg(F.min("arrival").alias("first"))
-    ends = turn_ends.join(early, keys, "left").join(within, keys, "left")
-    start = F.greatest("first", "waited_from")
-    close = F.when(F.col("signalled") & F.col("early").isNull(), F.col("waited_from")).when(F.col("signalled"), F.col("waited_from") + settle).otherwise(F.coalesce(start + settle, F.col("waited_from") + wait))
-    closed = calls.join(ends.select(*keys, close.alias("closed")), keys, "left")
-    took = F.coalesce(F.col("arrival") <= F.col("closed"), F.lit(False))
-    return closed.where(took).drop("closed"), closed.where(~took).drop("closed")
-
-
-class TurnCollector(StatefulProcessor):
-    """Holds a conversation's calls until a turn ends, then gives the turn once.
-
-    A turn end starts a timer: at once if the turn was signalled and nothing
-    came, settle after the first arrival, or wait without one. When a turn is
-    given, calls of earlier turns are dropped; later ones for it never count.
-    """
-
-    def __init__(self, wait: float = WAIT_SECONDS, settle: float = SETTLE_SECONDS):
-        self.wait, self.settle = wait, settle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.calls = handle.getListState("calls", "turn_id int, payload string")
-        self.pending = handle.getMapState("pending", "turn_id int", "due long, settling boolean")
-        self.drained = handle.getValueState("drained", "turn_id int")
-
-    def _held(self) -> list[tuple[int, str]]:
-        return [(int(r[0]), r[1]) for r in self.calls.get()] if self.calls.exists() else []
-
-    def _give(self, key, turn: int) -> pd.DataFrame:
-        held = self._held()
-        mine = [p for t, p in held if t == turn]
-        if rest := [(t, p) for t, p in held if t > turn]:
-            self.calls.put(rest)
-        else:
-            self.calls.clear()
-        self.pending.removeKey((turn,))
-        self.drained.update((max(turn, int(self.drained.get()[0]) if self.drained.exists() else -1),))
-        return pd.DataFrame({"conversation_id": [key[0]], "turn_id": [turn], "calls": [mine]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        done = int(self.drained.get()[0]) if self.drained.exists() else -1
-        ends = []
-        for pdf in rows:
-            for r in pdf.to_dict("records"):
-                if r["kind"] == "call" and r["turn_id"] > done:
-                    self.calls.appendValue((int(r["turn_id"]), r["payload"]))
-                elif r["kind"] == "end":
-                    ends.append((int(r["turn_id"]), bool(r["signalled"])))
-        have = {t for t, _ in self._held()}
-        for turn, signalled in sorted(ends):
-            if signalled and turn not in have:
-                yield self._give(key, turn)
-            elif turn > done:
-                due = now + int(1000 * (self.settle if turn in have else self.wait))
-                self.pending.updateValue((turn,), (due, turn in have))
-                self.handle.registerTimer(due)
-        for (turn,), (due, settling) in list(self.pending.iterator()):
-            if not settling and turn in have:
-                soon = min(due, now + int(1000 * self.settle))
-                self.pending.updateValue((turn,), (soon, True))
-                self.handle.registerTimer(soon)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        for turn in sorted(int(t) for (t,), (due, _) in list(self.pending.iterator()) if due <= at):
-            yield self._give(key, turn)
-
-    def close(self) -> None:
-        pass
-
 
-def collect_stream(events: DataFrame, wait: float = WAIT_SECONDS, settle: float = SETTLE_SECONDS) -> DataFrame:
-    """(conversation_id, turn_id, calls) of a stream of calls and turn ends: conversation_id, turn_id, kind (call or end), payload, signalled. Needs the RocksDB state store."""
-    return events.groupBy("conversation_id").transformWithStateInPandas(TurnCollector(wait, settle), outputStructType="conversation_id string, turn_id int, calls array<string>", outputMode="append", timeMode="processingTime")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.table, self.buckets = Snapshots(spark, root, "bucket"), buckets
+
+    def upsert(self, calls: DataFrame, batch: int) -> None:
+        """Adds calls (conversation_id, turn_id, id, name, arguments, payload_id, span_pos, ...) of a batch."""
+        done = self.table.state()["label"]
+        if done is not None and batch <= done:
+            return
+        bucket = F.pmod(F.xxhash64("conversation_id"), F.lit(self.buckets)).cast("string")
+        call = F.struct(F.lit(batch).cast("long").alias("batch"), *(c for c in ("payload_id", "span_pos", "id", "name", "arguments", "result", "error") if c in calls.columns))
+        new = materialize(calls.select(bucket.alias("bucket"), "conversation_id", "turn_id", call.alias("call")), "batch-calls")
+        touched = new.select("bucket").distinct()
+        rows = new
+        if "turn_calls" in self.table.state()["tables"]:
+            old = self.table.read("turn_calls").join(touched, "bucket", "left_semi")
+            rows = rows.unionByName(old.select("bucket", "conversation_id", "turn_id", F.explode("calls").alias("call")))
+        turns = rows.groupBy("bucket", "conversation_id", "turn_id").agg(F.sort_array(F.collect_list("call")).alias("calls"))
+        self.table.commit({"turn_calls": turns}, touched, batch)
+        remove(calls.sparkSession, new)
+
+    def read(self) -> DataFrame:
+        """(conversation_id, turn_id, calls)."""
+        return self.table.read("turn_calls").drop("bucket")
+
+    def run(self, payloads: DataFrame, checkpoint: str, **trigger):
+        """Starts the query that upserts the tool calls of a stream of payloads."""
+        writer = stream_tool_calls(payloads).writeStream.foreachBatch(lambda df, batch: self.upsert(df, batch)).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
