@@ -75,13 +75,15 @@ def numbered(rows: DataFrame, order: list[Column], name: str, within: list[str]
 
 
 def write_files(rows: DataFrame, root: str) -> int:
-    """Writes a file below root for each row (name, content), the content as UTF-8; how many. A repeated attempt writes the same bytes again."""
+    """Writes a file below root for each row (name, content), the content as UTF-8; how many. A name may have folders. A repeated attempt writes the same bytes again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(root)
         fs.create_dir(path, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                if "/" in name:
+                    fs.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
                     out.write((content or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])

@@ -802,9 +802,8 @@ def _written(spark, sf) -> str:
 
 @query("snk_1_evaluation", _with("messages", more=_RUN_EVALS) + "SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, concat('c', c % 50) AS conversation_id, n AS turn_id, turn_score, label, reason FROM ev")
 def _(spark, sf):
-    schema = "run_id string, conversation_id string, turn_scores array<struct<turn_id long, turn_score double, label string, reason string>>"
-    rows = spark.read.schema(schema).json(f"{_written(spark, sf)}/evaluation").select("run_id", "conversation_id", F.explode("turn_scores").alias("t"))
-    return rows.select("run_id", "conversation_id", "t.*")
+    rows = run_files.written_runs(spark, _written(spark, sf)).read("evaluation").select("run_id", "conversation_id", F.explode("turn_scores").alias("t"))
+    return rows.select("run_id", "conversation_id", "t.turn_id", "t.turn_score", "t.label", "t.reason")
 
 
 _RUN_FAILS = ", fl AS (SELECT DISTINCT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, concat('s', c % 7) AS scenario_id FROM ev WHERE label IN " + _REAL + ")"
@@ -812,13 +811,12 @@ _RUN_FAILS = ", fl AS (SELECT DISTINCT concat('run', CAST(floor(c / 50) AS BIGIN
 
 @query("snk_2_focus", _with("messages", more=_RUN_EVALS + _RUN_FAILS) + "SELECT run_id, 'all_failures' AS focus_set, scenario_id, 'goal' AS goal FROM fl")
 def _(spark, sf):
-    schema = "scenario_id string, goal string, user_profile string, run_id string, focus_set string"
-    return spark.read.schema(schema).json(f"{_written(spark, sf)}/focus").where("focus_set = 'all_failures'").select("run_id", "focus_set", "scenario_id", "goal")
+    return run_files.written_runs(spark, _written(spark, sf)).read("focus").where("focus_set = 'all_failures'").select("run_id", "focus_set", "scenario_id", "goal")
 
 
 @query("snk_3_report_tables", _with("messages", more=_TALK) + "SELECT 'rejects' AS name, concat('run', CAST(floor(conversation_id / 50) AS BIGINT)) AS run_id, count(*) AS n FROM pairs WHERE (conversation_id + turn_id) % 11 = 0 GROUP BY 2")
 def _(spark, sf):
-    return spark.read.parquet(f"{_written(spark, sf)}/report/rejects").groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit("rejects").alias("name"), "run_id", "n")
+    return run_files.written_runs(spark, _written(spark, sf)).read("rejects").groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit("rejects").alias("name"), "run_id", "n")
 
 
 # streams' batch twin, metrics

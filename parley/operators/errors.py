@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parley import constants as C
 from parley.functions.tables import numbered
 from parley.functions.text import normalise_reason
+from parley.operators.report import for_each_run
 from parley.operators.scoring import literal_map
 from parley.operators.turns import conversation_keys
 
@@ -99,16 +101,20 @@ def focus_sets(mappings: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def top_errors(errors: DataFrame, occurrences: DataFrame, conversations: DataFrame, k: int = 5) -> DataFrame:
-    """The k worst errors with how many conversations and scenarios they touch."""
-    best = errors.orderBy(*error_order(errors)).limit(k)
-    keys = conversation_keys(occurrences)
-    at = occurrences.join(F.broadcast(best.select("unique_error_id")), "unique_error_id").join(conversations.select(*keys, "scenario_id"), keys, "left")
-    touched = at.groupBy("unique_error_id").agg(F.countDistinct(*keys).alias("conversations"), F.countDistinct("scenario_id").alias("scenarios"))
-    return best.join(touched, "unique_error_id", "left").select("unique_error_id", "category", "severity", "n_occurrences", F.coalesce("conversations", F.lit(0)).alias("conversations"), F.coalesce("scenarios", F.lit(0)).alias("scenarios"))
+    """The k worst errors, of each run if there are many, with how many conversations and scenarios they touch."""
+    run = _run(errors)
+    if run:  # each task keeps k of a run before the shuffle
+        best = errors.withColumn("_place", F.row_number().over(Window.partitionBy(*run).orderBy(*error_order(errors)))).where(F.col("_place") <= k).drop("_place")
+    else:
+        best = errors.orderBy(*error_order(errors)).limit(k)
+    ids, keys = [*run, "unique_error_id"], conversation_keys(occurrences)
+    at = occurrences.join(best.select(*ids), ids).join(conversations.select(*keys, "scenario_id"), keys, "left")
+    touched = at.groupBy(*ids).agg(F.countDistinct(*keys).alias("conversations"), F.countDistinct("scenario_id").alias("scenarios"))
+    return best.join(touched, ids, "left").select(*ids, "category", "severity", "n_occurrences", F.coalesce("conversations", F.lit(0)).alias("conversations"), F.coalesce("scenarios", F.lit(0)).alias("scenarios"))
 
 
 def judge_agreement(evals: DataFrame, golden: DataFrame) -> DataFrame:
-    """(expected, conversations, agreed, rate). golden has (keys, pos, label) for messages.
+    """(expected, conversations, agreed, rate), for each run and for all. golden has (keys, pos, label) for messages.
 
     A conversation's expected label is its first real one. It agrees if a turn
     has that label, or, if none is expected, if no turn has a failure.
@@ -120,4 +126,4 @@ def judge_agreement(evals: DataFrame, golden: DataFrame) -> DataFrame:
     rows = expected.join(found, keys, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
     none = ~F.arrays_overlap("labels", F.array(*[F.lit(x) for x in C.CONVERSATION_LABELS]))
     agreed = F.when(F.col("expected") == C.NO_FAILURE, none).otherwise(F.array_contains("labels", F.col("expected")))
-    return rows.groupBy("expected").agg(F.count("*").alias("conversations"), F.count_if(agreed).alias("agreed")).withColumn("rate", F.col("agreed") / F.col("conversations"))
+    return for_each_run(rows, "expected").agg(F.count("*").alias("conversations"), F.count_if(agreed).alias("agreed")).withColumn("rate", F.col("agreed") / F.col("conversations"))

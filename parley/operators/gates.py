@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley import constants as C
+from parley.operators.report import for_each_run
 from parley.operators.turns import conversation_keys
 
 
@@ -55,7 +56,12 @@ def with_score_threshold(thresholds: DataFrame, score_threshold: float | None) -
     return thresholds.select("metric", "threshold").unionByName(old.join(thresholds, "metric", "left_anti"))
 
 
-def gate_report(numeric: DataFrame, label: DataFrame) -> DataFrame:
-    """One row: failures of each gate and whether the run passes."""
-    a, b = numeric.agg(F.count("*").alias("numeric_failures")), label.agg(F.count("*").alias("label_failures"))
-    return a.crossJoin(b).withColumn("passed", (F.col("numeric_failures") == 0) & (F.col("label_failures") == 0))
+def gate_report(numeric: DataFrame, label: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Failures of each gate and whether the run passes: one row, or with runs (run_id) one for each of them, and one for all together whose run_id is null."""
+    if runs is None:
+        a, b = numeric.agg(F.count("*").alias("numeric_failures")), label.agg(F.count("*").alias("label_failures"))
+        return a.crossJoin(b).withColumn("passed", (F.col("numeric_failures") == 0) & (F.col("label_failures") == 0))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    each = runs.select("run_id", zero.alias("n"), zero.alias("l")).unionByName(numeric.select("run_id", one.alias("n"), zero.alias("l"))).unionByName(label.select("run_id", zero.alias("n"), one.alias("l")))
+    rows = for_each_run(each).agg(F.sum("n").alias("numeric_failures"), F.sum("l").alias("label_failures"))
+    return rows.withColumn("passed", (F.col("numeric_failures") == 0) & (F.col("label_failures") == 0))

@@ -12,57 +12,74 @@ from parley.functions.text import score_label, truncate_reason
 from parley.operators.turns import conversation_keys, number_messages
 
 
+def for_each_run(rows: DataFrame, *by: str):
+    """rows grouped by these columns; where rows have run_id, once for each run and once for all runs, whose run_id is null. One shuffle of partial sums serves both."""
+    if "run_id" not in rows.columns:
+        return rows.groupBy(*by)
+    rows = rows.withColumn("run_id", F.coalesce(F.col("run_id").cast("string"), F.lit("")))
+    return rows.groupingSets([["run_id", *by], list(by)], "run_id", *by)
+
+
+def _run(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "run_id"]
+
+
 def run_totals(convo_evals: DataFrame) -> DataFrame:
-    rows = convo_evals.agg(F.count("*").alias("conversations"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"))
+    rows = for_each_run(convo_evals).agg(F.count("*").alias("conversations"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"))
     return rows.withColumn("avg_turns", F.when(F.col("conversations") > 0, F.col("turns") / F.col("conversations")).otherwise(F.lit(0.0)))
 
 
 def metric_averages(quant: DataFrame) -> DataFrame:
-    return quant.groupBy("name", "scope").agg(F.avg("value").alias("average"))
+    return for_each_run(quant, "name", "scope").agg(F.avg("value").alias("average"))
 
 
 def performance_metrics(quant: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
-    """(name, title, average, low, high) over both scopes without values that were not computed; nothing unless helpfulness was measured.
+    """(run_id if there, name, title, average, low, high) over both scopes without values that were not computed; nothing for a run in which helpfulness was not measured.
 
     ranges (name, low, high) lists custom metrics; others go from 1 to 5.
     """
-    means = quant.where(F.col("value") != C.SCORE_NOT_COMPUTED).groupBy("name").agg(F.avg("value").alias("average"))
-    shown = means.join(F.broadcast(means.where("name = 'helpfulness'").select(F.lit(1).alias("_any"))), how="cross").drop("_any")
+    means = for_each_run(quant.where(F.col("value") != C.SCORE_NOT_COMPUTED), "name").agg(F.avg("value").alias("average"))
+    run = _run(means)
+    # a row for each metric of a run, so its window is small
+    shown = means.withColumn("_any", F.max(F.col("name") == "helpfulness").over(Window.partitionBy(*run))).where("_any").drop("_any")
     shown = shown.withColumn("title", F.initcap(F.replace("name", F.lit("_"), F.lit(" "))))
     if ranges is None:
-        return shown.select("name", "title", "average", F.lit(1.0).alias("low"), F.lit(5.0).alias("high"))
-    return shown.join(F.broadcast(ranges), "name", "left").select("name", "title", "average", F.coalesce("low", F.lit(1.0)).alias("low"), F.coalesce("high", F.lit(5.0)).alias("high"))
+        return shown.select(*run, "name", "title", "average", F.lit(1.0).alias("low"), F.lit(5.0).alias("high"))
+    return shown.join(F.broadcast(ranges), "name", "left").select(*run, "name", "title", "average", F.coalesce("low", F.lit(1.0)).alias("low"), F.coalesce("high", F.lit(5.0)).alias("high"))
 
 
 def overall_average(quant: DataFrame) -> DataFrame:
     """Mean of the built-in metrics' means, with its label."""
-    means = quant.where(F.col("name").isin(C.TURN_METRICS)).groupBy("name").agg(F.avg("value").alias("m"))
-    return means.agg(F.avg("m").alias("overall_average")).withColumn("label", score_label(F.col("overall_average")))
+    means = for_each_run(quant.where(F.col("name").isin(C.TURN_METRICS)), "name").agg(F.avg("value").alias("m"))
+    return means.groupBy(*_run(means)).agg(F.avg("m").alias("overall_average")).withColumn("label", score_label(F.col("overall_average")))
+
+
+def _shares(counts: DataFrame, *by: str) -> DataFrame:
+    """Counts by label with their share in percent of a run's, or of those of the same values of by."""
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*_run(counts), *by)) * 100)
 
 
-def _shares(rows: DataFrame, *by: str) -> DataFrame:
-    counts = rows.groupBy(*by, "label").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by)) if by else None
-    if total is None:
-        return counts.crossJoin(counts.agg(F.sum("n").alias("_t"))).withColumn("share", F.col("n") / F.col("_t") * 100).drop("_t")
-    return counts.withColumn("share", F.col("n") / total * 100)
+def _label_counts(rows: DataFrame, *by: str) -> DataFrame:
+    return for_each_run(rows, *by, "label").agg(F.count("*").alias("n"))
 
 
 def failure_breakdown(evals: DataFrame) -> DataFrame:
     """Labels and their share in percent, without the outcomes of the system; no failure stays in."""
-    return _shares(evals.where(~F.col("label").isin(C.SYSTEM_OUTCOMES)).select("label"))
+    return _shares(_label_counts(evals.where(~F.col("label").isin(C.SYSTEM_OUTCOMES))))
 
 
 def failure_distribution(evals: DataFrame) -> DataFrame:
-    return _shares(evals.where(~F.col("label").isin([*C.SYSTEM_OUTCOMES, C.NO_FAILURE])).select("label"))
+    return _shares(_label_counts(evals.where(~F.col("label").isin([*C.SYSTEM_OUTCOMES, C.NO_FAILURE]))))
 
 
 def label_distributions(qual: DataFrame, evals: DataFrame) -> DataFrame:
-    """(name, label, n, share) over both scopes. The behaviour metric is read from the turns, unless qual scores have that name."""
-    scored = qual.select("name", F.col("value").alias("label"))
-    taken = qual.where(F.col("name") == C.BEHAVIOUR).select("name").limit(1)
-    own = evals.where(~F.col("label").isin([*C.SYSTEM_OUTCOMES, C.NO_FAILURE])).select(F.lit(C.BEHAVIOUR).alias("name"), "label").join(F.broadcast(taken), "name", "left_anti")
-    return _shares(scored.unionByName(own), "name")
+    """(run_id if there, name, label, n, share) over both scopes. The behaviour metric is read from the turns, unless qual scores of the run have that name."""
+    scored = _label_counts(qual.select(*_run(qual), "name", F.col("value").alias("label")), "name")
+    own = _label_counts(evals.where(~F.col("label").isin([*C.SYSTEM_OUTCOMES, C.NO_FAILURE]))).withColumn("name", F.lit(C.BEHAVIOUR))
+    run = _run(scored)
+    taken = scored.where(F.col("name") == C.BEHAVIOUR).select(*[F.col(c).alias("_run") for c in run], F.col("name").alias("_name")).distinct()
+    own = own.join(taken, F.col("run_id").eqNullSafe(F.col("_run")) if run else F.col("name") == F.col("_name"), "left_anti")
+    return _shares(scored.unionByName(own.select(*scored.columns)), "name")
 
 
 def conversation_labels(conversations: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -121,4 +138,4 @@ def error_rows(errors: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 def kpi(convo_evals: DataFrame) -> DataFrame:
     done = (F.col("evaluation_status") == C.DONE).cast("double")
-    return convo_evals.agg(F.avg("overall_agent_score").alias("mean_score"), F.avg(done).alias("pass_rate"), F.avg("turns").alias("avg_turns"), F.count("*").alias("conversations"))
+    return for_each_run(convo_evals).agg(F.avg("overall_agent_score").alias("mean_score"), F.avg(done).alias("pass_rate"), F.avg("turns").alias("avg_turns"), F.count("*").alias("conversations"))

@@ -42,12 +42,13 @@ def merge_failures(evals: DataFrame, verdicts: DataFrame, prefix: str = "") -> D
 
     A verdict that is no failure changes nothing. A failure replaces a label
     that is none, or one of lower severity; otherwise its reason is appended.
+    A label that comes without a reason has an empty one, without the prefix.
     """
     keys = [*conversation_keys(evals), "turn_id"]
     new = verdicts.where(~F.col("label").isin(C.SKIP_OUTCOMES)).select(*keys, F.col("label").alias("n_label"), F.concat(F.lit(prefix), F.coalesce("reason", F.lit(""))).alias("n_reason"))
     rows = evals.join(new, keys, "left")
     take = F.col("label").isin(C.SKIP_OUTCOMES) | (severity_rank(F.col("n_label")) < severity_rank(F.col("label")))
-    reason = F.when(F.col("n_label").isNull(), F.col("reason")).when(take, F.col("n_reason")).otherwise(F.concat_ws("\n", "reason", "n_reason"))
+    reason = F.when(F.col("n_label").isNull(), F.col("reason")).when(take, F.when(F.col("n_reason") == prefix, "").otherwise(F.col("n_reason"))).otherwise(F.concat_ws("\n", "reason", "n_reason"))
     return rows.withColumn("reason", reason).withColumn("label", F.when(F.col("n_label").isNotNull() & take, F.col("n_label")).otherwise(F.col("label"))).drop("n_label", "n_reason")
 
 

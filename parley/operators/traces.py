@@ -44,12 +44,12 @@ def route_spans(spans: DataFrame, conversation_key: str = CONVERSATION_KEY, turn
     return rows.where("conversation_id is not null and turn_id is not null")
 
 
-def spans_to_tool_calls(spans: DataFrame) -> DataFrame:
-    """Tool calls of routed spans: (conversation_id, turn_id, id, name, arguments, result, error, source) and arrival, where spans have it."""
+def spans_to_tool_calls(spans: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Tool calls of routed spans: (conversation_id, turn_id, id, name, arguments, result, error, source) and arrival, payload_id and span_pos, where spans have them; and the columns to keep."""
     a = F.col("attributes")
     name = F.coalesce(F.nullif(first_attribute(a, NAME_KEYS), F.lit("")), F.when(F.col("name").startswith(SPAN_PREFIX), F.substring("name", len(SPAN_PREFIX) + 1, 1 << 30)))
     failed = F.col("status.code").isin("2", "STATUS_CODE_ERROR")
-    extra = [c for c in ("arrival", "payload_id", "span_pos") if c in spans.columns]
+    extra = [*keep, *(c for c in ("arrival", "payload_id", "span_pos") if c in spans.columns)]
     return spans.select(
         "conversation_id", "turn_id", F.coalesce(F.nullif(first_attribute(a, ID_KEYS), F.lit("")), "span_id", F.lit("")).alias("id"), name.alias("name"),
         F.coalesce(parse_arguments(first_attribute(a, ARGUMENT_KEYS)), F.lit("{}")).alias("arguments"), first_attribute(a, RESULT_KEYS).alias("result"),

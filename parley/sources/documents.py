@@ -2,30 +2,77 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.constants import MAX_PAYLOAD_BYTES
+from parley.functions.tables import materialize
 from parley.functions.text import canonical_json
 from parley.operators.traces import clean_tool_calls
 
 TEXT_TYPES, PAGE_TYPES = ["md", "txt", "json"], ["html", "htm"]
 
 
+REJECTS = "file string, offset long, reason string"
+
+
+def _json_fault(column: str, *others: Column) -> Column:
+    """(offset, reason): where a text stops being JSON, and why; called for broken texts only. others keep Spark from reading the corrupt record's column alone, which it refuses."""
+
+    @F.pandas_udf("offset long, reason string")
+    def fault(texts: pd.Series, *_: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            try:
+                found = json.loads(text or "")
+                out.append((None, "not an object" if not isinstance(found, dict) else "fields of other types"))
+            except json.JSONDecodeError as e:
+                out.append((e.pos, e.msg))
+            except RecursionError:
+                out.append((None, "nested too deeply"))
+        return pd.DataFrame({"offset": pd.array([x[0] for x in out], "Int64"), "reason": pd.Series([x[1] for x in out], dtype=object)})
+
+    return fault(column, *others)
+
+
+def _envelopes(spark: SparkSession, path: str, schema: str, needed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(envelopes, rejects) of the JSON files below path. A file is rejected if it is empty, is no JSON, or lacks one of the needed fields; offset tells where a broken one stops being JSON."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    lacks = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in needed])
+    broken = rows.where("_corrupt_record is not null").select("file", _json_fault("_corrupt_record", F.col(needed[0]).isNull()).alias("f")).select("file", "f.*")
+    poor = rows.where(F.col("_corrupt_record").isNull() & lacks.isNotNull()).select("file", F.lit(None).cast("long").alias("offset"), lacks.alias("reason"))
+    empty = spark.read.format("binaryFile").load(path).where("length = 0").select(F.col("path").alias("file"), F.lit(0).cast("long").alias("offset"), F.lit("empty file").alias("reason"))
+    good = rows.where(F.col("_corrupt_record").isNull() & lacks.isNull()).drop("_corrupt_record")
+    return good, broken.unionByName(poor).unionByName(empty)
+
+
 def read_scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(scenarios, rejects). A record with user_attributes but without a profile is of an older form and rejected; missing lists are empty."""
-    rows = spark.read.schema(schemas.SCENARIOS).option("multiLine", True).json(path)
-    each = rows.where("scenarios is not null").select("schema_version", F.explode("scenarios").alias("s")).select("schema_version", "s.*")
+    """(scenarios, rejects). A record with user_attributes but without a profile is of an older form and rejected; missing lists are empty. scenario_rejects() has the files that can't be read."""
+    rows, _ = _envelopes(spark, path, schemas.SCENARIOS, ["scenarios"])
+    each = rows.select("schema_version", F.explode("scenarios").alias("s")).select("schema_version", "s.*")
     old = F.col("user_attributes").isNotNull() & (F.coalesce("user_profile", F.lit("")) == "")
     good = each.where(~old).drop("user_attributes")
     empty = {c: F.coalesce(c, F.array().cast(good.schema[c].dataType)) for c in ("knowledge", "assertions")}
     return good.withColumns(empty), each.where(old)
 
 
+def scenario_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, reason) of the scenario files that read_scenarios() leaves out, and of the single records."""
+    rows, broken = _envelopes(spark, path, schemas.SCENARIOS, ["scenarios"])
+    old = rows.select("file", F.posexplode("scenarios").alias("at", "s")).where("s.user_attributes is not null and coalesce(s.user_profile, '') = ''")
+    return broken.unionByName(old.select("file", F.lit(None).cast("long").alias("offset"), F.concat(F.lit("scenario "), F.col("at").cast("string"), F.lit(": user_attributes without user_profile")).alias("reason")))
+
+
 def read_simulations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(conversations, messages, tool_calls) of all run files below path, each with run_id."""
-    runs = spark.read.schema(schemas.SIMULATION).option("multiLine", True).json(path)
+    """(conversations, messages, tool_calls) of all run files below path, each with run_id. simulation_rejects() has the files that can't be read."""
+    runs, _ = _envelopes(spark, path, schemas.SIMULATION, ["simulation_id", "conversations"])
     each = runs.select(F.col("simulation_id").alias("run_id"), F.explode("conversations").alias("c"))
     v = "c.simulated_user_prompt.variables"
     conversations = each.select(
@@ -38,6 +85,23 @@ def read_simulations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return conversations, messages, clean_tool_calls(calls.select("run_id", "conversation_id", "turn_id", "call_pos", "t.*"))
 
 
+def simulation_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, reason) of the run files that read_simulations() leaves out."""
+    return _envelopes(spark, path, schemas.SIMULATION, ["simulation_id", "conversations"])[1]
+
+
+def otlp_rejects(payloads: DataFrame, column: str = "payload", max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
+    """The payloads that parse_otlp() leaves out: their other columns, offset, reason."""
+    others = [c for c in payloads.columns if c != column]
+    size = F.octet_length(column)
+    large = payloads.where(size > max_bytes).select(*others, F.lit(max_bytes).cast("long").alias("offset"), F.concat(F.lit("too large: "), size.cast("string"), F.lit(" bytes")).alias("reason"))
+    small = payloads.where((size <= max_bytes) | F.col(column).isNull())
+    parsed = F.try_parse_json(column)
+    broken = small.where(parsed.isNull()).select(*others, _json_fault(column).alias("f")).select(*others, "f.*")
+    other = small.where(parsed.isNotNull() & ~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)))
+    return large.unionByName(broken).unionByName(other.select(*others, F.lit(None).cast("long").alias("offset"), F.lit("not an object").alias("reason")))
+
+
 def parse_otlp(payloads: DataFrame, column: str = "payload", max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
     """One row for each span: the payload's other columns, resource_attributes, name, span_id, attributes, status, span_pos.
 
@@ -55,9 +119,13 @@ def parse_otlp(payloads: DataFrame, column: str = "payload", max_bytes: int = MA
     )
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(payload, payload_id) of the span files below path."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("payload_id"))
+
+
 def read_otlp(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("payload_id"))
-    return parse_otlp(files)
+    return parse_otlp(read_payloads(spark, path))
 
 
 def normalize_response(raw: Column) -> tuple[Column, Column]:
@@ -87,15 +155,61 @@ def normalize_responses(df: DataFrame, column: str = "raw") -> DataFrame:
     return df.withColumn("text", text).withColumn("error", error)
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, size) of all files below root but those whose names, or whose folders' names, begin with a dot.
+
+    Spark's own listing hides names that begin with an underscore too, so the
+    folders of each level are listed by tasks, through the file systems of
+    pyarrow. Only their number passes the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = [x for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if not x.base_name.startswith(".")]
+                yield pa.RecordBatch.from_arrays([pa.array([x.path for x in found], pa.string()), pa.array([x.base_name for x in found], pa.string()), pa.array([x.size or 0 for x in found], pa.int64()), pa.array([x.type == pafs.FileType.Directory for x in found], pa.bool_())], ["path", "name", "size", "folder"])
+
+    level = spark.createDataFrame([(pafs.FileSystem.from_uri(root)[1],)], "path string")
+    out, n = None, 1
+    while n:
+        tasks = min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        listed = materialize(level.repartition(tasks).mapInArrow(run, "path string, name string, size long, folder boolean"), "listing")
+        files = listed.where("not folder").drop("folder")
+        out = files if out is None else out.unionByName(files)
+        level = listed.where("folder").select("path")
+        n = level.count()
+    return out
+
+
 def read_knowledge_files(spark: SparkSession, path: str) -> DataFrame:
-    """(id, source, content, title, is_chunk, is_error, error_message) of the files below path but hidden and empty ones; an unsupported type is an error row."""
-    name = F.col("_metadata.file_name")
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", name.alias("title"), F.col("_metadata.file_path").alias("source"))
-    kind = F.lower(F.regexp_extract("title", r"\.([^.]+)$", 1))
+    """(id, source, content, title, is_page, is_chunk, is_error, error_message) of the files below path but hidden and empty ones; an unsupported type, or a file that can't be read, is an error row.
+
+    Hidden are names that begin with a dot. Texts are UTF-8; other bytes become
+    the replacement character.
+    """
+    kind = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     known = kind.isin(TEXT_TYPES + PAGE_TYPES)
-    return files.where(~F.startswith("title", F.lit("."))).select(
-        F.substring(F.sha2("source", 256), 1, 16).alias("id"), "source", F.when(known, F.col("value")).alias("content"), "title", kind.isin(PAGE_TYPES).alias("is_page"), F.lit(False).alias("is_chunk"), (~known).alias("is_error"),
-        F.when(~known, F.concat(F.lit("unsupported file type: "), kind)).alias("error_message"),
+    scheme = path.partition(":")[0] + "://" if ":" in path else "file://"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time: any of them may be large
+                content, fault = None, None
+                if batch.column("known")[i].as_py():
+                    try:
+                        with fs.open_input_stream(batch.column("path")[i].as_py(), compression=None) as stream:
+                            content = stream.read().decode("utf-8", "replace")
+                    except OSError as e:
+                        fault = f"can't be read: {e}"
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("path", "name", "kind", "known")), pa.array([content], pa.string()), pa.array([fault], pa.string())], ["path", "name", "kind", "known", "content", "fault"])
+
+    found = list_files(spark, path).where("size > 0").select("path", "name", kind.alias("kind"), known.alias("known"))
+    files = found.repartition("path").mapInArrow(run, "path string, name string, kind string, known boolean, content string, fault string").withColumn("source", F.concat(F.lit(scheme), "path"))
+    fault = F.coalesce("fault", F.when(~F.col("known"), F.concat(F.lit("unsupported file type: "), "kind")))
+    return files.select(
+        F.substring(F.sha2("source", 256), 1, 16).alias("id"), "source", "content", F.col("name").alias("title"), F.col("kind").isin(PAGE_TYPES).alias("is_page"), F.lit(False).alias("is_chunk"), fault.isNotNull().alias("is_error"), fault.alias("error_message"),
     )
 
 
