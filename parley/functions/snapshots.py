@@ -105,7 +105,7 @@ class Snapshots:
             at = self._path(name)
             for x in fs.listStatus(at) if fs.exists(at) else []:
                 found = x.getPath().getName()
-                if found.removeprefix("version=") not in used and f"{name}/{found}" != state["manifest"]:
+                if f"{name}/{found}" != state["manifest"] if name == "_manifests" else found.removeprefix("version=") not in used:
                     fs.delete(x.getPath(), True)
                     gone += 1
         return gone

@@ -794,6 +794,73 @@ def _(spark, sf):
     return rows.join(found.errors.select("run_id", "unique_error_id", "category"), ["run_id", "unique_error_id"]).select("run_id", "category", "n_occurrences", "severity", "error_index")
 
 
+#: Labels, scores and conversations by run, and once more for all runs, whose run_id is null.
+_BY_RUN = """, lab AS (SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, label FROM ev), cvr AS (SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, *, ratio * 0.75::DOUBLE + goal * 0.25::DOUBLE AS overall FROM cv),
+ sc AS (SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, 'helpfulness' AS name, 'turn' AS scope, turn_score AS value FROM ev WHERE turn_score >= 0 UNION ALL SELECT run_id, 'goal_completion', 'conversation', goal FROM cvr)"""
+
+
+@query("rpt_1_13_by_run", _with("messages", more=_RUN_EVALS + _BY_RUN) + "SELECT run_id, count(*) AS conversations, sum(turns)::BIGINT AS turns, avg(overall) AS mean_score, avg(CASE WHEN overall = 1 THEN 1.0::DOUBLE ELSE 0 END) AS pass_rate, avg(turns) AS avg_turns FROM cvr GROUP BY GROUPING SETS ((run_id), ())")
+def _(spark, sf):
+    found = _evaluated(spark, sf).convo_evals
+    both = report.run_totals(found).drop("avg_turns").join(report.kpi(found).drop("conversations").withColumnRenamed("run_id", "_run"), F.col("run_id").eqNullSafe(F.col("_run"))).drop("_run")
+    return both.select("run_id", "conversations", "turns", "mean_score", "pass_rate", "avg_turns")
+
+
+@query("rpt_2_3_by_run", _with("messages", more=_RUN_EVALS + _BY_RUN) + "SELECT run_id, name, scope, avg(value) AS average, concat(upper(name[1]), CASE name WHEN 'helpfulness' THEN 'elpfulness' ELSE 'oal Completion' END) AS title FROM sc GROUP BY GROUPING SETS ((run_id, name, scope), (name, scope))")
+def _(spark, sf):
+    quant = _evaluated(spark, sf).quant
+    shown = report.performance_metrics(quant).select(F.col("run_id").alias("_run"), F.col("name").alias("_name"), "title")
+    rows = report.metric_averages(quant)
+    return rows.join(shown, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("name") == F.col("_name"))).select("run_id", "name", "scope", "average", "title")
+
+
+@query("rpt_4_by_run", _with("messages", more=_RUN_EVALS + _BY_RUN + ", m AS (SELECT run_id, avg(value) AS m FROM sc WHERE name = 'helpfulness' GROUP BY GROUPING SETS ((run_id), ()))") + "SELECT run_id, m AS overall_average, CASE WHEN m < 2 THEN 'Poor' WHEN m < 3 THEN 'Needs Improvement' WHEN m < 4 THEN 'Good' ELSE 'Excellent' END AS label FROM m")
+def _(spark, sf):
+    return report.overall_average(_evaluated(spark, sf).quant)
+
+
+@query("rpt_5_6_by_run", _with("messages", more=_RUN_EVALS + _BY_RUN + f", n AS (SELECT run_id, label, count(*) AS n FROM lab WHERE label NOT IN {_SYSTEM} GROUP BY GROUPING SETS ((run_id, label), (label)))") + """SELECT 'all' AS kind, run_id, label, n, n / sum(n) OVER (PARTITION BY run_id) * 100 AS share FROM n
+ UNION ALL SELECT 'failures', run_id, label, n, n / sum(n) OVER (PARTITION BY run_id) * 100 FROM n WHERE label <> 'no failure'""")
+def _(spark, sf):
+    evals = _evaluated(spark, sf).evals
+    columns = [F.col(c) for c in ("run_id", "label", "n", "share")]
+    return report.failure_breakdown(evals).select(F.lit("all").alias("kind"), *columns).unionByName(report.failure_distribution(evals).select(F.lit("failures").alias("kind"), *columns))
+
+
+_HIT_RUNS = ", hr AS (SELECT DISTINCT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id FROM hit JOIN base USING (c) WHERE n = 0), hits AS (SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id FROM hit WHERE c IN (SELECT c FROM base))"
+
+
+@query("rpt_7_by_run", _with("messages", more=_RUN_EVALS + _BY_RUN + _HIT_RUNS + f""", t AS (SELECT run_id, label, count(*) AS n FROM lab WHERE label NOT IN {_SYSTEM} AND label <> 'no failure' GROUP BY GROUPING SETS ((run_id, label), (label))),
+ q AS (SELECT run_id, 'disobey user request' AS label, count(*) AS n FROM hits GROUP BY GROUPING SETS ((run_id), ()) HAVING count(*) > 0),
+ b AS (SELECT * FROM q UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.run_id IS NOT DISTINCT FROM t.run_id))""") + "SELECT run_id, 'agent_behavior_failure' AS name, label, n, n / sum(n) OVER (PARTITION BY run_id) * 100 AS share FROM b")
+def _(spark, sf):
+    found = _evaluated(spark, sf)
+    return report.label_distributions(found.qual, found.evals)
+
+
+@query("gate_3_by_run", _with("messages", more=_RUN_EVALS + _BY_RUN + """, fails AS (SELECT run_id, 1 AS n, 0 AS l FROM cvr WHERE overall < 0.6 UNION ALL SELECT run_id, 0, 1 FROM lab WHERE label = 'repetition' UNION ALL SELECT run_id, 0, 0 FROM cvr)""") + "SELECT run_id, sum(n)::BIGINT AS numeric_failures, sum(l)::BIGINT AS label_failures, sum(n) + sum(l) = 0 AS passed FROM fails GROUP BY GROUPING SETS ((run_id), ())")
+def _(spark, sf):
+    thresholds = spark.createDataFrame([("overall_score", 0.6)], "metric string, threshold double")
+    return run_files.gate_summary(_evaluated(spark, sf), thresholds, spark.createDataFrame([(C.BEHAVIOUR, C.REPETITION)], "metric string, label string"))
+
+
+@query("err_8_by_run", _with("messages", more=_RUN_EVALS) + f"""SELECT run_id, category, n_occurrences, conversations, scenarios FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 3 END, n_occurrences DESC, id) AS place FROM (
+ SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, label AS category, count(*) AS n_occurrences, count(DISTINCT c) AS conversations, count(DISTINCT c % 7) AS scenarios, CASE label WHEN 'false information' THEN 'critical' WHEN 'repetition' THEN 'low' ELSE 'high' END AS severity,
+   substr(sha256(concat('run', CAST(floor(c / 50) AS BIGINT), chr(10), label, chr(10), regexp_replace(trim(regexp_replace(lower(reason), '\\s+', ' ', 'g')), '[0-9]+', '#', 'g'))), 1, 16) AS id FROM ev WHERE label IN {_REAL} GROUP BY ALL)) WHERE place <= 2""")
+def _(spark, sf):
+    found = _evaluated(spark, sf)
+    return E.top_errors(found.errors, found.occurrences, found.conversations, 2).select("run_id", "category", "n_occurrences", "conversations", "scenarios")
+
+
+@query("err_9_by_run", _with("messages", more=_RUN_EVALS + """, g AS (SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, c, CASE c % 3 WHEN 0 THEN 'no failure' WHEN 1 THEN 'repetition' ELSE 'false information' END AS expected FROM cv),
+ ok AS (SELECT run_id, expected, CASE WHEN expected = 'no failure' THEN NOT EXISTS (SELECT 1 FROM ev WHERE ev.c = g.c AND label NOT IN ('no failure', 'skipped_good_performance')) ELSE EXISTS (SELECT 1 FROM ev WHERE ev.c = g.c AND label = expected) END AS ok FROM g)""")
+    + "SELECT run_id, expected, count(*) AS conversations, count(*) FILTER (ok) AS agreed, count(*) FILTER (ok) / count(*) AS rate FROM ok GROUP BY GROUPING SETS ((run_id, expected), (expected))")
+def _(spark, sf):
+    want = F.get(F.array(*[F.lit(x) for x in (C.NO_FAILURE, C.REPETITION, C.FALSE_INFORMATION)]), (F.col("conversation_id") % 3).cast("int"))
+    golden = adapt(spark, sf, "conversations_of_messages").select(*_run_ids(), F.lit(0).alias("pos"), want.alias("label"))
+    return E.judge_agreement(_evaluated(spark, sf).evals, golden)
+
+
 def _written(spark, sf) -> str:
     root = fresh_path(spark, "evaluation")
     run_files.write_runs(_evaluated(spark, sf), root)
@@ -911,3 +978,129 @@ def _(spark, sf):
 @query("udf_5_response_length", _with("messages", more=_TALK) + "SELECT conversation_id, turn_id, least(5.0, greatest(1.0, length(assistant_msg) / 100)) AS value FROM pairs")
 def _(spark, sf):
     return turns.assemble_turns(adapt(spark, sf, "messages")).select("conversation_id", "turn_id", T.response_length(F.col("assistant_msg")).alias("value"))
+
+
+@query("udf_1_3_metric_files", _with("messages", more=_TALK) + """SELECT 'brevity' AS name, conversation_id, turn_id, 5.0::DOUBLE - least(4.0::DOUBLE, length(assistant_msg) / 100) AS value, NULL AS label, NULL AS error FROM pairs WHERE length(assistant_msg) % 7 <> 0
+ UNION ALL SELECT 'brevity', conversation_id, turn_id, NULL, NULL, 'ValueError: unlucky' FROM pairs WHERE length(assistant_msg) % 7 = 0
+ UNION ALL SELECT 'Echo', conversation_id, turn_id, NULL, CASE WHEN length(assistant_msg) > length(user_msg) THEN 'longer' ELSE 'shorter' END, NULL FROM pairs""")
+def _(spark, sf):
+    """The turn metrics of a user's file, all called in one Python stage."""
+    from parley.functions.metrics import load_metrics, score_all
+    from parley.jobs import sample_metrics
+
+    own = [m for m in load_metrics([sample_metrics.__file__]) if m.scope == "turn"]
+    numbers, labels, errors = score_all(turns.assemble_turns(adapt(spark, sf, "messages")), own)
+    none = {"value": F.lit(None).cast("double"), "label": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}
+    columns = ["name", "conversation_id", "turn_id", "value", "label", "error"]
+    parts = [numbers, labels.withColumnRenamed("value", "label"), errors]
+    return parts[0].withColumns({c: none[c] for c in ("label", "error")}).select(*columns).unionByName(parts[1].withColumns({c: none[c] for c in ("value", "error")}).select(*columns)).unionByName(parts[2].withColumns({c: none[c] for c in ("value", "label")}).select(*columns))
+
+
+# what can't be read
+
+
+@query("src_1_2_4_rejects", _with("messages", more="k AS (SELECT DISTINCT conversation_id AS c FROM t_messages)") + """SELECT 'run' AS source, concat('f', c, '.json') AS name, CASE c % 4 WHEN 0 THEN length(concat('{"simulation_id": "r', c, '", "conversations": [')) WHEN 1 THEN 0 END::BIGINT AS "offset", CASE c % 4 WHEN 0 THEN 'Expecting value' WHEN 1 THEN 'empty file' ELSE 'no conversations' END AS reason FROM k WHERE c % 4 < 3
+ UNION ALL SELECT 'scenario', concat('f', c, '.json'), CASE c % 4 WHEN 0 THEN 16 WHEN 1 THEN 0 END, CASE c % 4 WHEN 0 THEN 'Expecting value' WHEN 1 THEN 'empty file' ELSE 'scenario 0: user_attributes without user_profile' END FROM k WHERE c % 4 < 3
+ UNION ALL SELECT 'spans', concat('f', c, '.json'), CASE c % 4 WHEN 0 THEN 19 WHEN 1 THEN 100 END, CASE c % 4 WHEN 0 THEN 'Expecting value' WHEN 1 THEN 'too large: 219 bytes' ELSE 'not an object' END FROM k WHERE c % 4 < 3""")
+def _(spark, sf):
+    """A run file, a scenario file and a span payload for each conversation: a quarter ends too early, a quarter is empty or too large, a quarter lacks a field or has an old form."""
+    c = F.col("conversation_id")
+    ids = materialize(adapt(spark, sf, "conversations_of_messages"), "ids")
+    name = F.concat(F.lit("f"), c.cast("string"), F.lit(".json")).alias("name")
+    kind = lambda *x: F.when(c % 4 == 0, x[0]).when(c % 4 == 1, x[1]).when(c % 4 == 2, x[2]).otherwise(x[3]).alias("content")
+    head = F.concat(F.lit('{"simulation_id": "r'), c.cast("string"), F.lit('"'))
+    runs, scenarios = fresh_path(spark, "runs"), fresh_path(spark, "scenarios")
+    write_files(ids.select(name, kind(F.concat(head, F.lit(', "conversations": [')), F.lit(""), F.concat(head, F.lit("}")), F.concat(head, F.lit(', "conversations": []}')))), runs)
+    write_files(ids.select(name, kind(F.lit('{"scenarios": [ '), F.lit(""), F.lit('{"scenarios": [{"scenario_id": "a", "user_attributes": {"x": 1}}]}'), F.lit('{"scenarios": [{"scenario_id": "a"}]}'))), scenarios)
+    payloads = ids.select(name.alias("file"), kind(F.lit('{"resourceSpans": ['), F.concat(F.lit('{"resourceSpans": "'), F.repeat(F.lit("x"), F.lit(198)), F.lit('"}')), F.lit("[1]"), F.lit('{"resourceSpans": []}')).alias("payload"))
+    base = lambda df, source: df.select(F.lit(source).alias("source"), F.regexp_extract("file", "[^/]+$", 0).alias("name"), "offset", "reason")
+    out = base(documents.simulation_rejects(spark, runs), "run").unionByName(base(documents.scenario_rejects(spark, scenarios), "scenario"))
+    return out.unionByName(base(documents.otlp_rejects(payloads, max_bytes=100), "spans"))
+
+
+@query("src_6_all_names", "SELECT CASE doc_id % 4 WHEN 0 THEN concat('_note-', doc_id, '.md') ELSE concat('note-', doc_id, '.txt') END AS title, text AS content, doc_id % 4 = 1 AS below FROM documents WHERE doc_id % 4 < 2 AND coalesce(text, '') <> ''")
+def _(spark, sf):
+    """Files whose names, or whose folders' names, begin with an underscore are read, those with a dot are not."""
+    n = F.col("doc_id").cast("string")
+    names = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("_note-"), n, F.lit(".md"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("_docs/part/note-"), n, F.lit(".txt"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit(".note-"), n, F.lit(".md"))).otherwise(F.concat(F.lit("docs/.deep/note-"), n, F.lit(".md")))
+    root = fresh_path(spark, "knowledge")
+    write_files(spark.read.parquet(f"{sf}/documents.parquet").select(names.alias("name"), F.col("text").alias("content")), root)
+    return documents.read_knowledge_files(spark, root).select("title", "content", F.contains("source", F.lit("/_docs/part/")).alias("below"))
+
+
+# the whole job with all kinds of input
+
+
+def _judged(spark, sf, good: bool = False):
+    """Replies on helpfulness, behaviour and goals as in _evaluated(), and on the tool calls of every turn; with good only high scores."""
+    t = turns.assemble_turns(adapt(spark, sf, "messages"))
+    c, n = F.col("conversation_id"), F.col("turn_id")
+    pick = lambda labels, at: F.get(F.array(*[F.lit(x) for x in labels]), F.pmod(at, F.lit(len(labels))).cast("int"))
+    say = lambda label, reason: F.concat(F.lit('{"label": "'), label, F.lit('", "reason": "'), reason, F.lit('"}')).alias("response")
+    score = F.lit(4) if good else F.when((c + n * 2) % 3 == 0, 1).otherwise(4)
+    rows = [
+        t.select(*_run_ids(), n, F.lit("helpfulness").alias("metric"), F.concat(F.lit('{"score": '), score.cast("string"), F.lit("}")).alias("response")),
+        t.select(*_run_ids(), n, F.lit(C.BEHAVIOUR).alias("metric"), say(pick((C.FALSE_INFORMATION, C.REPETITION, C.NO_FAILURE), c + n), F.concat(F.lit("Part "), (c % 5).cast("string")))),
+        t.select(*_run_ids(), n, F.lit(C.TOOL_BEHAVIOUR).alias("metric"), say(pick((C.UNSAFE_ACTION, C.NO_FAILURE, C.REPETITION), c + n), F.concat(F.lit("Call "), (c % 4).cast("string")))),
+        adapt(spark, sf, "conversations_of_messages").select(*_run_ids(), F.lit(None).cast("int").alias("turn_id"), F.lit(C.GOAL).alias("metric"), F.concat(F.lit('{"score": '), (c % 2).cast("string"), F.lit("}")).alias("response")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _span_payloads(spark, sf):
+    """A search by each even conversation in its first turn, as spans; the payloads of each fifth conversation are cut off."""
+    c = F.col("conversation_id")
+    attr = lambda k, kind, v: F.concat(F.lit(f'{{"key":"{k}","value":{{"{kind}":"'), v, F.lit('"}}'))
+    _, own = _run_ids()
+    text = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"name":"execute_tool search","spanId":"s","attributes":['), attr("eval.conversation_id", "stringValue", own), F.lit(","), attr("eval.turn_id", "intValue", F.lit("0")), F.lit("]}]}]}]}"))
+    rows = adapt(spark, sf, "conversations_of_messages").where("conversation_id % 2 = 0")
+    return rows.select(_run_ids()[0], F.concat(F.lit("p"), c.cast("string")).alias("payload_id"), F.when(c % 5 == 0, F.substring(text, 1, 30)).otherwise(text).alias("payload"))
+
+
+_FULL = _TALK + """, base AS (SELECT conversation_id AS c, turn_id AS n FROM pairs), called AS (SELECT DISTINCT conversation_id AS c FROM t_messages WHERE msg_pos = 1 UNION SELECT DISTINCT conversation_id FROM t_messages WHERE conversation_id % 2 = 0 AND conversation_id % 5 <> 0),
+ ev0 AS (SELECT c, n, CASE WHEN (c + n * 2) % 3 = 0 THEN ['false information', 'repetition', 'no failure'][(c + n) % 3 + 1] ELSE 'skipped_good_performance' END AS label,
+   CASE WHEN (c + n * 2) % 3 = 0 THEN concat('Part ', c % 5) ELSE 'Skipped: all turn metrics are at or above their thresholds.' END AS reason FROM base),
+ tv AS (SELECT c, 0 AS n, ['unsafe action', 'no failure', 'repetition'][c % 3 + 1] AS t, concat('[Tool call] Call ', c % 4) AS r FROM called WHERE c % 3 <> 1),
+ ev1 AS (SELECT c, n, CASE WHEN t IS NULL THEN label WHEN label IN ('skipped_good_performance', 'no failure') OR (t = 'unsafe action' AND label = 'repetition') THEN t ELSE label END AS label,
+   CASE WHEN t IS NULL THEN reason WHEN label IN ('skipped_good_performance', 'no failure') OR (t = 'unsafe action' AND label = 'repetition') THEN r ELSE concat(reason, chr(10), r) END AS reason FROM ev0 LEFT JOIN tv USING (c, n)),
+ hit AS (SELECT DISTINCT conversation_id AS c FROM t_messages WHERE (conversation_id % 7) % 3 = 0 AND NOT (conversation_id % 2 = 0 AND conversation_id % 5 <> 0) AND (conversation_id % 3 <> 0 OR conversation_id NOT IN (SELECT conversation_id FROM t_messages WHERE msg_pos = 1))),
+ last AS (SELECT c, CASE WHEN c IN (SELECT c FROM called) THEN 0 ELSE max(n) END AS n FROM base GROUP BY c),
+ ev AS (SELECT ev1.c, ev1.n, CASE WHEN h.c IS NULL THEN label WHEN label IN ('skipped_good_performance', 'no failure', 'repetition') THEN 'disobey user request' ELSE label END AS label,
+   CASE WHEN h.c IS NULL THEN reason WHEN label IN ('skipped_good_performance', 'no failure', 'repetition') THEN '[Trajectory] missing: search' ELSE concat(reason, chr(10), '[Trajectory] missing: search') END AS reason
+   FROM ev1 LEFT JOIN (SELECT hit.c, n FROM hit JOIN last USING (c)) h ON h.c = ev1.c AND h.n = ev1.n)"""
+_AS_RUN = "concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, concat('c', c % 50) AS conversation_id"
+
+
+@query("job_tool_verdicts_and_spans", _with("messages", more=_FULL) + f"SELECT {_AS_RUN}, n AS turn_id, label, reason FROM ev")
+def _(spark, sf):
+    found = run_files.evaluate_run_files(spark, _run_files(spark, sf), _scenario_files(spark, sf), _judged(spark, sf), payloads=_span_payloads(spark, sf))
+    return found.evals.select("run_id", "conversation_id", "turn_id", "label", "reason")
+
+
+@query("job_broken_inputs", _with("messages") + "SELECT 'spans' AS source, concat('p', conversation_id) AS file, 19::BIGINT AS \"offset\", 'Unterminated string starting at' AS reason FROM (SELECT DISTINCT conversation_id FROM t_messages) WHERE conversation_id % 10 = 0")
+def _(spark, sf):
+    found = run_files.evaluate_run_files(spark, _run_files(spark, sf), _scenario_files(spark, sf), _judged(spark, sf), payloads=_span_payloads(spark, sf))
+    root = fresh_path(spark, "evaluation")
+    run_files.write_runs(found, root)
+    return run_files.written_runs(spark, root).read("broken").select("source", "file", "offset", "reason")
+
+
+@query("snk_1_3_second_job", _with("messages", more=_FULL + """, again AS (SELECT base.c, base.n, (tv.c IS NOT NULL AND tv.n = base.n) OR (h.c IS NOT NULL) AS failed FROM base LEFT JOIN tv ON tv.c = base.c AND tv.n = base.n LEFT JOIN (SELECT hit.c, n FROM hit JOIN last USING (c)) h ON h.c = base.c AND h.n = base.n),
+ both_ AS (SELECT c, n, CASE WHEN CAST(floor(c / 50) AS BIGINT) % 2 = 0 THEN failed ELSE label NOT IN ('skipped_good_performance', 'no failure') END AS failed FROM ev JOIN again USING (c, n))""") + """SELECT concat('run', CAST(floor(c / 50) AS BIGINT)) AS run_id, count(*) AS turns, count(*) FILTER (failed) AS failures, CASE WHEN CAST(floor(c / 50) AS BIGINT) % 2 = 0 THEN 2 ELSE 1 END AS job FROM both_ GROUP BY ALL""")
+def _(spark, sf):
+    """A second job over every other run, with better scores: the first one's other runs stay as they are in all tables."""
+    root = fresh_path(spark, "evaluation")
+    runs, scenarios = _run_files(spark, sf), _scenario_files(spark, sf)
+    for job, good in ((1, False), (2, True)):
+        found = run_files.evaluate_run_files(spark, runs, scenarios, _judged(spark, sf, good), payloads=_span_payloads(spark, sf))
+        if good:
+            found = run_files.only_runs(found, F.regexp_extract("run_id", "[0-9]+", 0).cast("int") % 2 == 0)
+        tables = {k: v.withColumn("job", F.lit(job)) for k, v in run_files.report_tables(found).items()}
+        run_files.written_runs(spark, root).commit(tables, found.conversations.select("run_id").distinct())
+    table = run_files.written_runs(spark, root)
+    counted = table.read("turns").groupBy("run_id").agg(F.count("*").alias("turns"), F.count_if(~F.col("label").isin(C.SKIP_OUTCOMES)).alias("failures"), F.max("job").alias("job"))
+    return counted.join(table.read("summary").select("run_id", "job"), ["run_id", "job"])
+

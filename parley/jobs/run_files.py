@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import constants as C
@@ -18,6 +18,8 @@ from parley.operators.turns import conversation_keys
 from parley.sources import documents
 
 SCORE_MAX = 5.0
+#: The part that a job's broken files make.
+NO_RUN = "-"
 
 
 @dataclass
@@ -137,6 +139,11 @@ def evaluate_run_files(spark: SparkSession, runs: str, scenarios: str, replies:
     return found
 
 
+def only_runs(found: Evaluation, condition: Column) -> Evaluation:
+    """The tables of the runs for which a condition on run_id holds."""
+    return replace(found, **{f.name: df.where(condition) for f in fields(found) if isinstance(df := getattr(found, f.name), DataFrame) and "run_id" in df.columns})
+
+
 def gate_runs(found: Evaluation, thresholds: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(numeric failures, label failures) of all runs."""
     return gates.numeric_failures(thresholds, found.convo_evals, found.quant), gates.label_failures(labels, found.evals, found.qual)
@@ -150,7 +157,7 @@ def gate_summary(found: Evaluation, thresholds: DataFrame, labels: DataFrame) ->
 def report_tables(found: Evaluation) -> dict[str, DataFrame]:
     """The tables of a report, each with run_id: evaluation (a nested row for each conversation), focus, summary, conversations, turns, labels, errors, their scenarios, rejects, metric_errors, broken.
 
-    Broken files belong to no run: their run_id is empty.
+    Broken files belong to no run: their run_id is NO_RUN.
     """
     keys = conversation_keys(found.convo_evals)
     turn_rows = report.turn_rows(E.link_errors(found.evals, found.occurrences), found.quant)
@@ -161,12 +168,12 @@ def report_tables(found: Evaluation) -> dict[str, DataFrame]:
         "evaluation": found.convo_evals.join(nested, keys, "left"), "focus": found.focus, "summary": summary, "conversations": report.convo_rows(found.convo_evals, found.conversations, found.scenarios), "turns": turn_rows,
         "labels": each(report.label_distributions(found.qual, found.evals)), "errors": found.errors, "error_scenarios": found.mappings, "rejects": found.rejects, "metric_errors": found.metric_errors,
     }
-    return out if found.broken is None else out | {"broken": found.broken.select(F.lit("").alias("run_id"), "*")}
+    return out if found.broken is None else out | {"broken": found.broken.select(F.lit(NO_RUN).alias("run_id"), "*")}
 
 
 def write_runs(found: Evaluation, path: str) -> int:
     """Puts the report's tables of these runs in the place of what they had, all at once; the number of the commit. Other runs stay; broken files are those of the last job."""
-    parts = found.conversations.select("run_id").distinct().unionByName(found.conversations.sparkSession.createDataFrame([("",)], "run_id string"))
+    parts = found.conversations.select("run_id").distinct().unionByName(found.conversations.sparkSession.createDataFrame([(NO_RUN,)], "run_id string"))
     return written_runs(found.conversations.sparkSession, path).commit(report_tables(found), parts)
 
 

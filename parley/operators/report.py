@@ -13,7 +13,7 @@ from parley.operators.turns import conversation_keys, number_messages
 
 
 def for_each_run(rows: DataFrame, *by: str):
-    """rows grouped by these columns; where rows have run_id, once for each run and once for all runs, whose run_id is null. One shuffle of partial sums serves both."""
+    """rows grouped by these columns; where rows have run_id, once for each run and once for all runs, whose run_id is null; a null run counts as one with an empty id, no rows give none. One shuffle of partial sums serves both."""
     if "run_id" not in rows.columns:
         return rows.groupBy(*by)
     rows = rows.withColumn("run_id", F.coalesce(F.col("run_id").cast("string"), F.lit("")))

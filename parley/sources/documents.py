@@ -43,14 +43,18 @@ def _json_fault(column: str, *others: Column) -> Column:
 
 
 def _envelopes(spark: SparkSession, path: str, schema: str, needed: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(envelopes, rejects) of the JSON files below path. A file is rejected if it is empty, is no JSON, or lacks one of the needed fields; offset tells where a broken one stops being JSON."""
+    """(envelopes, rejects) of the JSON files in path. A file is rejected if it is no JSON or lacks one of the needed fields; offset tells where a broken one stops being JSON."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
     lacks = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in needed])
     broken = rows.where("_corrupt_record is not null").select("file", _json_fault("_corrupt_record", F.col(needed[0]).isNull()).alias("f")).select("file", "f.*")
     poor = rows.where(F.col("_corrupt_record").isNull() & lacks.isNotNull()).select("file", F.lit(None).cast("long").alias("offset"), lacks.alias("reason"))
-    empty = spark.read.format("binaryFile").load(path).where("length = 0").select(F.col("path").alias("file"), F.lit(0).cast("long").alias("offset"), F.lit("empty file").alias("reason"))
     good = rows.where(F.col("_corrupt_record").isNull() & lacks.isNull()).drop("_corrupt_record")
-    return good, broken.unionByName(poor).unionByName(empty)
+    return good, broken.unionByName(poor)
+
+
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """The empty files in a folder as rejects: Spark's readers pass over them."""
+    return list_files(spark, path, deep=False).where("size = 0").select(F.col("path").alias("file"), F.lit(0).cast("long").alias("offset"), F.lit("empty file").alias("reason"))
 
 
 def read_scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -67,6 +71,7 @@ def scenario_rejects(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, reason) of the scenario files that read_scenarios() leaves out, and of the single records."""
     rows, broken = _envelopes(spark, path, schemas.SCENARIOS, ["scenarios"])
     old = rows.select("file", F.posexplode("scenarios").alias("at", "s")).where("s.user_attributes is not null and coalesce(s.user_profile, '') = ''")
+    broken = broken.unionByName(_empty_files(spark, path))
     return broken.unionByName(old.select("file", F.lit(None).cast("long").alias("offset"), F.concat(F.lit("scenario "), F.col("at").cast("string"), F.lit(": user_attributes without user_profile")).alias("reason")))
 
 
@@ -87,7 +92,7 @@ def read_simulations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def simulation_rejects(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, reason) of the run files that read_simulations() leaves out."""
-    return _envelopes(spark, path, schemas.SIMULATION, ["simulation_id", "conversations"])[1]
+    return _envelopes(spark, path, schemas.SIMULATION, ["simulation_id", "conversations"])[1].unionByName(_empty_files(spark, path))
 
 
 def otlp_rejects(payloads: DataFrame, column: str = "payload", max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
@@ -155,8 +160,8 @@ def normalize_responses(df: DataFrame, column: str = "raw") -> DataFrame:
     return df.withColumn("text", text).withColumn("error", error)
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, size) of all files below root but those whose names, or whose folders' names, begin with a dot.
+def list_files(spark: SparkSession, root: str, deep: bool = True) -> DataFrame:
+    """(path, name, size) of all files below root, or with deep False in it, but those whose names, or whose folders' names, begin with a dot; of root itself if it is a file.
 
     Spark's own listing hides names that begin with an underscore too, so the
     folders of each level are listed by tasks, through the file systems of
@@ -167,7 +172,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         fs, _ = pafs.FileSystem.from_uri(root)
         for batch in batches:
             for folder in batch.column("path").to_pylist():
-                found = [x for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if not x.base_name.startswith(".")]
+                own = fs.get_file_info(folder)
+                found = [own] if own.is_file else [x for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if not x.base_name.startswith(".")]
                 yield pa.RecordBatch.from_arrays([pa.array([x.path for x in found], pa.string()), pa.array([x.base_name for x in found], pa.string()), pa.array([x.size or 0 for x in found], pa.int64()), pa.array([x.type == pafs.FileType.Directory for x in found], pa.bool_())], ["path", "name", "size", "folder"])
 
     level = spark.createDataFrame([(pafs.FileSystem.from_uri(root)[1],)], "path string")
@@ -178,7 +184,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         files = listed.where("not folder").drop("folder")
         out = files if out is None else out.unionByName(files)
         level = listed.where("folder").select("path")
-        n = level.count()
+        n = level.count() if deep else 0
     return out
 
 
