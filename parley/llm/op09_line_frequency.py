@@ -84,18 +84,25 @@ def quality_signals(docs: DataFrame) -> DataFrame:
     return out.drop("_text", "_words", "_lines", "_sorted", "_pairs", "_hits")
 
 
-def line_table(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
-    """(key, host, face, pos, line, words): each line with words, hashed.
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit(""))
 
-    face is a 64-bit hash of all line hashes of the document in their order.
-    Only texts with the same normalised lines share it, so that a document and
-    its copies count once for a line, and any two other documents count twice.
+
+def line_table(docs: DataFrame, host: str = "source") -> DataFrame:
+    """(host, mark, face, pos, line, words, total): each line with words, hashed.
+
+    A row is known by its host and mark, a hash of its text: what is decided
+    about it depends on nothing else, so keys may be null or repeated. total:
+    words of the text. face is a 64-bit hash of all line hashes of the document
+    in their order. Only texts with the same normalised lines share it, so that
+    a document and its copies count once for a line, and any two other
+    documents count twice.
     """
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of)
     items = F.transform(F.filter("lines", lambda w: F.size(w) > 0), lambda w, i: F.struct(_line_hash(w).alias("line"), F.size(w).cast("long").alias("words"), i.alias("pos")))
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), lines.alias("lines")).select("key", "host", items.alias("items"))
-    rows = rows.withColumn("face", F.xxhash64(F.transform("items", lambda x: x["line"])))
-    return rows.select("key", "host", "face", F.explode("items").alias("x")).select("key", "host", "face", "x.*")
+    rows = docs.select(_host(host).alias("host"), F.xxhash64("text").alias("mark"), lines.alias("lines")).select("host", "mark", items.alias("items"))
+    rows = rows.withColumn("face", F.xxhash64(F.transform("items", lambda x: x["line"]))).withColumn("total", F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
+    return rows.select("host", "mark", "face", "total", F.explode("items").alias("x")).select("host", "mark", "face", "x.*", "total")
 
 
 def frequent_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
@@ -109,27 +116,28 @@ def frequent_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataF
     return counts.join(hosts, "host").where(F.col("n_docs") > limits.min_share * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def _lines_and_frequent(docs: DataFrame, key: str, host: str, limits: LineLimits) -> tuple[DataFrame, DataFrame]:
-    lines = materialize(line_table(docs, key, host), "lines")
+def _lines_and_frequent(docs: DataFrame, host: str, limits: LineLimits) -> tuple[DataFrame, DataFrame]:
+    lines = materialize(line_table(docs, host), "lines")
     return lines, materialize(frequent_lines(lines, limits), "frequent")
 
 
 def _hits(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    return lines.select("key", "host", "pos", "line", "words").join(frequent, ["host", "line"]).select("key", "host", "pos", "line", "words")
+    return lines.drop("face").join(frequent.select("host", "line"), ["host", "line"])
 
 
-def flagged_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """(key, host, pos, line, words) of the lines of documents that are above the limit."""
-    return _hits(*_lines_and_frequent(docs, key, host, limits))
+def flagged_lines(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """(host, line, mark, pos, words, total) of the lines of documents that are above the limit."""
+    return _hits(*_lines_and_frequent(docs, host, limits))
 
 
 def _words_of_lines(hit: DataFrame) -> DataFrame:
-    return hit.groupBy("key", "pos", "line").agg(F.max("words").alias("words")).groupBy("key").agg(F.sum("words").alias("n_removed"))
+    each = hit.groupBy("host", "mark", "pos", "line").agg(F.max("words").alias("words"), F.max("total").alias("total"))
+    return each.groupBy("host", "mark").agg(F.sum("words").alias("n_removed"), F.max("total").alias("total"))
 
 
-def removed_words(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """(key, n_removed): words of each document in frequent lines, for documents that have any."""
-    return _words_of_lines(flagged_lines(docs, key, host, limits))
+def removed_words(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """(host, mark, n_removed, total): words of each text in frequent lines, for texts that have any."""
+    return _words_of_lines(flagged_lines(docs, host, limits))
 
 
 def depleted(n_words: Column, n_removed: Column, limits: LineLimits = LineLimits()) -> Column:
@@ -139,32 +147,43 @@ def depleted(n_words: Column, n_removed: Column, limits: LineLimits = LineLimits
 def quality_verdicts(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """One row for each row of docs: key, signals, base_failed, n_removed and kept.
 
-    Null hosts form one host; null keys have no removable lines. Rows of one
-    key and text count once, and equal rows get equal verdicts. No rows give
-    no rows; other columns are ignored.
+    Each row is judged by its own text and host, whatever its key, so rows of
+    null or repeated keys get their own verdicts, and equal rows equal ones.
+    Null hosts form one host. No rows give no rows; other columns are ignored.
     """
-    docs = docs.select(key, "text", host)
-    signals = quality_signals(docs.select(key, "text")).drop("text")
-    removed = removed_words(docs, key, host, limits).withColumnRenamed("key", key)
-    out = signals.join(removed, key, "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("n_removed"), limits))
+    docs = docs.select(F.col(key).alias("_key"), "text", _host(host).alias("host"))
+    signals = quality_signals(docs.withColumn("mark", F.xxhash64("text"))).drop("text")
+    removed = removed_words(docs, "host", limits).drop("total")
+    out = signals.join(removed, ["host", "mark"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long")).drop("host", "mark")
+    out = out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("n_removed"), limits))
+    return out.select(F.col("_key").alias(key), *[c for c in out.columns if c != "_key"])
+
+
+def _by_host(frequent: DataFrame) -> DataFrame:
+    """(_host, _gone): the frequent lines of a host, dealt by hash into lists of about 16, so that a line is looked for in one of them."""
+    sizes = frequent.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 16)).cast("int").alias("lists"))
+    dealt = frequent.select("host", "line").distinct().join(sizes, "host").select("host", F.pmod("line", F.col("lists").cast("long")).cast("int").alias("at"), "line")
+    every = sizes.select("host", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("at"))
+    filled = every.join(dealt.groupBy("host", "at").agg(F.collect_list("line").alias("lines")), ["host", "at"], "left")
+    return filled.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines")))).alias("_gone"))
 
 
-def _without(docs: DataFrame, hit: DataFrame, frequent: DataFrame, key: str, host: str) -> DataFrame:
-    """docs without their frequent lines, all other lines as they are; n_chars follows. Rows without a key stay as they are.
+def _without(docs: DataFrame, hit: DataFrame, frequent: DataFrame, host: str) -> DataFrame:
+    """docs without their frequent lines, all other lines as they are; n_chars follows.
 
     Up to BROADCAST_LINES frequent lines go to all tasks, by host, so that no
-    text is shuffled; of more, those of each document reach it by a join.
+    text is shuffled; of more, those of each text reach it by a join.
     """
-    own = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    mark = F.xxhash64("text")
     if frequent.count() <= BROADCAST_LINES:
-        gone = frequent.groupBy("host").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("host", "_host")
-        out = docs.join(F.broadcast(gone), (own == F.col("_host")) & F.col(key).isNotNull(), "left")
+        out = docs.join(F.broadcast(_by_host(frequent)), _host(host) == F.col("_host"), "left")
+        gone = lambda line: F.array_contains(F.get("_gone", F.pmod(line, F.size("_gone").cast("long")).cast("int"))["lines"], line)
     else:
-        gone = materialize(hit.groupBy("key", "host").agg(F.collect_set("line").alias("_gone")), "flagged").toDF("_key", "_host", "_gone")
-        out = docs.join(gone, (F.col(key) == F.col("_key")) & (own == F.col("_host")), "left")
+        own = materialize(hit.groupBy("host", "mark").agg(F.collect_set("line").alias("_gone")), "flagged").toDF("_host", "_mark", "_gone")
+        out = docs.join(own, (_host(host) == F.col("_host")) & (mark == F.col("_mark")), "left")
+        gone = lambda line: F.array_contains("_gone", line)
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda s: ~F.array_contains("_gone", _line_hash(words_of(s))))
+    kept = F.filter(lines, lambda s: ~gone(_line_hash(words_of(s))))
     out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept))
     out = out.withColumn("_new", F.when(F.size("_kept") < F.size(lines), F.array_join("_kept", "\n")))
     new = {"text": F.coalesce("_new", "text")}
@@ -173,30 +192,29 @@ def _without(docs: DataFrame, hit: DataFrame, frequent: DataFrame, key: str, hos
     return out.select([new[c].alias(c) if c in new else c for c in docs.columns])
 
 
-def strip_frequent_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+def strip_frequent_lines(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """docs with frequent lines taken out of the texts; texts without any stay as they are."""
-    lines, frequent = _lines_and_frequent(docs, key, host, limits)
-    return _without(docs, _hits(lines, frequent), frequent, key, host)
+    lines, frequent = _lines_and_frequent(docs, host, limits)
+    return _without(docs, _hits(lines, frequent), frequent, host)
 
 
-def drop_low_quality(docs: DataFrame, key: str = "doc_id", host: str = "source", limits: LineLimits = LineLimits(), strip: bool = False) -> DataFrame:
+def drop_low_quality(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits(), strip: bool = False) -> DataFrame:
     """The rows of docs that quality_verdicts() keeps, unchanged, or without their frequent lines (strip).
 
-    Base rules filter in place. Only the keys of depleted documents are joined
-    against, from a written table, so that Spark knows its size when it picks
-    the join.
+    Base rules filter in place. Only hosts and hashes of depleted texts are
+    joined against, from a written table, so that Spark knows its size when it
+    picks the join.
     """
-    lines, frequent = _lines_and_frequent(docs, key, host, limits)
+    lines, frequent = _lines_and_frequent(docs, host, limits)
     hit = materialize(_hits(lines, frequent), "hits")
-    sizes = docs.select(F.col(key).alias("key"), F.size(words_of(F.coalesce("text", F.lit("")))).alias("n_words"))
-    gone = materialize(_words_of_lines(hit).join(sizes, "key").where(depleted(F.col("n_words"), F.col("n_removed"), limits)).select(F.col("key").alias(key)).distinct(), "depleted")
+    gone = materialize(_words_of_lines(hit).where(depleted(F.col("total"), F.col("n_removed"), limits)).select(F.col("host").alias("_host"), F.col("mark").alias("_mark")), "depleted")
     remove(docs.sparkSession, lines)
     whole = docs.select(F.struct("*").alias("_row"), "text")
     # a filter on an id as well isn't pushed below the projections; pushed down, it would repeat their array expressions for every element
     judged = quality_signals(whole).select("_row", "base_failed", F.monotonically_increasing_id().alias("_id"))
     fine = judged.where(~F.col("base_failed") & (F.col("_id") >= 0)).select("_row.*")
-    kept = fine.join(gone, key, "left_anti")
-    return _without(kept, hit, frequent, key, host) if strip else kept
+    kept = fine.join(gone, (_host(host) == F.col("_host")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
+    return _without(kept, hit, frequent, host) if strip else kept
 
 
 ORACLE_SQL = """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +29,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Key of the pseudonyms of synthetic tables. A session sets its own in PSEUDONYM_SETTING.
-TEST_KEY = b"key of the synthetic tables"
+#: The setting that holds the key of pseudonyms, so that they stay equal between applications.
 PSEUDONYM_SETTING = "spark.parley.pseudonymKey"
+_session_keys: dict[str, bytes] = {}
 
 
 def pseudonym_key(spark: SparkSession) -> bytes:
+    """The key of PSEUDONYM_SETTING, or else a random one that this application keeps: nobody can undo its pseudonyms, and other applications make other ones."""
     found = spark.conf.get(PSEUDONYM_SETTING, None)
-    return found.encode() if found else TEST_KEY
+    return found.encode() if found else _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -91,6 +91,36 @@ def test_the_pipeline_takes_flagged_lines_out(spark):
     assert rows == sorted([("one", i, t + "\n", len(t) + 1) for i, t in enumerate(own)] + [("two", 0, own[1], len(own[1]))])
 
 
+def test_rows_of_null_and_repeated_keys_are_judged_by_themselves(spark):
+    """As SQL does that numbers the rows: a clean and a worn text of one key, worn ones of null keys, hosts apart."""
+    import duckdb
+
+    rng, vocab = seeded(15)
+    boiler = [prose(rng, 70, vocab, line=100) for _ in range(2)]
+    rows = [(i, "\n".join([*boiler, f"own words {i}"]), "h") for i in range(30)]
+    rows += [(7, prose(rng, 60, vocab), "h"), (None, boiler[0], "h"), (None, boiler[0], "h"), (None, prose(rng, 60, vocab), "h"), (3, boiler[1], "other"), (3, boiler[1], None), (8, None, "h"), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((tuple(r) for r in op9.quality_verdicts(docs).collect()), key=repr)
+    documents = docs.toPandas()  # noqa: F841 - read by name
+    want = sorted((tuple(r) for r in duckdb.sql(op9.ORACLE_SQL).fetchall()), key=repr)
+    assert got == want and {r[-1] for r in got if r[0] == 7} == {True, False}
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in op9.drop_low_quality(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([rows[30], *rows[33:36]], key=repr) and sum(r[-1] for r in want) == 4
+    stripped = op9.drop_low_quality(docs, strip=True).where("doc_id is null").collect()
+    assert [r["text"] for r in stripped] == [rows[33][1]]
+
+
+@pytest.mark.parametrize("most", [op9.BROADCAST_LINES, 0])
+def test_frequent_lines_leave_texts_by_either_way(spark, monkeypatch, most):
+    monkeypatch.setattr(op9, "BROADCAST_LINES", most)
+    rng, vocab = seeded(16)
+    shared = [f"shared line {k} of many" for k in range(100)]
+    rows = [(i % 3 or None, "\n".join([*shared, f"own {i}"]), f"h{i % 2}") for i in range(60)] + [(1, "\n".join(shared[:3]), "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(r["text"] for r in op9.strip_frequent_lines(docs).collect())
+    assert got == sorted([f"own {i}" for i in range(60)] + ["\n".join(shared[:3])])
+
+
 def test_quality_rules_on_nothing(spark):
     none = spark.createDataFrame([], DOCS)
     assert op9.quality_verdicts(none).count() == 0 and op9.drop_low_quality(none).count() == 0
