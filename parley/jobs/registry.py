@@ -675,6 +675,23 @@ def _(spark, sf):
     return found.select("query_id", "chunk_id", "place")
 
 
+_FOUND_CHUNKS = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings WHERE vec_id % 7 <> 3),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_dot_product(q.e, c.e) AS score FROM v q, v c WHERE q.vec_id % 20 = 0)
+ SELECT query_id, chunk_id, place::INT AS place, concat('text ', chunk_id) AS content, concat('title ', chunk_id % 9) AS title, '' AS source, round(score, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id) AS place FROM s) WHERE place <= 4"""
+
+
+@query("kb_6_retrieve", _FOUND_CHUNKS)
+def _(spark, sf):
+    """Whole answers of a search; a seventh of the vectors is null, ragged, or holds no number."""
+    v = _vectors(spark, sf)
+    bad = F.when(F.col("vec_id") % 3 == 0, F.lit(None).cast("array<double>")).when(F.col("vec_id") % 3 == 1, F.slice("embedding", 1, 5)).otherwise(F.transform("embedding", lambda x, i: F.when(i == 3, float("nan")).otherwise(x)))
+    v = v.withColumn("embedding", F.when(F.col("vec_id") % 7 == 3, bad).otherwise(F.col("embedding")))
+    n = F.col("vec_id").cast("string")
+    chunks = v.select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("text "), n).alias("content"), F.concat(F.lit("title "), (F.col("vec_id") % 9).cast("string")).alias("title"), F.lit(None).cast("string").alias("source"))
+    found = kb.retrieve(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), chunks)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 @query("kb_3_token_chunks")
 def _(spark, sf):
     import public_tokenizers

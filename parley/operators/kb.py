@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.constants import CHUNK_OVERLAP, CHUNK_SIZE
-from parley.functions.tables import fresh_path
+from parley.functions.tables import fresh_path, materialize
 
 BINARY_EXTENSIONS = [".pdf", ".jpg", ".png", ".docx", ".xlsx", ".pptx", ".zip", ".jpeg"]
 SEPARATORS = ["\n\n", "\n", " ", ""]
-#: Query vectors, and chunks, that a task holds at once.
-QUERY_BLOCK, CHUNK_BLOCK = 1024, 32_768
+#: Query vectors, and chunks, that a task holds at once; chunks that serve as pivots.
+QUERY_BLOCK, CHUNK_BLOCK, PIVOTS = 1024, 4096, 256
 
 
 class _Page(HTMLParser):
@@ -207,52 +207,148 @@ def l2_normalize(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn("_n", norm).withColumn(column, F.when(F.col("_n") > 0, F.transform(column, lambda x: x.cast("double") / F.col("_n"))).otherwise(F.col(column).cast("array<double>"))).drop("_n")
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """(query_id, chunk_id, score, place): the k chunks of largest inner product for each query.
-
-    queries (query_id, embedding) are written once. A task takes CHUNK_BLOCK
-    chunks (chunk_id, embedding) at a time, reads the queries in blocks of
-    QUERY_BLOCK, and keeps its best k for each; only these meet. Ids are of any
-    type that Spark can order; ties go to the lesser chunk_id. No queries, or no
-    chunks, give no rows.
+def valid_vectors(rows: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
+    """The rows whose vector has dim numbers, none of them null, NaN or infinite; column becomes array<double>."""
+    v = F.col(column).cast("array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(F.coalesce((F.size(column) == dim) & ~bad, F.lit(False))).withColumn(column, v)
+
+
+def dimension(rows: DataFrame, column: str = "embedding") -> int:
+    """The most frequent length of the vectors, the greatest of several; 0 without vectors."""
+    found = rows.where(F.size(column) > 0).groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return found["n"] if found else 0
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _blocks(root: str, rows: int) -> Iterator[pa.RecordBatch]:
+    fs, path = pafs.FileSystem.from_uri(root)
+    for file in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet")):
+        with fs.open_input_file(file) as source:
+            yield from (b for b in pq.ParquetFile(source).iter_batches(rows) if b.num_rows)
+
+
+def _near_pivots(pivots: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with their nearest pivot and the distance to it."""
+    centers = np.concatenate([_matrix(b.column("embedding")) for b in _blocks(pivots, PIVOTS)] or [np.zeros((0, 0))])
+    for batch in batches:
+        x = _matrix(batch.column("embedding"))
+        if not len(x):
+            continue
+        square = (x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)
+        near = square.argmin(1)
+        far = np.sqrt(np.maximum(square[np.arange(len(x)), near], 0))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(far)], [*batch.schema.names, "pivot", "far"])
+
+
+def _floors(pivots: str, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries with a floor of their k-th best score: the k-th best among the pivots, which are chunks themselves."""
+    centers = np.concatenate([_matrix(b.column("embedding")) for b in _blocks(pivots, PIVOTS)] or [np.zeros((0, 0))])
+    for batch in batches:
+        for at in range(0, batch.num_rows, QUERY_BLOCK):
+            part = batch.slice(at, QUERY_BLOCK)
+            floor = np.full(part.num_rows, -np.inf)
+            if len(centers) >= k:
+                floor = np.partition(_matrix(part.column("embedding")) @ centers.T, len(centers) - k, axis=1)[:, len(centers) - k]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floor)], [*part.schema.names, "floor"])
+
+
+def top_k_counted(queries: DataFrame, chunks: DataFrame, k: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(found, counts): found is (query_id, chunk_id, score, place), the k chunks of largest inner product for each query.
+
+    Chunks (chunk_id, embedding) are sorted by their nearest of PIVOTS chunks
+    and the distance to it, so that neighbours stand in blocks of at most
+    CHUNK_BLOCK. By the block's center and radius no score in it exceeds
+    q.center + |q| radius; queries (query_id, embedding) for which that is
+    below their floor skip the block as a whole. The floor is the k-th best
+    score among the pivots, so nothing is lost. What a block finds is its best
+    k for each query, and Spark keeps the best k of a task before the shuffle.
+
+    Vectors that are null, of another length than most, or hold no finite
+    numbers take no part. Ids are of any type that Spark can order; equal scores, to
+    ten digits behind the point, go to the lesser chunk_id. No queries, or no chunks,
+    give no rows. counts (one row): chunk_blocks, pairs of query blocks' queries
+    and chunk blocks, skipped ones, invalid_queries, invalid_chunks.
     """
     spark = chunks.sparkSession
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id"))}
-    root = fresh_path(spark, "queries")
-    queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).write.parquet(root)
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    dim = dimension(chunks)
+    good, asked = valid_vectors(chunks.select("chunk_id", "embedding"), dim), valid_vectors(queries.select("query_id", "embedding"), dim)
+    good = materialize(good, "chunk-vectors")
+    pivots, root = fresh_path(spark, "pivots"), fresh_path(spark, "queries")
+    good.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(PIVOTS).write.parquet(pivots)
+    asked.mapInArrow(lambda b: _floors(pivots, k, b), f"query_id {kinds['query_id']}, embedding array<double>, floor double").write.parquet(root)
 
     def best(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         table = table.take(pc.sort_indices(table, sort_keys=[("chunk_id", "ascending")]))
-        ids, vectors = table.column("chunk_id").combine_chunks(), matrix(table.column("embedding"))
-        fs, path = pafs.FileSystem.from_uri(root)
-        files = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet")]
-        for file in sorted(files):
-            with fs.open_input_file(file) as source:
-                for block in pq.ParquetFile(source).iter_batches(QUERY_BLOCK):
-                    if not block.num_rows:
-                        continue
-                    scores = matrix(block.column("embedding")) @ vectors.T
-                    n = min(k, len(ids))
-                    top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-                    row = np.repeat(np.arange(block.num_rows), n)
-                    yield pa.RecordBatch.from_arrays([block.column("query_id").take(pa.array(row)), ids.take(pa.array(top.ravel())), pa.array(np.take_along_axis(scores, top, 1).ravel())], ["query_id", "chunk_id", "score"])
+        ids, vectors = table.column("chunk_id").combine_chunks(), _matrix(table.column("embedding"))
+        center = vectors.mean(0)
+        radius = float(np.sqrt(((vectors - center) ** 2).sum(1).max()))
+        pairs = skipped = 0
+        kind = None
+        for block in _blocks(root, QUERY_BLOCK):
+            q, kind = _matrix(block.column("embedding")), block.column("query_id").type
+            floor = block.column("floor").to_numpy()
+            floor = floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
+            live = np.flatnonzero(q @ center + np.sqrt((q * q).sum(1)) * radius >= floor)
+            pairs, skipped = pairs + len(q), skipped + len(q) - len(live)
+            if not len(live):
+                continue
+            scores = q[live] @ vectors.T
+            near = np.round(scores, 10)
+            least = floor[live]
+            if len(ids) > k:
+                least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+            row, col = np.nonzero(near >= least[:, None])
+            order = np.lexsort((col, -near[row, col], row))
+            row, col = row[order], col[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[keep], col[keep]
+            none = pa.nulls(len(row), pa.int64())
+            yield pa.RecordBatch.from_arrays([block.column("query_id").take(pa.array(live[row])), ids.take(pa.array(col)), pa.array(scores[row, col]), none, none], ["query_id", "chunk_id", "score", "pairs", "skipped"])
+        if kind is not None:  # what was skipped, in a row of its own
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, ids.type), pa.nulls(1, pa.float64()), pa.array([pairs]), pa.array([skipped])], ["query_id", "chunk_id", "score", "pairs", "skipped"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CHUNK_BLOCK:
-                yield from best(held)
-                held = []
-        if sum(b.num_rows for b in held):
+            pivot = batch.column("pivot").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pivot)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                for at in range(a, b, CHUNK_BLOCK):
+                    part = batch.slice(at, min(CHUNK_BLOCK, b - at))
+                    n = sum(x.num_rows for x in held)
+                    if held and (n + part.num_rows > CHUNK_BLOCK or held[-1].column("pivot")[0] != part.column("pivot")[0]):
+                        yield from best(held)
+                        held = []
+                    held.append(part)
+        if held and sum(b.num_rows for b in held):
             yield from best(held)
 
-    each = chunks.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    found = each.mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    placed = good.mapInArrow(lambda b: _near_pivots(pivots, b), f"chunk_id {kinds['chunk_id']}, embedding array<double>, pivot int, far double")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = placed.repartitionByRange(tasks, "pivot", "far", F.xxhash64("chunk_id")).sortWithinPartitions("pivot", "far")
+    found = materialize(ranged.mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, pairs long, skipped long"), "found")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "chunk_id")
+    rows = found.where("pairs is null").drop("pairs", "skipped").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias
+    counts = found.where("pairs is not null").agg(F.count("*").alias("chunk_blocks"), zero(F.sum("pairs"))("pairs"), zero(F.sum("skipped"))("skipped"))
+    counts = counts.crossJoin(queries.agg(F.count("*").alias("q"))).crossJoin(asked.agg(F.count("*").alias("gq"))).crossJoin(chunks.agg(F.count("*").alias("c"))).crossJoin(good.agg(F.count("*").alias("gc")))
+    return rows, counts.select("chunk_blocks", "pairs", "skipped", (F.col("q") - F.col("gq")).alias("invalid_queries"), (F.col("c") - F.col("gc")).alias("invalid_chunks"))
+
+
+def top_k(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
+    """(query_id, chunk_id, score, place), see top_k_counted()."""
+    return top_k_counted(queries, chunks, k)[0]
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
+    """(query_id, place, chunk_id, content, title, source, confidence) of the k best chunks (chunk_id, embedding, content, title, source) for each query. Texts are joined to what was found, so the search reads vectors only."""
+    found = top_k(queries, chunks.select("chunk_id", "embedding"), k).withColumnRenamed("score", "confidence")
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return found.join(chunks.select("chunk_id", text("content"), text("title"), text("source")), "chunk_id").select("query_id", "place", "chunk_id", "content", "title", "source", "confidence")

@@ -182,6 +182,31 @@ def test_search_with_text_ids_in_small_blocks(spark, monkeypatch):
     assert kb.top_k(v.withColumnRenamed("id", "query_id"), v.limit(0).withColumnRenamed("id", "chunk_id")).count() == 0
 
 
+def test_search_skips_blocks_that_cannot_hold_a_result(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(40, 8)) * 5
+    points = [(f"p{i:04d}", (centers[i % 40] + rng.normal(size=8) * 0.05).tolist()) for i in range(2000)] + [("same", (centers[0]).tolist()), ("same2", (centers[0]).tolist())]
+    odd = [("null", None), ("ragged", [1.0]), ("empty", []), ("nan", [float("nan")] * 8), ("inf", [float("inf")] * 8), ("hole", [1.0, None, *[0.0] * 6]), ("zero", [0.0] * 8)]
+    df = spark.createDataFrame(points + odd, "id string, embedding array<double>").repartition(5)
+    asked = df.where("id like 'p000%' or id = 'null' or id = 'same'").withColumnRenamed("id", "query_id")
+    found, counts = kb.top_k_counted(asked, df.withColumnRenamed("id", "chunk_id"), 3)
+    known = {i: np.array(x) for i, x in [*points, odd[-1]]}
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["place"]] = r["chunk_id"]
+    assert set(got) == {i for i, _ in points if i.startswith("p000") or i == "same"}
+    for q, places in got.items():
+        order = sorted(known, key=lambda i: (-round(float(known[q] @ known[i]), 10), i))[:3]
+        assert [places[i] for i in (1, 2, 3)] == order
+    n = counts.first()
+    assert n["invalid_chunks"] == 6 and n["invalid_queries"] == 1 and 0 < n["skipped"] < n["pairs"] and n["skipped"] > n["pairs"] / 2
+    texts = df.where("id like 'p00%'").selectExpr("id as chunk_id", "embedding", "concat('t', id) as content", "cast(null as string) as title", "'s' as source")
+    one = kb.retrieve(asked.where("query_id = 'p0003'"), texts, 1).collect()
+    assert [(r["place"], r["content"], r["title"], r["source"]) for r in one] == [(1, "t" + one[0]["chunk_id"], "", "s")] and one[0]["confidence"] > 0
+    none = kb.top_k_counted(asked.limit(0), df.limit(0).withColumnRenamed("id", "chunk_id"))
+    assert none[0].count() == 0 and none[1].first()["pairs"] == 0
+
+
 def test_token_chunks(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
