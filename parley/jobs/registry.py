@@ -699,6 +699,22 @@ def _(spark, sf):
     return kb.token_chunks(_docs(spark, sf), public_tokenizers.path("word_bpe_49k.json")).select("id", "source", "content")
 
 
+@query("kb_3_recursive_tokens")
+def _(spark, sf):
+    import public_tokenizers
+
+    return kb.recursive_token_chunks(_docs(spark, sf), public_tokenizers.path("word_bpe_49k.json"), 400, 40).select("id", "source", "content")
+
+
+@query("kb_3_recursive_words", """WITH d AS (SELECT doc_id, source, regexp_split_to_array(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ') AS ws FROM documents WHERE text IS NOT NULL AND text <> '' AND doc_id % 50 <> 0 AND trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g')) <> ''),
+ c AS (SELECT doc_id, source, ws, unnest(range(CASE WHEN len(ws) <= 200 THEN 1 ELSE ((len(ws) - 200 + 179) // 180) + 1 END)) AS i FROM d)
+ SELECT concat(doc_id, '_', i) AS id, source, concat(array_to_string(ws[i * 180 + 1:i * 180 + 200], ' '), CASE WHEN i * 180 + 200 < len(ws) THEN ' ' ELSE '' END) AS content FROM c""")
+def _(spark, sf):
+    """Texts of one line each, in chunks of at most 200 words of which 20 are shared."""
+    flat = F.trim(F.regexp_replace("content", "[\\x20\\x09-\\x0D]+", " "))
+    return kb.recursive_token_chunks(_docs(spark, sf).withColumn("content", flat), None, 200, 20).select("id", "source", "content")
+
+
 @query("src_6_knowledge_files", "SELECT concat('page-', page_id, '.html') AS title, html AS content, false AS is_error FROM pages WHERE coalesce(html, '') <> '' UNION ALL SELECT concat('note-', doc_id, '.', ['md', 'txt', 'pdf', 'json'][doc_id % 4 + 1]), CASE WHEN doc_id % 4 <> 2 THEN text END, doc_id % 4 = 2 FROM documents WHERE coalesce(text, '') <> ''")
 def _(spark, sf):
     return _knowledge(spark, sf).select("title", "content", "is_error")

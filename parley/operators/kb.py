@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
@@ -117,33 +120,65 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return links.where(F.startswith("link", F.col("url")) & (F.col("link") != F.col("url")) & ~binary).distinct()
 
 
-def _split(text: str, size: int, separators: list[str]) -> list[str]:
-    """Pieces of at most size signs, cut at the coarsest separator that the text holds."""
-    if len(text) <= size:
-        return [text] if text else []
-    mark = next(s for s in separators if s == "" or s in text)
-    if not mark:
-        return [text[i : i + size] for i in range(0, len(text), size)]
+class _Measure:
+    """Counts the units (signs, or tokens by their first places) of stretches of a text, by bisection of places in order."""
+
+    def __init__(self, starts: list[int] | range):
+        self.starts = starts
+
+    def count(self, a: int, b: int) -> int:
+        return bisect_left(self.starts, b) - bisect_left(self.starts, a)
+
+    def cuts(self, a: int, b: int, size: int) -> list[int]:
+        """Places in (a, b) that part [a, b) into stretches of at most size units; a single sign of more units stays whole."""
+        out, last = [], bisect_left(self.starts, b)
+        while (i := bisect_left(self.starts, a) + size) < last:
+            a = self.starts[i] if self.starts[i] > a else a + 1
+            out.append(a)
+        return out
+
+
+def _split(text: str, a: int, b: int, size: int, separators: list[str], m: _Measure) -> list[tuple[int, int]]:
+    """Stretches of [a, b) of at most size units, cut at the coarsest separator that the text holds."""
+    if m.count(a, b) <= size:
+        return [(a, b)] if b > a else []
+    mark = next(s for s in separators if s == "" or text.find(s, a, b) >= 0)
     finer = separators[separators.index(mark) + 1 :]
-    parts = text.split(mark)
-    pieces = [p + mark for p in parts[:-1]] + parts[-1:]
-    out: list[str] = []
-    for p in pieces:
-        out += _split(p, size, finer) if len(p) > size else ([p] if p else [])
+    at, ends = a, []
+    if mark:
+        while (at := text.find(mark, at, b)) >= 0:
+            at += len(mark)
+            ends.append(at)
+    else:
+        ends = m.cuts(a, b, size)
+    out: list[tuple[int, int]] = []
+    for x, y in zip([a, *ends], [*ends, b]):
+        out += _split(text, x, y, size, finer, m) if mark else [(x, y)] if y > x else []
     return out
 
 
+def _merged(text: str, size: int, overlap: int, m: _Measure) -> list[str]:
+    """Chunks of at most size units; each starts with pieces of at most overlap units from the end of the one before."""
+    chunks, now, length = [], deque(), 0
+    for a, b in _split(text, 0, len(text), size, SEPARATORS, m):
+        n = m.count(a, b)
+        if now and length + n > size:
+            chunks.append(text[now[0][0] : now[-1][1]])
+            while now and (length > overlap or length + n > size):
+                length -= now.popleft()[2]
+        now.append((a, b, n))
+        length += n
+    return [*chunks, text[now[0][0] : now[-1][1]]] if now else chunks
+
+
 def chunk_text(text: str, size: int, overlap: int) -> list[str]:
-    """Chunks of at most size signs; each starts with pieces of at most overlap signs from the end of the one before."""
-    chunks, now, length = [], [], 0
-    for piece in _split(text, size, SEPARATORS):
-        if now and length + len(piece) > size:
-            chunks.append("".join(now))
-            while now and (length > overlap or length + len(piece) > size):
-                length -= len(now.pop(0))
-        now.append(piece)
-        length += len(piece)
-    return [*chunks, "".join(now)] if now else chunks
+    """Chunks of at most size signs."""
+    return _merged(text, size, overlap, _Measure(range(len(text))))
+
+
+def word_starts(text: str) -> list[int]:
+    """Where the words between white space begin."""
+    return [w.start() for w in re.finditer(r"\S+", text)]
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -182,12 +217,37 @@ def token_chunks(docs: DataFrame, tokenizer: str, size: int = CHUNK_SIZE, overla
     return _chunked(docs, cut)
 
 
+def recursive_token_chunks(docs: DataFrame, tokenizer: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """chunk_documents() with lengths in tokens of a tokenizer file that all executors have, or in words between white space if there is none.
+
+    A text is encoded once; the tokens of any stretch of it are those that
+    begin there, so pieces are measured by two bisections and never encoded
+    again. A piece without separators is cut between tokens.
+    """
+    if overlap >= size:
+        raise ValueError("chunks must be longer than their overlap")
+
+    @F.pandas_udf("array<string>")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        starts = word_starts
+        if tokenizer is not None:
+            from tokenizers import Tokenizer
+
+            encoder = Tokenizer.from_file(tokenizer)
+            starts = lambda text: [a for a, _ in encoder.encode(text, add_special_tokens=False).offsets]
+        for content in parts:
+            # tokens of one sign that is cut into bytes share their first place, so places are in order but not distinct
+            yield content.map(lambda t: _merged(t, size, overlap, _Measure(starts(t))))
+
+    return _chunked(docs, cut)
+
+
 def _chunked(docs: DataFrame, cut) -> DataFrame:
     usable = valid_docs(docs)
     whole = usable.where(~F.col("is_chunk"))
     rest = [c for c in docs.columns if c not in ("id", "content", "is_chunk")]
-    cut_up = whole.select("id", *rest, F.posexplode(cut("content")).alias("i", "content"))
-    cut_up = cut_up.select(F.concat(F.col("id").cast("string"), F.lit("_"), F.col("i").cast("string")).alias("id"), "content", *rest, F.lit(True).alias("is_chunk"))
+    cut_up = whole.select("id", *rest, F.posexplode(cut("content")).alias("_place", "_chunk"))
+    cut_up = cut_up.select(F.concat(F.col("id").cast("string"), F.lit("_"), F.col("_place").cast("string")).alias("id"), F.col("_chunk").alias("content"), *rest, F.lit(True).alias("is_chunk"))
     return cut_up.unionByName(usable.where("is_chunk").withColumn("id", F.col("id").cast("string")))
 
 

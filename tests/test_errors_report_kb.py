@@ -1,6 +1,7 @@
 """Errors, scenarios, report tables, knowledge base, metrics, sinks."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parley import constants as C
@@ -233,6 +234,63 @@ def test_token_chunks(spark):
         assert [got[i][k] for k in range(len(got[i]))] == want, i
 
 
+def slow_chunks(text, size, overlap, starts):
+    """The splitter by its rules alone: every stretch is counted sign by sign."""
+    count = lambda a, b: sum(a <= s < b for s in starts)
+
+    def pieces(a, b, marks):
+        if count(a, b) <= size:
+            return [(a, b)] * (b > a)
+        mark = [m for m in marks if m in text[a:b]][0]
+        if mark == "":
+            out, at = [], a
+            for x in range(a + 1, b + 1):
+                if count(at, x) > size:
+                    out.append((at, x - 1))
+                    at = x - 1
+            return [*out, (at, b)]
+        out, at = [], a
+        for part in text[a:b].split(mark)[:-1]:
+            out += pieces(at, at + len(part) + len(mark), marks[marks.index(mark) + 1 :])
+            at += len(part) + len(mark)
+        return out + pieces(at, b, marks[marks.index(mark) + 1 :])
+
+    chunks, now = [], []
+    for p in pieces(0, len(text), ["\n\n", "\n", " ", ""]):
+        held = sum(count(*x) for x in now)
+        if now and held + count(*p) > size:
+            chunks.append(text[now[0][0] : now[-1][1]])
+            while now and (held > overlap or held + count(*p) > size):
+                held -= count(*now.pop(0))
+        now.append(p)
+    return chunks + ([text[now[0][0] : now[-1][1]]] if now else [])
+
+
+def test_recursive_token_chunks(spark):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé中\U0001f600") for _ in range(rng.choice([1, 2, 3, 9, 60])))
+    texts = ["", None, " ", "x", "\n\n\n\n", "unbroken" * 40] + ["".join(word() + rng.choice([" ", " ", " ", "\n", "\n\n", "  "]) for _ in range(rng.randint(1, 60))) for _ in range(12)]
+    docs = spark.createDataFrame([(i, "s", t, False, i == 3) for i, t in enumerate(texts)], "id long, source string, content string, is_chunk boolean, is_error boolean").selectExpr("*", "1 as i", "2 as starts")
+    for tokenizer, starts in ((path, lambda t: [a for a, _ in encoder.encode(t, add_special_tokens=False).offsets]), (None, kb.word_starts)):
+        for size, overlap in ((10, 3), (4, 0)):
+            got = {}
+            for r in kb.recursive_token_chunks(docs, tokenizer, size, overlap).collect():
+                got.setdefault(int(r["id"].split("_")[0]), {})[int(r["id"].split("_")[1])] = r["content"]
+            for i, t in enumerate(texts):
+                want = slow_chunks(t, size, overlap, starts(t)) if t and i != 3 else []
+                assert [got.get(i, {}).get(k) for k in range(len(want))] == want and len(got.get(i, {})) == len(want), (i, size)
+    with pytest.raises(ValueError):
+        kb.recursive_token_chunks(docs, None, 5, 5)
+    assert kb.recursive_token_chunks(docs.limit(0), None).count() == 0
+
+
 def test_knowledge_files_to_chunks(spark, tmp_path):
     from parley.functions.tables import write_files
     from parley.sources.documents import read_knowledge_files
