@@ -595,6 +595,20 @@ def _(spark, sf):
     return rows.select("conversation_id", "match_mode", "matched", "failure_label", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
+@query(
+    "trj_2_long_conversations",
+    _with("calls", more=_TRJ) + """SELECT conversation_id, mode AS match_mode, failure_label IS NULL AS matched, failure_label, CASE WHEN mode = 'within' OR (mode = 'strict' AND len(a) = 3) THEN 0 ELSE len(missing) END::BIGINT AS n_missing,
+ CASE WHEN mode = 'within' THEN len(beyond) WHEN mode = 'contains' OR (mode = 'strict' AND len(a) = 3) THEN 0 ELSE len(extra) END::BIGINT AS n_extra FROM g""",
+)
+def _(spark, sf):
+    """The same with calls as rows: no conversation becomes one row of one task."""
+    calls = adapt(spark, sf, "calls")
+    mode = F.get(F.array(*[F.lit(m) for m in ("unordered", "contains", "within", "strict")]), F.pmod("conversation_id", F.lit(4)).cast("int"))
+    modes = calls.select("conversation_id").distinct().withColumn("match_mode", mode)
+    expected = modes.select("conversation_id", F.posexplode(F.array(F.lit("click"), F.lit("view"), F.lit("purchase"))).alias("at", "name")).withColumns({"arguments": F.lit("{}"), "arg_match_mode": F.lit("ignore")})
+    return trajectory.match_long(modes, expected, calls)[0].drop("n_ordering_issues")
+
+
 @query("trj_1_argument_modes", _with("calls", more="""x AS (SELECT id, event_id, CAST(arguments->>'k' AS INT) AS k, CASE event_id % 3 WHEN 0 THEN 'ignore' WHEN 1 THEN 'exact' ELSE 'partial' END AS mode, event_id % 5 AS kind FROM t_calls),
  y AS (SELECT *, CASE WHEN mode = 'ignore' THEN true WHEN mode = 'exact' THEN kind IN (0, 1) ELSE kind IN (0, 1, 2) END AS ok FROM x)""") + "SELECT id, mode, ok AS matched, CASE WHEN ok THEN NULL WHEN mode = 'partial' THEN 'lack of specific information' ELSE 'false information' END AS failure_label FROM y")
 def _(spark, sf):

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from parley.operators import trajectory
 
@@ -98,3 +99,27 @@ def test_queries_match_the_calls_of_all_turns(spark):
     failed = {r["conversation_id"] for r in found if not r["matched"]}
     turns = {(r["conversation_id"], r["turn_id"]) for r in registry.queries()["trj_9_attribute_failures"](spark, sf).collect() if r["label"] != "no failure"}
     assert turns == {(c, last[c]) for c in failed}
+
+
+def test_long_form_equals_arrays(spark):
+    """Random conversations of all modes, and one of 10,000 calls, judged row by row and by arrays."""
+    import random
+
+    rng = random.Random(9)
+    args = ['{"a":1}', '{"a": 1}', '{"a":2}', '{"a":1,"b":2}', "{}", None]
+    pick = lambda n, modes: [(rng.choice("xyz"), rng.choice(args), rng.choice(modes)) for _ in range(n)]
+    rows = [(i, rng.choice(["unordered", "contains", "within", "strict", "odd", None]), pick(rng.randint(0, 6), [None]), pick(rng.randint(0, 5), rng.choice([["ignore"], ["exact"], ["partial"], ["ignore", "exact", "partial", None]]))) for i in range(120)]
+    rows += [(500 + i, "strict", calls, [(n, '{"a":9}', m) for n, a, _ in calls]) for i, m in enumerate(["ignore", "exact", "partial"] * 3) for calls in [pick(4, [None])]]
+    long = [(rng.choice(["x", "y", "z", "w"]), rng.choice(args[:4]), None) for _ in range(10_000)]
+    rows += [(900, "unordered", long, pick(40, ["exact"])), (901, "contains", long, [("q", "{}", "ignore"), ("x", "{}", "ignore")]), (902, "within", long, [("x", None, "ignore"), ("y", None, "ignore"), ("z", None, "ignore")])]
+    df = spark.createDataFrame([(i, m, [c[:2] for c in a], e) for i, m, a, e in rows], SCHEMA)
+    want = {r["conversation_id"]: (r["matched"], r["failure_label"], len(r["missing"]), len(r["extra"]), len(r["ordering_issues"])) for r in trajectory.match_trajectories(df).collect()}
+    expected = df.select("conversation_id", F.posexplode("expected").alias("at", "e")).select("conversation_id", "at", "e.*")
+    calls = df.select("conversation_id", F.posexplode("actual").alias("at", "a")).select("conversation_id", (F.col("at") / 3).cast("int").alias("turn_id"), (F.col("at") % 3).alias("call_pos"), "a.name", "a.arguments").repartition(5)
+    results, unmatched = trajectory.match_long(df.select("conversation_id", "match_mode"), expected, calls)
+    got = {r["conversation_id"]: (r["matched"], r["failure_label"], r["n_missing"], r["n_extra"], r["n_ordering_issues"]) for r in results.collect()}
+    assert got == want and len({v[1] for v in want.values()}) == 5
+    names = {(r["conversation_id"]): r["extra"] for r in trajectory.match_trajectories(df.where("conversation_id = 900")).collect()}
+    found = [r["name"] for r in unmatched.where("conversation_id = 900 and side = 'extra'").orderBy("at").collect()]
+    assert found == list(names[900]) and len(found) > 9_900
+    assert trajectory.match_long(df.limit(0).select("conversation_id", "match_mode"), expected.limit(0), calls.limit(0))[0].count() == 0
