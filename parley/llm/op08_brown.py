@@ -40,6 +40,8 @@ EXCHANGE_WORDS = 50_000
 SEED_WORDS = 1000
 CLASSES = 48
 SWEEPS = 4
+#: Two sweeps, one for each half of the words, that raise the likelihood by less than this share each end the exchange.
+LEAST_GAIN = 5e-4
 BASE_ADD = 0.1
 TRANSITION_ADD = 5.0
 #: Distinct rows that a counting task holds before it passes them on.
@@ -344,7 +346,8 @@ def exchange(pairs: DataFrame, head: Head, classes: int = CLASSES, sweeps: int =
     The seeds' bigrams, at most the square of their number, are one task. Then
     all exchange words take part: first those without a class find one, then
     each sweep lets one half of the words move after the other. Moves that do
-    not raise the likelihood together are tried again by fewer words.
+    not raise the likelihood together are tried again by fewer words. It ends
+    after sweeps that move none, or gain too little (LEAST_GAIN).
     """
     spark = pairs.sparkSession
     k, n, seeds = classes + 2, head.exchange, min(seeds, head.exchange)
@@ -363,6 +366,7 @@ def exchange(pairs: DataFrame, head: Head, classes: int = CLASSES, sweeps: int =
     found[:seeds] = first[:seeds] if len(first) else 0
     near = materialize(neighbours(pairs, head), "neighbours")
     m = class_pairs(pairs, found, k)
+    little = 0
     for sweep in range(2 * sweeps + 1 if n else 0):
         shared = spark.sparkContext.broadcast((found, m, min(classes, max(1, seeds)), sweep))
         new = near.mapInArrow(_proposals(shared), "w long, class long").toArrow()
@@ -375,12 +379,14 @@ def exchange(pairs: DataFrame, head: Head, classes: int = CLASSES, sweeps: int =
             moved = found.copy()
             moved[w] = c
             m1 = class_pairs(pairs, moved, k)
-            if sweep == 0 or _likelihood(m1) > _likelihood(m):
+            was, now = _likelihood(m), _likelihood(m1)
+            if sweep == 0 or now > was:
+                little = little + 1 if sweep and now - was < LEAST_GAIN * abs(was) else 0
                 found, m, kept = moved, m1, True
                 break
             some = w % 4 == sweep % 4
             w, c = w[some], c[some]
-        if not kept and sweep > 1:
+        if little == 2 or not kept and sweep > 1:
             break
     remove(spark, near)
     found[:n] = np.maximum(found[:n], 0)
