@@ -301,6 +301,31 @@ def _(spark, sf):
     return _errors(spark, sf)[0]
 
 
+#: Reasons of a failed line: one of 40 rare names, and one of five wordings of what happened, two of which share few words with the others.
+_WORDINGS = ["told a wrong price for item", "told the wrong price for the item", "gave a wrong price for item", "could not find any open order of", "repeated what was said about"]
+_REWORDED = _MERGED + f""", named AS (SELECT m.conversation_id, m.turn_id, m.label, concat({_WORDINGS!r}[(l.p % 5 + 1)::INT], ' name', chr((97 + l.s % 40 // 8)::INT), chr((97 + l.s % 8)::INT)) AS reason FROM merged m JOIN t_lines l USING (conversation_id, turn_id) WHERE m.label IN {_REAL}),
+ exact AS (SELECT label, reason, count(*) AS n, substr(sha256(concat(label, chr(10), reason)), 1, 16) AS id FROM named GROUP BY 1, 2),
+ w AS (SELECT DISTINCT label, id, unnest(string_split(reason, ' ')) AS word FROM exact), tot AS (SELECT label, count(*) AS reasons FROM exact GROUP BY 1),
+ wt AS (SELECT label, word, ln(1 + reasons / count(*)) AS weight FROM w JOIN tot USING (label) GROUP BY label, word, reasons), s AS (SELECT id, sum(weight) AS total FROM w JOIN wt USING (label, word) GROUP BY 1),
+ o AS (SELECT x.id AS a, y.id AS b, sum(weight) AS common FROM w x JOIN w y USING (label, word) JOIN wt USING (label, word) WHERE x.id < y.id GROUP BY 1, 2),
+ e AS (SELECT a, b FROM o JOIN s sa ON sa.id = a JOIN s sb ON sb.id = b WHERE common / (sa.total + sb.total - common) >= 0.6 - 1e-9), ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ reach(node, seen) AS (SELECT id, id FROM exact UNION SELECT reach.node, ee.b FROM reach JOIN ee ON ee.a = reach.seen), grp AS (SELECT node AS id, min(seen) AS grp FROM reach GROUP BY 1)"""
+
+
+def _reworded(spark, sf):
+    lines = adapt(spark, sf, "lines")
+    wording = F.get(F.array(*[F.lit(x) for x in _WORDINGS]), (F.col("p") % 5).cast("int"))
+    letter = lambda n: F.char(97 + n)
+    reason = F.concat(wording, F.lit(" name"), letter(F.floor(F.col("s") % 40 / 8)), letter(F.col("s") % 8))
+    return merged_labels(spark, sf).drop("reason").join(lines.select("conversation_id", "turn_id", reason.alias("reason")), ["conversation_id", "turn_id"])
+
+
+@query("err_4_root_causes", _with(*_ALL[:4], "lines", more=_REWORDED).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT label AS category, arg_min(id, (-n, id)) AS unique_error_id, arg_min(reason, (-n, id)) AS description, sum(n)::BIGINT AS n_occurrences, count(*) AS n_reasons FROM exact JOIN grp USING (id) GROUP BY label, grp")
+def _(spark, sf):
+    """Reasons in several wordings: those of one name that share most of their weight are one error."""
+    return E.root_causes(_reworded(spark, sf))[0].select("category", "unique_error_id", "description", "n_occurrences", "n_reasons")
+
+
 @query("err_5_link_errors", _with(*_ALL[:4], more=_ERRORS) + "SELECT m.conversation_id, m.turn_id, coalesce(string_agg(DISTINCT unique_error_id, ',' ORDER BY unique_error_id), '') AS ids FROM merged m LEFT JOIN occ USING (conversation_id, turn_id) GROUP BY 1, 2")
 def _(spark, sf):
     return E.link_errors(merged_labels(spark, sf), _errors(spark, sf)[1]).select("conversation_id", "turn_id", F.array_join("unique_error_ids", ",").alias("ids"))

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley import constants as C
-from parley.functions.tables import numbered
+from parley.functions.graph import linked_groups
+from parley.functions.tables import materialize, numbered
 from parley.functions.text import normalise_reason
 from parley.operators.report import for_each_run
 from parley.operators.scoring import literal_map
 from parley.operators.turns import conversation_keys
 
 
+#: Weighted Jaccard similarity from which on two reasons have one root cause.
+SIMILARITY = 0.6
+
+
 def _run(df: DataFrame) -> list[str]:
     """run_id, where a table holds many runs: errors are found and numbered for each run."""
     return [k for k in conversation_keys(df) if k == "run_id"]
@@ -127,3 +132,51 @@ def judge_agreement(evals: DataFrame, golden: DataFrame) -> DataFrame:
     none = ~F.arrays_overlap("labels", F.array(*[F.lit(x) for x in C.CONVERSATION_LABELS]))
     agreed = F.when(F.col("expected") == C.NO_FAILURE, none).otherwise(F.array_contains("labels", F.col("expected")))
     return for_each_run(rows, "expected").agg(F.count("*").alias("conversations"), F.count_if(agreed).alias("agreed")).withColumn("rate", F.col("agreed") / F.col("conversations"))
+
+
+def reason_links(reasons: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity): pairs of reasons (id, scope, norm) of one scope whose weighted Jaccard similarity is at least that.
+
+    A word weighs the logarithm of how rare it is among the scope's reasons.
+    Words are put in one order, the rarest first. Two reasons that are similar
+    enough share a word among those that come before the last words of less
+    than similarity of a reason's weight, so only these are joined; most of
+    them are rare, so pairs grow with the reasons. What meets is verified on
+    all words. Reasons without words link with nothing.
+    """
+    words = reasons.select("id", "scope", F.explode(F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != ""))).alias("word"))
+    many = reasons.groupBy("scope").agg(F.count("*").alias("reasons"))
+    weights = words.groupBy("scope", "word").agg(F.count("*").alias("df")).join(many, "scope").select("scope", "word", F.log(1 + F.col("reasons") / F.col("df")).alias("weight"))
+    # negative weights sort the rarest first, and words of one weight by themselves
+    listed = words.join(weights, ["scope", "word"]).groupBy("id", "scope").agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("less"), "word"))).alias("words"))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s - x["less"])
+    listed = materialize(listed.withColumn("total", add(F.col("words"))), "reason-words")
+    # a word belongs to the prefix if the weight from it on is still enough
+    behind = lambda i: add(F.slice("words", i + 1, F.size("words")))
+    prefix = listed.select("id", "scope", "words", "total", F.posexplode("words").alias("i", "w")).where(behind(F.col("i")) >= similarity * F.col("total") - 1e-9).select("id", "scope", F.col("w.word").alias("word"), "total", "words")
+    left, right = (prefix.select("scope", "word", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "total", "words"))) for side in ("l", "r"))
+    near = left.join(right, ["scope", "word"]).where((F.col("l_id") < F.col("r_id")) & (F.least("l_total", "r_total") >= similarity * F.greatest("l_total", "r_total") - 1e-9))
+    common = add(F.array_intersect("l_words", "r_words"))
+    found = near.withColumn("similarity", common / (F.col("l_total") + F.col("r_total") - common)).where(F.col("similarity") >= similarity - 1e-9)
+    return found.groupBy(F.col("l_id").alias("a"), F.col("r_id").alias("b")).agg(F.max("similarity").alias("similarity"))
+
+
+def root_causes(evals: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """group_failures(), with errors of one category merged whose reasons are reworded: linked by reason_links(), directly or over others.
+
+    A merged error has the id, description and severity of its most frequent
+    part, the least id of several, and the occurrences of all. n_reasons: how
+    many different reasons it has.
+    """
+    errors, occurrences = group_failures(evals)
+    run = _run(evals)
+    errors = materialize(errors, "exact-errors")
+    scope = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in run], F.col("category"))
+    reasons = errors.select(F.col("unique_error_id").alias("id"), scope.alias("scope"), normalise_reason(F.coalesce("description", F.lit(""))).alias("norm"))
+    groups = linked_groups(reason_links(reasons, similarity).select("a", "b"))
+    placed = errors.join(groups.withColumnRenamed("node", "unique_error_id"), "unique_error_id", "left").withColumn("group", F.coalesce("component", "unique_error_id")).drop("component")
+    first = F.min(F.struct((-F.col("n_occurrences")).alias("less"), "unique_error_id", "description", "severity"))
+    merged = materialize(placed.groupBy(*run, "group", "category").agg(first.alias("f"), F.sum("n_occurrences").alias("n_occurrences"), F.count("*").alias("n_reasons")), "root-causes")
+    names = placed.select(F.col("unique_error_id").alias("exact"), "group").join(merged.select("group", "f.unique_error_id"), "group").select("exact", "unique_error_id")
+    moved = occurrences.withColumnRenamed("unique_error_id", "exact").join(names, "exact").select("unique_error_id", *[c for c in occurrences.columns if c != "unique_error_id"])
+    return merged.select(*run, "f.unique_error_id", "category", "f.description", "n_occurrences", "f.severity", "n_reasons"), moved

@@ -52,6 +52,38 @@ def test_grouping_links_and_agreement(spark):
     assert got == {"repetition": (1, 1, 1.0), "false information": (1, 0, 0.0), "no failure": (1, 1, 1.0)}
 
 
+def test_root_causes_of_reworded_reasons(spark):
+    say = ["The agent quoted the wrong refund window", "the agent QUOTED a wrong  refund window", "quoted wrong refund window to the user", "Agent never asked for the booking number 12", "agent never asked for the booking number 99", "never asked for booking number", "", None]
+    rows = [("c", i, C.LACK, r) for i, r in enumerate(say)] + [("d", 0, C.DISOBEY, say[0]), ("d", 1, C.LACK, say[0]), ("d", 2, C.NO_FAILURE, say[0])]
+    evals = spark.createDataFrame(rows, "conversation_id string, turn_id int, label string, reason string")
+    errors, occurrences = E.root_causes(evals, 0.5)
+    got = {(r["category"], r["n_occurrences"], r["n_reasons"], r["description"]) for r in errors.collect()}
+    assert {x[:3] for x in got} == {(C.LACK, 4, 3), (C.LACK, 3, 2), (C.LACK, 2, 1), (C.DISOBEY, 1, 1)}
+    assert (C.LACK, 4, 3, say[0]) in got
+    assert occurrences.groupBy("unique_error_id").count().where("count = 4").count() == 1 and occurrences.count() == 10
+    assert E.root_causes(evals.limit(0))[0].count() == 0
+
+
+def test_reason_links_equal_brute_force(spark):
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [(f"e{i:03d}", rng.choice("st"), " ".join(rng.choices(vocab, [1 / (k + 1) for k in range(40)], k=rng.randint(0, 9)))) for i in range(150)]
+    want = {}
+    for scope in "st":
+        sets = {i: set(t.split()) for i, s, t in rows if s == scope}
+        weight = {w: math.log(1 + len(sets) / sum(w in x for x in sets.values())) for x in sets.values() for w in x}
+        for a, b in itertools.combinations(sorted(sets), 2):
+            both, every = (sum(weight[w] for w in x) for x in (sets[a] & sets[b], sets[a] | sets[b]))
+            if both and both / every >= 0.6:
+                want[a, b] = both / every
+    got = {(r["a"], r["b"]): r["similarity"] for r in E.reason_links(spark.createDataFrame(rows, "id string, scope string, norm string")).collect()}
+    assert set(got) == set(want) and len(want) > 20 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_report(spark):
     quant = spark.createDataFrame([(1, 0, "helpfulness", "turn", 4.0, 5.0, 1), (1, 1, "helpfulness", "turn", -1.0, 5.0, 1), (2, 0, "helpfulness", "turn", 1.0, 5.0, 1), (1, None, "own_metric", "conversation", 3.0, None, 1)], QUANT)
     assert {r["name"]: (r["title"], r["average"], r["high"]) for r in report.performance_metrics(quant, spark.createDataFrame([("own_metric", 0.0, 9.0)], "name string, low double, high double")).collect()} == {"helpfulness": ("Helpfulness", 2.5, 5.0), "own_metric": ("Own Metric", 3.0, 9.0)}
