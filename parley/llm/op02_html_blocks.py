@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A tag ends at the next < at the latest, so that unclosed ones are not read to the end of the page again and again.
+#: Quotes enclose a value behind an equals sign only; anywhere else they are signs as others are. An svg may close itself.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|object)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<svg\b[^<>]*+(?<=/)>|<(script|style|noscript|template|textarea|select|svg|iframe|title|object)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S | re.I
 )
 _LOOSE = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _HINT = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -35,6 +36,8 @@ MAIN_WORDS = frozenset("article articlebody main post entry story content".split
 SIDE_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer footer login menu nav navbar navigation newsletter notice pagination pager popup promo promoted recommended related reply replies share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: What comes behind one of these parts of a class is had or lacked by the element, which is something else.
+HAVING_PARTS = frozenset("with without has no".split())
 #: A class of which this is the first part tells something about the page or its subject, not what the element is.
 ASIDE_PARTS = frozenset("no not has have with without is hide category tag type status format lang js".split())
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "side_within", "side_around", "heading", "page_header", "mark", "has_main", "mixed"]
@@ -68,6 +71,7 @@ def _role(tag: str, attributes: str) -> str:
                 parts = _NAME.findall(name)
                 if not parts or len(parts) > 1 and parts[0] in ASIDE_PARTS:
                     continue
+                parts = parts[: next((i for i, x in enumerate(parts) if x in HAVING_PARTS), len(parts))]
                 if not SIDE_WORDS.isdisjoint(parts):
                     side = side or tag not in ("body", "html")
                 elif not MAIN_WORDS.isdisjoint(parts):

@@ -99,6 +99,22 @@ def test_no_pages(spark):
     assert op7.warc_round_trip(none).count() == 0
 
 
+def test_loose_markup_loses_no_text():
+    """Apostrophes in unquoted values, svg that closes itself, quotes without an end, layouts named after what they have."""
+    body = "<p>" + "word " * 60 + "</p>"
+    page = lambda inner: "<html><body><nav><a href=x>home</a></nav>" + inner + "<footer>imprint words here</footer></body></html>"
+    want = ("word " * 60).strip()
+    cases = [
+        "<article><p data-a=Bob's class='lead'>" + "word " * 60 + "</p></article>", "<article><svg class=i/>" + body + "</article>", '<article><svg viewBox="0 0 1 1" />' + body + "</article>", "<article><svg><path d='x'/></svg>" + body + "</article>",
+        '<div class="layout-with-sidebar"><article>' + body + "</article></div>", '<article><p title="a > b" id=x>' + "word " * 60 + "</p></article>", "<article><p title=it's>" + "word " * 60 + "</p></article>",
+    ]
+    tree = op2.train_tree(*op2.labelled_table())
+    for c in cases:
+        found = op2.blocks(page(c))
+        flags = tree.predict(op2.describe(found)).astype(bool)
+        assert " ".join(b.text for b, f in zip(found, flags) if f) == want, c
+
+
 def test_marks_of_both_kinds():
     tree = op2.train_tree(*op2.labelled_table())
     for page in (f'<div class="content no-sidebar"><p>{LONG}</p></div>', f'<article class="post has-comments category-ads"><p>{LONG}</p></article>', f'<main class="story sponsored"><p>{LONG}</p></main>'):
