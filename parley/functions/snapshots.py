@@ -17,10 +17,15 @@ class Snapshots:
     visible by renaming one small file. Until then, and after a killed job, readers see
     the state before. Parts that a commit doesn't name stay. Two commits at
     once can't both take the same number: the second one fails.
+
+    folders: each part is a folder of its own, so parts that a later commit
+    replaced are not read; for few parts, as every task writes a file for each
+    part that it has. Without folders files hold many parts, sorted by them,
+    and their number doesn't grow with that of the parts.
     """
 
-    def __init__(self, spark: SparkSession, root: str, part: str):
-        self.spark, self.root, self.part = spark, root.rstrip("/"), part
+    def __init__(self, spark: SparkSession, root: str, part: str, folders: bool = True):
+        self.spark, self.root, self.part, self.folders = spark, root.rstrip("/"), part, folders
         self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
 
     def _path(self, name: str):
@@ -57,7 +62,11 @@ class Snapshots:
         was, version = self.state(), uuid.uuid4().hex
         named = None
         for name, df in tables.items():
-            df.write.partitionBy(self.part).parquet(f"{self.root}/{name}/version={version}")
+            at = f"{self.root}/{name}/version={version}"
+            if self.folders:
+                df.write.partitionBy(self.part).parquet(at)
+            else:
+                df.withColumn(self.part, F.col(self.part).cast("string")).sortWithinPartitions(self.part).write.parquet(at)
             if parts is None:
                 here = df.select(F.col(self.part).cast("string").alias(self.part))
                 named = here if named is None else named.union(here)

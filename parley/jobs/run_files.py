@@ -76,7 +76,8 @@ def evaluate_runs(
     """
     keys = conversation_keys(conversations)
     runs = lambda name: not metrics_to_run or name in metrics_to_run
-    paired = turns.assemble_turns(messages)
+    # what several tables are made of is written once
+    paired = materialize(turns.assemble_turns(messages), "run-turns")
     builtin = [*C.TURN_METRICS, C.BEHAVIOUR, C.TOOL_BEHAVIOUR, C.GOAL]
     replies = replies.where(~F.col("metric").isin([m for m in builtin if not runs(m)])) if metrics_to_run else replies  # a user's own metrics always count
     numbers, labels, rejects = turns.parse_verdicts(replies)
@@ -94,6 +95,7 @@ def evaluate_runs(
         quant = quant.unionByName(found[0].withColumns({"score_max": top, "pos": F.lit(2)}))
         qual = qual.unionByName(found[1].withColumn("pos", F.lit(2)))
         failed = failed.unionByName(found[2])
+    quant, qual, rejects = materialize(quant, "run-quant"), materialize(qual, "run-qual"), materialize(rejects, "run-rejects")
     verdicts = lambda name: qual.where((F.col("name") == name) & F.col("turn_id").isNotNull()).select(*keys, "turn_id", F.col("value").alias("label"), "reason")
     evals = scoring.turn_labels(paired, quant.where(F.col("name") != C.GOAL), verdicts(C.BEHAVIOUR), runs(C.BEHAVIOUR))
     if traced is not None:
@@ -123,8 +125,9 @@ def evaluate_runs(
 
 def evaluate_run_files(spark: SparkSession, runs: str, scenarios: str, replies: DataFrame, traced: DataFrame | None = None, payloads: DataFrame | None = None, **options) -> Evaluation:
     """evaluate_runs() over the run files and scenario files below two folders, and over span payloads (run_id, payload, ...), all of which may be broken in part."""
-    conversations, messages, calls = documents.read_simulations(spark, runs)
-    broken = documents.simulation_rejects(spark, runs).select(F.lit("run").alias("source"), "*").unionByName(documents.scenario_rejects(spark, scenarios).select(F.lit("scenario").alias("source"), "*"))
+    conversations, messages, calls, lost_runs = documents.simulation_files(spark, runs)
+    known, _, lost_scenarios = documents.scenario_files(spark, scenarios)
+    broken = lost_runs.select(F.lit("run").alias("source"), "*").unionByName(lost_scenarios.select(F.lit("scenario").alias("source"), "*"))
     if payloads is not None:
         spans = traces.spans_to_tool_calls(traces.route_spans(documents.parse_otlp(payloads)), ["run_id"])
         # calls of one turn stand in the order of payloads and spans
@@ -134,7 +137,7 @@ def evaluate_run_files(spark: SparkSession, runs: str, scenarios: str, replies:
         traced = found if traced is None else traced.select(*found.columns).unionByName(found)
         lost = documents.otlp_rejects(payloads)
         broken = broken.unionByName(lost.select(F.lit("spans").alias("source"), F.col("payload_id").alias("file"), "offset", "reason"))
-    found = evaluate_runs(conversations, messages, calls, documents.read_scenarios(spark, scenarios)[0], replies, traced, **options)
+    found = evaluate_runs(conversations, messages, calls, known, replies, traced, **options)
     found.broken = broken
     return found
 
@@ -179,4 +182,4 @@ def write_runs(found: Evaluation, path: str) -> int:
 
 def written_runs(spark: SparkSession, path: str) -> Snapshots:
     """The tables below path; read(name) gives one as of the last commit."""
-    return Snapshots(spark, path, "run_id")
+    return Snapshots(spark, path, "run_id", folders=False)

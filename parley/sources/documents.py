@@ -23,11 +23,11 @@ TEXT_TYPES, PAGE_TYPES = ["md", "txt", "json"], ["html", "htm"]
 REJECTS = "file string, offset long, reason string"
 
 
-def _json_fault(column: str, *others: Column) -> Column:
-    """(offset, reason): where a text stops being JSON, and why; called for broken texts only. others keep Spark from reading the corrupt record's column alone, which it refuses."""
+def _json_fault(column: str) -> Column:
+    """(offset, reason): where a text stops being JSON, and why; called for broken texts only."""
 
     @F.pandas_udf("offset long, reason string")
-    def fault(texts: pd.Series, *_: pd.Series) -> pd.DataFrame:
+    def fault(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             try:
@@ -39,16 +39,21 @@ def _json_fault(column: str, *others: Column) -> Column:
                 out.append((None, "nested too deeply"))
         return pd.DataFrame({"offset": pd.array([x[0] for x in out], "Int64"), "reason": pd.Series([x[1] for x in out], dtype=object)})
 
-    return fault(column, *others)
+    return fault(column)
 
 
-def _envelopes(spark: SparkSession, path: str, schema: str, needed: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(envelopes, rejects) of the JSON files in path. A file is rejected if it is no JSON or lacks one of the needed fields; offset tells where a broken one stops being JSON."""
+def _envelopes(spark: SparkSession, path: str, schema: str, needed: list[str], items: str) -> tuple[DataFrame, DataFrame]:
+    """(envelopes, rejects) of the JSON files in path: the fields, with a row for each of the items and its place. A file is rejected if it is no JSON or lacks one of the needed fields; offset tells where a broken one stops being JSON.
+
+    The files are parsed once, into a table that is written.
+    """
     rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
     lacks = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in needed])
-    broken = rows.where("_corrupt_record is not null").select("file", _json_fault("_corrupt_record", F.col(needed[0]).isNull()).alias("f")).select("file", "f.*")
-    poor = rows.where(F.col("_corrupt_record").isNull() & lacks.isNotNull()).select("file", F.lit(None).cast("long").alias("offset"), lacks.alias("reason"))
-    good = rows.where(F.col("_corrupt_record").isNull() & lacks.isNull()).drop("_corrupt_record")
+    others = [c for c in rows.columns if c != items]
+    rows = materialize(rows.withColumn("lacks", F.when(F.col("_corrupt_record").isNull(), lacks)).select(*others, "lacks", F.posexplode_outer(items).alias("at", "item")), "files")
+    broken = rows.where("_corrupt_record is not null").select("file", _json_fault("_corrupt_record").alias("f")).select("file", "f.*")
+    poor = rows.where("lacks is not null and coalesce(at, 0) = 0").select("file", F.lit(None).cast("long").alias("offset"), F.col("lacks").alias("reason"))
+    good = rows.where("_corrupt_record is null and lacks is null and at is not null").drop("_corrupt_record", "lacks")
     return good, broken.unionByName(poor)
 
 
@@ -57,28 +62,33 @@ def _empty_files(spark: SparkSession, path: str) -> DataFrame:
     return list_files(spark, path, deep=False).where("size = 0").select(F.col("path").alias("file"), F.lit(0).cast("long").alias("offset"), F.lit("empty file").alias("reason"))
 
 
-def read_scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(scenarios, rejects). A record with user_attributes but without a profile is of an older form and rejected; missing lists are empty. scenario_rejects() has the files that can't be read."""
-    rows, _ = _envelopes(spark, path, schemas.SCENARIOS, ["scenarios"])
-    each = rows.select("schema_version", F.explode("scenarios").alias("s")).select("schema_version", "s.*")
-    old = F.col("user_attributes").isNotNull() & (F.coalesce("user_profile", F.lit("")) == "")
-    good = each.where(~old).drop("user_attributes")
+def scenario_files(spark: SparkSession, path: str, empty_files: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scenarios, older records, rejects) of the scenario files in a folder. A record with user_attributes but without a profile is of an older form and rejected; missing lists are empty. rejects: (file, offset, reason) of the files that can't be read, with empty_files also of empty ones, which takes a listing, and of the older records."""
+    rows, broken = _envelopes(spark, path, schemas.SCENARIOS, ["scenarios"], "scenarios")
+    is_old = F.col("user_attributes").isNotNull() & (F.coalesce("user_profile", F.lit("")) == "")
+    each = rows.select("schema_version", "item.*")
+    good = each.where(~is_old).drop("user_attributes")
     empty = {c: F.coalesce(c, F.array().cast(good.schema[c].dataType)) for c in ("knowledge", "assertions")}
-    return good.withColumns(empty), each.where(old)
+    old = rows.where("item.user_attributes is not null and coalesce(item.user_profile, '') = ''")
+    old = old.select("file", F.lit(None).cast("long").alias("offset"), F.concat(F.lit("scenario "), F.col("at").cast("string"), F.lit(": user_attributes without user_profile")).alias("reason"))
+    broken = broken.unionByName(_empty_files(spark, path)) if empty_files else broken
+    return good.withColumns(empty), each.where(is_old), broken.unionByName(old)
+
+
+def read_scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(scenarios, older records), see scenario_files()."""
+    return scenario_files(spark, path, False)[:2]
 
 
 def scenario_rejects(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, reason) of the scenario files that read_scenarios() leaves out, and of the single records."""
-    rows, broken = _envelopes(spark, path, schemas.SCENARIOS, ["scenarios"])
-    old = rows.select("file", F.posexplode("scenarios").alias("at", "s")).where("s.user_attributes is not null and coalesce(s.user_profile, '') = ''")
-    broken = broken.unionByName(_empty_files(spark, path))
-    return broken.unionByName(old.select("file", F.lit(None).cast("long").alias("offset"), F.concat(F.lit("scenario "), F.col("at").cast("string"), F.lit(": user_attributes without user_profile")).alias("reason")))
+    return scenario_files(spark, path)[2]
 
 
-def read_simulations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(conversations, messages, tool_calls) of all run files below path, each with run_id. simulation_rejects() has the files that can't be read."""
-    runs, _ = _envelopes(spark, path, schemas.SIMULATION, ["simulation_id", "conversations"])
-    each = runs.select(F.col("simulation_id").alias("run_id"), F.explode("conversations").alias("c"))
+def simulation_files(spark: SparkSession, path: str, empty_files: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(conversations, messages, tool_calls, rejects) of all run files below path, the first three with run_id. rejects: (file, offset, reason) of the files that can't be read, with empty_files also of empty ones."""
+    runs, broken = _envelopes(spark, path, schemas.SIMULATION, ["simulation_id", "conversations"], "conversations")
+    each = runs.select(F.col("simulation_id").alias("run_id"), F.col("item").alias("c"))
     v = "c.simulated_user_prompt.variables"
     conversations = each.select(
         "run_id", "c.conversation_id", "c.scenario_id", F.coalesce(f"{v}.`scenario.goal`", F.lit("")).alias("goal"), F.coalesce(f"{v}.`scenario.agent_context`", F.lit("")).alias("agent_context"),
@@ -87,12 +97,18 @@ def read_simulations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     said = each.select("run_id", "c.conversation_id", F.posexplode("c.conversation_history").alias("msg_pos", "m"))
     messages = said.select("run_id", "conversation_id", "msg_pos", "m.role", "m.content", "m.turn_id")
     calls = said.select("run_id", "conversation_id", F.col("m.turn_id").alias("turn_id"), F.posexplode("m.tool_calls").alias("call_pos", "t"))
-    return conversations, messages, clean_tool_calls(calls.select("run_id", "conversation_id", "turn_id", "call_pos", "t.*"))
+    calls = clean_tool_calls(calls.select("run_id", "conversation_id", "turn_id", "call_pos", "t.*"))
+    return conversations, messages, calls, broken.unionByName(_empty_files(spark, path)) if empty_files else broken
+
+
+def read_simulations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(conversations, messages, tool_calls), see simulation_files()."""
+    return simulation_files(spark, path, False)[:3]
 
 
 def simulation_rejects(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, reason) of the run files that read_simulations() leaves out."""
-    return _envelopes(spark, path, schemas.SIMULATION, ["simulation_id", "conversations"])[1].unionByName(_empty_files(spark, path))
+    return simulation_files(spark, path)[3]
 
 
 def otlp_rejects(payloads: DataFrame, column: str = "payload", max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:

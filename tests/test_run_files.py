@@ -144,6 +144,16 @@ def test_snapshots(spark, tmp_path):
         table.read("unknown")
 
 
+def test_many_parts_are_few_files(spark, tmp_path):
+    table = Snapshots(spark, f"file://{tmp_path}/t", "run_id", folders=False)
+    df = lambda runs, n: spark.range(runs).repartition(3).selectExpr("concat('r', id) AS run_id", f"{n} AS n")
+    table.commit({"a": df(300, 1)})
+    table.commit({"a": df(100, 2).where("run_id <> 'r7'")}, df(100, 2).select("run_id"))
+    assert len(list((tmp_path / "t" / "a").rglob("*.parquet"))) <= 6
+    assert {r["n"]: r["runs"] for r in table.read("a").groupBy("n").agg(F.count("*").alias("runs")).collect()} == {1: 200, 2: 99}
+    assert table.read("a").columns == ["run_id", "n"] and table.read("a").where("run_id = 'r7'").count() == 0
+
+
 def test_listing(spark, tmp_path):
     for name in ("a.md", "_index.md", ".x", "_docs/b.md", "_docs/.y/c.md", "empty.md", "d.exe"):
         at = tmp_path / "kb" / name
