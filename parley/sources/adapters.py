@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parley import constants as C
+from parley.functions.tables import materialize
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
 _LABELS = [*C.FAILURE_LABELS, C.NO_FAILURE]
@@ -56,10 +57,20 @@ _TABLES = {
 }
 
 
-def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of SQL's tables over the Parquet files of sf_dir."""
+def adapt(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame | None = None) -> DataFrame:
+    """One of SQL's tables over the Parquet files of sf_dir; with lines, that of numbered_lines(), the lines aren't numbered again."""
+    if lines is not None and name == "lines":
+        return lines
     text, tables = SQL[name], {}
+    if lines is not None and f"({LINES})" in text:
+        text, tables["lines"] = text.replace(f"({LINES})", "{lines}"), lines
     for t in _TABLES[name]:
-        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-        tables[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        if f"FROM {t}" in text:
+            text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+            tables[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return spark.sql(text, **tables)
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table lines, numbered once for all that is made of it, and dealt by turns: what is joined by turns moves as a few numbers, before labels and reasons are made of them."""
+    return materialize(adapt(spark, sf_dir, "lines"), "lines").repartition("conversation_id", "turn_id")

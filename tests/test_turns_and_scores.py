@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parley import constants as C
 from parley.functions import text as T
 from parley.operators import gates, scoring, turns
+from parley.sources.adapters import adapt, numbered_lines
 
 MESSAGES = "conversation_id long, msg_pos int, role string, content string"
 
@@ -118,3 +119,12 @@ def test_gates(spark):
     assert sorted(tuple(r) for r in labels.collect()) == [(C.BEHAVIOUR, 1, "0", "repetition"), ("end", 1, "conversation", "lost"), ("tone", 1, "0", "rude")]
     assert tuple(gates.gate_report(failures, labels).first()) == (3, 3, False)
     assert gates.gate_report(failures.limit(0), labels.limit(0)).first()["passed"]
+
+
+def test_lines_are_numbered_once(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = numbered_lines(spark, sf)
+    for name in ("lines", "turns", "quant", "verdicts", "tool_verdicts", "qual"):
+        again = adapt(spark, sf, name, lines)
+        assert again.exceptAll(adapt(spark, sf, name)).count() == 0 and again.count() == adapt(spark, sf, name).count()
+        assert "Window" not in again._jdf.queryExecution().executedPlan().toString()
