@@ -1010,16 +1010,16 @@ def _(spark, sf):
     both = materialize(both.select(F.col("conversation_id").cast("string").alias("conversation_id"), F.col("turn_id").cast("int").alias("turn_id"), "kind", "payload", "signalled", (F.col("at") + 1_000_000).alias("at")), "events")
     source, out = fresh_path(spark, "event-files"), fresh_path(spark, "fates")
     place = F.col("at") + F.pmod(F.xxhash64("conversation_id", "payload", "at"), F.lit(900))
-    low, high = both.agg(F.min("at"), F.max("at")).first()
-    steps = 4
+    low, high, n = both.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    steps, files = 4, max(4, n // 1_000_000)
     width = ((high or 0) - (low or 0) + 900) // steps + 1
     for i in range(steps):  # files of one step are older than those of the next
-        both.where(F.floor((place - (low or 0)) / width) == i).coalesce(4).write.mode("append").json(source)
+        both.where(F.floor((place - (low or 0)) / width) == i).coalesce(files).write.mode("append").json(source)
     clock = [("clock", 0, "tick", None, None, (high or 0) + 10**9)]
     for _ in range(2):
         spark.createDataFrame(clock, EVENTS).coalesce(1).write.mode("append").json(source)
     spark.range(0).selectExpr("'' as conversation_id", "0 as turn_id", "'' as fate", "0L as at", "array('') as calls").write.parquet(out)
-    run_stream(collect_stream(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 4).json(source), wait=5000, settle=100, delay=f"{width + 900} milliseconds"), out)
+    run_stream(collect_stream(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).json(source), wait=5000, settle=100, delay=f"{width + 900} milliseconds"), out)
     found = spark.read.schema(FATES).parquet(out).where("conversation_id <> 'clock'")
     return _fate_counts(found.select(F.col("conversation_id").cast("long").alias("conversation_id"), F.col("turn_id").cast("long").alias("turn_id"), "fate", F.explode("calls").alias("id")))
 

@@ -58,33 +58,49 @@ class TurnCollector(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()  # 0 before there is one
         out: list[tuple] = []
-        last = int(self.last.get()[0]) if self.last.exists() else 0
+        # each access to the state is a message to the JVM, so a key's state is read once
+        last = self._last()
+        closed, pending, held = self._closed(), self._pending(), self._held()
+        was, begun = len(held), set()
         for pdf in rows:
             for turn, kind, payload, signalled, at in zip(*(pdf[c] for c in ("turn_id", "kind", "payload", "signalled", "at"))):
                 turn, at = int(turn), int(at)
                 last = max(last, at)
                 if kind == "call":
-                    if at <= mark > 0 or self.closed.containsKey((turn,)):
+                    if at <= mark > 0 or turn in closed:
                         out.append((turn, "late", at, [payload]))
                     else:
-                        self.calls.appendValue((turn, at, payload))
-                elif kind == "end" and not self.closed.containsKey((turn,)) and not self.pending.containsKey((turn,)):
-                    self.pending.updateValue((turn,), (at, bool(signalled), None))
+                        held.append((turn, at, payload))
+                elif kind == "end" and turn not in closed and turn not in pending:
+                    pending[turn] = (at, bool(signalled), None)
+                    begun.add(turn)
         self.last.update((last,))
-        out += self._advance(mark)
+        out += self._advance(mark, last, closed, pending, held, was, begun)
         yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._rows(key, self._advance(timerValues.getCurrentWatermarkInMs()))
+        held = self._held()
+        yield self._rows(key, self._advance(timerValues.getCurrentWatermarkInMs(), self._last(), self._closed(), self._pending(), held, len(held), set()))
+
+    def _last(self) -> int:
+        return int(found[0]) if (found := self.last.get()) is not None else 0
+
+    def _closed(self) -> dict[int, int]:
+        return {int(t): int(a) for (t,), (a,) in self.closed.iterator()}
+
+    def _pending(self) -> dict[int, tuple]:
+        return {int(t): (int(w), bool(s), None if c is None else int(c)) for (t,), (w, s, c) in self.pending.iterator()}
+
+    def _held(self) -> list[tuple]:
+        return [(int(t), int(a), p) for t, a, p in self.calls.get()]
 
     def _rows(self, key, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *x) for x in out], columns=["conversation_id", "turn_id", "fate", "at", "calls"])
 
-    def _advance(self, mark: int) -> list[tuple]:
-        """Closes what ends up to the watermark, the earliest first, and sets the timer for the next end."""
-        held = [(int(t), int(a), p) for t, a, p in self.calls.get()] if self.calls.exists() else []
-        pending = {int(t): (int(w), bool(s), None if c is None else int(c)) for (t,), (w, s, c) in self.pending.iterator()}
-        was, out = len(held), []
+    def _advance(self, mark: int, last: int, closed: dict[int, int], pending: dict[int, tuple], held: list[tuple], was: int, begun: set[int]) -> list[tuple]:
+        """Closes what ends up to the watermark, the earliest first, sets the timer for the next end, and writes what changed: was is how many calls the state holds, begun has the awaited turns that it doesn't have yet."""
+        out, had, changed, grown = [], set(pending) - begun, set(begun), held[was:]
+        whole = False  # calls that the state holds are gone
         while pending:
             ends = {t: c if c is not None else close_time(w, s, [a for u, a, _ in held if u == t], self.wait, self.settle) for t, (w, s, c) in pending.items()}
             turn = min(ends, key=lambda t: (ends[t], t))
@@ -100,26 +116,31 @@ class TurnCollector(StatefulProcessor):
                 w, s, c = pending[t]
                 if w <= end:  # its waiter has seen the calls that are lost now
                     pending[t] = (w, s, ends[t])
-                    self.pending.updateValue((t,), pending[t])
+                    changed.add(t)
             gone = set(purged)
-            held = [x for x in held if x[0] != turn and x not in gone]
+            kept = [x for x in held if x[0] != turn and x not in gone]
+            whole, held = whole or len(kept) != len(held), kept
             del pending[turn]
-            self.pending.removeKey((turn,))
+            closed[turn] = end
             self.closed.updateValue((turn,), (end,))
-        last = int(self.last.get()[0]) if self.last.exists() else 0
         if not pending and last + self.expire <= mark:
             out += [(t, "stale", a, [p]) for t, a, p in held]
-            held = []
-            for state in (self.closed, self.last, self.pending):
+            for state in (self.calls, self.closed, self.last, self.pending):
                 state.clear()
-        else:
-            for t, at in [(int(t), int(a)) for (t,), (a,) in self.closed.iterator()]:
-                if at + self.expire <= mark:
-                    self.closed.removeKey((t,))
-            if not pending:
-                self.handle.registerTimer(last + self.expire)
-        if len(held) != was:
+            return out
+        for t, at in closed.items():
+            if at + self.expire <= mark:
+                self.closed.removeKey((t,))
+        if not pending:
+            self.handle.registerTimer(last + self.expire)
+        for t in had - set(pending):
+            self.pending.removeKey((t,))
+        for t in changed & set(pending):
+            self.pending.updateValue((t,), pending[t])
+        if whole:
             self.calls.put(held) if held else self.calls.clear()
+        elif grown:
+            self.calls.appendList(grown)
         return out
 
     def close(self) -> None:

@@ -154,3 +154,38 @@ def test_calls_accumulate_over_batches_and_replays_change_nothing(spark, tmp_pat
     assert rows() == want and table.table.state()["number"] == commits
     table.upsert(stream_tool_calls(spark.createDataFrame([(span("d", 1, "y"), "p")], "payload string, payload_id string")), 9)
     assert rows() == want | {("d", 1): ["x", "y"]}
+
+
+def test_state_is_read_once_for_a_key():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from parley.streaming.turns import TurnCollector
+
+    asked = []
+
+    class State:
+        def __init__(self):
+            self.rows, self.value = {}, None
+
+        def __getattribute__(self, name):
+            if name not in ("rows", "value", "__class__"):
+                asked.append(name)
+            return object.__getattribute__(self, name)
+
+        get = lambda self: iter(()) if self.value is None else self.value
+        iterator = lambda self: iter(list(self.rows.items()))
+        containsKey = lambda self, k: k in self.rows
+        updateValue = lambda self, k, v: self.rows.update({k: v})
+        exists = lambda self: False
+        appendValue = appendList = put = update = lambda self, v: None
+
+    collector = TurnCollector(5000, 100)
+    state = lambda *_: State()
+    collector.init(SimpleNamespace(getListState=state, getMapState=state, getValueState=state, registerTimer=lambda t: None))
+    collector.last.get = lambda: None
+    rows = pd.DataFrame([(0, "call", f"p{i}", None, 10 + i) for i in range(200)], columns=["turn_id", "kind", "payload", "signalled", "at"])
+    asked.clear()
+    assert sum(len(x) for x in collector.handleInputRows(("c",), iter([rows]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))) == 0
+    assert len(asked) <= 10
