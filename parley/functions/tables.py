@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of texts that a task turns into Python values, or gives back, at once.
+SLICE = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,18 +76,30 @@ def numbered(rows: DataFrame, order: list[Column], name: str, within: list[str]
     return placed.join(first, within).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of a few rows, so that texts are never Python values for a whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def write_files(rows: DataFrame, root: str) -> int:
     """Writes a file below root for each row (name, content), the content as UTF-8; how many. A name may have folders. A repeated attempt writes the same bytes again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(root)
         fs.create_dir(path, recursive=True)
-        for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
-                if "/" in name:
-                    fs.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
+        made, n = None, 0
+        for batch in sliced(batches):
+            for name, content in zip(batch.column("name"), batch.column("content")):  # values are made one at a time
+                name, content = name.as_py(), content.as_py()
+                folder = name.rpartition("/")[0]
+                if folder and folder != made:
+                    fs.create_dir(f"{path}/{folder}", recursive=True)
+                    made = folder
                 with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
                     out.write((content or "").encode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     return rows.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

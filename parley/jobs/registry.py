@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import constants as C
 from parley.functions import text as T
-from parley.functions.tables import fresh_path, materialize, write_files
+from parley.functions.tables import fresh_path, materialize, sliced, write_files
 from parley.jobs import run_files
 from parley.jobs.evaluate import evaluate, gate, merged_labels, turn_evaluations
 from parley.operators import errors as E
@@ -764,11 +766,11 @@ def _(spark, sf):
 
 
 def _knowledge(spark, sf):
-    """All pages and documents as files, read back."""
+    """All pages and documents as files, read back; a folder for each thousand, as a folder is listed by one task."""
     root = fresh_path(spark, "knowledge")
     kinds = F.get(F.array(*[F.lit(k) for k in ("md", "txt", "pdf", "json")]), (F.col("doc_id") % 4).cast("int"))
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").alias("content"))
-    notes = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("note-"), F.col("doc_id").cast("string"), F.lit("."), kinds).alias("name"), F.col("text").alias("content"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.concat(F.lit("pages-"), F.floor(F.col("page_id") / 1000).cast("string"), F.lit("/page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").alias("content"))
+    notes = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("notes-"), F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("/note-"), F.col("doc_id").cast("string"), F.lit("."), kinds).alias("name"), F.col("text").alias("content"))
     write_files(pages.unionByName(notes), root)
     return documents.read_knowledge_files(spark, root)
 
@@ -781,8 +783,15 @@ def _(spark, sf):
     files = kb.readable(_knowledge(spark, sf).withColumn("id", F.col("title")))
     chunks = kb.chunk_documents(files, 2000, 200)
     buckets = F.transform(F.split(F.lower("content"), r"\s+"), lambda w: F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter("b", lambda x: x == i)).cast("double"))
-    vectors = kb.l2_normalize(chunks.withColumn("b", buckets).select("id", counts.alias("embedding")))
+
+    def count(batches):
+        for part in sliced(batches, 4096):
+            words = part.column("b")
+            row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+            counts = np.bincount(row * 64 + words.flatten().to_numpy(zero_copy_only=False), minlength=64 * len(words)).astype(float)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(np.arange(0, 64 * len(words) + 1, 64, dtype=np.int32), counts)], ["id", "embedding"])
+
+    vectors = kb.l2_normalize(chunks.select("id", buckets.alias("b")).mapInArrow(count, "id string, embedding array<double>"))
     vectors = materialize(vectors, "vectors")
     number = F.regexp_extract("id", "[0-9]+", 0).cast("int")
     asked = vectors.where(F.endswith("id", F.lit("_0")) & (number % 20 == 0))
@@ -1100,7 +1109,8 @@ def _(spark, sf):
     n = F.col("doc_id").cast("string")
     names = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("_note-"), n, F.lit(".md"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("_docs/part/note-"), n, F.lit(".txt"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit(".note-"), n, F.lit(".md"))).otherwise(F.concat(F.lit("docs/.deep/note-"), n, F.lit(".md")))
     root = fresh_path(spark, "knowledge")
-    write_files(spark.read.parquet(f"{sf}/documents.parquet").select(names.alias("name"), F.col("text").alias("content")), root)
+    folder = F.concat(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("/"))  # a folder is listed by one task
+    write_files(spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(folder, names).alias("name"), F.col("text").alias("content")), root)
     return documents.read_knowledge_files(spark, root).select("title", "content", F.contains("source", F.lit("/_docs/part/")).alias("below"))
 
 

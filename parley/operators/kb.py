@@ -5,27 +5,29 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from parley.constants import CHUNK_OVERLAP, CHUNK_SIZE
-from parley.functions.tables import fresh_path, materialize
+from parley.functions.tables import fresh_path, materialize, sliced
 
 BINARY_EXTENSIONS = [".pdf", ".jpg", ".png", ".docx", ".xlsx", ".pptx", ".zip", ".jpeg"]
 SEPARATORS = ["\n\n", "\n", " ", ""]
 #: Query vectors, and chunks, that a task holds at once; chunks that serve as pivots.
 QUERY_BLOCK, CHUNK_BLOCK, PIVOTS = 1024, 4096, 256
+#: Signs of texts whose chunks a task holds at once.
+CHUNKED_BYTES = 1 << 20
 
 
 class _Page(HTMLParser):
@@ -74,29 +76,32 @@ def _read(html: str | None) -> _Page:
     return page
 
 
+def _text(url: str | None, html: str | None, web: bool) -> tuple[str | None, str]:
+    page, lines = _read(html), []
+    for text, href in page.nodes:
+        if href is None:
+            lines.append(text)
+            continue
+        target = _resolve(url or "", href)
+        if not web or (target and target.startswith(url or "")):
+            lines.append(f"{text} {target if web else href}")
+    return page.title.strip() if page.title and page.title.strip() else url, "\n".join(lines)
+
+
 def html_to_text(pages: DataFrame, web: bool = True) -> DataFrame:
     """pages (url, html, ...) with title and content: text nodes by lines, links as text and target.
 
     Links of web pages stay only if they lead below the page's own url; those
     of local files always do. Without a title the url is taken.
     """
+    others = [c for c in pages.columns if c != "html"]
 
-    @F.pandas_udf("title string, content string")
-    def extract(url: pd.Series, html: pd.Series) -> pd.DataFrame:
-        out = []
-        for u, h in zip(url, html):
-            page, lines = _read(h), []
-            for text, href in page.nodes:
-                if href is None:
-                    lines.append(text)
-                    continue
-                target = _resolve(u or "", href)
-                if not web or (target and target.startswith(u or "")):
-                    lines.append(f"{text} {target if web else href}")
-            out.append((page.title.strip() if page.title and page.title.strip() else u, "\n".join(lines)))
-        return pd.DataFrame(out, columns=["title", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            found = [_text(u.as_py(), h.as_py(), web) for u, h in zip(part.column("url"), part.column("html"))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], [*others, "title", "content"])
 
-    return pages.withColumn("_t", extract("url", "html")).select(*[c for c in pages.columns if c != "html"], "_t.title", "_t.content")
+    return pages.mapInArrow(run, StructType([*(pages.schema[c] for c in others), StructField("title", StringType()), StructField("content", StringType())]))
 
 
 def _resolve(base: str, href: str) -> str | None:
@@ -109,11 +114,14 @@ def _resolve(base: str, href: str) -> str | None:
 def extract_links(pages: DataFrame) -> DataFrame:
     """Distinct (url, link): absolute targets below the page's url, other than itself, without binary files."""
 
-    @F.pandas_udf("array<string>")
-    def targets(url: pd.Series, html: pd.Series) -> pd.Series:
-        return pd.Series([sorted({t for h_ in _read(h).links if (t := _resolve(u or "", h_))}) for u, h in zip(url, html)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            pairs = []
+            for u, h in zip(part.column("url").to_pylist(), part.column("html")):
+                pairs += [(u, t) for t in sorted({_resolve(u or "", a) or "" for a in _read(h.as_py()).links} - {""})]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)], ["url", "link"])
 
-    links = pages.select("url", F.explode(targets("url", "html")).alias("link"))
+    links = pages.select("url", "html").mapInArrow(run, "url string, link string")
     binary = F.lit(False)
     for e in BINARY_EXTENSIONS:
         binary = binary | F.col("link").contains(e)
@@ -184,11 +192,7 @@ def word_starts(text: str) -> list[int]:
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """docs (id, source, content, metadata, is_chunk, is_error) in chunks <id>_<i>; errors and empty ones go, chunks pass."""
 
-    @F.pandas_udf("array<string>")
-    def cut(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: chunk_text(t, size, overlap))
-
-    return _chunked(docs, cut)
+    return _chunked(docs, lambda: lambda t: chunk_text(t, size, overlap))
 
 
 def token_chunks(docs: DataFrame, tokenizer: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -200,8 +204,7 @@ def token_chunks(docs: DataFrame, tokenizer: str, size: int = CHUNK_SIZE, overla
     if overlap >= size:
         raise ValueError("chunks must be longer than their overlap")
 
-    @F.pandas_udf("array<string>")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cutter() -> Callable[[str], list[str]]:
         from tokenizers import Tokenizer
 
         encoder = Tokenizer.from_file(tokenizer)
@@ -211,10 +214,9 @@ def token_chunks(docs: DataFrame, tokenizer: str, size: int = CHUNK_SIZE, overla
             starts = range(0, max(1, len(at) - overlap), size - overlap)
             return [text[at[i][0] : at[min(i + size, len(at)) - 1][1]] for i in starts] if at else [text]
 
-        for content in parts:
-            yield content.map(chunks)
+        return chunks
 
-    return _chunked(docs, cut)
+    return _chunked(docs, cutter)
 
 
 def recursive_token_chunks(docs: DataFrame, tokenizer: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -227,34 +229,56 @@ def recursive_token_chunks(docs: DataFrame, tokenizer: str | None, size: int = C
     if overlap >= size:
         raise ValueError("chunks must be longer than their overlap")
 
-    @F.pandas_udf("array<string>")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cutter() -> Callable[[str], list[str]]:
         starts = word_starts
         if tokenizer is not None:
             from tokenizers import Tokenizer
 
             encoder = Tokenizer.from_file(tokenizer)
             starts = lambda text: [a for a, _ in encoder.encode(text, add_special_tokens=False).offsets]
-        for content in parts:
-            # tokens of one sign that is cut into bytes share their first place, so places are in order but not distinct
-            yield content.map(lambda t: _merged(t, size, overlap, _Measure(starts(t))))
+        # tokens of one sign that is cut into bytes share their first place, so places are in order but not distinct
+        return lambda t: _merged(t, size, overlap, _Measure(starts(t)))
 
-    return _chunked(docs, cut)
+    return _chunked(docs, cutter)
 
 
-def _chunked(docs: DataFrame, cut) -> DataFrame:
-    usable = valid_docs(docs)
-    whole = usable.where(~F.col("is_chunk"))
+def _chunked(docs: DataFrame, cutter: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
+    """docs with a row for each chunk, in one pass: a task makes a cutter once and holds the chunks of one text at a time."""
     rest = [c for c in docs.columns if c not in ("id", "content", "is_chunk")]
-    cut_up = whole.select("id", *rest, F.posexplode(cut("content")).alias("_place", "_chunk"))
-    cut_up = cut_up.select(F.concat(F.col("id").cast("string"), F.lit("_"), F.col("_place").cast("string")).alias("id"), F.col("_chunk").alias("content"), *rest, F.lit(True).alias("is_chunk"))
-    return cut_up.unionByName(usable.where("is_chunk").withColumn("id", F.col("id").cast("string")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = cutter()
+        for part in sliced(batches):
+            ids, row, out, size = [], [], [], 0
+            for i, (name, text, whole) in enumerate(zip(part.column("id"), part.column("content"), part.column("is_chunk"))):
+                name, text = name.as_py(), text.as_py()
+                found = [text] if whole.as_py() else cut(text)
+                ids += [name] if whole.as_py() else [None if name is None else f"{name}_{k}" for k in range(len(found))]
+                row += [i] * len(found)
+                out += found
+                size += len(text)
+                if size >= CHUNKED_BYTES or i + 1 == part.num_rows:
+                    taken = pa.array(row, pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string()), *(part.column(c).take(taken) for c in rest), part.column("is_chunk").take(taken)], ["id", "content", *rest, "is_chunk"])
+                    ids, row, out, size = [], [], [], 0
+
+    usable = valid_docs(docs).where("is_chunk is not null").withColumn("id", F.col("id").cast("string")).select("id", "content", *rest, "is_chunk")
+    return usable.mapInArrow(run, usable.schema).withColumn("is_chunk", F.lit(True))
 
 
 def readable(files: DataFrame) -> DataFrame:
-    """read_knowledge_files() with the text of pages in place of their markup; other files and errors as they are."""
-    pages = html_to_text(files.where("is_page and not is_error").withColumnRenamed("content", "html").withColumn("url", F.col("source")).drop("title"), web=False).drop("url")
-    return files.where("not is_page or is_error").drop("is_page").unionByName(pages.select([c for c in files.columns if c != "is_page"]))
+    """read_knowledge_files() with the text of pages in place of their markup; other files and errors as they are. One pass: files are read once."""
+    kept = [c for c in files.columns if c != "is_page"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            page = [p.as_py() and not e.as_py() for p, e in zip(part.column("is_page"), part.column("is_error"))]
+            found = [_text(u.as_py(), c.as_py(), False) if p else (t.as_py(), c.as_py()) for p, u, t, c in zip(page, *(part.column(c) for c in ("source", "title", "content")))]
+            new = {"title": pa.array([t for t, _ in found], pa.string()), "content": pa.array([c for _, c in found], pa.string())}
+            yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in kept], kept)
+
+    rows = files.where("(is_page and not is_error) or not is_page or is_error")
+    return rows.mapInArrow(run, rows.select(*kept).schema)
 
 
 def valid_docs(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.constants import MAX_PAYLOAD_BYTES
-from parley.functions.tables import materialize
+from parley.functions.tables import materialize, sliced
 from parley.functions.text import canonical_json
 from parley.operators.traces import clean_tool_calls
 
@@ -176,21 +178,38 @@ def normalize_responses(df: DataFrame, column: str = "raw") -> DataFrame:
     return df.withColumn("text", text).withColumn("error", error)
 
 
+def _entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, str, int, bool]]:
+    """(path, name, size, whether a folder) in a folder; on local file systems one by one, others give the list of a folder as a whole."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        try:
+            with os.scandir(folder) as found:
+                for x in found:
+                    try:
+                        yield x.path, x.name, 0 if x.is_dir() else x.stat().st_size, x.is_dir()
+                    except FileNotFoundError:  # a link to nothing
+                        yield x.path, x.name, 0, False
+        except FileNotFoundError:
+            return
+    else:
+        for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            yield x.path, x.base_name, x.size or 0, x.type == pafs.FileType.Directory
+
+
 def list_files(spark: SparkSession, root: str, deep: bool = True) -> DataFrame:
     """(path, name, size) of all files below root, or with deep False in it, but those whose names, or whose folders' names, begin with a dot; of root itself if it is a file.
 
     Spark's own listing hides names that begin with an underscore too, so the
     folders of each level are listed by tasks, through the file systems of
-    pyarrow. Only their number passes the driver.
+    pyarrow. Only their number passes the driver. A task lists a folder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(root)
-        for batch in batches:
-            for folder in batch.column("path").to_pylist():
-                own = fs.get_file_info(folder)
-                found = [own] if own.is_file else [x for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if not x.base_name.startswith(".")]
-                yield pa.RecordBatch.from_arrays([pa.array([x.path for x in found], pa.string()), pa.array([x.base_name for x in found], pa.string()), pa.array([x.size or 0 for x in found], pa.int64()), pa.array([x.type == pafs.FileType.Directory for x in found], pa.bool_())], ["path", "name", "size", "folder"])
+        for folder in (f.as_py() for b in batches for f in b.column("path")):
+            own = fs.get_file_info(folder)
+            found = iter([(own.path, own.base_name, own.size or 0, False)]) if own.is_file else (x for x in _entries(fs, folder) if not x[1].startswith("."))
+            while part := list(islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.string(), pa.string(), pa.int64(), pa.bool_()))], ["path", "name", "size", "folder"])
 
     level = spark.createDataFrame([(pafs.FileSystem.from_uri(root)[1],)], "path string")
     out, n = None, 1
@@ -204,11 +223,16 @@ def list_files(spark: SparkSession, root: str, deep: bool = True) -> DataFrame:
     return out
 
 
+#: Bytes of files that a task reads, and that it gives back at once.
+TASK_BYTES, BATCH_BYTES = 32 << 20, 1 << 20
+
+
 def read_knowledge_files(spark: SparkSession, path: str) -> DataFrame:
     """(id, source, content, title, is_page, is_chunk, is_error, error_message) of the files below path but hidden and empty ones; an unsupported type, or a file that can't be read, is an error row.
 
     Hidden are names that begin with a dot. Texts are UTF-8; other bytes become
-    the replacement character.
+    the replacement character. Tasks are as many as the files' sizes ask for:
+    their names alone are few bytes, by which Spark would put all into one.
     """
     kind = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     known = kind.isin(TEXT_TYPES + PAGE_TYPES)
@@ -216,8 +240,9 @@ def read_knowledge_files(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(path)
-        for batch in batches:
-            for i in range(batch.num_rows):  # a file at a time: any of them may be large
+        for batch in sliced(batches, 256):
+            first, size, held = 0, 0, []
+            for i in range(batch.num_rows):  # any of them may be large, so what is held is counted
                 content, fault = None, None
                 if batch.column("known")[i].as_py():
                     try:
@@ -225,10 +250,17 @@ def read_knowledge_files(spark: SparkSession, path: str) -> DataFrame:
                             content = stream.read().decode("utf-8", "replace")
                     except OSError as e:
                         fault = f"can't be read: {e}"
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("path", "name", "kind", "known")), pa.array([content], pa.string()), pa.array([fault], pa.string())], ["path", "name", "kind", "known", "content", "fault"])
-
-    found = list_files(spark, path).where("size > 0").select("path", "name", kind.alias("kind"), known.alias("known"))
-    files = found.repartition("path").mapInArrow(run, "path string, name string, kind string, known boolean, content string, fault string").withColumn("source", F.concat(F.lit(scheme), "path"))
+                held.append((content, fault))
+                size += len(content or "")
+                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(held)) for c in ("path", "name", "kind", "known")), pa.array([x for x, _ in held], pa.string()), pa.array([x for _, x in held], pa.string())], ["path", "name", "kind", "known", "content", "fault"])
+                    first, size, held = i + 1, 0, []
+
+    listed = list_files(spark, path).where("size > 0")
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)))
+    found = listed.select("path", "name", kind.alias("kind"), known.alias("known"))
+    files = found.repartition(tasks, "path").mapInArrow(run, "path string, name string, kind string, known boolean, content string, fault string").withColumn("source", F.concat(F.lit(scheme), "path"))
     fault = F.coalesce("fault", F.when(~F.col("known"), F.concat(F.lit("unsupported file type: "), "kind")))
     return files.select(
         F.substring(F.sha2("source", 256), 1, 16).alias("id"), "source", "content", F.col("name").alias("title"), F.col("kind").isin(PAGE_TYPES).alias("is_page"), F.lit(False).alias("is_chunk"), fault.isNotNull().alias("is_error"), fault.alias("error_message"),

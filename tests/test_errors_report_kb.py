@@ -334,3 +334,27 @@ def test_knowledge_files_to_chunks(spark, tmp_path):
     got = {r["source"].rpartition("/")[2]: (r["title"], r["content"], r["is_error"]) for r in files.collect()}
     assert got == {"a.html": ("T", "T\none\ntwo /x", False), "b.md": ("b.md", "three", False), "c.pdf": ("c.pdf", None, True)}
     assert sorted(r["content"] for r in kb.chunk_documents(files, 100, 10).collect()) == ["T\none\ntwo /x", "three"]
+
+
+def test_files_are_read_by_many_tasks_and_once(spark, tmp_path):
+    from parley.functions.tables import write_files
+    from parley.sources import documents
+
+    rows = spark.range(40).selectExpr("concat('d', id % 3, '/f', id, if(id % 2 = 0, '.html', '.md')) AS name", "concat('<title>t', id, '</title><p>text ', id, '</p>') AS content")
+    assert write_files(rows, f"file://{tmp_path}/kb") == 40
+    files = documents.read_knowledge_files(spark, f"file://{tmp_path}/kb")
+    assert files.rdd.getNumPartitions() >= 4
+    chunks = kb.chunk_documents(kb.readable(files.withColumn("id", F.col("title"))), 2000, 200)
+    assert {r["id"]: r["content"] for r in chunks.where("id in ('f1.md_0', 'f2.html_0')").collect()} == {"f1.md_0": "<title>t1</title><p>text 1</p>", "f2.html_0": "t2\ntext 2"}
+    assert chunks.count() == 40
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("listing") <= 2 and plan.count("Union") == 1  # the two levels of folders, not a branch for each kind of file
+
+
+def test_texts_are_python_values_a_few_at_a_time():
+    import pyarrow as pa
+
+    from parley.functions.tables import SLICE, sliced
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10 * SLICE + 1))], ["x"])
+    assert [b.num_rows for b in sliced(iter([batch]))] == [SLICE] * 10 + [1]
