@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import connected_components, materialize, remove
+from parley.llm.shared import connected_components, key_filter, materialize, remove
 from parley.llm.text import mix, shingle_sets, text_slices, word_hashes
 
 #: Coordinates of the points that pivots are compared by; those in the trees have more for larger sets.
@@ -54,6 +54,8 @@ MORE_PIVOTS = 2
 FIRST_PART = (3, 8)
 #: Nodes that a task remembers to pass equal documents over.
 SEEN_NODES = 200_000
+#: Bits of a cell's key. The lower ones are zero, which a shuffle of the cells packs; two cells of one key only cost comparisons.
+CELL_BITS = 48
 
 
 class Threshold:
@@ -260,7 +262,7 @@ def cell_rows(docs: DataFrame, size: int, limit: Threshold) -> DataFrame:
                 new = np.array([not (x in seen or seen.add(x)) for x in nodes.tolist()], bool)
                 n = np.diff(bounds)
                 cells, ends = cell_keys(sets[np.repeat(new, n)], np.concatenate([[0], np.cumsum(np.where(new, n, 0))]), limit)
-                cells = cells & ~3
+                cells = cells & (-1 << 64 - CELL_BITS)
                 order = np.argsort(cells, kind="stable")
                 cells, nodes = cells[order], np.repeat(nodes, np.diff(ends))[order]
                 again = np.concatenate([[False], cells[1:] == cells[:-1]])[: len(cells)]
@@ -369,7 +371,7 @@ def _verify(size: int, limit: Threshold):
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, limit: Threshold) -> DataFrame:
     """The pairs (a, b) of nodes that are linked. texts has one row (node, text) for each node."""
-    a, b = (texts.join(pairs.select(F.col(x).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    a, b = (texts.where(key_filter(pairs, x)(F.col("node"))).select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, limit), "a long, b long")
 
@@ -387,17 +389,19 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, key: str, points: DataFrame, size: int) -> DataFrame:
-    """(node, text): one text for each node of points. A key whose rows have different texts gives each node a text of its own."""
+    """(node, text): one text for each node of points. Texts of equal sets stand for each other; a key whose rows have different texts gives each node a text of its own.
+
+    Only rows whose key is the least of a node, and the few that a filter takes for such, are sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, rows in text_slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                yield part.filter(pa.array(set_sums(*shingle_sets(*word_hashes(data, rows), size)).view(np.int64) == part.column("node").to_numpy()))
+                nodes = set_sums(*shingle_sets(*word_hashes(data, rows), size)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column("text")[a:b]], ["node", "text"])
 
-    # texts of all sizes go by a sort-merge join: its table of nodes grows with the documents
-    found = docs.join(points.select("node", F.col("rep").alias(key)).hint("merge"), key).select("node", "text").mapInArrow(run, "node long, text string")
-    return found.groupBy("node").agg(F.first("text").alias("text"))
+    rows = docs.where(F.col(key).isNotNull() & key_filter(points, "rep")(F.col(key))).select("text").mapInArrow(run, "node long, text string")
+    return rows.where(key_filter(points, "node")(F.col("node"))).groupBy("node").agg(F.first("text").alias("text")).join(points.select("node").hint("merge"), "node", "left_semi")
 
 
 def _shingle_rows(size: int, part: int, parts: int):
@@ -413,13 +417,14 @@ def _shingle_rows(size: int, part: int, parts: int):
 
 
 def reaches(nodes: DataFrame, texts: DataFrame, size: int, limit: Threshold) -> DataFrame:
-    """(node, n, reach) of those nodes (node, n) that have few enough lonely shingles for a link with another one.
+    """(node, n, reach) of those nodes (node, n; a written table) that have few enough lonely shingles for a link with another one.
 
     reach bounds the overlap with any of the others. A shingle of many nodes is
     counted where it is before it is sent.
     """
     for part, parts in (FIRST_PART, (1, 1)):
-        rows = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_shingle_rows(size, part, parts), "shingle long, node long")
+        # a node too many, which the filter may let pass, makes no shingle lonely
+        rows = texts.where(key_filter(nodes, "node")(F.col("node"))).mapInArrow(_shingle_rows(size, part, parts), "shingle long, node long")
         lonely = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("lonely"))
         found = nodes.select("node", "n").join(lonely, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("reach"))
         nodes = materialize(found.where(limit.den * F.col("reach") >= limit.num * F.col("n")), "reaches")
@@ -442,7 +447,7 @@ def tree_points(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             for a, b, data, rows in text_slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in ("node", "reach")), pa.array(fine_points(*shingle_sets(*word_hashes(data, rows), size)), pa.binary())], ["node", "reach", "point"])
 
-    return texts.join(nodes.select("node", "reach"), "node").select("node", "reach", "text").mapInArrow(run, "node long, reach long, point binary")
+    return texts.where(key_filter(nodes, "node")(F.col("node"))).join(nodes.select("node", "reach"), "node").select("node", "reach", "text").mapInArrow(run, "node long, reach long, point binary")
 
 
 def _tree_pairs(limit: Threshold):
@@ -548,7 +553,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
     labels = connected_components(links)
     used = [pivots]
     inside = materialize(open_members(members, points, labels), "open-members")
-    nodes = reaches(points.join(inside.select("node").distinct(), "node", "left_semi"), texts, size, limit)
+    nodes = reaches(materialize(points.join(inside.select("node").distinct(), "node", "left_semi").select("node", "n"), "open-nodes"), texts, size, limit)
     for _ in range(MORE_PIVOTS):
         inside = materialize(open_members(inside, nodes, labels), "open-members")
         tried = reduce(DataFrame.unionByName, used).select("cell", F.col("pivot").alias("node"))
@@ -564,7 +569,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
         links = links.unionByName(new)
         labels = connected_components(links)
     inside = materialize(open_members(inside, nodes, labels), "open-members")
-    fine = materialize(tree_points(nodes.join(inside.select("node").distinct(), "node", "left_semi"), texts, size), "tree-points")
+    nodes = materialize(nodes.join(inside.select("node").distinct(), "node", "left_semi"), "open-nodes")
+    fine = materialize(tree_points(nodes, texts, size), "tree-points")
     rest = materialize(open_pairs(inside, fine, limit).join(compared, ["a", "b"], "left_anti"), "open-pairs")
     last = materialize(verified(rest, texts, size, limit), "links")
     if last.limit(1).count():
@@ -577,7 +583,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 3, num:
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """The rows of docs that are the least of their component, unchanged; of rows with one key, one stays. Rows without a key stay."""
-    verdicts = jaccard_components(docs, key, size, num, den)
-    stay = materialize(verdicts.where(F.col(key) == F.col("component_id")).select(key).distinct(), "kept")
-    return docs.join(stay, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    """The rows of docs that are the least of their component, unchanged; of rows with one key, one stays. Rows without a key stay.
+
+    Only rows whose key is repeated or not the least of its component, and the
+    few that a filter takes for such, are joined with the verdicts.
+    """
+    verdicts = jaccard_components(docs, key, size, num, den).where(F.col(key).isNotNull())
+    found = verdicts.groupBy(key).agg(F.count("*").alias("_rows"), F.max(F.col(key) == F.col("component_id")).alias("_stays"))
+    found = materialize(found.where("_rows > 1 or not _stays").select(key, "_stays"), "not-plain")
+    open_ = key_filter(found, key)(F.col(key))
+    stay = docs.where(F.col(key).isNotNull() & open_).join(found, key, "left").where(F.coalesce("_stays", F.lit(True))).dropDuplicates([key])
+    return docs.where(F.col(key).isNull() | ~open_).unionByName(stay.select(*docs.columns))

@@ -1,13 +1,43 @@
-"""What the training-data operators share: the folder all executors see, tables written to cut lineage, connected components."""
+"""What the training-data operators share: the folder all executors see, tables written to cut lineage, connected components, filters of keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.tables import fresh_path, materialize, remove, shared_dir
 
-__all__ = ["connected_components", "fresh_path", "materialize", "remove", "shared_dir"]
+__all__ = ["connected_components", "fresh_path", "key_filter", "materialize", "remove", "shared_dir"]
+
+#: A filter of keys has this many bits for each key, a power of two in all, and at most so many.
+KEY_BITS, MOST_BITS = 16, 1 << 26
+
+
+def key_filter(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test of columns that holds for every value in keys (a written table), and for one in KEY_BITS of all others.
+
+    It keeps rows that a join would drop out of the join's shuffle. Its bits, at
+    most MOST_BITS, are gathered and sent to the tasks; with more keys than that
+    more others pass, so the join has to follow where they matter.
+    """
+    bits = min(MOST_BITS, max(64, 1 << (KEY_BITS * keys.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    found = keys.select(place(F.col(column)).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bits"))
+    found = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return lambda c: held(place(c))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import op01_jaccard_rtree as op1
-from parley.llm.shared import connected_components
+from parley.llm.shared import connected_components, key_filter
 from tests.llm.helpers import DOCS, ODD, documents, prose, seeded, white_words
 
 
@@ -70,6 +71,41 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in op1.keep_one_of_each(docs.unionByName(docs)).collect()) == [0, 1, 3, 4]
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._jvm.java.util.ArrayList()
+    return sum(x.shuffleWriteBytes() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)))
+
+
+def test_texts_without_partners_are_not_shuffled(spark):
+    rng, _ = seeded(12)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300)) for _ in range(40)) for _ in range(150)]
+    docs = documents(spark, [*texts, texts[3], None, ""]).localCheckpoint()
+    before = shuffled_bytes(spark)
+    kept = sorted(r["doc_id"] for r in op1.keep_one_of_each(docs, size=5, num=80).collect())
+    assert kept == [*range(150), 151, 152]
+    assert shuffled_bytes(spark) - before < sum(map(len, texts)) / 4
+
+
+def test_key_filter_holds_for_every_key(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("cast(id as string) as k")
+    test = key_filter(keys, "k")
+    found = {int(r["k"]) for r in spark.range(3000).selectExpr("cast(id as string) as k").where(test(F.col("k"))).collect()}
+    assert found >= set(range(0, 3000, 3)) and len(found) < 1300
+    assert spark.range(10).where(key_filter(keys.where("k < 0"), "k")(F.col("id").cast("string"))).count() == 0
+
+
+def test_repeated_and_null_keys_with_links(spark):
+    rng, vocab = seeded(13)
+    one, two, three = (prose(rng, 60, vocab) for _ in range(3))
+    rows = [(7, one), (3, one), (3, two), (None, one), (None, three), (9, two), (5, three), (5, three), (8, three + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op1.keep_one_of_each(docs, size=5, num=80).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [3, 5]
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == sorted([one, three])
+
+
 def test_empty_and_null_keys(spark):
     none = spark.createDataFrame([], DOCS)
     assert op1.jaccard_components(none).count() == 0
