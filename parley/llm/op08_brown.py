@@ -54,7 +54,7 @@ def held_out(key: Column, parts: int = 10) -> Column:
 
 def _merge(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of keys, and the sums of their counts."""
-    order = np.lexsort(keys[::-1])
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     keys, counts = [k[order] for k in keys], counts[order]
     first = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
     return [k[first] for k in keys], np.add.reduceat(counts, first)
@@ -157,9 +157,11 @@ def _count_pairs(shared):
             for batch in batches:
                 for _, _, data, rows in text_slices(batch.column("text")):
                     out, _, _ = _numbered(*word_hashes(data, rows), index, head)
-                    yield [out[:-1], out[1:]]
+                    yield [out[:-1] << 32 | out[1:]]  # one number is faster to sort than two
 
-        yield from _counted(pairs(), ["a", "b", "n"])
+        for batch in _counted(pairs(), ["ab", "n"]):
+            ab = batch.column("ab").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ab >> 32), pa.array(ab & 0xFFFFFFFF), batch.column("n")], ["a", "b", "n"])
 
     return run
 
@@ -265,11 +267,37 @@ def _likelihood(m: np.ndarray) -> float:
     return float(_entropy(m).sum() - _entropy(m.sum(1)).sum() - _entropy(m.sum(0)).sum())
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of w and side: one row for each (w, side) of a batch, its other numbers and their counts as bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        w, side, other, n = (batch.column(c).to_numpy() for c in ("w", "side", "other", "n"))
+        first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (side[1:] != side[:-1])]))
+        at = np.append(first, len(w))
+        blobs = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in (other.astype(np.int32), n.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(side[first]), *blobs], ["w", "side", "others", "ns"])
+
+
+def _values(blobs: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of the blobs in a row, how many each has)."""
+    _, offsets, data = blobs.buffers()
+    at = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // np.dtype(kind).itemsize
+    return (np.frombuffer(data, kind)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, kind)), np.diff(at)
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(w, side, other, n) of each bigram in a batch of neighbours()."""
+    other, lengths = _values(batch.column("others"), np.int32)
+    return np.repeat(batch.column("w").to_numpy(), lengths), np.repeat(batch.column("side").to_numpy(), lengths), other, _values(batch.column("ns"), np.int64)[0]
+
+
 def neighbours(pairs: DataFrame, head: Head) -> DataFrame:
-    """(w, other, side, n), the rows of a word together: the bigrams that each exchange word begins (side 0) and ends (side 1)."""
+    """(w, side, others, ns), the rows of a word together: the bigrams that each exchange word begins (side 0) and ends (side 1). Every sweep reads them, so they are packed."""
     row = lambda w, other, side: pairs.where(F.col(w) < head.exchange).select(F.col(w).cast("int").alias("w"), F.col(other).cast("int").alias("other"), F.lit(side).alias("side"), "n")
     # few rows that cost much: without the number Spark would put them into few tasks
-    return row("a", "b", 0).unionByName(row("b", "a", 1)).repartition(1 + head.exchange // 250, "w").sortWithinPartitions("w")
+    rows = row("a", "b", 0).unionByName(row("b", "a", 1)).repartition(1 + head.exchange // 250, "w").sortWithinPartitions("w", "side")
+    return rows.mapInArrow(_packed, "w int, side int, others binary, ns binary")
 
 
 def _turn(w: np.ndarray, classes: np.ndarray, sweep: int) -> np.ndarray:
@@ -295,7 +323,7 @@ def _proposals(shared):
             batch = batch.filter(pa.array(_turn(batch.column("w").to_numpy().astype(np.int64), classes, sweep)))
             if not batch.num_rows:
                 continue
-            w, other, side, n = (batch.column(c).to_numpy() for c in ("w", "other", "side", "n"))
+            w, side, other, n = _unpacked(batch)
             words, row = np.unique(w, return_inverse=True)
             own = other == w
             use = ~own & (classes[other] >= 0)
@@ -321,25 +349,44 @@ def _proposals(shared):
     return run
 
 
-def class_pairs(pairs: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
-    """Counts of class bigrams, from word bigrams (a, b, n); numbers without a class (-1) are left out."""
-    shared = pairs.sparkSession.sparkContext.broadcast(classes)
+def _class_matrix(rows: DataFrame, bigrams, classes: np.ndarray, k: int) -> np.ndarray:
+    """Counts of class bigrams over what bigrams(batch) gives, (a, b, n); numbers without a class (-1) are left out."""
+    shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k)
         for batch in batches:
-            a, b = (shared.value[batch.column(c).to_numpy()] for c in "ab")
+            a, b, n = bigrams(batch)
+            a, b = shared.value[a], shared.value[b]
             use = (a >= 0) & (b >= 0)
-            total += np.bincount(a[use] * k + b[use], batch.column("n").to_numpy()[use], k * k)
+            total += np.bincount(a[use] * k + b[use], n[use], k * k)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
 
-    rows = pairs.select("a", "b", "n").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(k * k)
-    out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(k, k)
 
 
+def class_pairs(pairs: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    """Counts of class bigrams, from word bigrams (a, b, n); numbers without a class (-1) are left out."""
+    return _class_matrix(pairs.select("a", "b", "n"), lambda batch: tuple(batch.column(c).to_numpy() for c in ("a", "b", "n")), classes, k)
+
+
+def near_pairs(near: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    """class_pairs() of all bigrams with an exchange word, from neighbours(): those that one begins, and those that one ends after another number."""
+    exchange = len(classes) - 2
+
+    def bigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w, side, other, n = _unpacked(batch)
+        use = (side == 0) | (other >= exchange)
+        w, side, other, n = w[use], side[use], other[use], n[use]
+        return np.where(side == 0, w, other), np.where(side == 0, other, w), n
+
+    return _class_matrix(near, bigrams, classes, k)
+
+
 def exchange(pairs: DataFrame, head: Head, classes: int = CLASSES, sweeps: int = SWEEPS, seeds: int = SEED_WORDS) -> np.ndarray:
     """The class of each number; the rest and the ends keep classes of their own, classes and classes + 1.
 
@@ -365,7 +412,8 @@ def exchange(pairs: DataFrame, head: Head, classes: int = CLASSES, sweeps: int =
     first = pairs.where(inside("a") & inside("b")).repartition(1).mapInArrow(seed, "class long").toArrow().column("class").to_numpy()
     found[:seeds] = first[:seeds] if len(first) else 0
     near = materialize(neighbours(pairs, head), "neighbours")
-    m = class_pairs(pairs, found, k)
+    others = class_pairs(pairs.where((F.col("a") >= n) & (F.col("b") >= n)), found, k)  # these never move
+    m = near_pairs(near, found, k) + others
     little = 0
     for sweep in range(2 * sweeps + 1 if n else 0):
         shared = spark.sparkContext.broadcast((found, m, min(classes, max(1, seeds)), sweep))
@@ -378,7 +426,7 @@ def exchange(pairs: DataFrame, head: Head, classes: int = CLASSES, sweeps: int =
                 break
             moved = found.copy()
             moved[w] = c
-            m1 = class_pairs(pairs, moved, k)
+            m1 = near_pairs(near, moved, k) + others
             was, now = _likelihood(m), _likelihood(m1)
             if sweep == 0 or now > was:
                 little = little + 1 if sweep and now - was < LEAST_GAIN * abs(was) else 0

@@ -114,6 +114,24 @@ def test_exchange_finds_classes(spark):
         assert len({of[w] for w in nouns}) == 1 and len({of[w] for w in verbs}) == 1 and of["n0"] != of["v0"]
 
 
+@pytest.mark.parametrize("rows", [10_000, 7])
+def test_sweeps_read_packed_neighbours(spark, rows):
+    rng, n, k = np.random.default_rng(4), 30, 6
+    at = np.flatnonzero(rng.random((n + 2) ** 2) < 0.6)  # numbers n and n + 1 are the rest and the ends
+    count = np.where(rng.random(len(at)) < 0.1, 1 << 33, rng.integers(1, 9, len(at)))
+    pairs = spark.createDataFrame(list(zip((at // (n + 2)).tolist(), (at % (n + 2)).tolist(), count.tolist())), "a long, b long, n long")
+    classes = np.concatenate([rng.integers(-1, k - 2, n), [k - 2, k - 1]])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        near = op8.neighbours(pairs, op8.Head(np.arange(n + 9), np.ones(n + 9, int), n)).localCheckpoint()
+        if rows > len(at):
+            assert near.count() == 2 * n
+        fixed = op8.class_pairs(pairs.where(f"a >= {n} and b >= {n}"), classes, k)
+        assert (op8.near_pairs(near, classes, k) + fixed == op8.class_pairs(pairs, classes, k)).all()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_gains_are_those_of_whole_likelihoods():
     rng = np.random.default_rng(2)
     words, k = 30, 5
