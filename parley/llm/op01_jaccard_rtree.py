@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import connected_components, key_filter, materialize, remove
+from parley.llm.shared import KeyFilter, connected_components, materialize, remove
 from parley.llm.text import mix, shingle_sets, text_slices, word_hashes
 
 #: Coordinates of the points that pivots are compared by; those in the trees have more for larger sets.
@@ -371,7 +371,7 @@ def _verify(size: int, limit: Threshold):
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, limit: Threshold) -> DataFrame:
     """The pairs (a, b) of nodes that are linked. texts has one row (node, text) for each node."""
-    a, b = (texts.where(key_filter(pairs, x)(F.col("node"))).select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    a, b = (KeyFilter(pairs, x).rows(texts, "node").select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, limit), "a long, b long")
 
@@ -394,19 +394,23 @@ def texts_of(docs: DataFrame, key: str, points: DataFrame, size: int) -> DataFra
     Only rows whose key is the least of a node, and the few that a filter takes for such, are sent.
     """
 
+    least = KeyFilter(points, "rep")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(least.holds(batch.column("at"))))
             for a, b, data, rows in text_slices(batch.column("text")):
                 nodes = set_sums(*shingle_sets(*word_hashes(data, rows), size)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column("text")[a:b]], ["node", "text"])
 
-    rows = docs.where(F.col(key).isNotNull() & key_filter(points, "rep")(F.col(key))).select("text").mapInArrow(run, "node long, text string")
-    return rows.where(key_filter(points, "node")(F.col("node"))).groupBy("node").agg(F.first("text").alias("text")).join(points.select("node").hint("merge"), "node", "left_semi")
+    rows = docs.select("text", least.place(key).alias("at")).mapInArrow(run, "node long, text string")
+    return rows.groupBy("node").agg(F.first("text").alias("text")).join(points.select("node").hint("merge"), "node", "left_semi")
 
 
-def _shingle_rows(size: int, part: int, parts: int):
+def _shingle_rows(size: int, part: int, parts: int, some: KeyFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(some.holds(batch.column("at"))))
             for a, b, data, rows in text_slices(batch.column("text")):
                 sets, bounds = shingle_sets(*word_hashes(data, rows), size)
                 nodes = np.repeat(batch.column("node").to_numpy()[a:b], np.diff(bounds))
@@ -424,7 +428,8 @@ def reaches(nodes: DataFrame, texts: DataFrame, size: int, limit: Threshold) ->
     """
     for part, parts in (FIRST_PART, (1, 1)):
         # a node too many, which the filter may let pass, makes no shingle lonely
-        rows = texts.where(key_filter(nodes, "node")(F.col("node"))).mapInArrow(_shingle_rows(size, part, parts), "shingle long, node long")
+        some = KeyFilter(nodes, "node")
+        rows = texts.select("node", "text", some.place("node").alias("at")).mapInArrow(_shingle_rows(size, part, parts, some), "shingle long, node long")
         lonely = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("lonely"))
         found = nodes.select("node", "n").join(lonely, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("reach"))
         nodes = materialize(found.where(limit.den * F.col("reach") >= limit.num * F.col("n")), "reaches")
@@ -447,7 +452,7 @@ def tree_points(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             for a, b, data, rows in text_slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in ("node", "reach")), pa.array(fine_points(*shingle_sets(*word_hashes(data, rows), size)), pa.binary())], ["node", "reach", "point"])
 
-    return texts.where(key_filter(nodes, "node")(F.col("node"))).join(nodes.select("node", "reach"), "node").select("node", "reach", "text").mapInArrow(run, "node long, reach long, point binary")
+    return texts.join(nodes.select("node", "reach"), "node").select("node", "reach", "text").mapInArrow(run, "node long, reach long, point binary")
 
 
 def _tree_pairs(limit: Threshold):
@@ -591,6 +596,6 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", size: int = 3, num: i
     verdicts = jaccard_components(docs, key, size, num, den).where(F.col(key).isNotNull())
     found = verdicts.groupBy(key).agg(F.count("*").alias("_rows"), F.max(F.col(key) == F.col("component_id")).alias("_stays"))
     found = materialize(found.where("_rows > 1 or not _stays").select(key, "_stays"), "not-plain")
-    open_ = key_filter(found, key)(F.col(key))
-    stay = docs.where(F.col(key).isNotNull() & open_).join(found, key, "left").where(F.coalesce("_stays", F.lit(True))).dropDuplicates([key])
-    return docs.where(F.col(key).isNull() | ~open_).unionByName(stay.select(*docs.columns))
+    some = KeyFilter(found, key)
+    stay = some.rows(docs, key).join(found, key, "left").where(F.coalesce("_stays", F.lit(True))).dropDuplicates([key])
+    return some.rows(docs, key, inside=False).unionByName(stay.select(*docs.columns))

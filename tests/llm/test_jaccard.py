@@ -1,9 +1,7 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from parley.llm import op01_jaccard_rtree as op1
-from parley.llm.shared import connected_components, key_filter
+from parley.llm.shared import KeyFilter, connected_components
 from tests.llm.helpers import DOCS, ODD, documents, prose, seeded, white_words
 
 
@@ -90,10 +88,12 @@ def test_texts_without_partners_are_not_shuffled(spark):
 
 def test_key_filter_holds_for_every_key(spark):
     keys = spark.range(0, 3000, 3).selectExpr("cast(id as string) as k")
-    test = key_filter(keys, "k")
-    found = {int(r["k"]) for r in spark.range(3000).selectExpr("cast(id as string) as k").where(test(F.col("k"))).collect()}
-    assert found >= set(range(0, 3000, 3)) and len(found) < 1300
-    assert spark.range(10).where(key_filter(keys.where("k < 0"), "k")(F.col("id").cast("string"))).count() == 0
+    rows = spark.range(3000).selectExpr("cast(id as string) as k").union(spark.sql("select cast(null as string)"))
+    held = [r["k"] for r in KeyFilter(keys, "k").rows(rows, "k").collect()]
+    rest = [r["k"] for r in KeyFilter(keys, "k").rows(rows, "k", inside=False).collect()]
+    assert set(held) >= set(map(str, range(0, 3000, 3))) and len(held) < 1300
+    assert None in rest and len(held) + len(rest) == 3001
+    assert KeyFilter(keys.where("k < 0"), "k").rows(rows, "k").count() == 0
 
 
 def test_repeated_and_null_keys_with_links(spark):
