@@ -9,7 +9,9 @@ last one selects the best documents of the shard, of which the best of all
 shards are the result.
 
 A shard has about SHARD_DOCS documents and a bundle at most BUNDLE_ITEMS items,
-so a group is bounded whatever the number of documents or items. A bundle drops
+so a group is bounded whatever the number of documents or items. What a bundle
+carries is written in rows of SLICE_PAIRS terms or scores: Spark's readers and
+writers hold thousands of rows at a time, whatever their size. A bundle drops
 a document if all that the remaining owners can add leaves it below the shard's
 k-th best already: it cannot be in the result. Ties stay.
 """
@@ -17,7 +19,7 @@ k-th best already: it cannot be in the result. Ties stay.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,52 +34,64 @@ from parley.llm.shared import fresh_path, materialize, remove
 from parley.llm.text import text_slices, word_hashes
 
 OWNERS, BUNDLE_ITEMS, SHARD_DOCS = 4, 512, 2048
+#: Terms, or scores, of a bundle in one row.
+SLICE_PAIRS = 256
 #: Words of the items in a file of weights, about; tasks hold one file at a time.
 TERMS_PER_FILE = 1 << 20
 #: A contribution is below this for each unit of weight.
 _UNIT = 1_000_000
 _NO_KEY = np.iinfo(np.int64).max
 
-_BUNDLE = "bundle int, items array<string>, terms binary, places binary, amounts binary, owners binary"
-_STATE = f"shard long, {_BUNDLE}, acc_item binary, acc_row binary, acc_doc binary, acc_score binary"
-_FOUND = "bundle int, place int, item string, doc long, score long"
+_PAIRS, _SCORES = ("terms", "places", "amounts", "owners"), ("acc_item", "acc_row", "acc_doc", "acc_score")
+_BUNDLE = f"bundle int, {', '.join(f'{c} binary' for c in _PAIRS)}"
+_STATE = f"shard long, {_BUNDLE}, {', '.join(f'{c} binary' for c in _SCORES)}"
+_FOUND = "bundle int, place int, doc long, score long"
 
 
 def weight(documents: int, holding: int) -> int:
     return math.floor(1000 * math.log((2 * documents + 2) / (2 * holding + 1)))
 
 
+def _rows(columns: list[np.ndarray]) -> list[list[bytes]]:
+    """Columns of equal length, each in slices of SLICE_PAIRS values."""
+    return [[x[at : at + SLICE_PAIRS].astype(np.int64).tobytes() for at in range(0, len(x), SLICE_PAIRS)] for x in columns]
+
+
+def _joined(column: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.int64)
+
+
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bundle, item, text), sorted by bundle, as a row for each bundle: its items, and for each of their terms, with repeats, the hash and the item's place."""
+    """Rows (bundle, text), sorted by bundle, as the distinct pairs of a term's hash and an item's place in its bundle, and how often the item repeats the term; in slices."""
 
-    def packed(bundle: int, items: list, texts: list) -> pa.RecordBatch:
+    def packed(bundle: int, texts: list) -> pa.RecordBatch:
         places, terms = [], []
         for a, _, data, offsets in text_slices(pa.array(texts, pa.string())):
             words, rows = word_hashes(data, offsets, "alnum")
             places.append(np.repeat(np.arange(len(rows) - 1) + a, np.diff(rows)))
             terms.append(words)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([bundle], pa.int32()), pa.array([items], pa.list_(pa.string())), pa.array([np.concatenate(terms).tobytes()], pa.binary()), pa.array([np.concatenate(places).astype(np.int64).tobytes()], pa.binary())],
-            ["bundle", "items", "terms", "places"],
-        )
-
-    now, items, texts = None, [], []
+        term, place = np.concatenate(terms).view(np.int64), np.concatenate(places).astype(np.int64)
+        order = np.lexsort((place, term))
+        term, place = term[order], place[order]
+        cut = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (place[1:] != place[:-1])])[: len(term)])
+        slices = _rows([term[cut], place[cut], np.diff(np.append(cut, len(term)))])
+        return pa.RecordBatch.from_arrays([pa.array([bundle] * len(slices[0]), pa.int32()), *(pa.array(x, pa.binary()) for x in slices)], ["bundle", "terms", "places", "repeats"])
+
+    now, texts = None, []
     for batch in batches:
-        for b, i, t in zip(*(batch.column(c).to_pylist() for c in ("bundle", "item", "text"))):
-            if b != now and items:
-                yield packed(now, items, texts)
-                items, texts = [], []
+        for b, t in zip(*(batch.column(c).to_pylist() for c in ("bundle", "text"))):
+            if b != now and texts:
+                yield packed(now, texts)
+                texts = []
             now = b
-            items.append(i)
             texts.append(t)
-    if items:
-        yield packed(now, items, texts)
+    if texts:
+        yield packed(now, texts)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for terms in batch.column("terms").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(terms, np.int64)))], ["term"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_joined(batch.column("terms").to_pylist())))], ["term"])
 
 
 def _written(df: DataFrame, rows: int, name: str) -> str:
@@ -185,54 +199,49 @@ def _weigh(bands: list[int], documents: int):
 
 
 def _addressed(root: str):
-    """Bundles with distinct (term, place) pairs, what each pair adds for a unit, and the term's owner; terms that no document has drop out."""
+    """Slices of bundles with what each pair adds for a unit, and the term's owner; terms that no document has drop out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t, p in zip(batch.column("terms").to_pylist(), batch.column("places").to_pylist()):
-                terms, places = np.frombuffer(t, np.int64), np.frombuffer(p, np.int64)
-                order = np.lexsort((places, terms))
-                terms, places = terms[order], places[order]
-                cut = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (places[1:] != places[:-1])])[: len(terms)])
-                repeats = np.diff(np.append(cut, len(terms)))
-                terms, places = terms[cut], places[cut]
-                amounts, owners = np.zeros(len(terms), np.int64), np.full(len(terms), -1)
-                for table, weights, owned in _files(root, "term", "weight", "owner"):
-                    at, hit = _places(table, terms)
-                    amounts[hit], owners[hit] = weights[at[hit]] * repeats[hit], owned[at[hit]]
-                known = owners >= 0
-                out.append([x[known].tobytes() for x in (terms, places, amounts, owners)])
-            yield pa.RecordBatch.from_arrays([batch.column("bundle"), batch.column("items"), *(pa.array(x, pa.binary()) for x in zip(*out))], ["bundle", "items", "terms", "places", "amounts", "owners"])
+            size = np.array([len(x) // 8 for x in batch.column("terms").to_pylist()], np.int64)
+            terms, places, repeats = (_joined(batch.column(c).to_pylist()) for c in ("terms", "places", "repeats"))
+            amounts, owners = np.zeros(len(terms), np.int64), np.full(len(terms), -1)
+            for table, weights, owned in _files(root, "term", "weight", "owner"):
+                at, hit = _places(table, terms)
+                amounts[hit], owners[hit] = weights[at[hit]] * repeats[hit], owned[at[hit]]
+            known = [slice(b - n, b) for b, n in zip(np.cumsum(size), size)]
+            out = [[x[s][owners[s] >= 0].tobytes() for s in known] for x in (terms, places, amounts, owners)]
+            yield pa.RecordBatch.from_arrays([batch.column("bundle"), *(pa.array(x, pa.binary()) for x in out)], ["bundle", *_PAIRS])
 
     return run
 
 
 def _stage(owner: int, last: bool, k: int):
-    """Adds one owner's contributions to the accumulators of a bundle at a shard."""
+    """Adds one owner's contributions to the accumulators of a bundle at a shard; the bundle's terms of this owner have done their part and go."""
 
     def add(bundles: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
         if bundles.empty:
             return pd.DataFrame()  # no item was dealt to this bundle
-        b = bundles.iloc[0]
-        terms, places, amounts, owners = (np.frombuffer(b[c], np.int64) for c in ("terms", "places", "amounts", "owners"))
-        held_item, held_row, held_doc, held_score = (np.frombuffer(b[c], np.int64) for c in ("acc_item", "acc_row", "acc_doc", "acc_score"))
+        shard, bundle = bundles["shard"].iloc[0], bundles["bundle"].iloc[0]
+        terms, places, amounts, owners = (_joined(bundles[c]) for c in _PAIRS)
+        held_item, held_row, held_doc, held_score = (_joined(bundles[c]) for c in _SCORES)
         new_row, new_doc = postings["row"].to_numpy(np.int64), postings["doc"].to_numpy(np.int64)
         rows, at = np.unique(np.concatenate([held_row, new_row]), return_index=True)
         docs = np.concatenate([held_doc, new_doc])[at]
-        score = np.zeros((len(b["items"]), len(rows)), np.int64)
+        score = np.zeros((int(max(places.max(initial=-1), held_item.max(initial=-1))) + 1, len(rows)), np.int64)
         score[held_item, np.searchsorted(rows, held_row)] = held_score
-        term, unit = (np.frombuffer(b"".join(postings[c]), np.int64) for c in ("terms", "units"))
+        term, unit = _joined(postings["terms"]), _joined(postings["units"])
         column = np.searchsorted(rows, np.repeat(new_row, postings["terms"].map(len).to_numpy(np.int64) // 8))
         order = np.argsort(term, kind="stable")
         term, unit, column = term[order], unit[order], column[order]
         mine = np.flatnonzero(owners == owner)
+        mine = mine[np.argsort(terms[mine], kind="stable")]
         for pairs in np.split(mine, np.flatnonzero(np.diff(terms[mine])) + 1) if len(mine) else ():
             hits = slice(np.searchsorted(term, terms[pairs[0]], "left"), np.searchsorted(term, terms[pairs[0]], "right"))
             # neither an item nor a document is twice in a term's list
             score[places[pairs][:, None], column[hits]] += amounts[pairs][:, None] * unit[hits]
-        rest = np.zeros(len(score), np.int64)
-        np.add.at(rest, places[owners > owner], amounts[owners > owner] * _UNIT)
+        rest, later = np.zeros(len(score), np.int64), owners > owner
+        np.add.at(rest, places[later], amounts[later] * _UNIT)
         keep = score > 0
         if len(rows) > k:
             best = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k]
@@ -240,14 +249,14 @@ def _stage(owner: int, last: bool, k: int):
         item, doc = np.nonzero(keep)
         found = score[item, doc]
         if not last:
-            accumulators = [x.astype(np.int64).tobytes() for x in (item, rows[doc], docs[doc], found)]
-            return bundles.assign(**dict(zip(("acc_item", "acc_row", "acc_doc", "acc_score"), ([x] for x in accumulators))))
+            pairs, scores = _rows([x[later] for x in (terms, places, amounts, owners)]), _rows([item, rows[doc], docs[doc], found])
+            slices = [x + [b""] * len(scores[0]) for x in pairs] + [[b""] * len(pairs[0]) + x for x in scores]
+            return pd.DataFrame({"shard": shard, "bundle": bundle} | dict(zip((*_PAIRS, *_SCORES), slices)))
         order = np.lexsort((docs[doc], -found, item))
         item, doc, found = item[order], doc[order], found[order]
         top = np.arange(len(item)) - np.searchsorted(item, item) < k
         item, doc, found = item[top], doc[top], found[top]
-        names = pd.Series([b["items"][i] for i in item], dtype=object)
-        return pd.DataFrame({"bundle": np.full(len(item), b["bundle"]), "place": item, "item": names, "doc": docs[doc], "score": found})
+        return pd.DataFrame({"bundle": np.full(len(item), bundle), "place": item, "doc": docs[doc], "score": found})
 
     return add
 
@@ -276,8 +285,9 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 20, key: str = "do
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((docs, key), (items, item))}
     asked = materialize(items.select(F.col(item).cast("string").alias("item"), "text", F.monotonically_increasing_id().alias("row")), "items")
     n_bundles = max(1, -(-asked.count() // bundle_items))
-    dealt = asked.withColumn("bundle", F.pmod(F.xxhash64("row"), F.lit(n_bundles)).cast("int")).repartition(n_bundles, "bundle").sortWithinPartitions("bundle", "row")
-    bundles = materialize(dealt.select("bundle", "item", "text").mapInArrow(_bundles, "bundle int, items array<string>, terms binary, places binary"), "bundles")
+    dealt = asked.withColumn("bundle", F.pmod(F.xxhash64("row"), F.lit(n_bundles)).cast("int"))
+    sorted_ = dealt.repartition(n_bundles, "bundle").sortWithinPartitions("bundle", "row")
+    bundles = materialize(sorted_.select("bundle", "text").mapInArrow(_bundles, "bundle int, terms binary, places binary, repeats binary"), "bundles")
     terms = materialize(bundles.select("terms").mapInArrow(_terms, "term long").distinct(), "terms")
     asked_root = _written(terms, terms.count(), "asked-terms")
 
@@ -289,7 +299,7 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 20, key: str = "do
 
     n_shards = max(1, -(-n_docs // shard_docs))
     every = lambda n, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(n - 1).cast(kind)))
-    empty = [F.lit(b"").alias(c) for c in ("acc_item", "acc_row", "acc_doc", "acc_score")]
+    empty = [F.lit(b"").alias(c) for c in _SCORES]
     state = bundles.mapInArrow(_addressed(root), _BUNDLE).select(every(n_shards, "long").alias("shard"), "*", *empty)
     written = []
     for owner in range(owners):
@@ -301,8 +311,9 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 20, key: str = "do
         written.append(state)
     best = Window.partitionBy("bundle", "place").orderBy(F.desc("score"), "doc")
     ranked = state.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    out = ranked.select(F.col("item").cast(kinds[item]).alias(item), "rank", F.when(F.col("doc") != _NO_KEY, F.col("doc")).cast(kinds[key]).alias(key), "score")
-    remove(spark, asked, bundles, terms, held, df, *written[:-1])
+    names = dealt.select("bundle", (F.row_number().over(Window.partitionBy("bundle").orderBy("row")) - 1).alias("place"), "item")
+    out = ranked.join(names, ["bundle", "place"]).select(F.col("item").cast(kinds[item]).alias(item), "rank", F.when(F.col("doc") != _NO_KEY, F.col("doc")).cast(kinds[key]).alias(key), "score")
+    remove(spark, bundles, terms, held, df, *written[:-1])
     return out
 
 

@@ -80,3 +80,24 @@ def test_bands_deal_postings_evenly(spark):
 def test_weights_as_in_doubles():
     assert op13.weight(10, 10) == math.floor(1000 * math.log(22 / 21)) and op13.weight(1, 0) == math.floor(1000 * math.log(4))
     assert op13.weight(10**12, 1) > 20_000
+
+
+def test_rows_of_bundles_are_bounded(spark, monkeypatch):
+    """Readers and writers hold rows by number, so none may grow with a shard."""
+    written, write = {}, op13.materialize
+
+    def seen(df, name):
+        written.setdefault(name, []).append(write(df, name))
+        return written[name][-1]
+
+    monkeypatch.setattr(op13, "materialize", seen)
+    monkeypatch.setattr(op13, "remove", lambda *a: None)
+    rng, vocab = seeded(13)
+    docs, items = [(i, prose(rng, 30, vocab)) for i in range(900)], [(f"q{i}", prose(rng, 12, vocab)) for i in range(60)]
+    got = found(spark, docs, items, 3)
+    assert got == brute(docs, items, 3) and len(got) == 180
+    for table in written["bundles"] + written["accumulators"]:
+        sizes = [f"max(length({c}))" for c, kind in table.dtypes if kind == "binary"]
+        assert max(table.selectExpr(*sizes).first()) <= 8 * op13.SLICE_PAIRS
+        assert all(kind != "array<string>" for _, kind in table.dtypes)
+    assert max(t.count() for t in written["accumulators"]) > 20
