@@ -24,8 +24,8 @@ from parley.functions.tables import fresh_path, materialize, sliced
 
 BINARY_EXTENSIONS = [".pdf", ".jpg", ".png", ".docx", ".xlsx", ".pptx", ".zip", ".jpeg"]
 SEPARATORS = ["\n\n", "\n", " ", ""]
-#: Query vectors, and chunks, that a task holds at once; chunks that serve as pivots.
-QUERY_BLOCK, CHUNK_BLOCK, PIVOTS = 1024, 4096, 256
+#: Query vectors that are compared at once, chunks of a block at most, chunks that serve as pivots, and numbers of chunk vectors that a task holds.
+QUERY_BLOCK, CHUNK_BLOCK, PIVOTS, HELD_NUMBERS = 1024, 1024, 256, 1 << 22
 #: Signs of texts whose chunks a task holds at once.
 CHUNKED_BYTES = 1 << 20
 
@@ -129,9 +129,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 
 class _Measure:
-    """Counts the units (signs, or tokens by their first places) of stretches of a text, by bisection of places in order."""
+    """Counts the units (tokens, by their first places) of stretches of a text, by bisection of places in order."""
 
-    def __init__(self, starts: list[int] | range):
+    def __init__(self, starts: list[int]):
         self.starts = starts
 
     def count(self, a: int, b: int) -> int:
@@ -146,6 +146,19 @@ class _Measure:
         return out
 
 
+class _Signs(_Measure):
+    """Counts signs: a place is its own number."""
+
+    def __init__(self) -> None:
+        pass
+
+    def count(self, a: int, b: int) -> int:
+        return b - a
+
+    def cuts(self, a: int, b: int, size: int) -> list[int]:
+        return list(range(a + size, b, size))
+
+
 def _split(text: str, a: int, b: int, size: int, separators: list[str], m: _Measure) -> list[tuple[int, int]]:
     """Stretches of [a, b) of at most size units, cut at the coarsest separator that the text holds."""
     if m.count(a, b) <= size:
@@ -181,7 +194,7 @@ def _merged(text: str, size: int, overlap: int, m: _Measure) -> list[str]:
 
 def chunk_text(text: str, size: int, overlap: int) -> list[str]:
     """Chunks of at most size signs."""
-    return _merged(text, size, overlap, _Measure(range(len(text))))
+    return _merged(text, size, overlap, _Signs())
 
 
 def word_starts(text: str) -> list[int]:
@@ -316,29 +329,137 @@ def _blocks(root: str, rows: int) -> Iterator[pa.RecordBatch]:
             yield from (b for b in pq.ParquetFile(source).iter_batches(rows) if b.num_rows)
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest center of each row, and the distance to it."""
+    square = (x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)
+    near = square.argmin(1)
+    return near.astype(np.int32), np.sqrt(np.maximum(square[np.arange(len(x)), near], 0))
+
+
+def _pivots(root: str) -> np.ndarray:
+    return np.concatenate([_matrix(b.column("embedding")) for b in _blocks(root, PIVOTS)] or [np.zeros((0, 0))])
+
+
 def _near_pivots(pivots: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks with their nearest pivot and the distance to it."""
-    centers = np.concatenate([_matrix(b.column("embedding")) for b in _blocks(pivots, PIVOTS)] or [np.zeros((0, 0))])
+    centers = _pivots(pivots)
     for batch in batches:
-        x = _matrix(batch.column("embedding"))
-        if not len(x):
-            continue
-        square = (x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)
-        near = square.argmin(1)
-        far = np.sqrt(np.maximum(square[np.arange(len(x)), near], 0))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(far)], [*batch.schema.names, "pivot", "far"])
+        if batch.num_rows:
+            near, far = _nearest(_matrix(batch.column("embedding")), centers)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(far)], [*batch.schema.names, "pivot", "far"])
 
 
 def _floors(pivots: str, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries with a floor of their k-th best score: the k-th best among the pivots, which are chunks themselves."""
-    centers = np.concatenate([_matrix(b.column("embedding")) for b in _blocks(pivots, PIVOTS)] or [np.zeros((0, 0))])
+    """Queries with their nearest pivot, the distance to it, and a floor of their k-th best score: the k-th best among the pivots, which are chunks themselves."""
+    centers = _pivots(pivots)
     for batch in batches:
         for at in range(0, batch.num_rows, QUERY_BLOCK):
             part = batch.slice(at, QUERY_BLOCK)
-            floor = np.full(part.num_rows, -np.inf)
+            q, floor = _matrix(part.column("embedding")), np.full(part.num_rows, -np.inf)
+            near, far = _nearest(q, centers) if len(centers) else (np.full(len(q), -1, np.int32), np.zeros(len(q)))
             if len(centers) >= k:
-                floor = np.partition(_matrix(part.column("embedding")) @ centers.T, len(centers) - k, axis=1)[:, len(centers) - k]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floor)], [*part.schema.names, "floor"])
+                floor = np.partition(q @ centers.T, len(centers) - k, axis=1)[:, len(centers) - k]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near), pa.array(far), pa.array(floor)], [*part.schema.names, "pivot", "far", "floor"])
+
+
+class _Held:
+    """Chunks in blocks of at most CHUNK_BLOCK neighbours, each of one pivot and in the order of their distances to it."""
+
+    def __init__(self, batches: list[pa.RecordBatch], centers: np.ndarray):
+        table = pa.Table.from_batches(batches)
+        self.ids, self.vectors = table.column("chunk_id").combine_chunks(), _matrix(table.column("embedding"))
+        self.rank = np.empty(len(self.ids), np.int64)
+        self.rank[pc.sort_indices(self.ids).to_numpy()] = np.arange(len(self.ids))
+        pivot, far = table.column("pivot").to_numpy(), table.column("far").to_numpy()
+        runs = [0, *(np.flatnonzero((np.diff(pivot) != 0) | (np.diff(far) < 0)) + 1).tolist(), len(pivot)]
+        self.cuts = [slice(at, min(at + CHUNK_BLOCK, b)) for a, b in zip(runs[:-1], runs[1:]) for at in range(a, b, CHUNK_BLOCK)]
+        self.pivot, self.least, self.most = pivot[[c.start for c in self.cuts]], far[[c.start for c in self.cuts]], far[[c.stop - 1 for c in self.cuts]]
+        parts = [self.vectors[c] for c in self.cuts]
+        self.center = np.array([x.mean(0) for x in parts])
+        self.radius = np.array([np.sqrt(((x - m) ** 2).sum(1).max()) for x, m in zip(parts, self.center)])
+        self.norm = np.array([np.sqrt((x * x).sum(1).max()) for x in parts])
+        self.post = centers[self.pivot]
+        self.apart = np.sqrt(np.maximum(((centers[:, None] - self.post) ** 2).sum(2), 0))
+
+    def bounds(self, q: np.ndarray, pivot: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query and block: what no score exceeds, and whether the query stands among the block's chunks by its pivot and the distance to it.
+
+        A chunk x of the block is within radius of its center c, and between
+        least and most from its pivot p. So q.x <= q.c + |q| radius, and |q - x|
+        is at least |q - c| - radius, |q - p| - most and least - |q - p|, and,
+        as x is no nearer to the query's pivot than to its own, the query's
+        distance from the plane between the two. That bounds
+        q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2. slack is far more than what
+        distances lose by rounding.
+        """
+        square = (q * q).sum(1)[:, None]
+        size = np.sqrt(square)
+        slack = 1e-6 * (size + self.norm + np.sqrt((self.post**2).sum(1)) + self.radius)
+        along = q @ self.center.T
+        to_center = np.sqrt(np.maximum(square - 2 * along + (self.center**2).sum(1), 0))
+        to_pivot = np.sqrt(np.maximum(square - 2 * q @ self.post.T + (self.post**2).sum(1), 0))
+        gap = np.maximum(np.maximum(to_center - self.radius, 0), np.maximum(to_pivot - self.most, self.least - to_pivot))
+        apart = self.apart[pivot]
+        plane = (to_pivot**2 - (far * far)[:, None]) / (2 * np.maximum(apart, slack))
+        gap = np.maximum(np.maximum(gap, np.where(apart > slack, plane, 0)) - slack, 0)
+        inside = (pivot[:, None] == self.pivot) & (far[:, None] >= self.least - slack) & (far[:, None] <= self.most + slack)
+        return np.minimum(along + size * self.radius, (square + self.norm**2 - gap * gap) / 2) + 1e-10 * (size + self.norm) ** 2, inside
+
+    def best(self, block: pa.RecordBatch, k: int, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query, chunk, score) of the best k for each query, in the blocks where it stands (first) or in the others that its floor doesn't exclude; and how many pairs of a query and a block were excluded."""
+        q, floor = _matrix(block.column("embedding")), block.column("floor").to_numpy()
+        floor = floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
+        bound, inside = self.bounds(q, block.column("pivot").to_numpy(), block.column("far").to_numpy())
+        rows, cols, found, skipped = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        wanted = inside if first else ~inside & (bound >= floor[:, None])
+        skipped = 0 if first else int((~wanted & ~inside).sum())
+        for j in np.flatnonzero(wanted.any(0)):
+            live = np.flatnonzero(wanted[:, j] & (first | (bound[:, j] >= floor)))
+            scores = q[live] @ self.vectors[self.cuts[j]].T
+            near, least = np.round(scores, 10), floor[live]
+            if scores.shape[1] >= k:
+                kth = np.partition(near, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                least = np.maximum(least, kth)
+                floor[live] = np.maximum(floor[live], kth - 1e-9 * (1 + np.abs(kth)))
+            row, col = np.nonzero(near >= least[:, None])
+            rows.append(live[row])
+            cols.append(col + self.cuts[j].start)
+            found.append(scores[row, col])
+        row, col, score = np.concatenate(rows), np.concatenate(cols), np.concatenate(found)
+        order = np.lexsort((self.rank[col], -np.round(score, 10), row))
+        row, col, score = row[order], col[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[keep], col[keep], score[keep], skipped
+
+
+def _search(root: str, pivots: str, k: int, first: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Placed chunks as (query_id, row, chunk_id, score) of what they hold for the queries in root, and rows of counts (blocks, pairs, skipped)."""
+    centers = _pivots(pivots)
+    names = ["query_id", "row", "chunk_id", "score", "blocks", "pairs", "skipped"]
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, pairs, skipped, kind = _Held(held, centers), 0, 0, None
+        for block in _blocks(root, QUERY_BLOCK):
+            kind = block.column("query_id").type
+            row, col, score, out = chunks.best(block, k, first)
+            pairs, skipped = pairs + block.num_rows * len(chunks.cuts), skipped + out
+            if len(row):
+                at, none = pa.array(row), pa.nulls(len(row), pa.int64())
+                yield pa.RecordBatch.from_arrays([block.column("query_id").take(at), block.column("row").take(at), chunks.ids.take(pa.array(col)), pa.array(score), none, none, none], names)
+        if kind is not None and not first:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, chunks.ids.type), pa.nulls(1, pa.float64()), *(pa.array([n]) for n in (len(chunks.cuts), pairs, skipped))], names)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = max(CHUNK_BLOCK, HELD_NUMBERS // max(1, centers.shape[1]))
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            if held and sum(b.num_rows for b in held) + part.num_rows > rows:
+                yield from found(held)
+                held = []
+            held.append(part)
+    if held:
+        yield from found(held)
 
 
 def top_k_counted(queries: DataFrame, chunks: DataFrame, k: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -346,11 +467,13 @@ def top_k_counted(queries: DataFrame, chunks: DataFrame, k: int = 4) -> tuple[Da
 
     Chunks (chunk_id, embedding) are sorted by their nearest of PIVOTS chunks
     and the distance to it, so that neighbours stand in blocks of at most
-    CHUNK_BLOCK. By the block's center and radius no score in it exceeds
-    q.center + |q| radius; queries (query_id, embedding) for which that is
-    below their floor skip the block as a whole. The floor is the k-th best
-    score among the pivots, so nothing is lost. What a block finds is its best
-    k for each query, and Spark keeps the best k of a task before the shuffle.
+    CHUNK_BLOCK. A query (query_id, embedding) first meets the blocks among whose
+    chunks it would stand itself; the k-th best score there, or among the pivots
+    if that is more, is its floor. Then it meets the other blocks but those
+    where no score can reach its floor, see _Held.bounds(), so nothing is lost.
+    A task holds many blocks and reads the queries once for all of them; what it
+    finds is its best k for each query, and Spark keeps the best k before the
+    shuffle.
 
     Vectors that are null, of another length than most, or hold no finite
     numbers take no part. Ids are of any type that Spark can order; equal scores, to
@@ -363,65 +486,24 @@ def top_k_counted(queries: DataFrame, chunks: DataFrame, k: int = 4) -> tuple[Da
     dim = dimension(chunks)
     good, asked = valid_vectors(chunks.select("chunk_id", "embedding"), dim), valid_vectors(queries.select("query_id", "embedding"), dim)
     good = materialize(good, "chunk-vectors")
-    pivots, root = fresh_path(spark, "pivots"), fresh_path(spark, "queries")
+    pivots, first_root, root = fresh_path(spark, "pivots"), fresh_path(spark, "queries"), fresh_path(spark, "queries")
     good.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(PIVOTS).write.parquet(pivots)
-    asked.mapInArrow(lambda b: _floors(pivots, k, b), f"query_id {kinds['query_id']}, embedding array<double>, floor double").write.parquet(root)
-
-    def best(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        table = table.take(pc.sort_indices(table, sort_keys=[("chunk_id", "ascending")]))
-        ids, vectors = table.column("chunk_id").combine_chunks(), _matrix(table.column("embedding"))
-        center = vectors.mean(0)
-        radius = float(np.sqrt(((vectors - center) ** 2).sum(1).max()))
-        pairs = skipped = 0
-        kind = None
-        for block in _blocks(root, QUERY_BLOCK):
-            q, kind = _matrix(block.column("embedding")), block.column("query_id").type
-            floor = block.column("floor").to_numpy()
-            floor = floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
-            live = np.flatnonzero(q @ center + np.sqrt((q * q).sum(1)) * radius >= floor)
-            pairs, skipped = pairs + len(q), skipped + len(q) - len(live)
-            if not len(live):
-                continue
-            scores = q[live] @ vectors.T
-            near = np.round(scores, 10)
-            least = floor[live]
-            if len(ids) > k:
-                least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
-            row, col = np.nonzero(near >= least[:, None])
-            order = np.lexsort((col, -near[row, col], row))
-            row, col = row[order], col[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, col = row[keep], col[keep]
-            none = pa.nulls(len(row), pa.int64())
-            yield pa.RecordBatch.from_arrays([block.column("query_id").take(pa.array(live[row])), ids.take(pa.array(col)), pa.array(scores[row, col]), none, none], ["query_id", "chunk_id", "score", "pairs", "skipped"])
-        if kind is not None:  # what was skipped, in a row of its own
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, ids.type), pa.nulls(1, pa.float64()), pa.array([pairs]), pa.array([skipped])], ["query_id", "chunk_id", "score", "pairs", "skipped"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            pivot = batch.column("pivot").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(pivot)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                for at in range(a, b, CHUNK_BLOCK):
-                    part = batch.slice(at, min(CHUNK_BLOCK, b - at))
-                    n = sum(x.num_rows for x in held)
-                    if held and (n + part.num_rows > CHUNK_BLOCK or held[-1].column("pivot")[0] != part.column("pivot")[0]):
-                        yield from best(held)
-                        held = []
-                    held.append(part)
-        if held and sum(b.num_rows for b in held):
-            yield from best(held)
-
     placed = good.mapInArrow(lambda b: _near_pivots(pivots, b), f"chunk_id {kinds['chunk_id']}, embedding array<double>, pivot int, far double")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = placed.repartitionByRange(tasks, "pivot", "far", F.xxhash64("chunk_id")).sortWithinPartitions("pivot", "far")
-    found = materialize(ranged.mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, pairs long, skipped long"), "found")
+    placed = materialize(placed.repartitionByRange(tasks, "pivot", "far", F.xxhash64("chunk_id")).sortWithinPartitions("pivot", "far"), "placed")
+    schema = f"query_id {kinds['query_id']}, row long, chunk_id {kinds['chunk_id']}, score double, blocks long, pairs long, skipped long"
+
+    numbered = asked.withColumn("row", F.monotonically_increasing_id())
+    numbered.mapInArrow(lambda b: _floors(pivots, k, b), f"query_id {kinds['query_id']}, embedding array<double>, row long, pivot int, far double, floor double").write.parquet(first_root)
+    near = materialize(placed.mapInArrow(lambda b: _search(first_root, pivots, k, True, b), schema), "near")
+    kth = near.withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score")))).where(F.col("place") == k).select("row", F.col("score").alias("kth"))
+    raised = spark.read.parquet(first_root).join(kth, "row", "left").withColumn("floor", F.greatest("floor", "kth")).drop("kth")
+    raised.sort("pivot", "far").write.parquet(root)
+    found = near.unionByName(materialize(placed.mapInArrow(lambda b: _search(root, pivots, k, False, b), schema), "found"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "chunk_id")
-    rows = found.where("pairs is null").drop("pairs", "skipped").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    rows = found.where("pairs is null").select("query_id", "chunk_id", "score").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias
-    counts = found.where("pairs is not null").agg(F.count("*").alias("chunk_blocks"), zero(F.sum("pairs"))("pairs"), zero(F.sum("skipped"))("skipped"))
+    counts = found.where("pairs is not null").agg(zero(F.sum("blocks"))("chunk_blocks"), zero(F.sum("pairs"))("pairs"), zero(F.sum("skipped"))("skipped"))
     counts = counts.crossJoin(queries.agg(F.count("*").alias("q"))).crossJoin(asked.agg(F.count("*").alias("gq"))).crossJoin(chunks.agg(F.count("*").alias("c"))).crossJoin(good.agg(F.count("*").alias("gc")))
     return rows, counts.select("chunk_blocks", "pairs", "skipped", (F.col("q") - F.col("gq")).alias("invalid_queries"), (F.col("c") - F.col("gc")).alias("invalid_chunks"))
 

@@ -240,6 +240,44 @@ def test_search_skips_blocks_that_cannot_hold_a_result(spark):
     assert none[0].count() == 0 and none[1].first()["pairs"] == 0
 
 
+def test_search_meets_few_blocks_beyond_a_query_s_own(spark, monkeypatch):
+    """Queries that are chunks themselves have their best score after the blocks where they stand; nothing is clustered here."""
+    monkeypatch.setattr(kb, "CHUNK_BLOCK", 16)
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(3000, 16))
+    v = kb.l2_normalize(spark.createDataFrame([(f"c{i:04d}", x.tolist()) for i, x in enumerate(m)], "id string, embedding array<double>")).repartition(7)
+    asked = v.where("id like '%0'").withColumnRenamed("id", "query_id")
+    found, counts = kb.top_k_counted(asked, v.withColumnRenamed("id", "chunk_id"), 1)
+    assert {(r["query_id"], r["chunk_id"]) for r in found.collect()} == {(f"c{i:04d}",) * 2 for i in range(0, 3000, 10)}
+    n = counts.first()
+    assert n["pairs"] == 300 * n["chunk_blocks"] and n["chunk_blocks"] >= 3000 / 16 and n["pairs"] - n["skipped"] < 4 * 300
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e3])
+def test_search_of_other_queries_ties_and_lengths(spark, monkeypatch, scale):
+    for name, value in (("CHUNK_BLOCK", 7), ("QUERY_BLOCK", 5), ("PIVOTS", 12), ("HELD_NUMBERS", 60)):
+        monkeypatch.setattr(kb, name, value)
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(160, 3)).round(1) * rng.choice([0, 1, 1, 5], size=(160, 1)) * scale
+    m = np.concatenate([m, m[:40], np.repeat(m[5:6], 60, 0)])
+    q = np.concatenate([rng.normal(size=(30, 3)) * scale, m[::9], m[5:6], np.zeros((1, 3))])
+    rows = lambda x, name: spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], f"{name} long, embedding array<double>")
+    for k in (1, 4, 400):
+        found = {(r["query_id"], r["place"]): r["chunk_id"] for r in kb.top_k(rows(q, "query_id").repartition(3), rows(m, "chunk_id").repartition(4), k).collect()}
+        scores = [[(-round(float(x @ y), 10), j) for j, y in enumerate(m)] for x in q]
+        assert len(found) == len(q) * min(k, len(m))
+        for i, each in enumerate(scores):
+            got = [each[found[i, place]] for place in range(1, min(k, len(m)) + 1)]
+            assert [s for s, _ in got] == pytest.approx([s for s, _ in sorted(each)[:k]], abs=2e-10 * max(1, scale * scale))
+            if scale == 1:
+                assert got == sorted(each)[:k]
+
+
+def test_signs_are_counted_as_by_places():
+    texts = ["ab\n\ncd ef" * 9, "x" * 99, "", "y z" * 40 + "\n" + "w" * 31]
+    assert all(kb.chunk_text(t, a, b) == kb._merged(t, a, b, kb._Measure(range(len(t)))) for t in texts for a, b in ((7, 0), (10, 3), (31, 30)))
+
+
 def test_token_chunks(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
